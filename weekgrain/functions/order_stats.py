@@ -53,10 +53,10 @@ def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | Non
     sample = Window.partitionBy(*gcols).orderBy(F.xxhash64("v"), "v")
     cuts = (d.where(F.col("v").isNotNull()).withColumn("_rn", F.row_number().over(sample))
             .where(F.col("_rn") <= splits)
-            .groupBy(*gcols).agg(F.sort_array(F.collect_list("v")).alias("_cuts")))
-    on = [d[g].eqNullSafe(cuts[g]) for g in gcols]
+            .groupBy(*[F.col(g).alias(f"{g}c") for g in gcols]).agg(F.sort_array(F.collect_list("v")).alias("_cuts")))
+    on = [F.col(g).eqNullSafe(F.col(f"{g}c")) for g in gcols]
     placed = d.join(cuts, _all(on), "left").select(
-        *[d[g] for g in gcols], "v", "n",
+        *gcols, "v", "n",
         F.when(F.col("_cuts").isNull(), F.lit(splits + 1)).otherwise(_interval(F.col("_cuts"), F.col("v"), splits)).alias("_b"))
     sums = placed.groupBy(*gcols, "_b").agg(F.sum("n").alias("_m"))
     by_group = Window.partitionBy(*gcols)
@@ -124,6 +124,47 @@ def quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float]
     return agg.select(*groups, "n", *outs)
 
 
+def expanding_quantile(df: DataFrame, period: list[str], value: str, q: float, out: str, splits: int = 255) -> DataFrame:
+    """Exact quantile of all values of strictly earlier periods: rows (period, out, n).
+
+    Counts per (value interval, period) tell, for every period, which interval holds the
+    wanted order statistic; only the rows of that interval are then looked at again. Work
+    is rows + periods x (rows / splits), not rows x periods.
+    """
+    calendar = df.select(*period).distinct()
+    calendar = calendar.withColumn("_i", F.row_number().over(Window.orderBy(*period)))  # one row per period
+    d = (df.where(F.col(value).isNotNull()).groupBy(*period, F.col(value).cast("double").alias("v"))
+         .agg(F.count(F.lit(1)).alias("n")).join(calendar, period).select("_i", "v", "n"))
+    pick = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("v"), "v")
+    cuts = (d.select("v").distinct().withColumn("_rn", F.row_number().over(pick)).where(F.col("_rn") <= splits)
+            .agg(F.sort_array(F.collect_list("v")).alias("_cuts")))  # one row of at most `splits` values
+    placed = d.join(F.broadcast(cuts)).select("_i", "v", "n", _interval(F.col("_cuts"), F.col("v"), splits).alias("_b"))
+    counts = placed.groupBy("_b", "_i").agg(F.sum("n").alias("m"))
+    grid = calendar.select(F.col("_i"), F.explode(F.sequence(F.lit(0), F.lit(splits))).alias("_b"))
+    over_time = Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    at = (grid.join(counts, ["_b", "_i"], "left")
+          .select("_b", "_i", F.coalesce(F.sum("m").over(over_time), F.lit(0)).alias("m")))
+    over_values = Window.partitionBy("_i")
+    at = at.select("_b", "_i", "m", F.sum("m").over(over_values).alias("total"),
+                   (F.sum("m").over(over_values.orderBy("_b")) - F.col("m")).alias("below"))
+    pos = F.lit(float(q)) * (F.col("total") - 1)
+    wanted = at.where(F.col("total") > 0).select(
+        F.col("_b"), F.col("_i").alias("_j"), "below", "m", "total",
+        F.explode(F.array(F.struct(F.lit("lo").alias("end"), F.floor(pos).alias("at")),
+                          F.struct(F.lit("hi").alias("end"), F.ceil(pos).alias("at")))).alias("w"),
+    ).where((F.col("below") <= F.col("w.at")) & (F.col("w.at") < F.col("below") + F.col("m")))
+    near = (placed.join(wanted, "_b").where(F.col("_i") < F.col("_j"))
+            .groupBy("_j", "w", "below", "total", "v").agg(F.sum("n").alias("n")))
+    run = F.sum("n").over(Window.partitionBy("_j", "w").orderBy("v"))
+    hit = near.withColumn("_to", F.col("below") + run).where((F.col("_to") > F.col("w.at")) & (F.col("_to") - F.col("n") <= F.col("w.at")))
+    ends = hit.groupBy("_j").agg(F.max(F.when(F.col("w.end") == "lo", F.col("v"))).alias("lo"),
+                                 F.max(F.when(F.col("w.end") == "hi", F.col("v"))).alias("hi"), F.max("total").alias("n"))
+    pos = F.lit(float(q)) * (F.col("n") - 1)
+    joined = calendar.join(ends, F.col("_i") == F.col("_j"), "left")
+    return joined.select(*period, (F.col("lo") + (F.col("hi") - F.col("lo")) * (pos - F.floor(pos))).alias(out),
+                         F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "component", value: str = "value") -> DataFrame:
     """Long form of several numeric columns, so that one ladder serves them all."""
     pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None, floats: str = "", needs: str = "pan
                 full = f"WITH {ctes} {body}" if ctes else body
             cols = floats.split()
             if cols:
-                rounded = ", ".join(f"round({c}, {PLACES}) + 0.0 AS {c}" for c in cols)
+                rounded = ", ".join(f"round({c} + 1e-9, {PLACES}) + 0.0 AS {c}" for c in cols)
                 text = f"SELECT * REPLACE ({rounded}) FROM ({full}) AS q"
             else:
                 text = full
@@ -49,10 +49,13 @@ def query(name: str, sql: str | None = None, floats: str = "", needs: str = "pan
 
 
 def presented(df: DataFrame) -> DataFrame:
-    """Doubles at a fixed number of decimals, so that summation order cannot show."""
+    """Doubles at a fixed number of decimals, so that summation order cannot show.
+
+    The nudge takes exact halves the same way on both sides of the check.
+    """
     kinds = dict(df.dtypes)
     return df.select([
-        (F.round(F.col(c).cast("double"), PLACES) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+        (F.round(F.col(c).cast("double") + F.lit(1e-9), PLACES) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
         for c in df.columns
     ])
 
