@@ -81,17 +81,18 @@ def _all(conds: list[Column]) -> Column:
 
 
 def with_rank(df: DataFrame, groups: list[str], value: str, out: str, method: str = "min",
-              ascending: bool = True, splits: int | None = None) -> DataFrame:
+              ascending: bool = True, splits: int | None = None, places: int = 9) -> DataFrame:
     """Adds the rank of ``value`` within its group.
 
     method: ``min`` (competition), ``average``, ``pct`` (average / group rows). Nulls rank last.
+    Doubles tie at ``places`` decimals: the order in which a mean was summed must not decide a rank.
     """
     if not ascending:
         work = df.withColumn("_key", -F.col(value))
     else:
         work = df.withColumn("_key", F.col(value))
     if dict(work.dtypes)["_key"] in ("double", "float"):
-        work = work.withColumn("_key", F.col("_key") + F.lit(0.0))
+        work = work.withColumn("_key", F.round("_key", places) + F.lit(0.0))
     ladder = value_ladder(work, groups, "_key", splits)
     low, n, total = F.col("below") + 1, F.col("n"), F.col("total")
     rank = {
