@@ -41,36 +41,44 @@ def _interval(cuts: Column, value: Column, splits: int) -> Column:
     return F.when(value.isNull(), F.lit(splits + 1)).otherwise(found)
 
 
-def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | None = None) -> DataFrame:
-    """Rows (groups, v, n, below, total): ``below`` counts group rows with a smaller value; nulls come last."""
+def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | None = None,
+                 parts: dict[str, Column] | None = None) -> DataFrame:
+    """Rows (groups, v, n, below, total): ``below`` counts group rows with a smaller value; nulls come last.
+
+    ``parts`` maps names to row conditions and adds n_, below_ and total_ columns that count only those rows.
+    """
     splits = splits or _splits(df)
+    parts = parts or {}
+    counts = {"n": F.count(F.lit(1))} | {f"n_{k}": F.sum(F.when(c, 1).otherwise(0)) for k, c in parts.items()}
     gcols = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
     gsrc = [F.col(g).alias(a) for g, a in zip(groups, gcols)] or [F.lit(0).alias("_g0")]
     v = F.col(value)
     if dict(df.dtypes)[value] in ("double", "float"):
         v = v + F.lit(0.0)  # one zero
-    d = df.select(*gsrc, v.alias("v")).groupBy(*gcols, "v").agg(F.count(F.lit(1)).alias("n"))
+    d = df.groupBy(*gsrc, v.alias("v")).agg(*[c.alias(k) for k, c in counts.items()])
     sample = Window.partitionBy(*gcols).orderBy(F.xxhash64("v"), "v")
-    cuts = (d.where(F.col("v").isNotNull()).withColumn("_rn", F.row_number().over(sample))
+    cuts = (d.where(F.col("v").isNotNull()).select(*gcols, "v").withColumn("_rn", F.row_number().over(sample))
             .where(F.col("_rn") <= splits)
             .groupBy(*[F.col(g).alias(f"{g}c") for g in gcols]).agg(F.sort_array(F.collect_list("v")).alias("_cuts")))
     on = [F.col(g).eqNullSafe(F.col(f"{g}c")) for g in gcols]
     placed = d.join(cuts, _all(on), "left").select(
-        *gcols, "v", "n",
+        *gcols, "v", *counts,
         F.when(F.col("_cuts").isNull(), F.lit(splits + 1)).otherwise(_interval(F.col("_cuts"), F.col("v"), splits)).alias("_b"))
-    sums = placed.groupBy(*gcols, "_b").agg(F.sum("n").alias("_m"))
+    sums = placed.groupBy(*gcols, "_b").agg(*[F.sum(k).alias(f"_m_{k}") for k in counts])
     by_group = Window.partitionBy(*gcols)
-    base = sums.select(
-        *[F.col(g).alias(f"{g}r") for g in gcols], F.col("_b").alias("_br"),
-        F.coalesce(F.sum("_m").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_base"),
-        F.sum("_m").over(by_group).alias("total"))
+    earlier = by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    base = sums.select(*[F.col(g).alias(f"{g}r") for g in gcols], F.col("_b").alias("_br"),
+                       *[F.coalesce(F.sum(f"_m_{k}").over(earlier), zero).alias(f"_base_{k}") for k in counts],
+                       *[F.sum(f"_m_{k}").over(by_group).alias(f"_total_{k}") for k in counts])
     inside = Window.partitionBy(*gcols, "_b").orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    run = placed.withColumn("_in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    run = placed.withColumns({f"_in_{k}": F.coalesce(F.sum(k).over(inside), zero) for k in counts})
     on2 = [F.col(g).eqNullSafe(F.col(f"{g}r")) for g in gcols] + [F.col("_b") == F.col("_br")]
     out = run.join(base, _all(on2))
     names = [F.col(a).alias(g) for g, a in zip(groups, gcols)]
-    return out.select(*names, "v", "n", (F.col("_in") + F.col("_base")).alias("below"), "total")
+    tail = lambda k: k[1:]  # "" for the plain count, "_name" for a part
+    return out.select(*names, "v", *counts, *[(F.col(f"_in_{k}") + F.col(f"_base_{k}")).alias(f"below{tail(k)}") for k in counts],
+                      *[F.col(f"_total_{k}").alias(f"total{tail(k)}") for k in counts])
 
 
 def _all(conds: list[Column]) -> Column:
@@ -80,29 +88,33 @@ def _all(conds: list[Column]) -> Column:
     return out
 
 
-def with_rank(df: DataFrame, groups: list[str], value: str, out: str, method: str = "min",
-              ascending: bool = True, splits: int | None = None, places: int = 9) -> DataFrame:
-    """Adds the rank of ``value`` within its group.
+def _sort_key(df: DataFrame, value: str, ascending: bool, places: int) -> Column:
+    key = F.col(value) if ascending else -F.col(value)
+    return F.round(key, places) + F.lit(0.0) if dict(df.dtypes)[value] in ("double", "float") else key
+
+
+def with_ranks(df: DataFrame, specs: list[tuple], places: int = 9) -> DataFrame:
+    """Adds several ranks, each given as (groups, value, out, method, ascending).
 
     method: ``min`` (competition), ``average``, ``pct`` (average / group rows). Nulls rank last.
     Doubles tie at ``places`` decimals: the order in which a mean was summed must not decide a rank.
+    All ladders hang off the same input, so the plan grows with the number of ranks and not with its power.
     """
-    if not ascending:
-        work = df.withColumn("_key", -F.col(value))
-    else:
-        work = df.withColumn("_key", F.col(value))
-    if dict(work.dtypes)["_key"] in ("double", "float"):
-        work = work.withColumn("_key", F.round("_key", places) + F.lit(0.0))
-    ladder = value_ladder(work, groups, "_key", splits)
-    low, n, total = F.col("below") + 1, F.col("n"), F.col("total")
-    rank = {
-        "min": low.cast("long"),
-        "average": low + (n - 1) / 2.0,
-        "pct": (low + (n - 1) / 2.0) / total,
-    }[method]
-    ranked = ladder.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("v").alias("_rv"), rank.alias(out))
-    cond = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups] + [F.col("_key").eqNullSafe(F.col("_rv"))]
-    return work.join(ranked, _all(cond)).drop("_key", "_rv", *[f"_r_{g}" for g in groups])
+    keyed = df.withColumns({f"_key{i}": _sort_key(df, value, asc, places) for i, (_, value, _, _, asc) in enumerate(specs)})
+    out = keyed
+    for i, (groups, _, name, method, _) in enumerate(specs):
+        ladder = value_ladder(keyed, groups, f"_key{i}")
+        low, n, total = F.col("below") + 1, F.col("n"), F.col("total")
+        rank = {"min": low.cast("long"), "average": low + (n - 1) / 2.0, "pct": (low + (n - 1) / 2.0) / total}[method]
+        ranked = ladder.select(*[F.col(g).alias(f"_r_{g}") for g in groups], F.col("v").alias("_rv"), rank.alias(name))
+        cond = [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in groups] + [F.col(f"_key{i}").eqNullSafe(F.col("_rv"))]
+        out = out.join(ranked, _all(cond)).drop("_rv", *[f"_r_{g}" for g in groups])
+    return out.drop(*[f"_key{i}" for i in range(len(specs))])
+
+
+def with_rank(df: DataFrame, groups: list[str], value: str, out: str, method: str = "min", ascending: bool = True) -> DataFrame:
+    """One rank, see :func:`with_ranks`."""
+    return with_ranks(df, [(groups, value, out, method, ascending)])
 
 
 def quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float],

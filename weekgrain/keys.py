@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,3 +71,15 @@ def unique_on(df: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(prefer)])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(df.columns)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cuts a deep plan at a block boundary with a reliable checkpoint.
+
+    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
+    unset (tests, a laptop) a fresh local one is made.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weekgrain-"))
+    return df.checkpoint()
