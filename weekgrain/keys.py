@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,3 +84,9 @@ def settled(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weekgrain-"))
     return df.checkpoint()
+
+
+def shared_dir(spark, name: str) -> str:
+    """A fresh folder for written tables, beside the checkpoints (see :func:`settled`)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weekgrain-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

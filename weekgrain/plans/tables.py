@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 POSITION = ["QB", "RB", "WR", "TE"]
 
 
+def zoned(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, k in df.dtypes if k == "timestamp_ntz"})
+
+
 def _count(cond):
     return F.sum(F.when(cond, 1).otherwise(0))
 
@@ -69,7 +73,16 @@ class Tables:
     @cached_property
     def plays(self) -> DataFrame:
         """One row per play with the columns of a play-by-play feed."""
-        li = self.raw("lineitem")
+        return self.as_plays(self.raw("lineitem"))
+
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream; event times need a zone, so zoneless ones take the session's."""
+        schema = self.raw(name).schema
+        df = self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        return zoned(df)
+
+    @staticmethod
+    def as_plays(li: DataFrame) -> DataFrame:
         sup, part, order, ln = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
         flag = F.col("l_returnflag")
         kind = (F.when(flag == "A", "pass").when(flag == "N", "run")
@@ -115,7 +128,7 @@ class Tables:
             F.when(kind == "field_goal", F.when(ln <= 5, "made").when(ln == 6, "missed").otherwise("blocked")).alias("field_goal_result"),
             F.when(kind == "extra_point", F.when(ln <= 6, "good").otherwise("failed")).alias("extra_point_result"),
             F.when(kind == "field_goal", F.col("l_quantity") + 10).alias("kick_distance"),
-            (order % 45).alias("posteam_score_post"),
+            (order % 45).alias("posteam_score_post"), F.col("l_shipdate").alias("ts"),
         )
 
     @cached_property
