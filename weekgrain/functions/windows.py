@@ -6,7 +6,7 @@ single exchange and sort for any number of columns and frames.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,37 +78,34 @@ def with_prior_ewm(df: DataFrame, columns: Iterable[str], spans: Iterable[int],
     return out.drop(*[f"_h_{c}" for c in columns])
 
 
-def causal_group_stats(df: DataFrame, column: str, groups: list[str], prefix: str,
-                       keys: Keys = KEYS, min_mean: int = 1, min_std: int = 2) -> DataFrame:
-    """Mean, sample std, min, max and count of ``column`` over all strictly earlier periods of a group.
+def causal_group_stats(df: DataFrame, columns: Mapping[str, str], groups: list[str], keys: Keys = KEYS,
+                       min_mean: int = 1, min_std: int = 2) -> DataFrame:
+    """Mean, sample std, min, max and count of columns over all strictly earlier periods of a group.
 
-    Rows are first reduced to one moment row per (group, period); the running window then
-    touches only those, so its size follows the number of periods and not the number of rows.
+    ``columns`` maps a column to the prefix of its results. Rows are first reduced to one moment row
+    per (group, period); the running window then touches only those, so its size follows the number
+    of periods and not the number of rows.
     """
-    x = F.col(column).cast("double")
-    per_period = df.groupBy(*groups, *keys.period).agg(
-        F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"),
-        F.min(x).alias("_lo"), F.max(x).alias("_hi"),
-    )
+    aggs = []
+    for c, p in columns.items():
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"{p}_n0"), F.sum(x).alias(f"{p}_s0"), F.sum(x * x).alias(f"{p}_q0"), F.min(x).alias(f"{p}_l0"), F.max(x).alias(f"{p}_h0")]
+    per_period = df.groupBy(*groups, *keys.period).agg(*aggs)
     # without a group the table has one row per period of the calendar
     w = prior(Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*keys.period))
-    run = per_period.select(
-        *groups, *keys.period,
-        F.sum("_n").over(w).alias("_n"), F.sum("_s").over(w).alias("_s"), F.sum("_q").over(w).alias("_q"),
-        F.min("_lo").over(w).alias(f"{prefix}_min"), F.max("_hi").over(w).alias(f"{prefix}_max"),
-    )
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
-    return run.select(
-        *groups, *keys.period, f"{prefix}_min", f"{prefix}_max",
-        F.coalesce(n, F.lit(0)).alias(f"{prefix}_n"),
-        F.when(n >= min_mean, s / n).alias(f"{prefix}_mean"),
-        F.when(n >= min_std, F.sqrt(var)).alias(f"{prefix}_std"),
-    )
-
-
-def with_causal_stats(df: DataFrame, column: str, groups: list[str], prefix: str, keys: Keys = KEYS,
-                      **kw) -> DataFrame:
+    run = {}
+    for p in columns.values():
+        run |= {f"{p}_n": F.coalesce(F.sum(f"{p}_n0").over(w), F.lit(0)), f"{p}_s1": F.sum(f"{p}_s0").over(w), f"{p}_q1": F.sum(f"{p}_q0").over(w),
+                f"{p}_min": F.min(f"{p}_l0").over(w), f"{p}_max": F.max(f"{p}_h0").over(w)}
+    out = per_period.select(*groups, *keys.period, *[c.alias(n) for n, c in run.items()])
+    cols = []
+    for p in columns.values():
+        n, s, q = F.col(f"{p}_n"), F.col(f"{p}_s1"), F.col(f"{p}_q1")
+        var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
+        cols += [f"{p}_n", f"{p}_min", f"{p}_max", F.when(n >= min_mean, s / n).alias(f"{p}_mean"), F.when(n >= min_std, F.sqrt(var)).alias(f"{p}_std")]
+    return out.select(*groups, *keys.period, *cols)
+
+
+def with_causal_stats(df: DataFrame, columns: Mapping[str, str], groups: list[str], keys: Keys = KEYS, **kw) -> DataFrame:
     """Joins :func:`causal_group_stats` back on (group, period)."""
-    stats = causal_group_stats(df, column, groups, prefix, keys, **kw)
-    return df.join(stats, [*groups, *keys.period], "left")
+    return df.join(causal_group_stats(df, columns, groups, keys, **kw), [*groups, *keys.period], "left")

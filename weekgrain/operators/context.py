@@ -101,7 +101,7 @@ def multiweek_projection(panel: DataFrame, n: int, weekly: str, spread: str = "w
     """Weekly projection shrunk to the position's earlier mean, times expected games, with floor and ceiling."""
     df = expected_games(panel.withColumn("weekly_projection", F.coalesce(F.col(weekly), F.col(FP))), n, keys=keys)
     pull = C.REGRESSION_FACTORS.get(n, 0.1 * log(n + 1))
-    stats = causal_group_stats(df, "weekly_projection", [keys.group], "_p", keys).select(keys.group, *keys.period, "_p_mean")
+    stats = causal_group_stats(df, {"weekly_projection": "_p"}, [keys.group], keys).select(keys.group, *keys.period, "_p_mean")
     df = df.join(stats, [keys.group, *keys.period], "left")
     mean = F.coalesce("_p_mean", "weekly_projection")
     games = F.col(f"expected_games_next_{n}")

@@ -149,7 +149,7 @@ def week_over_week(panel: DataFrame, columns: Sequence[str], keys: Keys = KEYS)
 def regression_to_mean(panel: DataFrame, column: str = FP, keys: Keys = KEYS) -> DataFrame:
     """Player EWM against the position's mean and spread over strictly earlier weeks."""
     ewm = with_prior_ewm(panel, [column], [8], keys)
-    out = with_causal_stats(ewm, column, [keys.group], "_pos", keys)
+    out = with_causal_stats(ewm, {column: "_pos"}, [keys.group], keys)
     dev = F.col(f"{column}_ewm8") - F.col("_pos_mean")
     return out.withColumns({
         "fp_deviation_from_pos_mean": dev,
@@ -193,12 +193,10 @@ def opponent_zscores(panel: DataFrame, allowed: DataFrame, keys: Keys = KEYS) ->
     cols = [f"{FP}_allowed_{p.lower()}" for p in C.POSITIONS]
     last = allowed.select(F.col("team").alias(keys.opponent), keys.season, (F.col(keys.week) + 1).alias(keys.week), *cols)
     out = panel.join(last, [keys.opponent, *keys.period], "left")
-    # the z-score basis: one value per defence and week
-    for c in cols:
-        out = with_causal_stats(out, c, [], f"_{c}", keys)
-        mean, std = F.col(f"_{c}_mean"), F.greatest(F.col(f"_{c}_std"), F.lit(1e-6))
-        out = out.withColumn(f"{c}_zscore", F.when(F.col(f"_{c}_std").isNotNull(), (F.col(c) - mean) / std))
-        out = out.drop(*[f"_{c}_{s}" for s in ("mean", "std", "min", "max", "n")])
+    out = with_causal_stats(out, {c: f"_{c}" for c in cols}, [], keys)
+    z = lambda c: (F.col(c) - F.col(f"_{c}_mean")) / F.greatest(F.col(f"_{c}_std"), F.lit(1e-6))
+    out = out.withColumns({f"{c}_zscore": F.when(F.col(f"_{c}_std").isNotNull(), z(c)) for c in cols})
+    out = out.drop(*[f"_{c}_{s}" for c in cols for s in ("mean", "std", "min", "max", "n")])
     return out.withColumn("opp_fpts_allowed", lookup(F.col(keys.group), {p: F.col(f"{FP}_allowed_{p.lower()}") for p in C.POSITIONS}))
 
 
@@ -237,14 +235,14 @@ def team_momentum(team_week: DataFrame, keys: Keys = KEYS) -> DataFrame:
 
 def matchup_quality(panel: DataFrame, opp: str, script: str, pace: str, keys: Keys = KEYS) -> DataFrame:
     """Weighted causal z-scores of three context columns plus home field, min-max scaled on earlier weeks to 0..100."""
-    out = panel
+    parts = {opp: 0.35, script: 0.30, pace: 0.20}
+    out = with_causal_stats(panel, {c: f"_{c}" for c in parts}, [], keys)
     total = F.col("is_home") * 0.15
-    for c, k in ((opp, 0.35), (script, 0.30), (pace, 0.20)):
-        out = with_causal_stats(out, c, [], f"_{c}", keys)
+    for c, k in parts.items():
         z = (F.col(c) - F.col(f"_{c}_mean")) / F.greatest(F.col(f"_{c}_std"), F.lit(0.1))
         total = total + F.coalesce(F.when(F.col(f"_{c}_std").isNotNull(), z), F.lit(0.0)) * k
     out = out.withColumn("matchup_raw", total)
-    out = with_causal_stats(out, "matchup_raw", [], "_q", keys)
+    out = with_causal_stats(out, {"matchup_raw": "_q"}, [], keys)
     span = F.col("_q_max") - F.col("_q_min")
     scaled = F.when(span > 0, (F.col("matchup_raw") - F.col("_q_min")) / span * 100)
     out = out.withColumn("matchup_quality_indicator", clip(F.coalesce(scaled, F.lit(50.0)), 0.0, 100.0))
@@ -394,10 +392,9 @@ def return_from_absence(panel: DataFrame, keys: Keys = KEYS) -> DataFrame:
 def outlier_flags(panel: DataFrame, columns: Sequence[str], sigma: float = 3.0, injury_score: str | None = None,
                   keys: Keys = KEYS) -> DataFrame:
     """Rows beyond sigma of all earlier weeks (at least ten values), and low games of hurt players."""
-    out, hit = panel, F.lit(False)
-    low = F.lit(False)
+    out = with_causal_stats(panel, {c: f"_{c}" for c in columns}, [], keys, min_mean=10, min_std=10)
+    hit = low = F.lit(False)
     for c in columns:
-        out = with_causal_stats(out, c, [], f"_{c}", keys, min_mean=10, min_std=10)
         mean, std = F.col(f"_{c}_mean"), F.col(f"_{c}_std")
         hit = hit | F.coalesce(F.abs(F.col(c) - mean) > sigma * std, F.lit(False))
         if c == FP and injury_score:
@@ -435,7 +432,7 @@ def impute(df: DataFrame, medians: DataFrame, columns: Sequence[str], indicator_
     ``medians`` has one row per column, so its map form is a single small row.
     """
     fills = medians.agg(F.map_from_entries(F.collect_list(F.struct("component", F.struct("fill", "missing_rate")))).alias("_fit"))
-    out = df.crossJoin(F.broadcast(fills))  # exactly one row
+    out = df.join(F.broadcast(fills))  # exactly one row
     new = {}
     for c in columns:
         fit = F.col("_fit")[c]

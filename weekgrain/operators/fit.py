@@ -218,6 +218,10 @@ def sse(gram: np.ndarray, beta: np.ndarray) -> float:
     return float(gram[-1, -1] - 2 * beta @ gram[:-1, -1] + beta @ gram[:-1, :-1] @ beta)
 
 
+def rmse(gram: np.ndarray, beta: np.ndarray) -> float:
+    return float((max(sse(gram, beta), 0.0) / gram[0, 0]) ** 0.5)
+
+
 def non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """argmin |a x - b| with x >= 0 for a handful of unknowns: best feasible solution over supports."""
     p = a.shape[1]
