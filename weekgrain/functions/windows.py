@@ -48,34 +48,44 @@ def prior_slope(c: str, window, row_no: Column, n: int, minimum: int = 2) -> Col
                  F.count(c).over(frame), minimum)
 
 
-def prior_ewm(history: Column, span: int) -> Column:
-    """Recursive exponential mean of an array of past values (nulls decay the old weight).
+def with_prior_ewm(df: DataFrame, columns: Iterable[str], spans: Iterable[int], keys: Keys = KEYS) -> DataFrame:
+    """Adds ``{c}_ewm{span}``: recursive exponential means of the earlier rows (nulls decay the old weight).
 
-    ``history`` is an array of single-field structs so that null observations keep their place.
+    A recursion is no window function, and folding every row's whole past costs the square of the
+    history. Each entity's rows (at most one per period) are gathered in order once and folded once;
+    the state before a row is its feature.
     """
-    alpha = 2.0 / (span + 1.0)
-    zero = F.struct(F.lit(None).cast("double").alias("m"), F.lit(1.0).alias("w"))
-
-    def step(acc, item):
-        x = item["x"]
-        merged = (acc["w"] * acc["m"] + F.lit(alpha) * x) / (acc["w"] + F.lit(alpha))
-        weight = F.when(acc["m"].isNull(), F.lit(1.0)).otherwise(acc["w"] * (1.0 - alpha))
-        return F.struct(
-            F.when(x.isNull(), acc["m"]).when(acc["m"].isNull(), x).otherwise(merged).alias("m"),
-            F.when(x.isNull(), weight).otherwise(F.lit(1.0 - alpha)).alias("w"),
-        )
-
-    return F.aggregate(history, zero, step, lambda acc: acc["m"])
-
-
-def with_prior_ewm(df: DataFrame, columns: Iterable[str], spans: Iterable[int], keys: Keys = KEYS) -> DataFrame:
-    """Adds ``{c}_ewm{span}``. The history array is bounded by the number of periods of one entity."""
-    w = prior(keys.entity_window())
     columns, spans = list(columns), list(spans)
-    hist = df.withColumns({f"_h_{c}": F.collect_list(F.struct(F.col(c).cast("double").alias("x"))).over(w)
-                           for c in columns})
-    out = hist.withColumns({f"{c}_ewm{s}": prior_ewm(F.col(f"_h_{c}"), s) for c in columns for s in spans})
-    return out.drop(*[f"_h_{c}" for c in columns])
+    rest = [c for c in df.columns if c != keys.entity]
+    ordered = F.sort_array(F.collect_list(F.struct(keys.season, keys.week, *[c for c in rest if c not in keys.period])))
+    rows = df.groupBy(keys.entity).agg(ordered.alias("_rows"))
+    none = F.lit(None).cast("double")
+    state = lambda m, w: [x for s in spans for x in (m(s).alias(f"m{s}"), w(s).alias(f"w{s}"))]
+    seen = lambda acc: F.struct(*[acc[f"m{s}"].alias(f"e{s}") for s in spans])
+
+    def fold(c: str) -> Column:
+        def step(acc, row):
+            x = row[c].cast("double")
+
+            def mean(s):
+                a = 2.0 / (s + 1.0)
+                m, w = acc[f"m{s}"], acc[f"w{s}"]
+                return F.when(x.isNull(), m).when(m.isNull(), x).otherwise((w * m + a * x) / (w + a))
+
+            def weight(s):
+                a = 2.0 / (s + 1.0)
+                return F.when(x.isNotNull(), F.lit(1.0 - a)).when(acc[f"m{s}"].isNull(), F.lit(1.0)).otherwise(acc[f"w{s}"] * (1.0 - a))
+
+            return F.struct(*state(mean, weight), F.concat(acc["out"], F.array(seen(acc))).alias("out"))
+
+        empty = F.array().cast("array<struct<" + ",".join(f"e{s}:double" for s in spans) + ">>")
+        zero = F.struct(*state(lambda s: none, lambda s: F.lit(1.0)), empty.alias("out"))
+        return F.aggregate("_rows", zero, step, lambda acc: acc["out"])
+
+    folded = rows.withColumns({f"_e_{c}": fold(c) for c in columns})
+    flat = folded.select(keys.entity, F.explode(F.arrays_zip("_rows", *[f"_e_{c}" for c in columns])).alias("z"))
+    return flat.select(*[F.col(c) if c == keys.entity else F.col(f"z._rows.{c}").alias(c) for c in df.columns],
+                       *[F.col(f"z._e_{c}.e{s}").alias(f"{c}_ewm{s}") for c in columns for s in spans])
 
 
 def causal_group_stats(df: DataFrame, columns: Mapping[str, str], groups: list[str], keys: Keys = KEYS,
