@@ -27,6 +27,12 @@ def test_gram_ridge_equals_numpy(panel):
     assert np.isclose(U.sse(g, b), ((y - b[0] - x @ b[1:]) ** 2).sum())
 
 
+def test_wide_moments_equal_the_aggregates(panel):
+    cols = ["targets", "rushing_attempts", "air_yards"]
+    a, b = (U.gram_by(panel.repartition(3), ["position", "season"], cols, "fantasy_points", wide=w).table for w in (24, 2))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
+
+
 def test_non_negative_solution_beats_a_grid():
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=(6, 3)), rng.normal(size=6)

@@ -67,15 +67,21 @@ def test_expanding_quantile(skewed):
         assert (len(past) == 0 and pd.isna(got.loc[t, "q"])) or np.isclose(got.loc[t, "q"], np.quantile(past, 0.9))
 
 
-def test_no_task_holds_a_hot_group(spark):
-    """A group of 36,000 distinct values is ordered in many intervals; only their counts meet per group."""
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_no_task_holds_a_hot_group(spark, threshold):
+    """A group of 36,000 distinct values is ordered in many intervals, also where nothing may be broadcast."""
     df = spark.range(40_000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"), F.xxhash64("id").alias("v"))
-    lad = value_ladder(df, ["g"], "v", splits=31)
-    assert lad.where("g = 'hot'").agg(F.max("below")).first()[0] == 35_999
-    plan = lad._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
-    sorts = [ln for ln in plan.splitlines() if "Window [" in ln and "ORDER" not in ln and "v#" in ln and "rowsbetween" in ln.lower().replace(" ", "")]
-    assert all("_b#" in ln or "xxhash64" in ln for ln in sorts)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        lad = value_ladder(df, ["g"], "v", splits=31)
+        assert lad.where("g = 'hot'").agg(F.max("below")).first()[0] == 35_999
+        lines = lad._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    at = next(i for i, ln in enumerate(lines) if "Window [sum(n#" in ln)
+    below = next(ln for ln in lines[at:] if "Exchange" in ln)
+    assert "hashpartitioning(_g0#" in below and "_b#" in below
 
 
 def test_first_rows_limits_before_the_shuffle(skewed):

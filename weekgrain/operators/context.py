@@ -145,10 +145,10 @@ def injury_history(panel: DataFrame, injuries: DataFrame, keys: Keys = KEYS) ->
         *keys.grain, "_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("injury_history_count"), F.sum("_m").over(w).alias("_missed"),
         F.max(F.when(F.col("_n") > 0, F.struct(keys.season, keys.week))).over(w).alias("_last"))
     # reports in seasons before (season - 2): taken off the running count gives the last two seasons
-    seasons = mine.groupBy(keys.entity, keys.season).agg(F.count(F.lit(1)).alias("_n"))
-    cal = panel.select(keys.entity, keys.season).distinct().select(keys.entity, (F.col(keys.season) - 2).alias("_from"), keys.season)
-    old = (cal.join(seasons.withColumnRenamed(keys.season, "_s"), keys.entity, "left").groupBy(keys.entity, keys.season)
-           .agg(F.sum(F.when(F.col("_s") < F.col("_from"), F.col("_n")).otherwise(0)).alias("_old")))
+    seasons = (mine.select(keys.entity, keys.season, F.lit(1).alias("_n")).unionByName(panel.select(keys.entity, keys.season, F.lit(0).alias("_n")))
+               .groupBy(keys.entity, keys.season).agg(F.sum("_n").alias("_n")))
+    before = Window.partitionBy(keys.entity).orderBy(keys.season).rangeBetween(Window.unboundedPreceding, -3)
+    old = seasons.select(keys.entity, keys.season, F.sum("_n").over(before).alias("_old"))
     same = by_part.select(*keys.grain, "_part", "_k")
     here = weekly.select(*keys.grain, "_part")
     w2 = prior(Window.partitionBy(keys.entity, "_part").orderBy(*keys.period))

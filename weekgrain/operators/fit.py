@@ -193,19 +193,52 @@ def gram_aggregates(columns: Sequence[str], target: str) -> list[Column]:
     return [F.sum(F.when(known, terms[i] * terms[j])).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
 
 
-def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str) -> Grams:
+def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str, wide: int = 24) -> Grams:
     """One scan. The groups must be few (positions, seasons, weeks): their sums come to the driver."""
+    rows = _wide_moments(df, groups, columns, target) if len(columns) > wide else df.groupBy(*groups).agg(*gram_aggregates(columns, target))
     p = len(columns) + 2
     table = {}
-    for row in df.groupBy(*groups).agg(*gram_aggregates(columns, target)).collect():
+    for row in rows.collect():
         g = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
+        if len(columns) > wide:
+            g[:] = np.array(row["g"]).reshape(p, p)
+        else:
+            for i in range(p):
+                for j in range(i, p):
+                    g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
         table[tuple(row[x] for x in groups)] = g
     return Grams(columns, table)
 
 
+def _wide_moments(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str) -> DataFrame:
+    """The same sums for many columns, where p x p aggregate expressions would be too many.
+
+    Every task multiplies its Arrow batches into one matrix per group and hands out that matrix once;
+    the element sums are an ordinary aggregation.
+    """
+    groups, columns = list(groups), list(columns)
+    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    known = df.where(F.col(target).isNotNull()).select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], *doubles, F.col(target).cast("double").alias("_y"))
+    names = [f"_k{i}" for i in range(len(groups))]
+
+    def partial(batches):
+        import pandas as pd
+
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, part in b.groupby(names, dropna=False):
+                x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float), part["_y"].to_numpy(float)])
+                sums[key] = sums.get(key, 0.0) + x.T @ x
+        for key, g in sums.items():
+            yield pd.DataFrame({**{n: [k] for n, k in zip(names, key)}, "g": [g.ravel()]})
+
+    kinds = dict(known.dtypes)
+    parts = known.mapInPandas(partial, ", ".join(f"{n} {kinds[n]}" for n in names) + ", g array<double>")
+    cells = parts.select(*names, F.posexplode("g").alias("i", "x")).groupBy(*names, "i").agg(F.sum("x").alias("x"))
+    whole = cells.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))  # p x p entries per group
+    return whole.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], F.transform("c", lambda c: c["x"]).alias("g"))
+
+
 def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
     """Coefficients [intercept, x...] from a Gram matrix; the intercept carries no penalty."""
     a = gram[:-1, :-1].copy()

@@ -282,10 +282,19 @@ def conformal_table(oof: DataFrame, pred: str, target: str, spread: str, levels:
     return q.join(z, keys.group).withColumns(scale).drop(*[f"z{name(x)}" for x in levels])
 
 
-def usage_to_points(train: DataFrame, test: DataFrame, usage: str, efficiency: Sequence[str], points: str = "fantasy_points", keys: Keys = KEYS) -> DataFrame:
+def quantile_intervals(train: DataFrame, test: DataFrame, pred: str, target: str, levels: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9), keys: Keys = KEYS) -> DataFrame:
+    """Quantiles of the outcome around a prediction: training residual quantiles of the position, kept in order and not below zero."""
+    name = lambda x: f"q{int(round(x * 100)):02d}"
+    q = quantiles(train.withColumn("_e", F.col(target) - F.col(pred)), [keys.group], "_e", {f"_{name(x)}": x for x in levels}).drop("n")
+    out = test.join(q, keys.group, "left")
+    return out.withColumns({name(x): F.greatest(F.col(pred) + F.col(f"_{name(x)}"), F.lit(0.0)) for x in levels}).drop(*[f"_{name(x)}" for x in levels])
+
+
+def usage_to_points(train: DataFrame, test: DataFrame, usage: str, efficiency: Sequence[str], points: str = "fantasy_points",
+                    positions: Sequence[str] = tuple(C.POSITIONS), keys: Keys = KEYS, **params) -> DataFrame:
     """Points from a usage score and efficiency: boosted trees, then a line through the training predictions."""
     cols = [usage, *efficiency]
-    models = fit_pipelines(train, cols, points, "boosted", keys=keys)
+    models = fit_pipelines(train, cols, points, "boosted", positions, keys=keys, **params)
     fitted = apply_pipelines(models, train.where(F.col(points).isNotNull()), "_raw_fp", keys)
     lines = fit_positions(fitted, ["_raw_fp"], points, 0.0, keys)
     return predict_positions(apply_pipelines(models, test, "_raw_fp", keys), ["_raw_fp"], lines, "predicted_points", keys).drop("_raw_fp")

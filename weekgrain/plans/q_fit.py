@@ -268,11 +268,14 @@ def _(t):
 def _(t):
     p = W.base_features(t.panel).withColumn("snap_count", F.col("snap_count").cast("double")).where(F.col("position").isin("RB", "WR"))
     train, test = p.where((F.col("season") >= 1998) & (F.col("season") < 2000)), p.where(F.col("season") == 2000)
-    cols = ["snap_count", "catch_rate"]
-    models = M.fit_pipelines(train, cols, "fantasy_points", "boosted", ["RB", "WR"], maxIter=5)
-    fitted = M.apply_pipelines(models, train, "_raw")
-    lines = M.fit_positions(fitted, ["_raw"], "fantasy_points", 0.0)
-    return E.regression_metrics(M.predict_positions(M.apply_pipelines(models, test, "_raw"), ["_raw"], lines), ["position"])
+    out = M.usage_to_points(train, test, "snap_count", ["catch_rate"], positions=["RB", "WR"], maxIter=5)
+    return E.regression_metrics(out, ["position"])
+
+
+@query("M06_quantile_intervals", f"""WITH q AS (SELECT {P4},""" + ",".join(f"quantile_cont(fantasy_points-predicted_points,{x / 100}) AS e{x}" for x in (10, 25, 50, 75, 90)) + f""" FROM preds WHERE season<2000 GROUP BY {P4}) SELECT player_id,season,"week",""" + ",".join(f"greatest(0,predicted_points+e{x}) AS q{x}" for x in (10, 25, 50, 75, 90)) + f" FROM preds JOIN q USING ({P4}) WHERE season>=2000", "q10 q25 q50 q75 q90", "preds")
+def _(t):
+    p = t.predictions
+    return M.quantile_intervals(p.where(F.col("season") < 2000), p.where(F.col("season") >= 2000), "predicted_points", "fantasy_points").select(*ID, "q10", "q25", "q50", "q75", "q90")
 
 
 @query("M07_injury_classifier")
