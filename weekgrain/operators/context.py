@@ -375,6 +375,7 @@ def comparable_rookies(rookies: DataFrame, history: DataFrame, k: int = 5, keys:
     Similarity is 0.7 draft slot + 0.3 combine score. The draft has a fixed number of slots, and
     inside a slot only the k nearest combine scores on either side can win, so each profile meets
     at most slots x 2k candidates instead of every historical rookie of its position.
+    Combine scores have one decimal (as :func:`combine_scores` gives them), so a slot holds at most 1,001.
     ``history``: position, draft_round, draft_pick, combine_score, name, season, ppg, games.
     """
     pos = keys.group

@@ -292,20 +292,21 @@ def fit_utilization_weights(train: DataFrame, target: str, alpha: float | None =
                             alphas: Sequence[float] = (0.1, 0.5, 1.0, 2.0, 5.0), folds: int = 3, keys: Keys = KEYS) -> dict[str, dict[str, float]]:
     """Non-negative component weights per position, penalty chosen on the last seasons unless given.
 
-    Per position one scan collects Gram matrices by season; folds and penalties reuse their sums.
+    One scan collects the moments of all components by position and season; positions, folds and
+    penalties read blocks and sums of them.
     """
+    cols = sorted({c for comp in C.COMPONENT_COLUMNS.values() for c in comp.values()})
+    held = train.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(c), F.lit(0.0)))) for c in cols}
+                             | {target: F.when(F.col(target) >= 0, F.col(target))})
+    every = gram_by(held, [keys.group, keys.season], cols, target)
     out = {}
     for pos, comp in C.COMPONENT_COLUMNS.items():
-        names, cols = list(comp), list(comp.values())
-        held = train.where(F.col(keys.group) == pos).withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(c), F.lit(0.0)))) for c in cols})
-        held = held.withColumn(target, F.when(F.col(target) >= 0, F.col(target)))
-        grams = gram_by(held, [keys.season], cols, target)
-        solve = lambda g, a: _normal_weights(g, a)
-        chosen = alpha if alpha is not None else _best_alpha(grams, alphas, folds, solve)
+        block = np.ix_(*[[0, *[1 + cols.index(c) for c in comp.values()], len(cols) + 1]] * 2)
+        grams = Grams(list(comp.values()), {k[1:]: g[block] for k, g in every.table.items() if k[0] == pos})
+        chosen = alpha if alpha is not None else _best_alpha(grams, alphas, folds, _normal_weights)
         full = grams.total(lambda k: True)
-        default = C.UTILIZATION_WEIGHTS[pos]
-        w = solve(full, chosen) if full[0, 0] >= min_rows else None
-        out[pos] = dict(default) if w is None else with_floor(dict(zip(names, w)), CORE[pos])
+        w = _normal_weights(full, chosen) if full[0, 0] >= min_rows else None
+        out[pos] = dict(C.UTILIZATION_WEIGHTS[pos]) if w is None else with_floor(dict(zip(comp, w)), CORE[pos])
     return out
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -227,8 +228,12 @@ def regressor(kind: str, target: str, weight: str | None = None, **params):
 def fit_pipelines(train: DataFrame, columns: Sequence[str], target: str, kind: str = "forest", positions: Sequence[str] = tuple(C.POSITIONS),
                   weight: str | None = None, keys: Keys = KEYS, **params) -> dict[str, PipelineModel]:
     """One pipeline per position (target and horizon are the caller's). Columns must be doubles."""
-    known = train.where(F.col(target).isNotNull())
-    return {p: Pipeline(stages=[*prepared(columns), regressor(kind, target, weight, **params)]).fit(known.where(F.col(keys.group) == p)) for p in positions}
+    used = [keys.group, *columns, target, *([weight] if weight else [])]
+    known = train.where(F.col(target).isNotNull()).select(*used).persist(StorageLevel.MEMORY_AND_DISK)  # read by every stage of every position
+    try:
+        return {p: Pipeline(stages=[*prepared(columns), regressor(kind, target, weight, **params)]).fit(known.where(F.col(keys.group) == p)) for p in positions}
+    finally:
+        known.unpersist()
 
 
 def apply_pipelines(models: Mapping[str, PipelineModel], df: DataFrame, out: str = "predicted_points", keys: Keys = KEYS) -> DataFrame:
