@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekgrain.functions import calendar as CAL
-from weekgrain.keys import KEYS
+from weekgrain.keys import KEYS, Keys
 from weekgrain.operators import context as CX
 from weekgrain.operators import evaluate as E
 from weekgrain.operators import features as W
@@ -139,3 +139,35 @@ def test_unique_key_keeps_grain(panel):
     for op in ("rolling_means", "regression_to_mean", "schedule_strength", "defense_matchup"):
         out = OPERATORS[op](panel)
         assert out.count() == panel.count() == out.select(*KEYS.grain).distinct().count()
+
+
+# --- other key names -------------------------------------------------------------------------
+NAMES = {"player_id": "sku", "season": "yr", "week": "mo", "position": "segment", "team": "store", "opponent": "rival"}
+OTHER = Keys(entity="sku", season="yr", week="mo", group="segment", team="store", opponent="rival")
+GENERIC = {
+    "rolling_means": lambda p, k: W.rolling_means(p, ["fantasy_points"], [3], k),
+    "ewm": lambda p, k: W.ewm_means(p, ["fantasy_points"], [3], k),
+    "regression_to_mean": lambda p, k: W.regression_to_mean(p, keys=k),
+    "momentum": lambda p, k: W.rest_features(W.boom_bust_rates(p, keys=k), k),
+    "outliers": lambda p, k: W.outlier_flags(p, ["fantasy_points"], keys=k),
+    "risk_adjusted": lambda p, k: W.risk_adjusted(W.volatility(p, keys=k), keys=k),
+    "schedule_strength": lambda p, k: CX.schedule_strength(p, 3, keys=k),
+    "defense_matchup": lambda p, k: CX.with_opponent_matchup(p, CX.defense_vs_position(p, k), k),
+    "expected_games": lambda p, k: CX.expected_games(p, 5, keys=k),
+    "adp": lambda p, k: CX.adp_features(p, k),
+    "targets": lambda p, k: TG.horizon_targets(p, keys=k),
+    "baselines": lambda p, k: E.with_baselines(p, keys=k),
+}
+
+
+@pytest.mark.parametrize("name", GENERIC)
+def test_operators_run_on_other_key_names(panel, name):
+    renamed = panel
+    for a, b in NAMES.items():
+        renamed = renamed.withColumnRenamed(a, b)
+    back = GENERIC[name](renamed, OTHER)
+    for a, b in NAMES.items():
+        back = back.withColumnRenamed(b, a)
+    plain = GENERIC[name](panel, KEYS)
+    norm = lambda df: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(plain.columns)).orderBy("player_id", "season", "week").collect()]
+    assert norm(back) == norm(plain)

@@ -182,9 +182,9 @@ def expanding_quantile(df: DataFrame, period: list[str], value: str, q: float, o
 
 
 def melt(df: DataFrame, ids: list[str], columns: list[str], name: str = "component", value: str = "value") -> DataFrame:
-    """Long form of several numeric columns, so that one ladder serves them all."""
+    """Long form of the known values of several numeric columns, so that one ladder serves them all."""
     pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
-    return df.select(*ids, F.explode(pairs).alias("_p")).select(*ids, f"_p.{name}", f"_p.{value}")
+    return df.select(*ids, F.explode(F.filter(pairs, lambda p: p[value].isNotNull())).alias("_p")).select(*ids, f"_p.{name}", f"_p.{value}")
 
 
 def first_rows(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
