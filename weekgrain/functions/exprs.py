@@ -21,9 +21,14 @@ def clip(x: Column, lo=None, hi=None) -> Column:
 
 
 def safe_divide(n: Column, d: Column, default: float = 0.0) -> Column:
-    d = d.cast("double")
-    q = n.cast("double") / d
-    return F.when(d.isNull() | (d == 0) | n.isNull() | F.isnan(q), F.lit(float(default))).otherwise(q)
+    """n / d, and the default where that is undefined. Each operand appears once, so ratios of ratios stay small."""
+    q = F.coalesce(F.try_divide(n.cast("double"), d.cast("double")), F.lit(float(default)))
+    return F.nanvl(q, F.lit(float(default)))
+
+
+def held(x: Column, lo: float, hi: float) -> Column:
+    """Bounds for an expression that is never null."""
+    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
 def zero(c: str | Column) -> Column:

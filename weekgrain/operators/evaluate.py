@@ -17,7 +17,7 @@ from weekgrain import config as C
 from weekgrain.functions.exprs import at_least, lookup
 from weekgrain.functions.order_stats import first_rows, quantiles, value_ladder, with_ranks
 from weekgrain.functions.windows import prior_mean
-from weekgrain.keys import KEYS, Keys
+from weekgrain.keys import KEYS, Keys, settled
 
 ACTUAL, PRED = "fantasy_points", "predicted_points"
 
@@ -188,8 +188,8 @@ def conformal_intervals(df: DataFrame, confidence: float = 0.8, actual: str = AC
     placed = with_ranks(order, [([keys.group], "_ord", "_rn", "min", True)])
     size = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).groupBy(keys.group).agg(F.count(F.lit(1)).alias("_n"))
     take = F.greatest(F.floor(F.col("_n") / 2), F.least(F.col("_n"), F.lit(10)))
-    cal = placed.join(size, keys.group).where(F.col("_rn") <= take).withColumn("_e", F.col(actual) - F.col(pred))
-    q = quantiles(cal, [keys.group], "_e", {"_lo": (1 - confidence) / 2, "_hi": 1 - (1 - confidence) / 2})
+    cal = placed.join(size, keys.group).where(F.col("_rn") <= take).select(keys.group, (F.col(actual) - F.col(pred)).alias("_e"))
+    q = quantiles(settled(cal), [keys.group], "_e", {"_lo": (1 - confidence) / 2, "_hi": 1 - (1 - confidence) / 2})
     q = q.select(keys.group, (F.col("_lo") * widen_factor(F.col("n"))).alias("_lo"), (F.col("_hi") * widen_factor(F.col("n"))).alias("_hi"))
     out = df.join(q, keys.group, "left")
     return out.withColumns({"ci_lower": F.greatest(F.col(pred) + F.col("_lo"), F.lit(0.0)), "ci_upper": F.col(pred) + F.col("_hi")}).drop("_lo", "_hi")

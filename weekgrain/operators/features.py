@@ -16,7 +16,7 @@ from weekgrain.functions.exprs import clip, lookup, passer_rating, safe_divide,
 from weekgrain.functions.order_stats import expanding_quantile, quantiles
 from weekgrain.functions.windows import (UNB, gated, prior, prior_mean, prior_slope, prior_std, prior_sum,
                                          with_causal_stats, with_prior_ewm)
-from weekgrain.keys import KEYS, Keys
+from weekgrain.keys import KEYS, Keys, settled
 
 FP = "fantasy_points"
 
@@ -423,7 +423,7 @@ def fit_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     clean = train.select(*[F.when(~_unusable(c), F.col(c)).alias(c) for c in columns])
     med = quantiles(melt(clean, [], columns), ["component"], "value", {"fill": 0.5})
     rates = missing_rates(train, columns).withColumnRenamed("column", "component")
-    return rates.join(med.select("component", "fill"), "component", "left").withColumn("fill", F.coalesce("fill", F.lit(0.0)))
+    return settled(rates.join(med.select("component", "fill"), "component", "left").withColumn("fill", F.coalesce("fill", F.lit(0.0))))
 
 
 def impute(df: DataFrame, medians: DataFrame, columns: Sequence[str], indicator_above: float = 0.02) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weekgrain import config as C
 from weekgrain.functions.exprs import clip, lookup, safe_divide
 from weekgrain.functions.order_stats import melt, quantiles, value_ladder
-from weekgrain.keys import KEYS, Keys
+from weekgrain.keys import KEYS, Keys, settled
 
 
 # --- bounds and scaling ----------------------------------------------------------------
@@ -46,7 +46,7 @@ def fit_bounded(train: DataFrame) -> DataFrame:
     q = quantiles(long, ["component"], "value", {"p01": 0.01, "p99": 0.99})
     lim = long.groupBy("component").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     ok = (F.col("n") >= 3) & (F.col("p01") >= -1e-6) & (F.col("p99") <= 100.5)
-    return q.where(ok).join(lim, "component").select("component", "lo", "hi")
+    return settled(q.where(ok).join(lim, "component").select("component", "lo", "hi"))
 
 
 def apply_minmax(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataFrame:

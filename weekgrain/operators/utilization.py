@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekgrain import config as C
-from weekgrain.functions.exprs import clip, safe_divide, zero
+from weekgrain.functions.exprs import clip, held, safe_divide, zero
 from weekgrain.functions.order_stats import melt, quantiles, with_rank
-from weekgrain.keys import KEYS, Keys
+from weekgrain.keys import KEYS, Keys, settled
 
 # fixed values: summed column -> name of the team total
 TEAM_TOTALS = {"targets": "team_targets", "receptions": "team_receptions", "rushing_attempts": "team_rush_attempts",
@@ -29,7 +29,7 @@ def with_team_totals(panel: DataFrame, keys: Keys = KEYS) -> DataFrame:
 
 def high_value_touch_rate(panel: DataFrame) -> DataFrame:
     n = zero("rush_inside_10") + zero("targets_15_plus")
-    return panel.withColumn("high_value_touch_rate", clip(safe_divide(n, zero("rushing_attempts") + zero("targets")) * 100, 0.0, 100.0))
+    return panel.withColumn("high_value_touch_rate", held(safe_divide(n, zero("rushing_attempts") + zero("targets")) * 100, 0.0, 100.0))
 
 
 def components(panel: DataFrame) -> DataFrame:
@@ -38,22 +38,24 @@ def components(panel: DataFrame) -> DataFrame:
     pct = lambda n, d: safe_divide(n, d) * 100
     qb_plays = c("passing_attempts") + c("rushing_attempts")
     tds = lambda *cols: sum((zero(x) for x in cols), F.lit(0))
-    snap, target = pct(c("snap_count"), c("team_snaps")), pct(c("targets"), c("team_targets"))
+    # a projection of their own, so that the columns below read the two shares instead of repeating them
+    panel = panel.withColumns({"_snap": pct(c("snap_count"), c("team_snaps")), "_target": pct(c("targets"), c("team_targets"))})
+    snap, target = c("_snap"), c("_target")
     return panel.withColumns({
         "snap_share_pct": F.when(pos != "QB", snap),
         "target_share_pct": F.when(pos != "QB", target),
         "rush_share_pct": F.when(pos == "RB", pct(c("rushing_attempts"), c("team_rush_attempts")))
         .when(pos == "QB", pct(c("rushing_attempts"), c("rushing_attempts") + 5)),
-        "redzone_share_pct": F.when(pos == "RB", clip(tds("rushing_tds", "receiving_tds") * 10.0, 0.0, 100.0)),
+        "redzone_share_pct": F.when(pos == "RB", held(tds("rushing_tds", "receiving_tds") * 10.0, 0.0, 100.0)),
         "touch_share_pct": F.when(pos == "RB", pct(c("rushing_attempts") + c("receptions"), c("team_rush_attempts") + c("team_receptions"))),
         "air_yards_share_pct": F.when(pos.isin("WR", "TE"), pct(c("air_yards"), c("team_air_yards"))),
-        "redzone_targets_pct": F.when(pos.isin("WR", "TE"), clip(safe_divide(c("redzone_targets"), c("team_redzone_targets")), 0.0, 1.0) * 100),
-        "route_participation_pct": F.when(pos == "WR", clip(snap * 0.8, 0.0, 100.0)),
-        "inline_rate_pct": F.when(pos == "TE", clip(100 - safe_divide(snap, target + 1) * 10, 0.0, 100.0)),
+        "redzone_targets_pct": F.when(pos.isin("WR", "TE"), held(safe_divide(c("redzone_targets"), c("team_redzone_targets")), 0.0, 1.0) * 100),
+        "route_participation_pct": F.when(pos == "WR", held(snap * 0.8, 0.0, 100.0)),
+        "inline_rate_pct": F.when(pos == "TE", held(100 - safe_divide(snap, target + 1) * 10, 0.0, 100.0)),
         "dropback_rate_pct": F.when(pos == "QB", pct(c("passing_attempts"), qb_plays)),
-        "redzone_opp_pct": F.when(pos == "QB", clip(tds("passing_tds", "rushing_tds") * 12.0, 0.0, 100.0)),
-        "play_volume_pct": F.when(pos == "QB", clip(qb_plays / 50.0 * 100, 0.0, 100.0)),
-    })
+        "redzone_opp_pct": F.when(pos == "QB", held(tds("passing_tds", "rushing_tds") * 12.0, 0.0, 100.0)),
+        "play_volume_pct": F.when(pos == "QB", held(qb_plays / 50.0 * 100, 0.0, 100.0)),
+    }).drop("_snap", "_target")
 
 
 COMPONENTS = sorted({col for cols in C.COMPONENT_COLUMNS.values() for col in cols.values()})
@@ -63,8 +65,8 @@ def fit_bounds(train: DataFrame, columns: Sequence[str] = COMPONENTS, low: float
                minimum: int = 10, keys: Keys = KEYS) -> DataFrame:
     """Rows (position, component, lo, hi, n) from train rows: exact percentiles, one ladder for all components."""
     long = melt(train, [keys.group], columns)
-    return (quantiles(long, [keys.group, "component"], "value", {"lo": low, "hi": high})
-            .where(F.col("n") >= minimum))
+    fitted = quantiles(long, [keys.group, "component"], "value", {"lo": low, "hi": high}).where(F.col("n") >= minimum)
+    return settled(fitted)  # a fit is done once; applying it must not run it again
 
 
 def save_bounds(bounds: DataFrame, path: str, seasons: Sequence[int]) -> None:
