@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -74,19 +73,30 @@ def unique_on(df: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(df.columns)
 
 
+def _base_dir(spark) -> str:
+    """The shared folder of the session; a local one only where the master is local and none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse").rstrip("/")
+    return f"{warehouse}-work"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Cuts a deep plan at a block boundary with a reliable checkpoint.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a fresh local one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset, a
+    local master checkpoints beside its warehouse and any other master is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weekgrain-"))
+        sc.setCheckpointDir(_base_dir(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_dir(spark, name: str) -> str:
     """A fresh folder for written tables, beside the checkpoints (see :func:`settled`)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weekgrain-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_base_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
