@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekgrain.llm import fingerprint, license_scan, rans_store, url_filter
+from weekgrain.llm import fingerprint, license_scan, ngram_join, quality, rans_store, toxicity, url_filter
 from weekgrain.llm.common import table
 
 
@@ -28,11 +28,23 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op3_url_rules, op4_license_scan, op9_fingerprints)
+    f.__name__: f for f in (op1_token_store, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op9_fingerprints, op10_quality)
 }
 SQL: dict[str, str] = {"op3_url_rules": url_filter.sql()}
