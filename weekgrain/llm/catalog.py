@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekgrain.llm import fingerprint, license_scan, ngram_join, quality, rans_store, toxicity, url_filter
+from weekgrain.llm import decontamination, fingerprint, license_scan, ngram_join, quality, rans_store, repeats, toxicity, url_filter
 from weekgrain.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_store.store_documents(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+    return found.select("doc_id", "contaminated", "coverage", "item_id", "item_ids")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -36,6 +41,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), length=200)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -45,6 +54,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op9_fingerprints, op10_quality)
+    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op9_fingerprints, op10_quality)
 }
 SQL: dict[str, str] = {"op3_url_rules": url_filter.sql()}

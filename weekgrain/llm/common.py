@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekgrain.keys import shared_dir
 
@@ -133,3 +134,40 @@ def word_spans(data: np.ndarray, borders: np.ndarray, separator: np.ndarray) ->
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+MEMBER_BITS = 1 << 23
+
+
+def member_bits(ids: DataFrame, column: str = "doc_id") -> bytes:
+    """A bit map of MEMBER_BITS hashed ids, of one size whatever the number of ids.
+
+    It keeps rows that surely have no partner out of a shuffle; those that pass by chance find none in the join that follows.
+    """
+    chunk = 1 << 12
+    slots = ids.select(F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int").alias("s")).distinct()
+
+    def pack(key, rows):
+        bits = np.zeros(chunk, bool)
+        bits[np.array(rows.column("s")) % chunk] = True
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    packed = slots.withColumn("chunk", (F.col("s") / chunk).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect()
+    out = np.zeros((MEMBER_BITS // chunk, chunk // 8), np.uint8)
+    for r in packed:
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def may_be_member(df: DataFrame, bits: bytes, column: str = "doc_id", keep: bool = True) -> DataFrame:
+    """Rows whose id may be (or, with ``keep`` false, surely is not) among the ids of :func:`member_bits`."""
+    names = df.columns
+
+    def pick(batches):
+        mine = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        for b in batches:
+            got = mine[np.array(b.column(len(names)))]
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(pa.array(got if keep else ~got))
+
+    slot = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int").alias("_slot")
+    return df.select(*names, slot).mapInArrow(pick, df.schema)
