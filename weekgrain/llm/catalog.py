@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekgrain.llm import decontamination, fingerprint, license_scan, ngram_join, quality, rans_store, repeats, toxicity, url_filter
+from weekgrain.llm import decontamination, fingerprint, license_scan, ngram_join, piece_sampling, quality, rans_store, repeats, toxicity, url_filter
 from weekgrain.llm.common import table
 
 
@@ -45,6 +46,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"), length=200)
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text and sample: sample 0 has the best perturbed value."""
+    found = piece_sampling.sampled(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), k=2, seed=1, with_ids=False)
+    return found.select("doc_id", "n_samples", F.posexplode_outer("samples").alias("sample", "s")).select("doc_id", "n_samples", "sample", "s.*")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,6 +61,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op9_fingerprints, op10_quality)
+    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op8_pieces, op9_fingerprints, op10_quality)
 }
 SQL: dict[str, str] = {"op3_url_rules": url_filter.sql()}

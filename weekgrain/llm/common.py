@@ -171,3 +171,10 @@ def may_be_member(df: DataFrame, bits: bytes, column: str = "doc_id", keep: bool
 
     slot = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int").alias("_slot")
     return df.select(*names, slot).mapInArrow(pick, df.schema)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids``; only rows that may be in it are shuffled."""
+    bits = member_bits(ids, column)
+    maybe = may_be_member(docs, bits, column).join(ids.select(column).distinct(), column, "left_anti").select(docs.columns)
+    return may_be_member(docs, bits, column, keep=False).unionByName(maybe)
