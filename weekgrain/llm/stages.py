@@ -10,12 +10,16 @@ from weekgrain.llm import decontamination, ngram_join, piece_sampling, quality,
 from weekgrain.llm.common import member_bits, may_be_member, table, without_ids
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but doc_id and text under names that no operator adds, and the way back."""
+    names = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select([F.col(c).alias(n) for c, n in names.items()]), names
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the texts that the quality classifier takes for good."""
-    mine = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])  # the caller's columns may have any name
-    text = f"c{docs.columns.index('text')}"
-    scored = quality.scored(mine, quality.fit(docs.select("text")), text=text)
-    return scored.where("keep").select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    mine, names = numbered(docs)
+    return quality.classified(mine).where("keep").select([F.col(n).alias(c) for c, n in names.items()])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,23 +33,26 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 200) -> DataFrame:
     """Cuts all strings of 200 bytes that stand anywhere else as well; what is left of a character at a cut goes too. n_chars follows the text."""
-    cut = repeats.without_repeats(docs, length)
-    names = docs.columns
+    mine, back = numbered(docs)
+    cut = repeats.without_repeats(mine, length)
+    names = mine.columns
+    at = names.index("text")
 
     def as_text(batches):
         for b in batches:
-            text = pa.array([None if n is None else k.decode("utf-8", "ignore") for n, k in zip(b.column(names.index("text")).is_valid().to_pylist(), b.column(len(names)).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else b.column(i) for i, c in enumerate(names)], names)
+            known, left = b.column(at).is_valid().to_pylist(), b.column(len(names)).to_pylist()
+            text = pa.array([k.decode("utf-8", "ignore") if ok else None for ok, k in zip(known, left)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names)
 
-    out = cut.select(*names, "kept").mapInArrow(as_text, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = cut.select(*names, "kept").mapInArrow(as_text, mine.schema).select([F.col(n).alias(c) for c, n in back.items()])
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that cover a benchmark item by 0.8 or more."""
-    names = docs.columns
-    found = decontamination.judged(docs.select(names), table(spark, sf_dir, "benchmark"), threshold=0.8)
-    return found.where("not contaminated").select(names)
+    mine, names = numbered(docs)
+    found = decontamination.judged(mine, table(spark, sf_dir, "benchmark"), threshold=0.8)
+    return found.where("not contaminated").select([F.col(n).alias(c) for c, n in names.items()])
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
