@@ -171,3 +171,17 @@ def test_operators_run_on_other_key_names(panel, name):
     plain = GENERIC[name](panel, KEYS)
     norm = lambda df: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(sorted(plain.columns)).orderBy("player_id", "season", "week").collect()]
     assert norm(back) == norm(plain)
+
+
+def test_group_stats_keep_digits_at_a_high_level(spark):
+    """Values near 1e8 with a spread of 1: running std equals the direct one."""
+    from pyspark.sql import functions as F
+
+    from weekgrain.functions.windows import causal_group_stats
+
+    rows = [("a", 2000, w, float(1e8 + (7 * w + i) % 4)) for w in range(1, 9) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, season int, week int, x double")
+    got = {r.week: r for r in causal_group_stats(df, {"x": "x"}, ["g"]).collect()}
+    for w in range(2, 9):
+        want = df.where(F.col("week") < w).agg(F.stddev_samp("x").alias("s"), F.avg("x").alias("m")).first()
+        assert abs(got[w].x_std - want.s) < 1e-6 and abs(got[w].x_mean - want.m) < 1e-6

@@ -93,3 +93,46 @@ def test_stream_equals_batch_over_several_files(spark):
     got = spark.read.parquet(f"{root}/out").groupBy("season", "week", "player_id").agg(F.sum("plays"), F.sum("yards"), F.sum("touchdowns"))
     want = plays.groupBy("season", "week", F.col("p").alias("player_id")).agg(F.count("*"), F.sum("yards"), F.sum("touchdown"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("files,per_batch", [(1, 1), (10, 1), (10, 3)])
+def test_shares_lose_nothing_in_any_order(spark, files, per_batch):
+    """400 days of plays in random order over files: one file or many, one batch or many, read once or again."""
+    root = shared_dir(spark, "shares")
+    plays = spark.range(800).select((F.col("id") % 5).alias("p"), F.lit(2023).alias("season"), (F.col("id") % 3 + 1).cast("int").alias("week"), (F.col("id") % 7).cast("double").alias("yards"),
+                                    (F.col("id") % 11 == 0).cast("int").alias("touchdown"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 43_200).alias("ts"))
+    for i in range(files):
+        plays.where(F.pmod(F.xxhash64("ts"), F.lit(files)) == (i * 7) % files).coalesce(1).write.parquet(f"{root}/in/{i}")
+    stream = lambda: T.with_origin(spark.readStream.schema(plays.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_batch).parquet(f"{root}/in"))
+    for k in range(2):  # a lost checkpoint
+        q = T.share_sink(stream(), f"{root}/out", f"{root}/cp{k}", lambda b: T.player_week_shares(b, "p"))
+        q.awaitTermination()
+        assert q.exception() is None
+    got = T.merged_sums(spark.read.parquet(f"{root}/out"), GRAIN, ["plays", "yards", "touchdowns"])
+    want = plays.groupBy("season", "week", F.col("p").alias("player_id")).agg(F.count("*").alias("plays"), F.sum("yards").alias("yards"), F.sum("touchdown").alias("touchdowns"))
+    cols = [*GRAIN, "plays", "yards", "touchdowns"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_monitor_moments_merge_at_a_high_level(spark):
+    rows = [(f"f{i % 3}", "2024-01-01 00:00:00", 1e8 + i % 5, 1e8 + i % 7) for i in range(90)]
+    e = spark.createDataFrame(rows, "origin string, ts string, pred double, actual double").withColumn("ts", F.to_timestamp("ts"))
+    got = T.merged_monitor(T.monitor_shares(e)).first()
+    want = e.agg(F.stddev_pop("pred").alias("s"), F.sqrt(F.avg((F.col("actual") - F.col("pred")) ** 2)).alias("r")).first()
+    assert abs(got.std_prediction - want.s) < 1e-6 and abs(got.rmse - want.r) < 1e-6
+
+
+def test_last_update_of_a_key_wins(spark):
+    path = shared_dir(spark, "dup")
+    base = spark.createDataFrame([(1, 2000, 1, 1.0), (2, 2000, 1, 2.0)], "player_id long, season int, week int, x double")
+    S.overwrite_partitions(base, path)
+    up = spark.createDataFrame([(1, 2000, 1, 5.0, 1), (1, 2000, 1, 4.0, 2)], "player_id long, season int, week int, x double, at int")
+    S.upsert_table(spark, path, up, GRAIN, shared_dir(spark, "s"), order="at")
+    out = sorted((r.player_id, r.x) for r in spark.read.parquet(path).collect())
+    assert out == [(1, 4.0), (2, 2.0)]
+    assert [r.x for r in S.inserted(base, up.withColumn("player_id", F.lit(9).cast("long")), GRAIN, "at").collect()] == [4.0]
+
+
+def test_first_write_that_died_is_no_table(spark, tmp_path):
+    (tmp_path / "t" / "_temporary").mkdir(parents=True)
+    assert not T._exists(spark, str(tmp_path / "t")) and not T._exists(spark, str(tmp_path / "none"))

@@ -99,20 +99,25 @@ def causal_group_stats(df: DataFrame, columns: Mapping[str, str], groups: list[s
     aggs = []
     for c, p in columns.items():
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{p}_n0"), F.sum(x).alias(f"{p}_s0"), F.sum(x * x).alias(f"{p}_q0"), F.min(x).alias(f"{p}_l0"), F.max(x).alias(f"{p}_h0")]
+        aggs += [F.count(x).alias(f"{p}_n0"), F.avg(x).alias(f"{p}_a0"), F.var_pop(x).alias(f"{p}_v0"), F.min(x).alias(f"{p}_l0"), F.max(x).alias(f"{p}_h0")]
     per_period = df.groupBy(*groups, *keys.period).agg(*aggs)
     # without a group the table has one row per period of the calendar
-    w = prior(Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*keys.period))
+    whole = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(*keys.period)
+    w = prior(whole)
+    # moments about the group's first mean, so that a large common level does not cancel digits
+    around = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shifted = per_period.withColumns({f"{p}_c": F.first(f"{p}_a0", ignorenulls=True).over(around) for p in columns.values()})
     run = {}
     for p in columns.values():
-        run |= {f"{p}_n": F.coalesce(F.sum(f"{p}_n0").over(w), F.lit(0)), f"{p}_s1": F.sum(f"{p}_s0").over(w), f"{p}_q1": F.sum(f"{p}_q0").over(w),
-                f"{p}_min": F.min(f"{p}_l0").over(w), f"{p}_max": F.max(f"{p}_h0").over(w)}
-    out = per_period.select(*groups, *keys.period, *[c.alias(n) for n, c in run.items()])
+        n0, d = F.col(f"{p}_n0"), F.col(f"{p}_a0") - F.col(f"{p}_c")
+        run |= {f"{p}_n": F.coalesce(F.sum(n0).over(w), F.lit(0)), f"{p}_s1": F.sum(n0 * d).over(w), f"{p}_q1": F.sum(n0 * (F.col(f"{p}_v0") + d * d)).over(w),
+                f"{p}_c1": F.col(f"{p}_c"), f"{p}_min": F.min(f"{p}_l0").over(w), f"{p}_max": F.max(f"{p}_h0").over(w)}
+    out = shifted.select(*groups, *keys.period, *[c.alias(n) for n, c in run.items()])
     cols = []
     for p in columns.values():
         n, s, q = F.col(f"{p}_n"), F.col(f"{p}_s1"), F.col(f"{p}_q1")
         var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
-        cols += [f"{p}_n", f"{p}_min", f"{p}_max", F.when(n >= min_mean, s / n).alias(f"{p}_mean"), F.when(n >= min_std, F.sqrt(var)).alias(f"{p}_std")]
+        cols += [f"{p}_n", f"{p}_min", f"{p}_max", F.when(n >= min_mean, F.col(f"{p}_c1") + s / n).alias(f"{p}_mean"), F.when(n >= min_std, F.sqrt(var)).alias(f"{p}_std")]
     return out.select(*groups, *keys.period, *cols)
 
 

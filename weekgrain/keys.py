@@ -61,15 +61,15 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     return df.select([column(f) for f in schema.fields])
 
 
-def unique_on(df: DataFrame, keys: list[str], prefer: list[Column]) -> DataFrame:
-    """One row per key, the first by ``prefer``, as an aggregate with map-side combine.
+def unique_on(df: DataFrame, keys: list[str], prefer: list[Column], last: bool = False) -> DataFrame:
+    """One row per key, the first (or last) by ``prefer``, as an aggregate with map-side combine.
 
     ``min_by`` over the whole row keeps one candidate per key per task, so a key that
     repeats many times never gathers its copies in one place.
     """
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(prefer)])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    picked = df.groupBy(*keys).agg((F.max_by if last else F.min_by)(F.struct(*rest), order).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(df.columns)
 
 

@@ -200,31 +200,28 @@ def _run(q):
 
 @query("T01_running_player_weeks", """SELECT season,"week",rusher_player_id AS player_id,count(*) AS plays,sum(rushing_yards) AS yards,CAST(sum(touchdown) AS BIGINT) AS touchdowns FROM plays WHERE rusher_player_id IS NOT NULL GROUP BY ALL""", "yards", "plays")
 def _(t):
-    plays = t.as_plays(t.stream("lineitem")).withColumn("yards", F.col("rushing_yards"))
-    running = T.running_player_weeks(plays, "rusher_player_id").select(F.to_date("_day.start").alias("day"), *ID, "plays", "yards", "touchdowns")
+    plays = t.as_plays(T.with_origin(t.stream("lineitem")), "origin").withColumn("yards", F.col("rushing_yards"))
     root = shared_dir(t.spark, "running")
-    _run(T.upsert_sink(running, t.spark, f"{root}/table", ["day", *ID], f"{root}/checkpoint", f"{root}/staging"))
-    daily = t.spark.read.parquet(f"{root}/table")
-    return daily.groupBy(*ID).agg(F.sum("plays").alias("plays"), F.sum("yards").alias("yards"), F.sum("touchdowns").alias("touchdowns"))
+    _run(T.share_sink(plays, f"{root}/table", f"{root}/checkpoint", lambda b: T.player_week_shares(b, "rusher_player_id")))
+    return T.merged_sums(t.spark.read.parquet(f"{root}/table"), ID, ["plays", "yards", "touchdowns"])
 
 
 @query("T02_unique_plays", """SELECT game_id,play_id FROM plays GROUP BY ALL""", "", "plays")
 def _(t):
-    stream = T.unique_plays(t.as_plays(t.stream("lineitem")), delay="4000 days").select("game_id", "play_id")
+    plays = t.as_plays(T.with_origin(t.stream("lineitem")), "origin")
     root = shared_dir(t.spark, "unique")
-    _run(T.append_sink(stream, f"{root}/table", f"{root}/checkpoint"))
-    return t.spark.read.parquet(f"{root}/table")
+    _run(T.share_sink(plays, f"{root}/table", f"{root}/checkpoint", lambda b: b.select("origin", "game_id", "play_id").distinct()))
+    return t.spark.read.parquet(f"{root}/table").select("game_id", "play_id").distinct()
 
 
 @query("T03_idempotent_upsert", """SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",event_type,count(*) AS n,sum(value) AS total FROM events GROUP BY ALL""", "total")
 def _(t):
     root = shared_dir(t.spark, "idempotent")
-    counts = T.completed_windows(t.stream("events"), "ts", "1 day", "40 days", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum("value")})
-    out = counts.select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n", "total")
-    _run(T.upsert_sink(out, t.spark, f"{root}/table", ["day", "event_type"], f"{root}/c1", f"{root}/s1", partition="day"))
-    # the same input once more, as after a lost checkpoint
-    _run(T.upsert_sink(out, t.spark, f"{root}/table", ["day", "event_type"], f"{root}/c2", f"{root}/s2", partition="day"))
-    return t.spark.read.schema("event_type string, n long, total double, day string").parquet(f"{root}/table").select("day", "event_type", "n", "total")
+    per_day = lambda b: b.groupBy("origin", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    for run in (1, 2):  # the same input once more, as after a lost checkpoint
+        _run(T.share_sink(T.with_origin(t.stream("events")), f"{root}/table", f"{root}/checkpoint-{run}", per_day))
+    shares = t.spark.read.schema("day string, event_type string, n long, total double, origin string").parquet(f"{root}/table")
+    return T.merged_sums(shares, ["day", "event_type"], ["n", "total"])
 
 
 @query("T04_late_repair", """SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",count(*) AS n,sum(value) AS total FROM events GROUP BY ALL""", "total")
@@ -249,10 +246,8 @@ def _(t):
 @query("T05_prediction_monitor", """WITH e AS (SELECT ts,value AS actual,CASE WHEN event_id%20<>0 THEN value*0.9+1 END AS pred FROM events) SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",count(*) AS n,avg(CAST(pred IS NULL AS INT)) AS null_rate,avg(pred) AS mean_prediction,stddev_pop(pred) AS std_prediction,sqrt(avg(pow(actual-pred,2))) AS rmse,
  CAST(abs(avg(pred)-10)/10>0.05 AS INT) AS mean_alert,CAST((sqrt(avg(pow(actual-pred,2)))-1)/1>0.2 AS INT) AS rmse_alert FROM e GROUP BY ALL""", "null_rate mean_prediction std_prediction rmse")
 def _(t):
-    e = t.stream("events").select("ts", F.col("value").alias("actual"), F.when(F.col("event_id") % 20 != 0, F.col("value") * 0.9 + 1).alias("pred"))
-    m = T.monitor(e, delay="40 days", reference_mean=10.0, reference_rmse=1.0, mean_limit=0.05, rmse_limit=0.2)
-    m = m.withColumn("day", F.to_date("window_start").cast("string")).drop("window_start")
+    e = T.with_origin(t.stream("events")).select("origin", "ts", F.col("value").alias("actual"), F.when(F.col("event_id") % 20 != 0, F.col("value") * 0.9 + 1).alias("pred"))
     root = shared_dir(t.spark, "monitor")
-    _run(T.upsert_sink(m, t.spark, f"{root}/table", ["day"], f"{root}/checkpoint", f"{root}/staging", partition="day"))
-    out = t.spark.read.parquet(f"{root}/table")
-    return out.withColumn("day", F.col("day").cast("string")).select("day", "n", "null_rate", "mean_prediction", "std_prediction", "rmse", "mean_alert", "rmse_alert")
+    _run(T.share_sink(e, f"{root}/table", f"{root}/checkpoint", T.monitor_shares))
+    shares = t.spark.read.schema("day string, n long, known long, mean double, var double, errors long, mse double, origin string").parquet(f"{root}/table")
+    return T.merged_monitor(shares, reference_mean=10.0, reference_rmse=1.0, mean_limit=0.05, rmse_limit=0.2)

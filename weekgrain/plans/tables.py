@@ -82,7 +82,7 @@ class Tables:
         return zoned(df)
 
     @staticmethod
-    def as_plays(li: DataFrame) -> DataFrame:
+    def as_plays(li: DataFrame, *more: str) -> DataFrame:
         sup, part, order, ln = F.col("l_suppkey"), F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
         flag = F.col("l_returnflag")
         kind = (F.when(flag == "A", "pass").when(flag == "N", "run")
@@ -91,7 +91,7 @@ class Tables:
         season, week = F.year("l_shipdate"), F.month("l_shipdate")
         name = lambda who: F.concat(F.lit("P"), who.cast("string"))
         return li.select(
-            season.alias("season"), week.alias("week"),
+            *more, season.alias("season"), week.alias("week"),
             ((sup % 25) * 100 + (part % 25)).alias("game_id"), order.alias("play_id"),
             (ln % 4 + 1).alias("qtr"), (F.col("l_quantity").cast("int") % 4 + 1).alias("down"),
             kind.alias("play_type"), (sup % 25).alias("posteam"), (part % 25).alias("defteam"),

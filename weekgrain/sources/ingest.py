@@ -212,23 +212,30 @@ def missing_seasons(local: DataFrame, remote: DataFrame, keys: Keys = KEYS) -> D
 
 
 # --- writing ---------------------------------------------------------------------------------------------------
-def upserted(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target with the updates' keys replaced."""
-    return target.join(updates.select(*keys), list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
+def latest(updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key: the last by ``order``, and among equals (or without an order) the greatest by its other columns."""
+    rest = [c for c in updates.columns if c not in keys and c != order]
+    return unique_on(updates, list(keys), [F.struct(*([order] if order else []), *rest)], last=True)
 
 
-def inserted(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key the target lacks."""
-    return rows.join(target.select(*keys), list(keys), "left_anti")
+def upserted(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Target with the updates' keys replaced; of several updates for one key the last wins (see :func:`latest`)."""
+    return target.join(updates.select(*keys), list(keys), "left_anti").unionByName(latest(updates, keys, order), allowMissingColumns=True)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition: str = "season") -> None:
-    """Replaces only the partitions that occur in ``df``."""
-    (df.repartition(partition, *[c for c in ("player_id",) if c in df.columns]).write.mode("overwrite")
+def inserted(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows whose key the target lacks, one per key."""
+    return latest(rows.join(target.select(*keys), list(keys), "left_anti"), keys, order)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition: str = "season", files: int = 8) -> None:
+    """Replaces only the partitions that occur in ``df``; each is written by up to ``files`` tasks, however many rows it has."""
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition]), F.lit(files))
+    (df.repartition(F.col(partition), spread).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
-def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], staging: str, partition: str = "season") -> None:
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], staging: str, partition: str = "season", order: str | None = None) -> None:
     """INSERT OR REPLACE into a partitioned parquet table.
 
     Touched partitions (a few seasons) are rebuilt from target and updates into a staging folder
@@ -239,7 +246,7 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: Seque
     fresh = spark.read.parquet(f"{staging}/updates")
     touched = [r[0] for r in fresh.select(partition).distinct().collect()]
     old = spark.read.parquet(path).where(F.col(partition).isin(touched))
-    upserted(old, fresh, keys).write.mode("overwrite").parquet(f"{staging}/merged")
+    upserted(old, fresh, keys, order).write.mode("overwrite").parquet(f"{staging}/merged")
     overwrite_partitions(spark.read.parquet(f"{staging}/merged"), path, partition)
 
 
