@@ -144,3 +144,35 @@ def test_ks_and_auc_against_brute_force(spark):
     assert np.isclose(r.ks_stat, want) and r.p_value < 0.01
     both = cur.withColumn("y", F.lit(1)).unionByName(ref.withColumn("y", F.lit(0)))
     assert np.isclose(E.ranking_auc(both, "y", "x").first().auc, np.mean([(x > z) + 0.5 * (x == z) for x in a for z in b]))
+
+
+def test_moment_rmse_at_a_high_level(spark):
+    """Values near 1e8: the RMSE from moments equals the one over rows."""
+    import numpy as np
+
+    from weekgrain.operators import fit as U
+    from weekgrain.operators import models as M
+
+    rng = np.random.default_rng(5)
+    x = 1e8 + rng.normal(size=400)
+    y = 1e8 + 2 * (x - 1e8) + rng.normal(size=400)
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y)] + [("none", 1.0, None)], "g string, x double, y double")
+    grams = U.gram_by(df, ["g"], ["x"], "y", centre=True)
+    assert list(grams.table) == [("a",)]  # a group without known targets is left out
+    beta = M.ridge_scaled(grams.table[("a",)], 1.0)
+    whole = grams.unshifted(beta)
+    direct = float(np.sqrt(np.mean((y - whole[0] - whole[1] * x) ** 2)))
+    assert abs(U.rmse(grams.table[("a",)], beta) - direct) < 1e-6
+
+
+def test_non_negative_solve_meets_its_optimality_conditions():
+    import numpy as np
+
+    from weekgrain.operators.fit import non_negative
+
+    rng = np.random.default_rng(2)
+    for p in (1, 4, 25):
+        a, b = rng.normal(size=(p + 10, p)), rng.normal(size=p + 10)
+        x = non_negative(a, b)
+        g = a.T @ (b - a @ x)
+        assert (x >= 0).all() and (g <= 1e-8).all() and abs(g @ x) < 1e-8

@@ -28,7 +28,7 @@ def metric_columns(a: Column, p: Column) -> dict[str, Column]:
     both = a.isNotNull() & p.isNotNull()
     a, p = F.when(both, a), F.when(both, p)
     e = a - p
-    n, sst = F.count(e), F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(e)
+    n, sst = F.count(e), F.var_pop(a) * F.count(e)
     within = {f"within_{k}_pct": F.avg((F.abs(e) <= k).cast("int")) * 100 for k in (3, 5, 7, 10)}
     return {
         "n": n, "rmse": F.sqrt(F.sum(e * e) / n), "mae": F.avg(F.abs(e)), "r2": F.when(sst > 0, 1 - F.sum(e * e) / sst),

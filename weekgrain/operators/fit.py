@@ -176,10 +176,15 @@ def draft_capital(rookies: DataFrame) -> DataFrame:
 
 # --- Gram matrices ------------------------------------------------------------------------------------
 class Grams:
-    """Additive second moments of [1, x..., y] per group: at most (groups x (p+2)^2) numbers on the driver."""
+    """Additive second moments of [1, x - shift..., y - shift] per group: at most (groups x (p+2)^2) numbers on the driver."""
 
-    def __init__(self, columns: Sequence[str], table: dict[tuple, np.ndarray]):
+    def __init__(self, columns: Sequence[str], table: dict[tuple, np.ndarray], shift: np.ndarray | None = None):
         self.columns, self.table = list(columns), table
+        self.shift = np.zeros(len(self.columns) + 1) if shift is None else shift
+
+    def unshifted(self, beta: np.ndarray) -> np.ndarray:
+        """Coefficients for the columns as they are, from those of a fit on these moments."""
+        return np.concatenate([[beta[0] + self.shift[-1] - beta[1:] @ self.shift[:-1]], beta[1:]])
 
     def total(self, where: Callable[[tuple], bool]) -> np.ndarray:
         p = len(self.columns) + 2
@@ -193,21 +198,34 @@ def gram_aggregates(columns: Sequence[str], target: str) -> list[Column]:
     return [F.sum(F.when(known, terms[i] * terms[j])).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
 
 
-def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str, wide: int = 24) -> Grams:
-    """One scan. The groups must be few (positions, seasons, weeks): their sums come to the driver."""
+def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str, wide: int = 0, centre: bool = False) -> Grams:
+    """One scan. The groups must be few (positions, seasons, weeks): their sums come to the driver.
+
+    Groups without a known target are left out. Up to ``wide`` columns the sums are plain aggregate expressions. With ``centre`` a scan before
+    finds one mean per column, about which all moments are taken, so that a large common level does not cancel digits.
+    """
+    shift = np.zeros(len(columns) + 1)
+    if centre:
+        known = df.where(F.col(target).isNotNull())
+        means = known.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns], F.avg(F.col(target).cast("double"))).first()
+        shift = np.array([m or 0.0 for m in means])
+        df = df.select(*groups, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - float(m)).alias(c) for c, m in zip(columns, shift)],
+                       (F.col(target).cast("double") - float(shift[-1])).alias("_target"))
+        target = "_target"
     rows = _wide_moments(df, groups, columns, target) if len(columns) > wide else df.groupBy(*groups).agg(*gram_aggregates(columns, target))
     p = len(columns) + 2
     table = {}
     for row in rows.collect():
         g = np.zeros((p, p))
         if len(columns) > wide:
-            g[:] = np.array(row["g"]).reshape(p, p)
+            g[:] = np.array(row["_gram"]).reshape(p, p)
         else:
             for i in range(p):
                 for j in range(i, p):
                     g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
-        table[tuple(row[x] for x in groups)] = g
-    return Grams(columns, table)
+        if g[0, 0] > 0:
+            table[tuple(row[x] for x in groups)] = g
+    return Grams(columns, table, shift)
 
 
 def _wide_moments(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str) -> DataFrame:
@@ -236,7 +254,7 @@ def _wide_moments(df: DataFrame, groups: Sequence[str], columns: Sequence[str],
     parts = known.mapInPandas(partial, ", ".join(f"{n} {kinds[n]}" for n in names) + ", g array<double>")
     cells = parts.select(*names, F.posexplode("g").alias("i", "x")).groupBy(*names, "i").agg(F.sum("x").alias("x"))
     whole = cells.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))  # p x p entries per group
-    return whole.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], F.transform("c", lambda c: c["x"]).alias("g"))
+    return whole.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], F.transform("c", lambda c: c["x"]).alias("_gram"))
 
 
 def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
@@ -256,18 +274,29 @@ def rmse(gram: np.ndarray, beta: np.ndarray) -> float:
 
 
 def non_negative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """argmin |a x - b| with x >= 0 for a handful of unknowns: best feasible solution over supports."""
+    """argmin |a x - b| with x >= 0 by an active set: the unknown with the steepest gain enters, those that turn negative leave."""
     p = a.shape[1]
-    best, low = np.zeros(p), float(b @ b)
-    for mask in range(1, 1 << p):
-        on = [i for i in range(p) if mask >> i & 1]
-        x, *_ = np.linalg.lstsq(a[:, on], b, rcond=None)
-        if (x >= 0).all():
-            r = float(((a[:, on] @ x - b) ** 2).sum())
-            if r < low - 1e-12:
-                best, low = np.zeros(p), r
-                best[on] = x
-    return best
+    x, free = np.zeros(p), np.zeros(p, bool)
+    tolerance = 1e-10 * max(1.0, float(np.abs(a.T @ b).max(initial=0.0)))
+    for _ in range(10 * p + 10):
+        gain = a.T @ (b - a @ x)
+        gain[free] = -np.inf
+        enter = int(np.argmax(gain)) if p else 0
+        if p == 0 or gain[enter] <= tolerance:
+            break
+        free[enter] = True
+        while True:
+            z = np.zeros(p)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            bad = free & (z <= 0)
+            if not bad.any():
+                x = z
+                break
+            step = float(np.min(x[bad] / np.maximum(x[bad] - z[bad], 1e-300)))
+            x = x + step * (z - x)
+            free &= x > 1e-12
+            x[~free] = 0.0
+    return x
 
 
 # fixed values: components that keep a floor

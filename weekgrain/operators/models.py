@@ -56,8 +56,8 @@ def linear_from(columns: Sequence[str], coefs: str) -> Column:
 
 def fit_positions(train: DataFrame, columns: Sequence[str], target: str, alpha: float = 1.0, keys: Keys = KEYS) -> dict[str, np.ndarray]:
     """One scan, one ridge per position."""
-    grams = gram_by(train, [keys.group], columns, target)
-    return {k[0]: ridge_scaled(g, alpha) for k, g in grams.table.items() if g[0, 0] > len(columns) + 1}
+    grams = gram_by(train, [keys.group], columns, target, centre=True)
+    return {k[0]: grams.unshifted(ridge_scaled(g, alpha)) for k, g in grams.table.items() if g[0, 0] > len(columns) + 1}
 
 
 def predict_positions(df: DataFrame, columns: Sequence[str], betas: Mapping[str, np.ndarray], out: str = "predicted_points", keys: Keys = KEYS) -> DataFrame:
@@ -71,7 +71,7 @@ def weekly_refit(panel: DataFrame, columns: Sequence[str], target: str, first_se
     The columns must be history features: same-week statistics would give the answer away.
     One scan collects moments by (position, season, week); prefix sums give every fold.
     """
-    grams = gram_by(panel, [keys.group, keys.season, keys.week], columns, target)
+    grams = gram_by(panel, [keys.group, keys.season, keys.week], columns, target, centre=True)
     rows = []
     weeks = sorted({k[1:] for k in grams.table})
     groups = sorted({k[0] for k in grams.table})
@@ -79,18 +79,18 @@ def weekly_refit(panel: DataFrame, columns: Sequence[str], target: str, first_se
     for at in weeks:
         total = sum(p[0, 0] for p in past.values())
         if at[0] >= first_season and total >= min_total:
-            rows += [(g, at[0], at[1], [float(b) for b in ridge_scaled(past[g], alpha)]) for g in groups if past[g][0, 0] >= min_group]
+            rows += [(g, at[0], at[1], [float(b) for b in grams.unshifted(ridge_scaled(past[g], alpha))]) for g in groups if past[g][0, 0] >= min_group]
         for g in groups:
             past[g] = past[g] + grams.table.get((g, *at), 0.0)
     schema = f"{keys.group} string, {keys.season} int, {keys.week} int, _coef array<double>"
-    coefs = panel.sparkSession.createDataFrame(rows, schema)  # positions x weeks rows
-    return panel.join(F.broadcast(coefs), [keys.group, *keys.period]).withColumn("predicted_points", linear_from(columns, "_coef")).drop("_coef")
+    coefs = panel.sparkSession.createDataFrame(rows, schema)  # positions x weeks rows; the join picks its way by size
+    return panel.join(coefs, [keys.group, *keys.period]).withColumn("predicted_points", linear_from(columns, "_coef")).drop("_coef")
 
 
 def training_windows(panel: DataFrame, columns: Sequence[str], target: str, years: Sequence[int] = tuple(range(1, 11)), folds: int = 3,
                      alpha: float = 1.0, min_train: int = 50, keys: Keys = KEYS) -> DataFrame:
     """RMSE of every training-window length per position over the last seasons, and the best, without rescanning."""
-    grams = gram_by(panel, [keys.group, keys.season], columns, target)
+    grams = gram_by(panel, [keys.group, keys.season], columns, target, centre=True)
     rows = []
     for g in sorted({k[0] for k in grams.table}):
         seasons = sorted(k[1] for k in grams.table if k[0] == g)
@@ -99,7 +99,7 @@ def training_windows(panel: DataFrame, columns: Sequence[str], target: str, year
             for test in seasons[-folds:]:
                 window = [s for s in seasons if s < test][-n:]
                 train = grams.total(lambda k: k[0] == g and k[1] in window)
-                if len(window) == n and train[0, 0] >= min_train and grams.table[(g, test)][0, 0] > 0:
+                if len(window) == n and train[0, 0] >= min_train and (g, test) in grams.table:
                     now = grams.table[(g, test)]
                     errs.append(rmse(now, ridge_scaled(train, alpha)))
             if errs:
@@ -111,7 +111,7 @@ def training_windows(panel: DataFrame, columns: Sequence[str], target: str, year
 
 def penalty_search(panel: DataFrame, columns: Sequence[str], target: str, alphas: Sequence[float] = (0.1, 1.0, 10.0, 100.0), folds: int = 3, keys: Keys = KEYS) -> DataFrame:
     """RMSE of every penalty per position over season folds that never train on later seasons."""
-    grams = gram_by(panel, [keys.group, keys.season], columns, target)
+    grams = gram_by(panel, [keys.group, keys.season], columns, target, centre=True)
     rows = []
     for g in sorted({k[0] for k in grams.table}):
         seasons = sorted(k[1] for k in grams.table if k[0] == g)
@@ -126,7 +126,7 @@ def penalty_search(panel: DataFrame, columns: Sequence[str], target: str, alphas
 def learning_curve(panel: DataFrame, columns: Sequence[str], target: str, test_season: int, parts: int = 10, keys: Keys = KEYS) -> DataFrame:
     """Train and test RMSE for growing shares of the training rows (shares by key hash, so they are nested)."""
     slot = F.when(F.col(keys.season) >= test_season, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys.grain), F.lit(parts)).cast("int"))
-    grams = gram_by(panel.withColumn("_slot", slot), ["_slot"], columns, target)
+    grams = gram_by(panel.withColumn("_slot", slot), ["_slot"], columns, target, centre=True)
     test, rows = grams.table[(-1,)], []
     for k in range(1, parts + 1):
         train = grams.total(lambda s: 0 <= s[0] < k)
@@ -138,7 +138,7 @@ def learning_curve(panel: DataFrame, columns: Sequence[str], target: str, test_s
 
 def feature_count_curve(panel: DataFrame, ranked: Sequence[str], target: str, folds: int = 3, keys: Keys = KEYS) -> DataFrame:
     """Cross-validated RMSE by number of ranked features; the smallest count within one standard error of the best is chosen."""
-    grams = gram_by(panel, [keys.season], ranked, target)
+    grams = gram_by(panel, [keys.season], ranked, target, centre=True)
     seasons = sorted(k[0] for k in grams.table)
     rows = []
     for k in range(1, len(ranked) + 1):
