@@ -168,9 +168,10 @@ def _(t):
     return S.season_status(p, 2001, 12, full=12)
 
 
-@query("S18_top_export", """WITH l AS (SELECT player_id,"position",predicted_points AS projection_1w FROM preds WHERE season=2000 AND "week"=12) SELECT player_id,"position",projection_1w,place FROM (SELECT *, row_number() OVER (PARTITION BY "position" ORDER BY round(projection_1w,9) DESC,player_id) AS place FROM l) WHERE place<=12""", "projection_1w", "preds")
+@query("S18_top_export", """WITH l AS (SELECT player_id,"position",predicted_points AS projection_1w FROM preds WHERE season*100+"week"=(SELECT max(season*100+"week") FROM preds)) SELECT player_id,"position",projection_1w,place FROM (SELECT *, row_number() OVER (PARTITION BY "position" ORDER BY round(projection_1w,9) DESC,player_id) AS place FROM l) WHERE place<=12""", "projection_1w", "preds")
 def _(t):
-    p = t.predictions.where((F.col("season") == 2000) & (F.col("week") == 12)).select("player_id", "position", F.col("predicted_points").alias("projection_1w"))
+    p, at = t.predictions, F.col("season") * 100 + F.col("week")
+    p = p.join(F.broadcast(p.agg(F.max(at).alias("_now"))), at == F.col("_now")).select("player_id", "position", F.col("predicted_points").alias("projection_1w"))
     path = shared_dir(t.spark, "json")
     S.export_top(p, path, 12)
     return t.spark.read.schema("player_id long, projection_1w double, place int, position string").json(path).select("player_id", "position", "projection_1w", "place")

@@ -13,11 +13,18 @@ from weekgrain.plans.q_context import DVP, _rookie_history
 from weekgrain.plans.q_features import ALLP, ID, PW, VOL, pre
 from weekgrain.plans.registry import query
 
-LAST = 'lp AS (SELECT * FROM preds WHERE season=2000 AND "week"=12)'
+NOW = '(SELECT max(season*100+"week") FROM preds)'
+LAST = f'lp AS (SELECT * FROM preds WHERE season*100+"week"={NOW})'
+
+
+def _period():
+    return F.col("season") * 100 + F.col("week")
 
 
 def _last(t):
-    return t.predictions.where((F.col("season") == 2000) & (F.col("week") == 12))
+    """Predictions of the latest period that the data has."""
+    p = t.predictions
+    return p.join(F.broadcast(p.agg(F.max(_period()).alias("_now"))), _period() == F.col("_now")).drop("_now")
 
 
 # --- filters ---------------------------------------------------------------------
@@ -65,7 +72,7 @@ def _(t):
  two AS (SELECT player_id,team,predicted_points FROM preds WHERE season=2000 AND "week"=12 UNION ALL SELECT player_id,NULL,predicted_points FROM preds WHERE season=2000 AND "week"=12 AND player_id%2=0 UNION ALL SELECT player_id,team,predicted_points/2 FROM preds WHERE season=2000 AND "week"=12)
  SELECT player_id,team,predicted_points FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY predicted_points DESC NULLS LAST,team NULLS LAST) AS rn FROM two WHERE CAST(team AS VARCHAR) IN (SELECT c FROM pl)) WHERE rn=1""", "predicted_points", "preds schedule")
 def _(t):
-    p = _last(t).select("player_id", "season", "week", "team", "predicted_points")
+    p = t.predictions.where((F.col("season") == 2000) & (F.col("week") == 12)).select("player_id", "season", "week", "team", "predicted_points")
     two = p.unionByName(p.where(F.col("player_id") % 2 == 0).withColumn("team", F.lit(None).cast("int"))).unionByName(
         p.withColumn("predicted_points", F.col("predicted_points") / 2))
     games = t.schedule.where((F.col("season") == 2000) & (F.col("week") == 12) & (F.col("home_team") % 3 == 0))
@@ -214,11 +221,13 @@ def _(t):
 
 
 # --- matchups ------------------------------------------------------------------------------
-MU = f"""{DVP}, {LAST}, mu AS (SELECT lp.player_id,lp."position",lp.predicted_points*2 AS score,CAST(round(26-defense_rank) AS INT) AS hard FROM lp JOIN dvp ON dvp.team=lp.opponent AND dvp.season=2000 AND dvp."week"=11 AND dvp."position"=lp."position")"""
+MU = f"""{DVP}, {LAST}, mu AS (SELECT lp.player_id,lp."position",lp.predicted_points*2 AS score,CAST(round(26-defense_rank) AS INT) AS hard FROM lp JOIN dvp ON dvp.team=lp.opponent AND dvp.season*100+dvp."week"=(SELECT max(season*100+"week") FROM dvp WHERE season*100+"week"<{NOW}) AND dvp."position"=lp."position")"""
 
 
 def _matchups(t):
-    d = CX.defense_vs_position(t.panel).where((F.col("season") == 2000) & (F.col("week") == 11))
+    d = CX.defense_vs_position(t.panel)
+    before = d.join(F.broadcast(t.predictions.agg(F.max(_period()).alias("_now"))), _period() < F.col("_now")).agg(F.max(_period()).alias("_at"))
+    d = d.join(F.broadcast(before), _period() == F.col("_at"))  # the last period before that of the predictions
     d = d.select(F.col("team").alias("opponent"), "position", F.round(26 - F.col("defense_rank")).cast("int").alias("hard"))
     return _last(t).join(d, ["opponent", "position"]).select("player_id", "position", (F.col("predicted_points") * 2).alias("score"), "hard")
 
