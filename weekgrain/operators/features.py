@@ -246,7 +246,8 @@ def matchup_quality(panel: DataFrame, opp: str, script: str, pace: str, keys: Ke
     span = F.col("_q_max") - F.col("_q_min")
     scaled = F.when(span > 0, (F.col("matchup_raw") - F.col("_q_min")) / span * 100)
     out = out.withColumn("matchup_quality_indicator", clip(F.coalesce(scaled, F.lit(50.0)), 0.0, 100.0))
-    return out.drop(*[c for c in out.columns if c.startswith("_")], "matchup_raw")
+    made = [f"_{p}_{k}" for p in (*parts, "q") for k in ("n", "min", "max", "mean", "std")]
+    return out.drop(*made, "matchup_raw")
 
 
 # --- rest, teams, script -----------------------------------------------------------------

@@ -13,7 +13,6 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
@@ -24,6 +23,7 @@ from weekgrain import config as C
 from weekgrain.functions.exprs import clip, lookup
 from weekgrain.functions.order_stats import quantiles, with_ranks
 from weekgrain.keys import KEYS, Keys, settled
+from weekgrain.operators.evaluate import ranking_auc
 from weekgrain.operators.fit import Grams, gram_by, rmse
 
 # --- linear models from moments -------------------------------------------------------------
@@ -319,7 +319,8 @@ def shift_auc(train: DataFrame, test: DataFrame, columns: Sequence[str], limit:
     both = train.select(*columns).withColumn("_label", F.lit(0)).unionByName(test.select(*columns).withColumn("_label", F.lit(1)))
     part = F.pmod(F.xxhash64(*columns), F.lit(2))
     model = Pipeline(stages=[*prepared(columns), GBTClassifier(featuresCol="features", labelCol="_label", maxIter=10, maxDepth=3, seed=42)]).fit(both.where(part == 0))
-    auc = BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="rawPrediction").evaluate(model.transform(both.where(part == 1)))
+    scored = model.transform(both.where(part == 1)).select("_label", vector_to_array("rawPrediction")[1].alias("_score"))
+    auc = ranking_auc(scored, "_label", "_score").first()["auc"]
     return both.sparkSession.createDataFrame([(float(auc), int(auc > limit))], "auc double, shifted int")
 
 

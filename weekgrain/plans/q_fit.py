@@ -280,8 +280,10 @@ def _(t):
 
 @query("M07_injury_classifier")
 def _(t):
-    p = t.panel.select(*ID, F.col("rushing_attempts").cast("double").alias("rushing_attempts"), F.col("targets").cast("double").alias("targets"),
-                       ((F.col("rushing_attempts") + F.col("player_id") % 3) >= 4).cast("int").alias("is_injured"))
+    # the label is a report in the following week
+    reports = t.injuries.select("player_id", "season", (F.col("week") - 1).alias("week"), F.lit(1).alias("_r")).distinct()
+    p = t.panel.select(*ID, F.col("rushing_attempts").cast("double").alias("rushing_attempts"), F.col("targets").cast("double").alias("targets")).join(reports, ID, "left")
+    p = p.withColumn("is_injured", F.coalesce("_r", F.lit(0))).drop("_r")
     out = M.injury_classifier(p.where(F.col("season") < 2000), p.where(F.col("season") >= 2000), ["rushing_attempts", "targets"], "is_injured")
     return out.groupBy("is_injured").agg(F.count(F.lit(1)).alias("n"), F.avg("injury_prob_ml").alias("mean_probability"))
 
