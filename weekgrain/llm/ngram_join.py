@@ -15,12 +15,13 @@ as one, if they are fewer) as 64-bit hashes. Two texts link when ``100 * interse
 Only connectedness is asked for, so pairs inside one component are never listed. A shingle that more than ``HOT`` groups share first
 links each with one of them; only groups that are then still in different components meet pairwise under it, with the same filters.
 
-Null texts and texts without words have an empty set and no links; their component is their own id. Rows of one doc_id count as one
+Null texts and texts without words have an empty set and no links; their component is their own id, as is that of texts without an id. Rows of one doc_id count as one
 text if equal; of different texts under one doc_id each links for it. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
@@ -28,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import WHITE, lowered, mixed, prefix_hash, span_hash, stored, text_blocks, word_spans
+from weekgrain.llm.common import WHITE, lowered, may_be_member, member_bits, mixed, prefix_hash, span_hash, stored, text_blocks, word_spans
 from weekgrain.llm.components import components
 
 BUCKETS = 1 << 19
 CHUNK = 1 << 13
-HOT = 64
-FILTER_BITS = 1 << 20
+HOT = 16
 _STEP = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, 17)]
 
 
@@ -103,7 +103,7 @@ def bucket_counts(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataFrame:
-    """doc_id, n, signature (s1, s2) and prefix of each text."""
+    """doc_id, n, signature (s1, s2), prefix and the prefix's hash of each text."""
 
     def run(batches):
         for b in batches:
@@ -120,12 +120,13 @@ def signed(docs: DataFrame, size: int, percent: int, order: np.ndarray) -> DataF
                     first = s[np.lexsort((s, rank))]
                 with np.errstate(over="ignore"):
                     sums = mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                out.append((n, *(int(x.view(np.int64)) for x in sums), first.tobytes()))
-            cols = list(zip(*out)) if out else [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n", "s1", "s2", "prefix"])
+                raw = first.tobytes()
+                out.append((n, *(int(x.view(np.int64)) for x in sums), hashlib.blake2b(raw, digest_size=16).digest(), raw))
+            cols = list(zip(*out)) if out else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n", "s1", "s2", "p", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p binary, prefix binary")
 
 
 def postings(groups: DataFrame) -> DataFrame:
@@ -155,20 +156,9 @@ def _filters(percent: int):
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of doc_ids, those that link on their whole texts. ``docs`` has one row per doc_id that occurs."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     # a bit map of fixed size keeps the texts of others from being shuffled; what passes by chance finds no pair
-    bits = np.zeros(FILTER_BITS, bool)
-    slots = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("s")).distinct().collect()
-    bits[[r["s"] for r in slots]] = True
-    packed = np.packbits(bits).tobytes()
-
-    def wanted(batches):
-        mine = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["doc_id", "text"]).filter(pa.array(mine[np.array(b.column(2))]))
-
-    some = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("int").alias("s")).mapInArrow(wanted, "doc_id long, text string")
-    some = stored(some.join(ids, "doc_id", "left_semi"), "texts")
+    some = stored(may_be_member(docs.select("doc_id", "text"), member_bits(ids)), "texts")
     rows = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
@@ -195,13 +185,13 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id:
     order = bucket_counts(docs, size)
     sets = signed(docs, size, percent, order)
     sets = stored(sets, "sets")
+    linked = sets.where("n > 0 and doc_id is not null")
     # equal sets: one representative, the smallest id
-    classes = stored(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")), "classes")
-    # identical prefix and size: one group, named by its smallest member
-    grouped = classes.groupBy("prefix", "n").agg(F.min("rep").alias("g"), F.count("*").alias("members"))
-    groups = stored(grouped, "groups")
-    crowd = groups.where("members > 1")
-    members = stored(classes.join(crowd, ["prefix", "n"]).select("g", "rep", "n"), "members")
+    classes = stored(linked.groupBy("s1", "s2", "n", "p").agg(F.min("doc_id").alias("rep")), "classes")
+    # identical prefix and size: one group, named by its smallest member; only here prefixes are shuffled
+    groups = stored(linked.groupBy("p", "n").agg(F.min("doc_id").alias("g"), F.min("prefix").alias("prefix")), "groups")
+    crowd = classes.groupBy("p", "n").agg(F.count("*").alias("size")).where("size > 1").join(groups.select("p", "n", "g"), ["p", "n"])
+    members = stored(classes.join(crowd, ["p", "n"]).select("g", "rep", "n"), "members")
     all_postings = postings(groups)
     shared = all_postings.groupBy("token").agg(F.count("*").alias("c"), F.min("g").alias("hub")).where("c > 1")
     kept = stored(all_postings.join(shared, "token"), "postings")
@@ -239,6 +229,6 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id:
     links = links.union(verified(rest, docs, size, percent))
     labels = components(links)
     # ids that share a class link as well: a text of the class stands for all
-    of_class = sets.where("n > 0").join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep")
+    of_class = linked.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep")
     found = with_component(of_class, "rep", labels, "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return found.unionByName(sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
