@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weekgrain.keys import shared_dir
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 # Odd multiplier of the polynomial hash mod 2^64 and its inverse; a seeded table spreads byte values first.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -137,40 +137,30 @@ WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 MEMBER_BITS = 1 << 23
+_CHUNK_BITS = 1 << 15  # of one bitmap of the built-in functions
 
 
-def member_bits(ids: DataFrame, column: str = "doc_id") -> bytes:
-    """A bit map of MEMBER_BITS hashed ids, of one size whatever the number of ids.
+def _slot(column: str):
+    slot = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int")
+    return F.shiftright(slot, 15), slot.bitwiseAND(_CHUNK_BITS - 1)
 
-    It keeps rows that surely have no partner out of a shuffle; those that pass by chance find none in the join that follows.
-    """
-    chunk = 1 << 12
-    slots = ids.select(F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int").alias("s")).distinct()
 
-    def pack(key, rows):
-        bits = np.zeros(chunk, bool)
-        bits[np.array(rows.column("s")) % chunk] = True
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+def member_bits(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """A bit map of MEMBER_BITS hashed ids in 256 rows, of one size (1 MB) whatever the number of ids.
 
-    packed = slots.withColumn("chunk", (F.col("s") / chunk).cast("int")).groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect()
-    out = np.zeros((MEMBER_BITS // chunk, chunk // 8), np.uint8)
-    for r in packed:
-        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+    It keeps rows that surely have no partner out of a shuffle; those that pass by chance find none in the join that follows.
+    """
+    chunk, bit = _slot(column)
+    return stored(ids.groupBy(chunk.alias("_chunk")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits")), "members")
 
 
-def may_be_member(df: DataFrame, bits: bytes, column: str = "doc_id", keep: bool = True) -> DataFrame:
+def may_be_member(df: DataFrame, bits: DataFrame, column: str = "doc_id", keep: bool = True) -> DataFrame:
     """Rows whose id may be (or, with ``keep`` false, surely is not) among the ids of :func:`member_bits`."""
-    names = df.columns
-
-    def pick(batches):
-        mine = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        for b in batches:
-            got = mine[np.array(b.column(len(names)))]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names).filter(pa.array(got if keep else ~got))
-
-    slot = F.pmod(F.xxhash64(column), F.lit(MEMBER_BITS)).cast("int").alias("_slot")
-    return df.select(*names, slot).mapInArrow(pick, df.schema)
+    chunk, bit = _slot(column)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.expr("1 << (_bit & 7)").bitwiseAND(F.col("_byte")) != 0, F.lit(False))
+    with_bits = df.withColumn("_chunk", chunk).join(F.broadcast(bits), "_chunk", "left")
+    return with_bits.withColumns({"_bit": bit, "_byte": byte}).where(found if keep else ~found).select(df.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

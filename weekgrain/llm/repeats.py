@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ CORE = 64
 HOT = 2_000
 STRETCH = 1 << 23
 PLACE_BITS = 24
-JOINED = 2 << 20  # bytes of contexts that one suffix array holds
+JOINED = 1 << 19  # bytes of contexts that one suffix array holds
 ANCHORS = "h long, u long, doc_id long, loc long"
 
 
@@ -107,12 +108,12 @@ def suffix_ranks(data: np.ndarray, ends: np.ndarray, reach: int) -> list[tuple[i
         inside = at + j < ends
         key = key * 257 + np.where(inside, data[np.minimum(at + j, n - 1)].astype(np.int64) + 1, 0)
     rank = np.unique(key, return_inverse=True)[1]
-    out, size = [(7, rank)], 7
+    out, size = [(7, rank.astype(np.int32))], 7
     while size < reach:
         nxt = np.where(at + size < ends, rank[np.minimum(at + size, n - 1)] + 1, 0)
         rank = np.unique(rank * (n + 1) + nxt, return_inverse=True)[1]
         size *= 2
-        out.append((size, rank))
+        out.append((size, rank.astype(np.int32)))
     return out
 
 
@@ -277,12 +278,14 @@ def joined_spans(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and the remaining bytes (``kept``) to ``docs`` (doc_id, text, ...).
+def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", as_text: bool = False) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans and the remaining bytes (``kept``) to ``docs`` (doc_id, text, ...); input columns of these names are replaced.
 
-    A byte is removed if a string of ``length`` bytes over it starts anywhere else as well.
+    A byte is removed if a string of ``length`` bytes over it starts anywhere else as well. With ``as_text`` the rest is a string without the
+    broken characters at the cuts, null where the text is.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    docs = docs.select(names)
     at = names.index(text)
     # rows that share a doc_id but not a text are apart; equal rows have the same spans
     docs = docs.withColumn("_key", F.xxhash64("doc_id", text))
@@ -304,12 +307,15 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> D
                     kept.append(raw[last:x])
                     last = y
                 kept.append(raw[last:])
-                rows.append((len(raw), sum(y - x for x, y in cover), len(cover), b"".join(kept)))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))],
+                rest = b"".join(kept)
+                rows.append((len(raw), sum(y - x for x, y in cover), len(cover), rest.decode("utf-8", "ignore") if as_text else rest))
+            cols = [pa.array(c, k) for c, k in zip(list(zip(*rows)) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
+            if as_text:
+                cols[3] = pc.if_else(b.column(at).is_valid(), cols[3], pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], *cols],
                                              [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    schema = T.StructType([*docs.select(names).schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*docs.select(names).schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     return hit.unionByName(clean).mapInArrow(run, schema)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +33,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 200) -> DataFrame:
     """Cuts all strings of 200 bytes that stand anywhere else as well; what is left of a character at a cut goes too. n_chars follows the text."""
     mine, back = numbered(docs)
-    cut = repeats.without_repeats(mine, length)
-    names = mine.columns
-    at = names.index("text")
-
-    def as_text(batches):
-        for b in batches:
-            known, left = b.column(at).is_valid().to_pylist(), b.column(len(names)).to_pylist()
-            text = pa.array([k.decode("utf-8", "ignore") if ok else None for ok, k in zip(known, left)], pa.string())
-            yield pa.RecordBatch.from_arrays([text if i == at else b.column(i) for i in range(len(names))], names)
-
-    out = cut.select(*names, "kept").mapInArrow(as_text, mine.schema).select([F.col(n).alias(c) for c, n in back.items()])
+    cut = repeats.without_repeats(mine, length, as_text=True)
+    out = cut.select([F.col("kept" if c == "text" else n).alias(c) for c, n in back.items()])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
