@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,34 @@ from weekgrain.llm import decontamination, ngram_join, piece_sampling, quality,
 from weekgrain.llm.common import member_bits, may_be_member, table, without_ids
 
 
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage):
+    """Whole texts go to Python a thousand rows at a time: the stages run one after another in the same workers, which keep what they once held."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but doc_id and text under names that no operator adds, and the way back."""
     names = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.select([F.col(c).alias(n) for c, n in names.items()]), names
 
 
+@in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the texts that the quality classifier takes for good."""
     mine, names = numbered(docs)
     return quality.classified(mine).where("keep").select([F.col(n).alias(c) for c, n in names.items()])
 
 
+@in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that five-word shingles link at 0.8 or more, the one with the smallest doc_id stays; of repeated rows one."""
     found = ngram_join.similar_documents(docs, size=5, percent=80)
@@ -30,14 +48,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return may_be_member(left, bits, keep=False).unionByName(may_be_member(left, bits).dropDuplicates(["doc_id"]))
 
 
-def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = 200) -> DataFrame:
+@in_small_batches
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts all strings of 200 bytes that stand anywhere else as well; what is left of a character at a cut goes too. n_chars follows the text."""
     mine, back = numbered(docs)
-    cut = repeats.without_repeats(mine, length, as_text=True)
+    cut = repeats.without_repeats(mine, 200, as_text=True)
     out = cut.select([F.col("kept" if c == "text" else n).alias(c) for c, n in back.items()])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
+@in_small_batches
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that cover a benchmark item by 0.8 or more."""
     mine, names = numbered(docs)
@@ -45,6 +65,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where("not contaminated").select([F.col(n).alias(c) for c, n in names.items()])
 
 
+@in_small_batches
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text in distinct sampled segmentations and decodes them again."""
     from weekgrain.llm.catalog import tokenizer
