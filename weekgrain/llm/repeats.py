@@ -181,7 +181,7 @@ def repeats_of(contexts: list[bytes], windows: np.ndarray, length: int):
 def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) -> DataFrame:
     """(group, n_bytes, doc_id, start): the occurrences of maximal repeats of at least ``length`` bytes. ``docs``: doc_id (unique), text.
 
-    With ``every_copy`` false, groups from suffix arrays name only one place of each class of equal contexts; the class itself names all of them.
+    With ``every_copy`` false the suffix arrays give only what their repeats cover: joined spans of one context of each class, without groups (0).
     """
     found = anchors(docs, length)
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
@@ -218,7 +218,21 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
         def done():
             names = [r[1] for r in held]
             rows = []
-            for n, owner, start in repeats_of([r[4] for r in held], np.array([r[3] for r in held]), length):
+            windows = np.array([r[3] for r in held])
+            found = repeats_of([r[4] for r in held], windows, length)
+            if not every_copy:
+                # each window's longest repeat; of nested groups the inner ones cover the same bytes and more
+                base = np.cumsum(windows) - windows
+                best = np.zeros(int(windows.sum()), np.int64)
+                for n, owner, start in found:
+                    at = base[owner] + start
+                    best[at] = np.maximum(best[at], n)
+                for i in np.unique(np.repeat(np.arange(len(held)), windows)[best > 0]).tolist():
+                    mine = best[base[i]:base[i] + windows[i]]
+                    at = np.flatnonzero(mine)
+                    rows += [(0, y - x, names[i], held[i][2] + x, held[i][0], held[i][5]) for x, y in joined_spans(zip(at.tolist(), mine[at].tolist()))]
+                found = ()
+            for n, owner, start in found:
                 head = held[owner[0]][4][start[0]:start[0] + n]
                 group = int.from_bytes(hashlib.blake2b(head, digest_size=8).digest(), "little", signed=True)
                 rows += [(group, n, names[i], held[i][2] + s, held[i][0], held[i][5]) for i, s in zip(owner.tolist(), start.tolist())]
