@@ -166,6 +166,20 @@ def test_op5_equals_all_pairs(spark, docs, hot, monkeypatch):
     assert got == linked(docs, 4, 85)
 
 
+def test_op5_links_members_of_groups_whose_names_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    passage, x, y = words("p", 40), f"{words('t', 3)} {words('x', 80)}", f"{words('t', 3)} {words('y', 80)}"
+    variants = [passage.replace("p5 ", f"q{v} ") for v in range(3)]
+    # each variant before x and before y: one group of equal prefix and size; others hold x or y and make their shingles frequent
+    texts = {1 + v: f"{p} {x}" for v, p in enumerate(variants)} | {11 + v: f"{p} {y}" for v, p in enumerate(variants)}
+    texts |= {100 + k: f"{words(f'f{k}_', 300)} {y if k % 2 else x}" for k in range(40)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(rows).collect()}
+    assert [got[i][1] for i in (1, 2, 3, 11, 12, 13)] == [1, 1, 1, 11, 11, 11]
+    assert got == linked(texts, 4, 85)
+
+
 def test_op6_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"  # the smaller tables hold a dozen held-out toxic texts
     got = catalog.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")

@@ -13,7 +13,7 @@ as one, if they are fewer) as 64-bit hashes. Two texts link when ``100 * interse
 4. Members of the remaining pairs are verified on their whole texts.
 
 Only connectedness is asked for, so pairs inside one component are never listed. A shingle that more than ``HOT`` groups share first
-links each with one of them; only groups that are then still in different components meet pairwise under it, with the same filters.
+links each with one of them; then groups meet pairwise under it, with the same filters, unless all members of both are in one component already.
 
 Null texts and texts without words have an empty set and no links; their component is their own id, as is that of texts without an id. Rows of one doc_id count as one
 text if equal; of different texts under one doc_id each links for it. Other columns are ignored. An empty table gives an empty result.
@@ -217,9 +217,13 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id:
     links = verified(first, docs, size, percent)
     labels = components(links)
     # what may still join different components: groups under frequent shingles, and members of groups that met by their names only
-    apart = F.col("x.comp") != F.col("y.comp")
-    hot = with_component(kept.where(F.col("c") > HOT).union(kept_in.where(F.col("c") > HOT)), "g", labels, "comp")
-    late = meeting(stored(hot, "hot"), apart)
+    own = with_component(members.select("g", "rep"), "rep", labels, "comp").groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    hot = with_component(kept.where(F.col("c") > HOT), "g", labels, "comp").join(own, "g", "left")
+    hot = hot.withColumns({"lo": F.coalesce("lo", "comp"), "hi": F.coalesce("hi", "comp")})
+    hot_in = with_component(kept_in.where(F.col("c") > HOT), "g", labels, "comp").withColumns({"lo": F.col("comp"), "hi": F.col("comp")})
+    # a pair of groups is done with only if all members of both are in one component: lo = hi on both sides
+    apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))
+    late = meeting(stored(hot.unionByName(hot_in), "hot"), apart)
     several = members.select("g", F.col("rep").alias("m"))
     met = cold.union(late)
     spread = met.join(several.select(F.col("g").alias("a"), F.col("m").alias("ma")), "a", "left").join(several.select(F.col("g").alias("b"), F.col("m").alias("mb")), "b", "left")
