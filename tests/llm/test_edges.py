@@ -162,3 +162,21 @@ def test_stages_keep_columns(spark, odd, tmp_path):
     empty = odd.where(F.lit(False))
     for _, stage in STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_one_of_each_group_keeps_clean_rows(spark):
+    from weekgrain.llm.stages import one_of_each_group
+
+    passage = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    rows = [(None, "first without an id"), (None, "second without an id"), (None, passage), (5, passage), (7, passage + " more"), (7, "all of its own here"), (7, "all of its own here"),
+            (8, "one text"), (8, None), (8, "quite another text"), (9, other + " end"), (4, other), (4, other + " end"), (-3, "a b c d e"), (-3, "a b c d e"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, comp string").repartition(3)
+    got = one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = counted((r.doc_id, r.text) for r in got.collect())
+    first = [x for x in kept if x in (repr((4, other)), repr((4, other + " end")))]
+    assert len(first) == 1  # two texts of one id that link: one of them
+    want = [(None, "first without an id"), (None, "second without an id"), (None, passage), (5, passage), (7, "all of its own here"), (8, "one text"), (8, None), (8, "quite another text"),
+            (-3, "a b c d e"), (6, None)]
+    assert kept == sorted([*map(repr, want), *first])

@@ -154,13 +154,18 @@ def member_bits(ids: DataFrame, column: str = "doc_id") -> DataFrame:
     return stored(ids.groupBy(chunk.alias("_chunk")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits")), "members")
 
 
-def may_be_member(df: DataFrame, bits: DataFrame, column: str = "doc_id", keep: bool = True) -> DataFrame:
-    """Rows whose id may be (or, with ``keep`` false, surely is not) among the ids of :func:`member_bits`."""
+def member_flag(df: DataFrame, bits: DataFrame, name: str, column: str = "doc_id") -> DataFrame:
+    """Adds whether a row's id may be among the ids of :func:`member_bits`; false means that it surely is not."""
     chunk, bit = _slot(column)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.expr("1 << (_bit & 7)").bitwiseAND(F.col("_byte")) != 0, F.lit(False))
     with_bits = df.withColumn("_chunk", chunk).join(F.broadcast(bits), "_chunk", "left")
-    return with_bits.withColumns({"_bit": bit, "_byte": byte}).where(found if keep else ~found).select(df.columns)
+    return with_bits.withColumns({"_bit": bit, "_byte": byte}).withColumn(name, found).select(*df.columns, name)
+
+
+def may_be_member(df: DataFrame, bits: DataFrame, column: str = "doc_id", keep: bool = True) -> DataFrame:
+    """Rows whose id may be (or, with ``keep`` false, surely is not) among the ids of :func:`member_bits`."""
+    return member_flag(df, bits, "_member", column).where("_member" if keep else "not _member").select(df.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekgrain.llm import decontamination, ngram_join, piece_sampling, quality, repeats
-from weekgrain.llm.common import member_bits, may_be_member, table, without_ids
+from weekgrain.llm.common import member_bits, member_flag, may_be_member, stored, table, without_ids
 
 
 BATCH_ROWS = 1_000
@@ -40,12 +40,27 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @in_small_batches
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that five-word shingles link at 0.8 or more, the one with the smallest doc_id stays; of repeated rows one."""
-    found = ngram_join.similar_documents(docs, size=5, percent=80)
-    left = without_ids(docs, found.where("doc_id != component_id").select("doc_id"))
-    again = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    bits = member_bits(again)
-    return may_be_member(left, bits, keep=False).unionByName(may_be_member(left, bits).dropDuplicates(["doc_id"]))
+    """Of texts that five-word shingles link at 0.8 or more, the one with the smallest doc_id stays; of rows with equal doc_id and text one.
+
+    Different texts under one doc_id are linked and judged apart. Texts without a doc_id are linked with nothing and all stay.
+    """
+    mine, back = numbered(docs)
+    # an id that holds different texts: each of them goes under a number of its own
+    several = mine.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    several = stored(several.where("n > 1").select("doc_id", (F.col("lo") != F.col("hi")).alias("differ")), "repeated")
+    flagged = member_flag(mine, member_bits(several.where("differ")), "_apart").withColumn("_apart", F.col("_apart") & F.col("doc_id").isNotNull())
+    keyed = flagged.withColumn("_key", F.when(F.col("_apart"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")))
+    found = ngram_join.similar_documents(keyed, size=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("comp"))
+    pairs = stored(found.where("_key != comp").distinct(), "linked")
+    nodes = pairs.union(pairs.select("comp", "comp")).distinct()
+    real = keyed.where("_apart").select("_key", F.col("doc_id").alias("_real")).distinct()
+    first = nodes.join(real, "_key", "left").groupBy("comp").agg(F.min(F.struct(F.coalesce("_real", "_key").alias("real"), "_key"))["_key"].alias("_key"))
+    rest = nodes.select("_key").join(first.select("_key"), "_key", "left_anti")
+    left = without_ids(keyed.drop("_apart"), stored(rest, "copies"), "_key").drop("_key")
+    bits = member_bits(several)
+    with_id = left.where("doc_id is not null")
+    out = left.where("doc_id is null").unionByName(may_be_member(with_id, bits, keep=False)).unionByName(may_be_member(with_id, bits).dropDuplicates(["doc_id", "text"]))
+    return out.select([F.col(n).alias(c) for c, n in back.items()])
 
 
 @in_small_batches
