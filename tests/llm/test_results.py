@@ -259,6 +259,26 @@ def test_op8_samples_follow_the_lattice(spark):
     assert all(r.decoded for r in rows) and len({(r.doc_id, r.ids_crc32) for r in rows}) == len(rows)
 
 
+def test_op8_lattice_of_a_long_run():
+    vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
+    text = "internationalization" * 15 + "\U0001f600" * 200 + "\tthe\nother" * 30
+    s, forward = chr(piece_sampling.SPACE) + text, [0.0]
+    for i in range(1, len(s) + 1):
+        ways = [forward[i - n] + vocab.log[p] for n in range(1, min(i, piece_sampling.LONGEST) + 1) if (p := vocab.ids.get(s[i - n:i]))]
+        forward.append(np.logaddexp.reduce(ways + ([] if s[i - 1] in vocab.ids else [forward[i - 1] + piece_sampling.BYTE_LOG])))
+    byte_of, over = {i: b for b, i in vocab.bytes_at.items()}, 0
+    for found in piece_sampling.block_samples(vocab, list(range(20)), [text] * 20, 3, 11):
+        assert len({tuple(ids.tolist()) for ids, _, _ in found}) == 3
+        for ids, log, _ in found:
+            ids = ids.tolist()
+            # a character spelled in bytes counts once, at its first byte
+            sizes = [len(vocab.strings[i]) if i not in byte_of else int(byte_of[i] & 0xC0 != 0x80) for i in ids]
+            want = sum(vocab.log[i] if i not in byte_of else piece_sampling.BYTE_LOG * n for i, n in zip(ids, sizes))
+            assert abs(log - (want - forward[-1])) < 1e-6 and vocab.decode(ids) == text
+            over += 128 not in set(itertools.accumulate(sizes))
+    assert over > 0
+
+
 def test_op9_fingerprints(spark, docs):
     got = {r.doc_id: r for r in catalog.op9_fingerprints(spark, SF).collect()}
     ids = sorted(docs)
