@@ -36,3 +36,13 @@ def test_every_query_has_a_sql_twin_or_a_reason():
     """Queries without SQL are trees, hashes, bootstraps or multi-variable solves."""
     bare = {n for n in E.queries() if n not in E.oracle_sql()}
     assert {n[0] for n in bare} <= set("EFMSU")
+
+
+def test_fit_queries_take_all_positions_and_columns(spark):
+    from weekgrain.config import POSITIONS
+    from weekgrain.plans.q_fit import HIST
+
+    q = E.queries()
+    assert {r.feature for r in q["E23_permutation_importance"](spark, SF).collect()} == set(HIST)
+    for name in ("M02_out_of_fold", "M05_usage_to_points"):
+        assert {r.position for r in q[name](spark, SF).collect()} == set(POSITIONS), name

@@ -229,7 +229,7 @@ def _(t):
 
 
 def _oof(t):
-    return M.out_of_fold(_history(t), [2000, 2001], HIST, "fantasy_points", ["ridge"], positions=["QB", "RB"])
+    return M.out_of_fold(_history(t), [2000, 2001], HIST, "fantasy_points", ["ridge"])
 
 
 @query("M02_stacking")
@@ -266,9 +266,8 @@ def _(t):
 
 @query("M05_usage_to_points")
 def _(t):
-    p = W.base_features(t.panel).withColumn("snap_count", F.col("snap_count").cast("double")).where(F.col("position").isin("RB", "WR"))
-    train, test = p.where((F.col("season") >= 1998) & (F.col("season") < 2000)), p.where(F.col("season") == 2000)
-    out = M.usage_to_points(train, test, "snap_count", ["catch_rate"], positions=["RB", "WR"], maxIter=5)
+    p = W.base_features(t.panel).withColumn("snap_count", F.col("snap_count").cast("double"))
+    out = M.usage_to_points(p.where(F.col("season") < 2000), p.where(F.col("season") >= 2000), "snap_count", ["catch_rate"])
     return E.regression_metrics(out, ["position"])
 
 
@@ -353,7 +352,7 @@ def _(t):
 def _(t):
     h = _history(t).where(F.col("season") >= 2000)
     betas = M.fit_positions(_history(t).where(F.col("season") < 2000), HIST, "fantasy_points")
-    return M.permutation_importance(h, HIST[:2], lambda d: M.predict_positions(d, HIST, betas), "fantasy_points")
+    return M.permutation_importance(h, HIST, lambda d: M.predict_positions(d, HIST, betas), "fantasy_points")
 
 
 @query("E23_importance_stability", "WITH c AS (" + " UNION ALL ".join(f"SELECT season,'{c}' AS feature,abs(corr({c},fantasy_points)) AS v FROM panel GROUP BY season" for c in MI) + ") SELECT feature,avg(v) AS mean_importance,stddev_pop(v) AS std_importance,1-stddev_pop(v)/avg(v) AS stability FROM c GROUP BY feature", "mean_importance std_importance stability")
