@@ -219,6 +219,22 @@ def test_op7_groups_hold_all_occurrences(spark, docs):
     assert {p for v in windows.values() if len(v) > 1 for p in v} == set(longest) and found <= set(longest)
 
 
+def test_op7_groups_join_classes_that_all_have_copies(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+    common = text(260)
+    a, b = text(700) + common + text(700), text(700) + common + text(700)
+    table = spark.createDataFrame([(1, a), (2, a), (3, b), (4, b)], "doc_id long, text string")
+    groups = defaultdict(set)
+    for r in repeats.occurrences(table, 200).collect():
+        groups[(r["group"], r.n_bytes)].add((r.doc_id, r.start))
+    for (_, n), places in groups.items():
+        assert len({{1: a, 2: a, 3: b, 4: b}[i][k:k + n] for i, k in places}) == 1
+    windows = {(i, k) for i in (1, 2, 3, 4) for k in range(700, 761)}  # of common
+    held = {(i, j) for (_, n), places in groups.items() if {i for i, _ in places} == {1, 2, 3, 4} for i, k in places for j in range(k, k + n - 199)}
+    assert held == windows
+
+
 def test_op8_samples_follow_the_lattice(spark):
     vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
 

@@ -181,6 +181,7 @@ def repeats_of(contexts: list[bytes], windows: np.ndarray, length: int):
 def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) -> DataFrame:
     """(group, n_bytes, doc_id, start): the occurrences of maximal repeats of at least ``length`` bytes. ``docs``: doc_id (unique), text.
 
+    Buckets of more than ``HOT`` classes give windows of ``length`` bytes in place of maximal repeats.
     With ``every_copy`` false the suffix arrays give only what their repeats cover: joined spans of one context of each class, without groups (0).
     """
     found = anchors(docs, length)
@@ -191,8 +192,9 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
     first, reach, more = unpacked_columns()
     whole = kept.join(classes.where("c > 1").select("h", "u"), ["h", "u"], "left_semi")
     whole = whole.select(F.col("u").alias("group"), (more + length).cast("long").alias("n_bytes"), "doc_id", first.alias("start"))
-    # buckets in which a class stands alone and has others beside it
-    mixed_up = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("h", "k")
+    # buckets of several classes; where only coverage is asked for, those in which a class stands alone: copies cover the others
+    several = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1")
+    mixed_up = (several if every_copy else several.where("least = 1")).select("h", "k")
     wanted = stored(classes.join(mixed_up, "h"), "wanted")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "u", "c", "k", "loc")).alias("need"))
     near = may_be_member(docs.select("doc_id", "text"), member_bits(wanted.select("doc_id")))
