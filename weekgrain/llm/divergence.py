@@ -1,12 +1,12 @@
 """Source divergence audit: how far the term shares of each source lie from those of the other sources of its language.
 
 Terms of a text are its runs of letters, A-Z lower-cased. A language keeps the terms that stand in at least ``min_docs`` of its documents, without
-a cap on their number. `CountVectorizer` turns every document into an exact sparse vector over the terms kept; one vocabulary of (term, language)
-pairs serves all languages in one pass, as a language's documents hold only its own pairs. Vectors are summed per (language, source) as sparse sums,
-and shares are compared pair by pair of sources over the terms that either source holds.
+a cap on their number. Every document then becomes an exact sparse vector of counts over the terms kept, vectors are summed per (language, source),
+and shares are compared pair by pair of sources over the terms that either source holds. The vectors are those of Spark's `CountVectorizer` fitted per
+language with `minDF` and the largest `vocabSize`; texts are counted in Arrow batches instead, since that class took more than the CPU time allowed.
 
-The vocabulary is counted as an aggregate first, so that its size is known before any of it reaches the driver or is broadcast: up to
-``vocabulary_bytes`` the vectorizer is used; a larger one stays in its table and meets the words of the documents by a shuffled join, with the same sums.
+The vocabulary is an aggregate, so its size is known before any of it reaches the driver or is broadcast: up to ``vocabulary_bytes`` tasks look terms up
+in a broadcast copy; a larger vocabulary stays in its table and meets the counted words by a shuffled join, with the same sums.
 
 All arithmetic is on integers: p = 1 + floor(10^9 (count + 2) / (N + 2 V)), f = floor((p - q)^2 / (p + q)). For two sources the sum of f over all V terms is
 V f(p0, q0) for terms that neither holds, corrected per source by its terms (taken by distinct share, not by term), and by the terms that both hold.
@@ -18,65 +18,108 @@ that keeps none gives 0 for each pair of its sources and no terms. Other columns
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekgrain.keys import shared_dir
-from weekgrain.llm.common import stored
+from weekgrain.llm.common import stored, text_list
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
-LARGEST_INT = 2**31 - 1
 TERM_BYTES = 64  # of one term in a hash map, besides its characters
-BLOCK_CELLS = 1 << 18  # non-zero shares of one block of terms
-SPARSE = "lang string, source string, vector struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+BLOCK_CELLS = 1 << 16  # non-zero shares of one block of terms
+BLOCK_BYTES = 4 << 20  # of text that a task counts at once
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def texts_of(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, words): the terms of every whole text in order, with repeats."""
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(F.translate(plain(text), UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return docs.select(plain(lang).alias("lang"), plain(source).alias("source"), words.alias("words"))
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
 
 
-def kept_terms(texts: DataFrame, min_docs: int = 10) -> DataFrame:
-    """(lang, term, n_docs) of the terms that stand in at least ``min_docs`` documents of their language."""
-    held = texts.select("lang", F.explode(F.array_distinct("words")).alias("term"))
-    return held.groupBy("lang", "term").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_docs)
+def _terms(text: str) -> list[bytes]:
+    """Terms of a text in order, with repeats."""
+    return text.encode().translate(_LETTERS).split()
 
 
-def _qualified(term: Column) -> Column:
-    return F.concat(term, F.lit("\0"), F.col("lang"))
+def _blocks(batches):
+    """Rows (lang, source, text) of consecutive documents of about BLOCK_BYTES."""
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(*(text_list(b.column(i)) for i in range(3))):
+            rows.append(row)
+            size += len(row[2])
+            if size >= BLOCK_BYTES:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
 
 
-def _sparse(spark, vectors: DataFrame) -> DataFrame:
-    """Written vectors read back as plain structs, whose indices and values built-in functions can take apart."""
-    path = shared_dir(spark, "vectors")
-    vectors.write.parquet(path)
-    return spark.read.schema(SPARSE).parquet(path)
+def _strings(values) -> pa.Array:
+    return pa.array(values, pa.binary()).cast(pa.string())
+
+
+def kept_terms(texts: DataFrame, min_docs: int = 10) -> DataFrame:
+    """(lang, term, n_docs) of the terms that stand in at least ``min_docs`` documents of their language."""
+
+    def held(batches):
+        for rows in _blocks(batches):
+            docs = defaultdict(Counter)
+            for lang, _, text in rows:
+                docs[lang].update(set(_terms(text)))
+            for lang, n in docs.items():
+                yield pa.record_batch([pa.repeat(lang, len(n)).cast(pa.string()), _strings(list(n)), pa.array(n.values(), pa.int64())], ["lang", "term", "n"])
+
+    found = texts.mapInArrow(held, "lang string, term string, n long")
+    return found.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def vector_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, term, count) by document vectors of `CountVectorizer`; for vocabularies of a checked size."""
-    spark = texts.sparkSession
-    vocabulary = terms.select("lang", F.col("term").alias("source"), F.array(_qualified(F.col("term"))).alias("words"))
-    model = CountVectorizer(inputCol="words", outputCol="vector", minDF=1.0, vocabSize=LARGEST_INT).fit(vocabulary)
-    index = _sparse(spark, model.transform(vocabulary).select("lang", "source", "vector"))
-    index = index.select("lang", F.col("source").alias("term"), F.col("vector.indices")[0].alias("i"))
-    vectors = _sparse(spark, model.transform(texts.withColumn("words", F.transform("words", _qualified))).select("lang", "source", "vector"))
-    cells = vectors.select("lang", "source", F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("c"))
-    cells = cells.select("lang", "source", F.col("c.indices").alias("i"), F.col("c.values").cast("long").alias("n"))
-    return cells.groupBy("lang", "source", "i").agg(F.sum("n").alias("count")).join(index, ["lang", "i"]).select("lang", "source", "term", "count")
+    """(lang, source, term, count): document vectors over a broadcast vocabulary, summed per block and then per source; for vocabularies of a checked size."""
+    listed = terms.select("lang", "term").toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast(listed.combine_chunks())
+
+    def summed(batches):
+        index = defaultdict(dict)
+        for i, (lang, term) in enumerate(zip(shared.value["lang"].to_pylist(), shared.value["term"].cast(pa.binary()).to_pylist())):
+            index[lang][term] = i
+        for rows in _blocks(batches):
+            vectors = defaultdict(list)
+            for lang, source, text in rows:
+                at = index[lang].get
+                found = np.array([i for i in map(at, _terms(text)) if i is not None], np.int64)
+                vectors[lang, source].append(np.unique(found, return_counts=True))
+            for (lang, source), own in vectors.items():
+                at, which = np.unique(np.concatenate([i for i, _ in own]), return_inverse=True)
+                n = np.zeros(len(at), np.int64)
+                np.add.at(n, which, np.concatenate([c for _, c in own]))
+                names = [pa.repeat(x, len(at)).cast(pa.string()) for x in (lang, source)]
+                yield pa.record_batch([*names, shared.value["term"].take(pa.array(at)).combine_chunks(), pa.array(n)], ["lang", "source", "term", "n"])
+
+    cells = texts.mapInArrow(summed, "lang string, source string, term string, n long")
+    return cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
 
 
 def joined_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, term, count) for vocabularies of any size: counted per task, then matched with the vocabulary by a join on (lang, term)."""
-    words = texts.select("lang", "source", F.explode("words").alias("term"))
-    return words.groupBy("lang", "source", "term").agg(F.count("*").alias("count")).join(terms.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "count")
+    """(lang, source, term, count) for vocabularies of any size: all words counted per block, then matched with the vocabulary by a join on (lang, term)."""
+
+    def counted(batches):
+        for rows in _blocks(batches):
+            words = defaultdict(list)
+            for lang, source, text in rows:
+                words[lang, source].append(_terms(text))
+            for (lang, source), own in words.items():
+                n = Counter(chain.from_iterable(own))
+                names = [pa.repeat(x, len(n)).cast(pa.string()) for x in (lang, source)]
+                yield pa.record_batch([*names, _strings(list(n)), pa.array(n.values(), pa.int64())], ["lang", "source", "term", "n"])
+
+    cells = texts.mapInArrow(counted, "lang string, source string, term string, n long").join(terms.select("lang", "term"), ["lang", "term"])
+    return cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -123,7 +166,7 @@ def _common_terms(block: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.repeat(lang, len(a)), "g": pa.array(a, pa.int32()), "h": pa.array(b, pa.int32()), "value": pa.array(v, pa.int64())})
 
 
-def audit(docs: DataFrame, min_docs: int = 10, ranks: int = 10, vocabulary_bytes: int = 64 << 20, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = 10, ranks: int = 10, vocabulary_bytes: int = 32 << 20, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows for every other source of the language, ``term`` rows for the ``ranks`` terms that a source uses
     more than its language does, by f of the two shares. Ranks count from 1 by value descending, then item by UTF-8 bytes."""
     texts = texts_of(docs, text, lang, source)
