@@ -31,7 +31,7 @@ from weekgrain.llm.common import stored, text_list
 SCALE = 1_000_000_000
 TERM_BYTES = 64  # of one term in a hash map, besides its characters
 BLOCK_CELLS = 1 << 16  # non-zero shares of one block of terms
-BLOCK_BYTES = 4 << 20  # of text that a task counts at once
+BLOCK_BYTES = 16 << 20  # of text that a task counts at once
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -79,14 +79,18 @@ def kept_terms(texts: DataFrame, min_docs: int = 10) -> DataFrame:
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
+def numbered(terms: DataFrame) -> DataFrame:
+    """Adds ``i``, a number per term whose order within a language is the order of the terms by UTF-8 bytes; written, so that it stays."""
+    return stored(terms.orderBy("lang", "term").withColumn("i", F.monotonically_increasing_id()), "terms")
+
+
 def vector_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, term, count): document vectors over a broadcast vocabulary, summed per block and then per source; for vocabularies of a checked size."""
-    listed = terms.select("lang", "term").toArrow()
-    shared = texts.sparkSession.sparkContext.broadcast(listed.combine_chunks())
+    """(lang, source, i, count): document vectors over a broadcast vocabulary, summed per block and then per source; for vocabularies of a checked size."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms.select("lang", F.col("term").cast("binary"), "i").toArrow().combine_chunks())
 
     def summed(batches):
         index = defaultdict(dict)
-        for i, (lang, term) in enumerate(zip(shared.value["lang"].to_pylist(), shared.value["term"].cast(pa.binary()).to_pylist())):
+        for lang, term, i in zip(*(c.to_pylist() for c in shared.value.columns)):
             index[lang][term] = i
         for rows in _blocks(batches):
             vectors = defaultdict(list)
@@ -99,14 +103,14 @@ def vector_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 n = np.zeros(len(at), np.int64)
                 np.add.at(n, which, np.concatenate([c for _, c in own]))
                 names = [pa.repeat(x, len(at)).cast(pa.string()) for x in (lang, source)]
-                yield pa.record_batch([*names, shared.value["term"].take(pa.array(at)).combine_chunks(), pa.array(n)], ["lang", "source", "term", "n"])
+                yield pa.record_batch([*names, pa.array(at), pa.array(n)], ["lang", "source", "i", "n"])
 
-    cells = texts.mapInArrow(summed, "lang string, source string, term string, n long")
-    return cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
+    cells = texts.mapInArrow(summed, "lang string, source string, i long, n long")
+    return cells.groupBy("lang", "source", "i").agg(F.sum("n").alias("count"))
 
 
 def joined_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, term, count) for vocabularies of any size: all words counted per block, then matched with the vocabulary by a join on (lang, term)."""
+    """(lang, source, i, count) for vocabularies of any size: all words counted per block, then matched with the vocabulary by a join on (lang, term)."""
 
     def counted(batches):
         for rows in _blocks(batches):
@@ -118,8 +122,8 @@ def joined_sums(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 names = [pa.repeat(x, len(n)).cast(pa.string()) for x in (lang, source)]
                 yield pa.record_batch([*names, _strings(list(n)), pa.array(n.values(), pa.int64())], ["lang", "source", "term", "n"])
 
-    cells = texts.mapInArrow(counted, "lang string, source string, term string, n long").join(terms.select("lang", "term"), ["lang", "term"])
-    return cells.groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
+    cells = texts.mapInArrow(counted, "lang string, source string, term string, n long").join(terms.select("lang", "term", "i"), ["lang", "term"])
+    return cells.groupBy("lang", "source", "i").agg(F.sum("n").alias("count"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -141,7 +145,7 @@ def _np_gap(p, q):
 
 def _common_terms(block: pa.Table) -> pa.Table:
     """For each two sources of a block of one language's terms: what the terms that both hold change in their sum."""
-    t = block["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    t = np.unique(block["i"].to_numpy(), return_inverse=True)[1]
     g, p, p0 = (block[c].to_numpy() for c in ("g", "p", "p0"))
     order = np.argsort(g, kind="stable")
     t, g, p, p0 = t[order], g[order], p[order], p0[order]
@@ -170,7 +174,7 @@ def audit(docs: DataFrame, min_docs: int = 10, ranks: int = 10, vocabulary_bytes
     """(lang, source, part, item, value, rank): ``pair`` rows for every other source of the language, ``term`` rows for the ``ranks`` terms that a source uses
     more than its language does, by f of the two shares. Ranks count from 1 by value descending, then item by UTF-8 bytes."""
     texts = texts_of(docs, text, lang, source)
-    terms = stored(kept_terms(texts, min_docs), "terms")
+    terms = numbered(kept_terms(texts, min_docs))
     size = terms.agg(F.count("*").alias("n"), F.sum(F.octet_length("term") + F.octet_length("lang") + TERM_BYTES).alias("bytes")).first()
     if size["n"] and size["bytes"] <= vocabulary_bytes:
         sums = vector_sums(texts, terms)
@@ -193,21 +197,21 @@ def audit(docs: DataFrame, min_docs: int = 10, ranks: int = 10, vocabulary_bytes
     distinct = shares.groupBy("lang", "g", "p0", "p").agg(F.count("*").alias("n")).join(other.drop("item"), "lang").where("g != h")
     alone = distinct.groupBy("lang", "g", "h").agg(F.sum(F.col("n") * (gap(F.col("p"), F.col("q0")) - gap(F.col("p0"), F.col("q0")))).alias("value"))
     blocks = groups.groupBy("lang").agg((F.floor(F.sum("held") / BLOCK_CELLS) + 1).alias("blocks"))
-    dealt = shares.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "g", "p", "p0")
+    dealt = shares.join(blocks, "lang").select("lang", F.pmod(F.xxhash64("i"), F.col("blocks")).alias("block"), "i", "g", "p", "p0")
     both = dealt.groupBy("lang", "block").applyInArrow(_common_terms, "lang string, g int, h int, value long")
     swapped = lambda df: df.select("lang", F.col("h").alias("g"), F.col("g").alias("h"), "value")
     summed = neither.unionByName(alone).unionByName(swapped(alone)).unionByName(both).unionByName(swapped(both)).groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
     named = summed.join(groups.select("lang", "source", "g"), ["lang", "g"]).join(other.select("lang", "item", "h"), ["lang", "h"])
     pair = named.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
 
-    # terms of a source
-    common = sums.groupBy("lang", "term").agg(F.sum("count").alias("of_lang"))
+    # terms of a source; their names are looked up once the ranks are known, as numbers order as names do
     whole = groups.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    beside = shares.join(common, ["lang", "term"]).join(whole, "lang").withColumn("q", share(F.col("of_lang"), F.col("n_lang"), F.col("v")))
-    term = beside.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
-
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pair.withColumn("rank", rank).unionByName(term.withColumn("rank", rank).where(F.col("rank") <= ranks))
+    beside = shares.withColumn("of_lang", F.sum("count").over(Window.partitionBy("lang", "i"))).join(whole, "lang")
+    beside = beside.withColumn("q", share(F.col("of_lang"), F.col("n_lang"), F.col("v"))).where("p > q")
+    top = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "i")
+    term = beside.select("lang", "source", "i", gap(F.col("p"), F.col("q")).alias("value")).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= ranks)
+    term = term.join(terms.select("lang", "i", F.col("term").alias("item")), ["lang", "i"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pair.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).unionByName(term)
 
 
 def sql(min_docs: int = 10, ranks: int = 10) -> str:
