@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm import decontamination, divergence, fingerprint, license_scan, ngram_join, piece_sampling, quality, rans_store, repeats, toxicity, url_filter
+from weekgrain.llm import backoff, decontamination, divergence, fingerprint, license_scan, ngram_join, piece_sampling, quality, rans_store, repeats, toxicity, url_filter
 from weekgrain.llm.common import table
 
 
@@ -64,7 +64,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, ranks=10)
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scored(table(spark, sf_dir, "documents"), order=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op8_pieces, op9_fingerprints, op10_quality, op11_divergence)
+    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op8_pieces, op9_fingerprints, op10_quality, op11_divergence, op12_lm_scores)
 }
-SQL: dict[str, str] = {"op3_url_rules": url_filter.sql(), "op11_divergence": divergence.sql()}
+SQL: dict[str, str] = {"op3_url_rules": url_filter.sql(), "op11_divergence": divergence.sql(), "op12_lm_scores": backoff.sql()}
