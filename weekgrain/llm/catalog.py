@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm import backoff, decontamination, divergence, fingerprint, license_scan, ngram_join, piece_sampling, quality, rans_store, repeats, toxicity, url_filter
+from weekgrain.llm import backoff, decontamination, divergence, fingerprint, license_scan, ngram_join, piece_sampling, prefix_trie, quality, rans_store, repeats, toxicity, url_filter
 from weekgrain.llm.common import table
 
 
@@ -68,7 +68,11 @@ def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scored(table(spark, sf_dir, "documents"), order=2)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op8_pieces, op9_fingerprints, op10_quality, op11_divergence, op12_lm_scores)
+    f.__name__: f for f in (op1_token_store, op2_decontamination, op3_url_rules, op4_license_scan, op5_ngram_join, op6_toxicity, op7_repeats, op8_pieces, op9_fingerprints, op10_quality, op11_divergence, op12_lm_scores, op13_prefix_trie)
 }
-SQL: dict[str, str] = {"op3_url_rules": url_filter.sql(), "op11_divergence": divergence.sql(), "op12_lm_scores": backoff.sql()}
+SQL: dict[str, str] = {"op3_url_rules": url_filter.sql(), "op11_divergence": divergence.sql(), "op12_lm_scores": backoff.sql(), "op13_prefix_trie": prefix_trie.sql()}
