@@ -312,10 +312,73 @@ def test_op9_fingerprints(spark, docs):
     assert all(len(v) == 1 for v in by_text.values())
     long = [r for r in got.values() if r.n_chars > 2_000]
     assert np.mean([r.near_edited for r in long]) > 0.4 > 0.1 > np.median([r.near_next for r in long])
-    a, b = (fingerprint.prefix_hash(fingerprint.raw_bytes(t)) for t in ("xxabcdefgh", "abcdefxh"))
+    a, b = (fingerprint.prefix_arrays(fingerprint.raw_bytes(t)) for t in ("xxabcdefgh", "abcdefxh"))
     assert fingerprint.equal_spans(a, 2, b, 0, 6) and not fingerprint.equal_spans(a, 2, b, 0, 7) and fingerprint.common_extension(a, 2, b, 0) == 6
 
 
+def test_op9_tells_apart_what_no_base_of_a_power_of_two_does():
+    """Thue-Morse strings and their successors, which begin with different bytes."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate({97: 98, 98: 97})
+        other = word.translate({97: 98, 98: 97})
+        a, b = (fingerprint.prefix_arrays(fingerprint.raw_bytes(t)) for t in (word, other))
+        assert not fingerprint.equal_spans(a, 0, b, 0, len(word)) and fingerprint.common_extension(a, 0, b, 0) == 0
+        c, d = (fingerprint.prefix_arrays(fingerprint.raw_bytes(t)) for t in (word + word, other + word))
+        assert fingerprint.common_suffix(c, d) == len(word)
+
+
+def test_op9_prefix_arrays_of_long_texts(monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK", 100)
+    monkeypatch.setattr(fingerprint, "_PRIME_POWERS", np.ones((2, 0), np.uint64))
+    data = np.random.default_rng(5).integers(0, 256, 3_000).astype(np.uint8)
+    for part in (data[:40], data, data[:700]):
+        for row, base, prime in zip(fingerprint.prefix_arrays(part), fingerprint.BASES, fingerprint.PRIMES):
+            want = 0
+            for i, x in enumerate(part.tolist()):
+                want = (want + (x + 1) * pow(base, i, prime)) % prime
+                assert int(row[i + 1]) == want
+
+
+def test_op2_items_without_id_and_repetitive_texts(spark):
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "same " * 4_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words)), (7, " ".join(words)), (7, " ".join(words[:6])), (3, " ".join(words)), (9, "same " * 100), (None, "other words that are not there at all")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.judged(docs, items).collect()}
+    assert (got[1].item_id, got[1].item_ids, got[1].coverage) == (3, [3, 7, None], 1.0)
+    assert (got[2].item_id, got[2].item_ids, got[2].coverage) == (9, [9], 1.0)
+    alone = decontamination.judged(docs.where("doc_id = 1"), items.where("item_id is null")).first()
+    assert alone.contaminated and alone.item_id is None and alone.item_ids == [None]
+
+
+def test_op3_keeps_columns_of_any_name(spark):
+    from weekgrain.llm import url_filter
+
+    names = ["_plain", "_tokens", "_hit", "_site", "k0", "a.b"]
+    got = url_filter.judged(spark.createDataFrame([("http://example.net/x", *names)], ["url", *names]))
+    assert got.columns == ["url", *names, "host", "path", "rule", "verdict", "matched"]
+    assert tuple(got.first())[:9] == ("http://example.net/x", *names, "example.net", "/x")
+
+
+def test_fit_samples_stay_bounded_with_repeated_rows(spark, monkeypatch):
+    """A text that most rows share counts as one row of the sample."""
+    from weekgrain.llm import quality, toxicity
+
+    rows = [(5, "the same text in most rows " * 20)] * 3_000 + [(i, f"text number {i} with some words of its own {'vile ' * (i % 2)}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    taken = []
+    real = quality.trained
+    monkeypatch.setattr(quality, "trained", lambda x, q, w: taken.append((len(x), w.sum())) or real(x, q, w))
+    quality.fit(docs, max_sample=20_000)
+    assert taken == [(301, 3_300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in [5, *range(100, 200)]], "doc_id long, toxic int")
+    sizes = []
+    fitted = toxicity.nnpu
+    monkeypatch.setattr(toxicity, "nnpu", lambda r, c, y, u, *a: sizes.append(len(y)) or fitted(r, c, y, u, *a))
+    toxicity.fit(docs, labels, max_labelled=50, max_unlabelled=100)
+    assert sizes and max(sizes) <= 301
+
+
 def test_op10_keeps_good_texts(spark):
     sf = "/root/testdata/sf0.01"
     rows = catalog.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id").collect()

@@ -75,6 +75,8 @@ def tiles(text: list[int], item: list[int], least: int = LEAST) -> list[tuple[in
         matches, longest = [], 0
         for i, h in _windows(text, used_t, size):
             for j in index.get(h, ()):
+                if i and j and text[i - 1] == item[j - 1] and not used_t[i - 1] and not used_i[j - 1]:
+                    continue  # part of a match that starts further left
                 k = 0
                 while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and not used_t[i + k] and not used_i[j + k]:
                     k += 1
@@ -150,10 +152,14 @@ class Items:
         return coverage(text, [int(x) % _PRIME for x in self.tokens[item]])
 
 
+def _null_last(i: int | None) -> tuple[bool, int]:
+    return i is None, i or 0
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """Adds contaminated, coverage (largest of all items), item_id (that item, the least of equals) and item_ids (all at the threshold, ascending).
 
-    ``benchmark``: item_id, text.
+    ``benchmark``: item_id, text. Items without an id are tested like others and come after them in order; items of one id count as one, by the larger coverage.
     """
     kept = [c for c in docs.columns if c not in {f.name for f in ADDED}]
     out = docs.select(kept)
@@ -164,7 +170,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text:
     at = kept.index(text)
     out = out.withColumns({f.name: F.lit(False if f.name == "contaminated" else 0.0 if f.name == "coverage" else None).cast(f.dataType) for f in ADDED})
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # one block of the query set
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").collect()  # one block of the query set
         block = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
         def run(batches, block=block):
@@ -172,11 +178,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, text:
                 cols = [b.column(i) for i in range(len(kept) + 4)]
                 best, item, all_ids = (cols[len(kept) + i].to_pylist() for i in (1, 2, 3))
                 for row, found in block.judged(b.column(at)).items():
-                    for i, c in sorted(found.items()):
-                        if c > best[row] or (c == best[row] and c > 0 and (item[row] is None or i < item[row])):
+                    for i, c in sorted(found.items(), key=lambda f: _null_last(f[0])):
+                        if c > best[row] or (c == best[row] and c > 0 and _null_last(i) < _null_last(item[row])):
                             best[row], item[row] = c, i
                         if c >= threshold:
-                            all_ids[row] = sorted({*(all_ids[row] or []), i})
+                            all_ids[row] = sorted({*(all_ids[row] or []), i}, key=_null_last)
                 yield pa.RecordBatch.from_arrays([*cols[:len(kept)], pa.array([c >= threshold for c in best], pa.bool_()), pa.array(best, pa.float64()), pa.array(item, pa.int64()),
                                                   pa.array(all_ids, pa.list_(pa.int64()))], [*kept, *(f.name for f in ADDED)])
 

@@ -1,7 +1,8 @@
 """Document fingerprints from prefix polynomial hashes.
 
-A modular prefix array S over the bytes of a text gives the hash of any span in constant time, so equality of spans is one
-comparison and the longest common extension of two positions is a binary search. The fingerprint slides such spans of
+Modular prefix arrays over the bytes of a text, one for each of two primes of 31 bits and its seeded base, give the hash of any span in constant
+time, so equality of spans is one comparison and the longest common extension of two positions is a binary search. Unequal spans of n bytes have
+equal hashes for at most n of the bases of a prime. (Modulo a power of two there are strings that no base tells apart.) The fingerprint slides spans of
 ``SPAN`` bytes over the text and keeps, for each of ``BINS`` classes of hashes, the least one (a minimum per bin; empty bins borrow from
 a neighbour chosen by their number). The share of equal bins estimates the share of spans that two texts have in common.
 Texts shorter than a span are one span; all empty texts have one fingerprint. Equal texts have equal fingerprints.
@@ -24,10 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import BASE, BLOCK, INVERSE, mixed, powers, prefix_hash, span_hash, stored, text_list
+from weekgrain.llm.common import BLOCK, INVERSE, mixed, powers, prefix_hash, span_hash, stored, text_list
 
 SPAN = 24
 BINS = 64
+PRIMES = (2_147_483_647, 2_147_483_629)
+BASES = tuple(int(b) for b in np.random.default_rng(97).integers(1 << 20, 1 << 30, 2))
+_PRIME_POWERS = np.ones((2, 0), np.uint64)
 RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
           "n_common_prefix long, n_common_suffix long")
 WORK = RESULT + ", part int, kind int, text string"
@@ -37,15 +41,43 @@ def raw_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode(), np.uint8)
 
 
+def _prime_powers(n: int) -> np.ndarray:
+    """BASES^0 .. BASES^(n-1) for each prime; kept for texts of up to a block."""
+    global _PRIME_POWERS
+    if _PRIME_POWERS.shape[1] < n:
+        out = np.ones((2, max(n, BLOCK)), np.uint64)
+        for row, base, prime in zip(out, BASES, PRIMES):
+            done = 1
+            while done < len(row):
+                k = min(done, len(row) - done)
+                row[done:done + k] = row[:k] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+                done += k
+        if n > 8 * BLOCK:
+            return out
+        _PRIME_POWERS = out
+    return _PRIME_POWERS
+
+
+def prefix_arrays(data: np.ndarray) -> np.ndarray:
+    """For each prime: S[i], the sum of the first i bytes (plus one) times base^position."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    own = data.astype(np.uint64) + np.uint64(1)
+    for row, power, prime in zip(out, _prime_powers(len(data)), PRIMES):
+        row[1:] = np.cumsum(own * power[:len(data)] % np.uint64(prime)) % np.uint64(prime)
+    return out
+
+
 def equal_spans(a: np.ndarray, i: int, b: np.ndarray, j: int, n: int) -> bool:
-    """Whether bytes [i, i+n) of the text with prefix array ``a`` equal [j, j+n) of that with ``b``."""
-    x, y = int(a[i + n]) - int(a[i]), int(b[j + n]) - int(b[j])
-    return (x * pow(BASE, j, 1 << 64) - y * pow(BASE, i, 1 << 64)) % (1 << 64) == 0
+    """Whether bytes [i, i+n) of the text with prefix arrays ``a`` equal [j, j+n) of that with ``b``."""
+    for x, y, base, prime in zip(a, b, BASES, PRIMES):
+        if ((int(x[i + n]) - int(x[i])) * pow(base, j, prime) - (int(y[j + n]) - int(y[j])) * pow(base, i, prime)) % prime:
+            return False
+    return True
 
 
 def common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
     """How many bytes from i in one text and j in the other are equal: binary search over prefix hashes."""
-    low, high = 0, min(len(a) - 1 - i, len(b) - 1 - j)
+    low, high = 0, min(a.shape[1] - 1 - i, b.shape[1] - 1 - j)
     while low < high:
         mid = (low + high + 1) // 2
         low, high = (mid, high) if equal_spans(a, i, b, j, mid) else (low, mid - 1)
@@ -53,10 +85,10 @@ def common_extension(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
 
 
 def common_suffix(a: np.ndarray, b: np.ndarray) -> int:
-    low, high = 0, min(len(a), len(b)) - 1
+    low, high = 0, min(a.shape[1], b.shape[1]) - 1
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if equal_spans(a, len(a) - 1 - mid, b, len(b) - 1 - mid, mid) else (low, mid - 1)
+        low, high = (mid, high) if equal_spans(a, a.shape[1] - 1 - mid, b, b.shape[1] - 1 - mid, mid) else (low, mid - 1)
     return low
 
 
@@ -103,12 +135,13 @@ def edited(text: str, following: str) -> str:
 
 
 class Printed:
-    """A text with its prefix array and fingerprint."""
+    """A text with its prefix arrays and fingerprint."""
 
     def __init__(self, text: str):
         self.text = text
-        self.prefix = prefix_hash(raw_bytes(text))
-        self.sketch = sketch(self.prefix)
+        data = raw_bytes(text)
+        self.prefix = prefix_arrays(data)
+        self.sketch = sketch(prefix_hash(data))
 
 
 def compared(doc_id, a: Printed, b: Printed) -> tuple:
@@ -131,7 +164,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def walk(batches):
         part, last, blank = TaskContext.get().partitionId(), None, (None,) * 8

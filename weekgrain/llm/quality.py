@@ -130,15 +130,16 @@ def features(column):
         yield row, out
 
 
-def trained(x: np.ndarray, q: np.ndarray, rounds: int = 400, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on posterior labels, full batches, Adam. Features are scaled by their root mean square."""
-    size = np.sqrt((x.astype(np.float64) ** 2).mean(0)).astype(np.float32) + np.float32(1e-3)
+def trained(x: np.ndarray, q: np.ndarray, weight: np.ndarray, rounds: int = 400, rate: float = 0.2, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Logistic regression on posterior labels, full batches, Adam. Features are scaled by their root mean square; ``weight`` counts equal rows."""
+    weight = weight / weight.sum()
+    size = np.sqrt(weight @ x.astype(np.float64) ** 2).astype(np.float32) + np.float32(1e-3)
     x = x / size
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -35, 35)))
-        e = ((p - q) / len(q)).astype(np.float32)
+        e = ((p - q) * weight).astype(np.float32)
         g = np.append(e @ x + decay * w, e.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate / (1 + t / 100) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -173,20 +174,21 @@ def fit(docs: DataFrame, max_sample: int = 8_000) -> Model:
     chance, share = learned(patterns)
     total = sum(n for _, n in patterns)
     part = int(min(1.0, max_sample / total) * (1 << 30))
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < part)
+    # each distinct text once, with the number of its copies as weight: about max_sample rows at most, however often a text repeats
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < part).groupBy("text").agg(F.count("*").alias("n"))
 
     def rows(batches):
         for b in batches:
             v = np.array(_votes_of(b.column(0))).reshape(b.num_rows, LABELLERS)
             q = posterior(np.stack([v == k for k in (BAD, GOOD, NONE)], 2).astype(float), chance, share)
             for row, x in features(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(q[row:row + len(x)]), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["q", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[row:row + len(x)]), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), b.column(1).slice(row, len(x))], ["q", "x", "n"])
 
-    got = sorted((r["q"], bytes(r["x"])) for r in sample.mapInArrow(rows, "q double, x binary").collect())
+    got = sorted((r["q"], bytes(r["x"]), r["n"]) for r in sample.mapInArrow(rows, "q double, x binary, n long").collect())
     if not got:
         return Model(chance, share, np.zeros(BINS), float(np.log(share / (1 - share))))
     x = np.stack([np.frombuffer(r[1], np.float16) for r in got]).astype(np.float32)
-    return Model(chance, share, *trained(x, np.array([r[0] for r in got])))
+    return Model(chance, share, *trained(x, np.array([r[0] for r in got]), np.array([r[2] for r in got], np.float64)))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import _WORDS_KEPT, lowered, prefix_hash, span_hash, text_blocks, word_spans
+from weekgrain.llm.common import _WORDS_KEPT, lowered, prefix_hash, span_hash, stored, text_blocks, word_spans
 
 NOT_WORD = np.frombuffer(_WORDS_KEPT, np.uint8) == 0x20
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -168,35 +168,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_unla
     # at most max_labelled rows of two numbers
     pool = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
     pool = pool.withColumn("u", (fold(F.col("doc_id")) != 2) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))))
-    pool = pool.where("y is not null or u").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"), "u")
-
-    def words(batches):
-        for b in batches:
-            y, u = np.array(b.column(2)), np.array(b.column(3))
-            seen = [], [], []
-            for row, _, _, rows, hashes in word_hashes(b.column(1)):
-                order = np.lexsort((hashes, rows))
-                r, h = rows[order], hashes[order]
-                new = np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])) if len(r) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                often = np.diff(np.append(at, len(r))) >= OFTEN
-                for k in (at, at[often]):
-                    seen[0].append(h[k] if k is at else h[k] ^ np.uint64(LEVEL))
-                    seen[1].append((y[row + r[k]] == 1).astype(np.int64))
-                    seen[2].append(u[row + r[k]].astype(np.int64))
-            h, p, q = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in seen)
-            key, at = np.unique(h, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, p, len(key)).astype(np.int64)), pa.array(np.bincount(at, q, len(key)).astype(np.int64))],
-                                             ["h", "p", "u"])
-
-    n_p = sum(y_of.values())
-    n_u = max(1, pool.where("u").count())
+    # of rows with equal id and text one; ids that hold many texts are thinned by the hash of both
+    pool = stored(pool.where("y is not null or u").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"), "u").dropDuplicates(["doc_id", "text"]), "pool")
+    rows_held, bound = pool.count(), 2 * (max_labelled + max_unlabelled)
+    if rows_held > bound:
+        pool = pool.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) < int(bound / rows_held * (1 << 30)))
+
+    def held_by(wanted=None):
+        """Counts rows by word that they hold (and, apart, hold often); only ``wanted`` hashes if given."""
+
+        def words(batches):
+            for b in batches:
+                seen = []
+                for _, _, _, rows, hashes in word_hashes(b.column(0)):
+                    order = np.lexsort((hashes, rows))
+                    r, h = rows[order], hashes[order]
+                    new = np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1])) if len(r) else np.zeros(0, bool)
+                    at = np.flatnonzero(new)
+                    often = np.diff(np.append(at, len(r))) >= OFTEN
+                    seen += [h[at], h[at[often]] ^ np.uint64(LEVEL)]
+                h = np.concatenate(seen) if seen else np.zeros(0, np.uint64)
+                if wanted is not None:
+                    h = h[np.isin(h, wanted)]
+                key, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["h", "n"])
+
+        return words
+
+    n_p = pool.where("y = 1").count()
     least = max(3, n_p // 100)
-    held = pool.mapInArrow(words, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    # candidates stand in confirmed toxic texts; how common they are is counted over all rows that are not held out
+    toxic = pool.where("y = 1").select("text").mapInArrow(held_by(), "h long, n long").groupBy("h").agg(F.sum("n").alias("p")).where(F.col("p") >= least)
+    of_p = {r["h"]: r["p"] for r in toxic.collect()}  # words of at most the labelled texts
+    wanted = np.sort(np.array(list(of_p), np.int64).view(np.uint64))
+    whole = docs.where(F.coalesce(fold(F.col("doc_id")) != 2, F.lit(True)))
+    n_u = max(1, whole.count())
+    of_u = {r["h"]: r["n"] for r in whole.select("text").mapInArrow(held_by(wanted), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
     # the share of toxic texts among those that hold the word, by the prior
-    held = held.where((F.col("p") >= least) & (prior * F.col("p") / n_p > least_share * (F.col("u") + 1) / n_u))
+    held = [(h, p, of_u.get(h, 0)) for h, p in of_p.items() if prior * p / max(n_p, 1) > least_share * (of_u.get(h, 0) + 1) / n_u]
     # words that stand out: ranked by how far the count in P exceeds what U lets expect
-    top = held.orderBy(F.desc((F.col("p") - n_p * F.col("u") / n_u) / F.sqrt(F.col("p") + 1)), "h").limit(max_words).collect()
+    top = [{"h": h} for h, p, u in sorted(held, key=lambda w: (-(w[1] - n_p * w[2] / n_u) / (w[1] + 1) ** 0.5, w[0]))[:max_words]]
     chosen_hashes = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     vocabulary = np.unique(np.concatenate([chosen_hashes, chosen_hashes ^ np.uint64(LEVEL)]))  # of each pair one is the plain hash; the other meets no word
 

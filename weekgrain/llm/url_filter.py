@@ -120,8 +120,9 @@ def judged(urls: DataFrame, site_rules=SITE_RULES, pattern_rules=PATTERN_RULES,
         found = F.concat(always, F.flatten(F.transform(keys, lambda t: F.element_at(lookup, t))))
     host, path = host_and_path(F.col(url))
     own = ["host", "path", "rule", "verdict", "matched"]
-    kept = [c for c in urls.columns if c not in own]
-    out = urls.select(*kept, host.alias("host"), path.alias("path"), plain.alias("_plain"), url_tokens(F.col(url)).alias("_tokens"))
+    back = {c: f"k{i}" for i, c in enumerate(urls.columns) if c not in own}  # names that no step adds
+    kept = [F.col(k).alias(c) for c, k in back.items()]
+    out = urls.select(*[F.col(f"`{c}`").alias(k) for c, k in back.items()], host.alias("host"), path.alias("path"), plain.alias("_plain"), url_tokens(F.col(url)).alias("_tokens"))
     out = out.withColumn("_hit", F.filter(found, lambda r: F.rlike(F.col("_plain"), r["regex"])))
     out = out.withColumn("_site", site_rule(F.col("host"), F.col("path"), site_rules))
     verdicts = F.transform("_hit", lambda r: r["verdict"])
