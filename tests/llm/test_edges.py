@@ -158,7 +158,10 @@ def test_stages_keep_columns(spark, odd, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == odd.columns, name
         docs = spark.createDataFrame(docs.collect(), odd.schema)
-    assert STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    last = STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == [*(c for c in docs.columns if c not in ("n_samples", "samples")), "n_samples", "samples"]
+    assert counted(last.drop("n_samples", "samples").collect()) == counted(docs.drop("n_samples", "samples").collect())
+    assert all(s.ids is not None and s.n_pieces == len(s.ids) for r in last.collect() for s in r.samples)
     empty = odd.where(F.lit(False))
     for _, stage in STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0

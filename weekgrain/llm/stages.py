@@ -82,10 +82,16 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @in_small_batches
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes every text in distinct sampled segmentations and decodes them again."""
+    """Encodes every text in distinct sampled segmentations and decodes them again: all columns, then n_samples and samples with their ids.
+
+    Input columns of these two names are replaced.
+    """
     from weekgrain.llm.catalog import tokenizer
 
-    return piece_sampling.sampled(docs, tokenizer("piece_bpe_32k.model"), k=2, with_ids=False)
+    own = [c for c in docs.columns if c not in ("n_samples", "samples")]
+    mine = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").alias("body"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(own)])
+    out = piece_sampling.sampled(mine, tokenizer("piece_bpe_32k.model"), k=2, doc_id="key", text="body", keep=tuple(f"c{i}" for i in range(len(own))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_samples", "samples")
 
 
 STAGES = [("quality", good_quality), ("near duplicates", one_of_each_group), ("repeated passages", without_passages), ("benchmark passages", without_benchmark),
