@@ -29,10 +29,27 @@ def test_gram_ridge_equals_numpy(panel):
 
 def test_wide_moments_equal_the_aggregates(panel):
     cols = ["targets", "rushing_attempts", "air_yards"]
-    a, b = (U.gram_by(panel.repartition(3), ["position", "season"], cols, "fantasy_points", wide=w).table for w in (24, 2))
+    a, b = (U.gram_by(panel.repartition(3), ["position", "season"], cols, "fantasy_points", wide=w).table for w in (False, True))
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k]) for k in a)
 
 
+def test_bootstraps_weigh_rows_without_repeating_them(panel):
+    cols = ["targets", "air_yards"]
+    weights = [F.pmod(F.xxhash64("player_id", "season", "week", F.lit(r)), F.lit(3)) for r in range(4)]
+    got = U.bootstrap_grams(panel.repartition(3), cols, "fantasy_points", weights)
+    p = panel.select(*cols, "fantasy_points", *[w.alias(f"w{r}") for r, w in enumerate(weights)]).toPandas()
+    x = np.column_stack([np.ones(len(p)), p[[*cols, "fantasy_points"]].to_numpy(float) - got.shift])
+    for r in range(4):
+        assert np.allclose(got.table[(r,)], (x * p[f"w{r}"].to_numpy()[:, None]).T @ x)
+
+
+def test_planted_columns_are_stable(panel):
+    noise = {f"n{i}": F.pmod(F.xxhash64("player_id", "season", "week", F.lit(100 + i)), F.lit(1000)).cast("double") for i in range(6)}
+    planted = panel.withColumns(noise).withColumn("y", 1e7 + 3 * F.col("targets") - F.col("air_yards") + F.col("n0") / 500)
+    got = {r.feature: r.frequency for r in M.stability_selection(planted, ["targets", "air_yards", *noise], "y", rounds=8).collect()}
+    assert got["targets"] == got["air_yards"] == 1.0 and max(v for k, v in got.items() if k[0] == "n") <= 0.25
+
+
 def test_non_negative_solution_beats_a_grid():
     rng = np.random.default_rng(5)
     a, b = rng.normal(size=(6, 3)), rng.normal(size=6)

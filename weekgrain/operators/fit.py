@@ -192,69 +192,123 @@ class Grams:
 
 
 def gram_aggregates(columns: Sequence[str], target: str) -> list[Column]:
-    """Upper triangle of the second moments of [1, x..., y], over rows where the target is known."""
-    known = F.col(target).isNotNull()
-    terms = [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.col(target).cast("double")]
-    return [F.sum(F.when(known, terms[i] * terms[j])).alias(f"g_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]
+    """Count, means and covariances of [x..., y], which Spark merges without cancelling digits; rows are those whose target is known."""
+    terms = [*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns], F.col(target).cast("double")]
+    means = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(terms)]
+    return [F.count(F.lit(1)).alias("n"), *means, *[F.covar_pop(terms[i], terms[j]).alias(f"c_{i}_{j}") for i in range(len(terms)) for j in range(i, len(terms))]]
 
 
-def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str, wide: int = 0, centre: bool = False) -> Grams:
+def gram_by(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str, centre: bool = False, wide: bool = False) -> Grams:
     """One scan. The groups must be few (positions, seasons, weeks): their sums come to the driver.
 
-    Groups without a known target are left out. Up to ``wide`` columns the sums are plain aggregate expressions. With ``centre`` a scan before
-    finds one mean per column, about which all moments are taken, so that a large common level does not cancel digits.
+    Groups without a known target are left out. With ``centre`` the moments are taken about one mean per column, so that a large common level does not
+    cancel digits. ``wide`` is for inputs of some dozens of columns, whose products are summed per Arrow batch instead of as one expression each.
     """
+    known = df.where(F.col(target).isNotNull())
+    p = len(columns) + 1
+    if wide:
+        return _grams(columns, _wide_moments(known, groups, columns, target), groups, centre)
+    found = {}
+    for row in known.groupBy(*groups).agg(*gram_aggregates(columns, target)).collect():
+        c = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                c[i, j] = c[j, i] = row[f"c_{i}_{j}"]
+        found[tuple(row[x] for x in groups)] = row["n"], np.array([row[f"m_{i}"] for i in range(p)]), c
+    return _about_one_mean(columns, found, centre)
+
+
+def _about_one_mean(columns: Sequence[str], found: dict[tuple, tuple], centre: bool) -> Grams:
+    """Second moments of all groups about the mean of all rows, from (count, means, covariances) per group."""
     shift = np.zeros(len(columns) + 1)
-    if centre:
-        known = df.where(F.col(target).isNotNull())
-        means = known.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in columns], F.avg(F.col(target).cast("double"))).first()
-        shift = np.array([m or 0.0 for m in means])
-        df = df.select(*groups, *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - float(m)).alias(c) for c, m in zip(columns, shift)],
-                       (F.col(target).cast("double") - float(shift[-1])).alias("_target"))
-        target = "_target"
-    rows = _wide_moments(df, groups, columns, target) if len(columns) > wide else df.groupBy(*groups).agg(*gram_aggregates(columns, target))
-    p = len(columns) + 2
+    if centre and found:
+        shift = sum(n * m for n, m, _ in found.values()) / sum(n for n, _, _ in found.values())
     table = {}
-    for row in rows.collect():
-        g = np.zeros((p, p))
-        if len(columns) > wide:
-            g[:] = np.array(row["_gram"]).reshape(p, p)
-        else:
-            for i in range(p):
-                for j in range(i, p):
-                    g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
-        if g[0, 0] > 0:
-            table[tuple(row[x] for x in groups)] = g
+    for key, (n, m, c) in found.items():
+        d = np.concatenate([[1.0], m - shift])
+        table[key] = n * np.outer(d, d)
+        table[key][1:, 1:] += n * c
     return Grams(columns, table, shift)
 
 
-def _wide_moments(df: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str) -> DataFrame:
-    """The same sums for many columns, where p x p aggregate expressions would be too many.
+def _grams(columns: Sequence[str], moments: DataFrame, groups: Sequence[str], centre: bool = True) -> Grams:
+    p = len(columns) + 1
+    return _about_one_mean(columns, {tuple(r[x] for x in groups): (r["n"], np.array(r["_mean"]), np.array(r["_cov"]).reshape(p, p)) for r in moments.collect()}, centre)
 
-    Every task multiplies its Arrow batches into one matrix per group and hands out that matrix once;
-    the element sums are an ordinary aggregation.
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """(weight, means, sums of products about them) of two parts together."""
+    if a is None:
+        return b
+    n, d = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + d * b[0] / n, a[2] + b[2] + np.outer(d, d) * a[0] * b[0] / n
+
+
+def _merge_parts(parts: DataFrame, names: list[str], schema: str) -> DataFrame:
+    """One row per group from parts (one per task) that hold sums of products; the result holds covariances."""
+
+    def whole(part):
+        import pandas as pd
+
+        total = None
+        for n, m, c in zip(part["n"], part["_mean"], part["_cov"]):
+            total = _merged(total, (n, np.array(m), np.array(c).reshape(len(m), -1)))
+        n, m, c = total
+        return pd.DataFrame({**{k: part[k].iloc[:1] for k in names}, "n": [n], "_mean": [m], "_cov": [c.ravel() / n]})
+
+    return parts.groupBy(*names).applyInPandas(whole, schema)
+
+
+def _wide_moments(known: DataFrame, groups: Sequence[str], columns: Sequence[str], target: str) -> DataFrame:
+    """Count, means and covariances per group for many columns, where p x p aggregate expressions would be too many.
+
+    Every task multiplies its Arrow batches into one matrix per group, about the means that it has seen, and hands out that matrix once; the parts of a
+    group, one per task, are merged pairwise about their own means.
     """
     groups, columns = list(groups), list(columns)
-    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
-    known = df.where(F.col(target).isNotNull()).select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], *doubles, F.col(target).cast("double").alias("_y"))
+    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(columns)]
+    known = known.select(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)], *doubles, F.col(target).cast("double").alias("_y"))
     names = [f"_k{i}" for i in range(len(groups))]
 
     def partial(batches):
         import pandas as pd
 
-        sums: dict[tuple, np.ndarray] = {}
+        sums: dict[tuple, tuple] = {}
         for b in batches:
             for key, part in b.groupby(names, dropna=False):
-                x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float), part["_y"].to_numpy(float)])
-                sums[key] = sums.get(key, 0.0) + x.T @ x
-        for key, g in sums.items():
-            yield pd.DataFrame({**{n: [k] for n, k in zip(names, key)}, "g": [g.ravel()]})
+                x = part.drop(columns=names).to_numpy(float)
+                m = x.mean(0)
+                sums[key] = _merged(sums.get(key), (len(x), m, (x - m).T @ (x - m)))
+        for key, (n, m, c) in sums.items():
+            yield pd.DataFrame({**{k: [v] for k, v in zip(names, key)}, "n": [n], "_mean": [m], "_cov": [c.ravel()]})
 
     kinds = dict(known.dtypes)
-    parts = known.mapInPandas(partial, ", ".join(f"{n} {kinds[n]}" for n in names) + ", g array<double>")
-    cells = parts.select(*names, F.posexplode("g").alias("i", "x")).groupBy(*names, "i").agg(F.sum("x").alias("x"))
-    whole = cells.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))  # p x p entries per group
-    return whole.select(*[F.col(n).alias(g) for n, g in zip(names, groups)], F.transform("c", lambda c: c["x"]).alias("_gram"))
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names) + ", n long, _mean array<double>, _cov array<double>"
+    return _merge_parts(known.mapInPandas(partial, schema), names, schema).select(*[F.col(n).alias(g) for n, g in zip(names, groups)], "n", "_mean", "_cov")
+
+
+def bootstrap_grams(df: DataFrame, columns: Sequence[str], target: str, weights: Sequence[Column]) -> Grams:
+    """Moments of every bootstrap in one pass over the rows, none of which is repeated: each Arrow batch meets a matrix of its rows' weights."""
+    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x{i}") for i, c in enumerate(columns)]
+    drawn = F.array(*[w.cast("double") for w in weights]).alias("_w")
+    known = df.where(F.col(target).isNotNull()).select(*doubles, F.col(target).cast("double").alias("_y"), drawn)
+
+    def partial(batches):
+        import pandas as pd
+
+        sums: dict[int, tuple] = {}
+        for b in batches:
+            if len(b):
+                x, w = b.drop(columns="_w").to_numpy(float), np.stack(b["_w"].to_numpy())
+                for r in np.flatnonzero(w.sum(0)).tolist():
+                    n = w[:, r].sum()
+                    m = w[:, r] @ x / n
+                    sums[r] = _merged(sums.get(r), (n, m, ((x - m) * w[:, r:r + 1]).T @ (x - m)))
+        for r, (n, m, c) in sums.items():
+            yield pd.DataFrame({"round": [r], "n": [n], "_mean": [m], "_cov": [c.ravel()]})
+
+    schema = "round int, n double, _mean array<double>, _cov array<double>"
+    return _grams(columns, _merge_parts(known.mapInPandas(partial, schema), ["round"], schema), ["round"])
 
 
 def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
@@ -327,7 +381,7 @@ def fit_utilization_weights(train: DataFrame, target: str, alpha: float | None =
     cols = sorted({c for comp in C.COMPONENT_COLUMNS.values() for c in comp.values()})
     held = train.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(c), F.lit(0.0)))) for c in cols}
                              | {target: F.when(F.col(target) >= 0, F.col(target))})
-    every = gram_by(held, [keys.group, keys.season], cols, target)
+    every = gram_by(held, [keys.group, keys.season], cols, target, wide=True)
     out = {}
     for pos, comp in C.COMPONENT_COLUMNS.items():
         block = np.ix_(*[[0, *[1 + cols.index(c) for c in comp.values()], len(cols) + 1]] * 2)

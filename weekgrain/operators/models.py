@@ -24,7 +24,7 @@ from weekgrain.functions.exprs import clip, lookup
 from weekgrain.functions.order_stats import quantiles, with_ranks
 from weekgrain.keys import KEYS, Keys, settled
 from weekgrain.operators.evaluate import ranking_auc
-from weekgrain.operators.fit import Grams, gram_by, rmse
+from weekgrain.operators.fit import bootstrap_grams, gram_by, rmse
 
 # --- linear models from moments -------------------------------------------------------------
 
@@ -156,14 +156,11 @@ def feature_count_curve(panel: DataFrame, ranked: Sequence[str], target: str, fo
 def stability_selection(panel: DataFrame, columns: Sequence[str], target: str, rounds: int = 10, penalty: float = 0.05, keep: float = 0.6, keys: Keys = KEYS) -> DataFrame:
     """Share of bootstraps in which a lasso keeps each column.
 
-    Poisson(1) row weights come from a key hash per round, so the moments of all bootstraps are sums of
-    one scan and a re-run draws the same rows.
+    Poisson(1) row weights come from a key hash per round, so the moments of all bootstraps come from one pass over the rows as they are, and a
+    re-run draws the same weights.
     """
     u = lambda r: F.pmod(F.xxhash64(*keys.grain, F.lit(r)), F.lit(1_000_000)) / 1e6
-    draws = F.array(*[F.struct(F.lit(r).alias("r"), _poisson(u(r)).alias("w")) for r in range(rounds)])
-    long = panel.withColumn("_d", F.explode(draws)).where(F.col("_d.w") > 0)
-    repeated = long.withColumn("_round", F.col("_d.r")).withColumn("_w", F.col("_d.w"))
-    grams = _weighted_grams(repeated, columns, target)
+    grams = bootstrap_grams(panel, columns, target, [_poisson(u(r)) for r in range(rounds)])
     hits = np.zeros(len(columns))
     for g in grams.table.values():
         hits += _lasso(g, penalty) != 0
@@ -177,21 +174,6 @@ def _poisson(u: Column) -> Column:
     return F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
 
 
-def _weighted_grams(df: DataFrame, columns: Sequence[str], target: str) -> Grams:
-    root = F.sqrt("_w")
-    terms = [root, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * root for c in columns], F.col(target).cast("double") * root]
-    p = len(terms)
-    agg = [F.sum(terms[i] * terms[j]).alias(f"g_{i}_{j}") for i in range(p) for j in range(i, p)]
-    table = {}
-    for row in df.where(F.col(target).isNotNull()).groupBy("_round").agg(*agg).collect():  # one row per bootstrap
-        g = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-        table[(row["_round"],)] = g
-    return Grams(columns, table)
-
-
 def _lasso(gram: np.ndarray, penalty: float, sweeps: int = 200) -> np.ndarray:
     """Coordinate descent on standardised moments; penalty relative to the largest correlation."""
     n = gram[0, 0]
@@ -259,9 +241,9 @@ def out_of_fold(panel: DataFrame, seasons: Sequence[int], columns: Sequence[str]
 def stack(oof: DataFrame, kinds: Sequence[str], target: str, alpha: float = 1.0, keys: Keys = KEYS) -> dict[str, np.ndarray]:
     """Ridge over out-of-fold predictions per position; equal weights where there are too few rows."""
     cols = [f"oof_{k}" for k in kinds]
-    grams = gram_by(oof, [keys.group], cols, target)
+    grams = gram_by(oof, [keys.group], cols, target, centre=True)
     even = np.concatenate([[0.0], np.full(len(kinds), 1.0 / len(kinds))])
-    return {k[0]: ridge_scaled(g, alpha) if g[0, 0] >= 20 else even for k, g in grams.table.items()}
+    return {k[0]: grams.unshifted(ridge_scaled(g, alpha)) if g[0, 0] >= 20 else even for k, g in grams.table.items()}
 
 
 def isotonic_if_better(oof: DataFrame, pred: str, target: str, out: str = "calibrated") -> DataFrame:
