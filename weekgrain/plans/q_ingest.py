@@ -1,5 +1,6 @@
 """Queries over sources, sinks and streams: S01-S20, T01-T05."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weekgrain.keys import shared_dir
@@ -9,7 +10,9 @@ from weekgrain.plans.q_plays import TEAM
 from weekgrain.plans.registry import query
 from weekgrain.plans.tables import zoned
 from weekgrain.sources import ingest as S
+from weekgrain.sources.versions import VersionedTable
 from weekgrain.streaming import jobs as T
+from weekgrain.streaming import stateful as ST
 
 
 @query("S01_read_seasons", 'SELECT player_id,season,"week",fantasy_points FROM panel WHERE season IN (1996,1999)', "fantasy_points")
@@ -90,28 +93,28 @@ def _(t):
     return S.fill_from(base, extra, ["air_yards", "recv_targets"])
 
 
-def _table(t, name):
-    path = shared_dir(t.spark, name)
-    S.overwrite_partitions(t.panel.where(F.col("season") >= 1999).select(*ID, "fantasy_points"), path)
-    return path
+def _versioned(t, name, rows):
+    table = VersionedTable(t.spark, shared_dir(t.spark, name))
+    table.overwrite(rows)
+    return table
 
 
-@query("S11_upsert_table", """SELECT player_id,season,"week",CASE WHEN season=2000 AND player_id%4=0 THEN fantasy_points+100 ELSE fantasy_points END AS fantasy_points FROM panel WHERE season>=1999 OR season=1997""", "fantasy_points")
+@query("S11_upsert_table", """SELECT player_id,season,"week",CASE WHEN season=2000 AND player_id%4=0 THEN fantasy_points+100 ELSE fantasy_points END AS fantasy_points FROM panel""", "fantasy_points")
 def _(t):
-    path = _table(t, "upsert")
     p = t.panel.select(*ID, "fantasy_points")
+    table = _versioned(t, "upsert", p.where(F.col("season") != 1997))
     up = p.where((F.col("season") == 2000) & (F.col("player_id") % 4 == 0)).withColumn("fantasy_points", F.col("fantasy_points") + 100).unionByName(p.where(F.col("season") == 1997))
     for _ in range(2):  # a second run must change nothing
-        S.upsert_table(t.spark, path, up, ID, shared_dir(t.spark, "staging"))
-    return t.spark.read.parquet(path).select(*ID, "fantasy_points")
+        table.upsert(up, ID)
+    return table.read().select(*ID, "fantasy_points")
 
 
-@query("S12_insert_missing", """SELECT player_id,season,"week",CASE WHEN season>=1999 THEN fantasy_points ELSE fantasy_points*2 END AS fantasy_points FROM panel WHERE season>=1998""", "fantasy_points")
+@query("S12_insert_missing", """SELECT player_id,season,"week",CASE WHEN player_id%5=0 THEN fantasy_points*2 ELSE fantasy_points END AS fantasy_points FROM panel""", "fantasy_points")
 def _(t):
-    path = _table(t, "insert")
-    rows = t.panel.where(F.col("season") >= 1998).select(*ID, (F.col("fantasy_points") * 2).alias("fantasy_points"))
-    S.insert_missing(t.spark, path, rows, ID)
-    return t.spark.read.parquet(path).select(*ID, "fantasy_points")
+    p = t.panel.select(*ID, "fantasy_points")
+    table = _versioned(t, "insert", p.where(F.col("player_id") % 5 != 0))
+    table.insert_missing(p.withColumn("fantasy_points", F.col("fantasy_points") * 2), ID)
+    return table.read().select(*ID, "fantasy_points")
 
 
 @query("S13_update_columns", """SELECT player_id,season,"week",CASE WHEN player_id%3=0 THEN rush_inside_10+5 ELSE rush_inside_10 END AS rush_inside_10,CASE WHEN player_id%3=0 THEN air_yards+1 ELSE air_yards END AS air_yards FROM panel""", "air_yards")
@@ -129,12 +132,13 @@ def _(t):
     return S.update_summary(p, up.unionByName(up.withColumn("player_id", F.col("player_id") + 10_000_000)))
 
 
-@query("S14_replace_season", """SELECT player_id,season,"week",CASE WHEN season=2001 AND "week"<=5 THEN fantasy_points-1 ELSE fantasy_points END AS fantasy_points FROM panel WHERE season>=1999 AND NOT (season=2001 AND "week"<=5 AND player_id%2=0)""", "fantasy_points")
+@query("S14_replace_season", """SELECT player_id,season,"week",CASE WHEN season=2001 AND "week"<=5 THEN fantasy_points-1 ELSE fantasy_points END AS fantasy_points FROM panel WHERE NOT (season=2001 AND "week"<=5 AND player_id%2=0)""", "fantasy_points")
 def _(t):
-    path = _table(t, "replace")
-    new = t.panel.where((F.col("season") == 2001) & (F.col("player_id") % 2 == 1)).select(*ID, (F.col("fantasy_points") - 1).alias("fantasy_points"))
-    S.replace_season(t.spark, path, new, 2001, 5, shared_dir(t.spark, "staging"))
-    return t.spark.read.parquet(path).select(*ID, "fantasy_points")
+    p = t.panel.select(*ID, "fantasy_points")
+    table = _versioned(t, "replace", p)
+    new = p.where((F.col("season") == 2001) & (F.col("player_id") % 2 == 1)).withColumn("fantasy_points", F.col("fantasy_points") - 1)
+    table.replace_up_to(new, 2001, "week", 5)
+    return table.read().select(*ID, "fantasy_points")
 
 
 @query("S15_missing_seasons", """WITH l AS (SELECT season,max("week") AS w FROM panel WHERE season<2000 OR (season=2000 AND "week"<=7) GROUP BY ALL), r AS (SELECT season,max("week") AS w FROM panel GROUP BY ALL)
@@ -199,49 +203,74 @@ def _run(q):
         raise RuntimeError(str(q.exception()))
 
 
+DAY = 86_400
+
+
 @query("T01_running_player_weeks", """SELECT season,"week",rusher_player_id AS player_id,count(*) AS plays,sum(rushing_yards) AS yards,CAST(sum(touchdown) AS BIGINT) AS touchdowns FROM plays WHERE rusher_player_id IS NOT NULL GROUP BY ALL""", "yards", "plays")
 def _(t):
-    plays = t.as_plays(T.with_origin(t.stream("lineitem")), "origin").withColumn("yards", F.col("rushing_yards"))
-    root = shared_dir(t.spark, "running")
-    _run(T.share_sink(plays, f"{root}/table", f"{root}/checkpoint", lambda b: T.player_week_shares(b, "rusher_player_id")))
-    return T.merged_sums(t.spark.read.parquet(f"{root}/table"), ID, ["plays", "yards", "touchdowns"])
+    plays = t.as_plays(zoned(t.raw("lineitem"))).where(F.col("rusher_player_id").isNotNull())
+    plays = plays.select("ts", "season", "week", F.col("rusher_player_id").alias("player_id"), F.col("rushing_yards").alias("yards"), F.col("touchdown").alias("touchdowns"))
+    root, sums, width = shared_dir(t.spark, "running"), ["yards", "touchdowns"], 28 * DAY
+    totals = ST.windowed_totals(t.arrivals(plays, "running-in", "ts"), "ts", width, "100 days", ID, sums)
+    table = VersionedTable(t.spark, f"{root}/table", "part")
+    _run(ST.totals_sink(totals, table, f"{root}/late", f"{root}/checkpoint", ["window", "bucket", *ID], width))
+    late = t.spark.read.schema(totals.drop("late").schema).parquet(f"{root}/late")
+    merged = ST.merged_totals(table.read(), late, ID, sums)
+    return merged.select(*ID, F.col("n").alias("plays"), "yards", F.col("touchdowns").cast("long").alias("touchdowns"))
 
 
 @query("T02_unique_plays", """SELECT game_id,play_id FROM plays GROUP BY ALL""", "", "plays")
 def _(t):
-    plays = t.as_plays(T.with_origin(t.stream("lineitem")), "origin")
-    root = shared_dir(t.spark, "unique")
-    _run(T.share_sink(plays, f"{root}/table", f"{root}/checkpoint", lambda b: b.select("origin", "game_id", "play_id").distinct()))
-    return t.spark.read.parquet(f"{root}/table").select("game_id", "play_id").distinct()
+    plays = t.as_plays(zoned(t.raw("lineitem"))).select(F.date_trunc("day", F.min("ts").over(Window.partitionBy("game_id", "play_id"))).alias("ts"), "game_id", "play_id")
+    root, by, width = shared_dir(t.spark, "unique"), ["game_id", "play_id"], 28 * DAY
+    rows = ST.first_rows(t.arrivals(plays, "unique-in", "ts"), "ts", width, "100 days", by)
+    _run(ST.rows_sink(rows, f"{root}/rows", f"{root}/late", f"{root}/checkpoint"))
+    read = lambda name: t.spark.read.schema(rows.drop("late").schema).parquet(f"{root}/{name}")
+    return ST.merged_rows(read("rows"), read("late"), by)
 
 
 @query("T03_idempotent_upsert", """SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",event_type,count(*) AS n,sum(value) AS total FROM events GROUP BY ALL""", "total")
 def _(t):
+    events = zoned(t.raw("events")).select("ts", "event_type", F.col("value").alias("total"))
     root = shared_dir(t.spark, "idempotent")
-    per_day = lambda b: b.groupBy("origin", F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    for run in (1, 2):  # the same input once more, as after a lost checkpoint
-        _run(T.share_sink(T.with_origin(t.stream("events")), f"{root}/table", f"{root}/checkpoint-{run}", per_day))
-    shares = t.spark.read.schema("day string, event_type string, n long, total double, origin string").parquet(f"{root}/table")
-    return T.merged_sums(shares, ["day", "event_type"], ["n", "total"])
+    totals = ST.windowed_totals(t.arrivals(events, "idempotent-in", "ts"), "ts", DAY, "1 day", ["event_type"], ["total"])
+    table = VersionedTable(t.spark, f"{root}/table", "part")
+    died = {"left": 1}
+
+    def dies_once(batch_id):  # after the upsert, before the batch counts as done
+        if batch_id == 2 and died["left"]:
+            died["left"] = 0
+            raise RuntimeError("died after the upsert of a batch")
+
+    sink = lambda: ST.totals_sink(totals, table, f"{root}/late", f"{root}/checkpoint", ["window", "bucket", "event_type"], DAY, after=dies_once)
+    try:
+        _run(sink())
+    except Exception:  # noqa: BLE001
+        if died["left"]:
+            raise
+        _run(sink())  # the batch runs again
+    late = t.spark.read.schema(totals.drop("late").schema).parquet(f"{root}/late")
+    merged = ST.merged_totals(table.read(), late, ["window", "event_type"], ["total"])
+    return merged.select(F.to_date(F.timestamp_seconds("window")).cast("string").alias("day"), "event_type", "n", "total")
 
 
 @query("T04_late_repair", """SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",count(*) AS n,sum(value) AS total FROM events GROUP BY ALL""", "total")
 def _(t):
     root = shared_dir(t.spark, "late")
-    events = zoned(t.raw("events"))
+    events = zoned(t.raw("events")).select("ts", "event_id", F.col("value").alias("total"))
     late = F.col("event_id") % 10 == 3
     events.where(~late).write.parquet(f"{root}/in/a")
-    aggs = {"n": F.count(F.lit(1)), "total": F.sum("value")}
-    source = lambda: t.spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
-    run = lambda: _run(T.append_sink(T.completed_windows(source(), "ts", "1 day", "1 day", [], aggs), f"{root}/out", f"{root}/checkpoint"))
+    source = t.spark.readStream.schema(events.schema).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    totals = ST.windowed_totals(source, "ts", DAY, "1 day", [], ["total"])
+    table = VersionedTable(t.spark, f"{root}/table", "part")
+    run = lambda: _run(ST.totals_sink(totals, table, f"{root}/late", f"{root}/checkpoint", ["window", "bucket"], DAY))
     run()
     events.where(late).write.parquet(f"{root}/in/b")
-    run()  # the watermark drops plays of closed days
-    day = F.to_date("window_start").cast("string").alias("day")
-    written = t.spark.read.parquet(f"{root}/out").select(day, "n", "total")
-    full = events.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    fix = T.repair_windows(written, full, ["day"])
-    return S.upserted(written, fix, ["day"])
+    run()  # days that are closed by now get side rows
+    side = t.spark.read.schema(totals.drop("late").schema).parquet(f"{root}/late")
+    written = table.read().groupBy("window").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    days = S.upserted(written, ST.repaired(table.read(), side, ["window"], ["total"]), ["window"])
+    return days.select(F.to_date(F.timestamp_seconds("window")).cast("string").alias("day"), "n", "total")
 
 
 @query("T05_prediction_monitor", """WITH e AS (SELECT ts,value AS actual,CASE WHEN event_id%20<>0 THEN value*0.9+1 END AS pred FROM events) SELECT CAST(date_trunc('day',ts) AS DATE)::VARCHAR AS "day",count(*) AS n,avg(CAST(pred IS NULL AS INT)) AS null_rate,avg(pred) AS mean_prediction,stddev_pop(pred) AS std_prediction,sqrt(avg(pow(actual-pred,2))) AS rmse,

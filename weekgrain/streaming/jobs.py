@@ -12,11 +12,6 @@ from weekgrain.keys import KEYS, Keys
 from weekgrain.sources.ingest import overwrite_partitions, upsert_table
 
 
-def unique_plays(plays: DataFrame, time: str = "ts", delay: str = "7 days", by: Sequence[str] = ("game_id", "play_id")) -> DataFrame:
-    """Drops repeats of a play that arrive within the delay; state older than that is released."""
-    return plays.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(by))
-
-
 def running_player_weeks(plays: DataFrame, player: str, time: str = "ts", delay: str = "400 days", keys: Keys = KEYS) -> DataFrame:
     """Running sums per player-week. The event-time day is part of the key so that state can expire with the watermark."""
     return (plays.where(F.col(player).isNotNull()).withWatermark(time, delay)
@@ -125,14 +120,3 @@ def repair_windows(written: DataFrame, full: DataFrame, keys: Sequence[str]) ->
     for c in values:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     return full.join(old, list(keys), "left").where(~same).select(*full.columns)
-
-
-def monitor(events: DataFrame, time: str = "ts", width: str = "1 day", delay: str = "1 day", pred: str = "pred", actual: str = "actual",
-            reference_mean: float = 0.0, reference_rmse: float = 0.0, mean_limit: float = 0.25, rmse_limit: float = 0.2) -> DataFrame:
-    """Null rate, mean, spread and RMSE of predictions per tumbling window, with alert flags."""
-    e = F.col(actual) - F.col(pred)
-    agg = events.withWatermark(time, delay).groupBy(F.window(time, width).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col(pred).isNull().cast("int")).alias("null_rate"), F.avg(pred).alias("mean_prediction"),
-        F.stddev_pop(pred).alias("std_prediction"), F.sqrt(F.avg(e * e)).alias("rmse"))
-    out = agg.select(F.col("w.start").alias("window_start"), "n", "null_rate", "mean_prediction", "std_prediction", "rmse")
-    return _alerts(out, reference_mean, reference_rmse, mean_limit, rmse_limit)
