@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weekgrain import config as C
 from weekgrain.functions.order_stats import quantiles
+from weekgrain.operators import boosting as B
 from weekgrain.operators import evaluate as E
 from weekgrain.operators import features as W
 from weekgrain.operators import fit as U
@@ -325,6 +326,23 @@ def _(t):
     return M.weekly_refit(_history(t), [ONE], "fantasy_points", 1999).select(*ID, "predicted_points")
 
 
+CUTS = [50.0, 100.0, 150.0, 200.0, 300.0]
+
+
+@query("E16_weekly_refit_stump", f"""WITH {HSQL}, r AS (SELECT *,season*100+"week" AS pd,len(list_filter({CUTS}::DOUBLE[],lambda e: e<x2)) AS b FROM hx WHERE x2 IS NOT NULL), f AS (SELECT DISTINCT pd AS fold FROM r WHERE season=2001),
+ h AS (SELECT {P4},fold,b,count(*) AS n,sum(fantasy_points) AS s FROM r JOIN f ON pd<fold GROUP BY ALL), c AS (SELECT *,sum(n) OVER w AS ln,sum(s) OVER w AS ls,sum(n) OVER z AS tn,sum(s) OVER z AS ts FROM h WINDOW w AS (PARTITION BY {P4},fold ORDER BY b),z AS (PARTITION BY {P4},fold)),
+ g AS (SELECT *,row_number() OVER (PARTITION BY {P4},fold ORDER BY CASE WHEN tn>ln THEN pow(ls-ts/tn*ln,2)/ln+pow(ls-ts/tn*ln,2)/(tn-ln) ELSE -1 END DESC,b) AS k FROM c)
+ SELECT player_id,season,"week",r.{P4},CASE WHEN tn=ln THEN ts/tn WHEN r.b<=g.b THEN ls/ln ELSE (ts-ls)/(tn-ln) END AS predicted_points FROM r JOIN g ON g.{P4}=r.{P4} AND g.fold=r.pd AND g.k=1""", "predicted_points")
+def _(t):
+    edges = {p: {ONE: CUTS} for p in C.POSITIONS}
+    return B.weekly_boosted(_history(t), [ONE], "fantasy_points", 2001, edges=edges, trees=1, depth=1, rate=1.0, ridge=0.0, min_rows=1).select(*ID, "position", "predicted_points")
+
+
+@query("E16_weekly_refit_boosted")
+def _(t):
+    return B.weekly_boosted(_history(t), HIST, "fantasy_points", 2001, trees=6, depth=2).select(*ID, "position", "predicted_points")
+
+
 @query("E24_training_windows_single", f"""WITH {HSQL}, mo AS (SELECT {P4},season,count(*) AS n,sum(x2) AS sx,sum(fantasy_points) AS sy,sum(x2*x2) AS sxx,sum(x2*fantasy_points) AS sxy,sum(fantasy_points*fantasy_points) AS syy FROM hx WHERE x2 IS NOT NULL GROUP BY ALL),
  k AS (SELECT unnest([1,2,3]) AS y), tr AS (SELECT te.{P4},te.season,y,sum(tn.n) AS n,sum(tn.sx) AS sx,sum(tn.sy) AS sy,sum(tn.sxx) AS sxx,sum(tn.sxy) AS sxy FROM mo te,k,mo tn WHERE te.season>=1999 AND tn.{P4}=te.{P4} AND tn.season<te.season AND tn.season>=te.season-y GROUP BY ALL),
  b AS (SELECT *, (sxy/n-sx/n*sy/n)/((sxx/n-sx/n*sx/n)*(1+1.0/n)) AS b FROM tr), e AS (SELECT b.{P4},y,b.season,sqrt((te.syy+pow(b.sy/b.n-b.b*b.sx/b.n,2)*te.n+b.b*b.b*te.sxx-2*(b.sy/b.n-b.b*b.sx/b.n)*te.sy-2*b.b*te.sxy+2*(b.sy/b.n-b.b*b.sx/b.n)*b.b*te.sx)/te.n) AS r FROM b JOIN mo te ON te.{P4}=b.{P4} AND te.season=b.season),
