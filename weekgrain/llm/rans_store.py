@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ BLOCKS = ("part int, first long, n int, lanes int, words binary, states binary,
 ODD_SPACE = (b"  ", b" \n", b"\n ", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
 CONTROLS = bytes(range(10)) + bytes(range(11, 32))
 CACHE = 800_000
+GATHERED = 1 << 20  # characters
 
 
 class Encoder:
@@ -79,8 +81,6 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> None:
         """Parts that begin with a space are encoded joined, and told apart by the ids that begin with one."""
-        if len(self.parts) + len(missing) > CACHE:
-            self.parts = {"": b""}
         spaced = [p for p in missing if p[0] == " " and len(p) > 1]
         self.parts.update((p, self.whole(p)) for p in missing if not (p[0] == " " and len(p) > 1))
         for i in range(0, len(spaced), 512):
@@ -95,20 +95,34 @@ class Encoder:
                     continue
             self.parts.update((p, self.whole(p)) for p in batch)
 
-    def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers."""
-        raw = text.encode()
-        if len(raw.translate(None, CONTROLS)) != len(raw) or any(o in raw for o in ODD_SPACE):
-            return self.whole(text)
-        words = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(self.parts.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self.parts})
-            missing = {w for w in words if w not in self.parts}
-            if missing:  # the cache was emptied between
+    def encode_all(self, texts):
+        """Yields the ids of each text as little-endian unsigned 32-bit integers; the words of about GATHERED characters are looked up together."""
+        held, size = [], 0
+
+        def done():
+            wanted = set(chain.from_iterable(x for x in held if isinstance(x, list)))
+            missing = wanted.difference(self.parts)
+            if len(self.parts) + len(missing) > CACHE:
+                self.parts = {"": b""}
+                missing = wanted.difference(self.parts)
+            if missing:
                 self.learn(missing)
-            return b"".join(map(self.parts.__getitem__, words))
+            known = self.parts.__getitem__
+            for x in held:
+                yield b"".join(map(known, x)) if isinstance(x, list) else self.whole(x)
+
+        for text in texts:
+            raw = text.encode()
+            odd = len(raw.translate(None, CONTROLS)) != len(raw) or any(o in raw for o in ODD_SPACE)
+            held.append(text if odd else text.replace(" ", "\0 ").split("\0"))
+            size += len(text)
+            if size >= GATHERED:
+                yield from done()
+                held, size = [], 0
+        yield from done()
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -280,7 +294,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc
             held, names, sizes, size = [], [], [], 0
 
         for b in batches:
-            for d, raw in zip(b.column(0).to_pylist(), map(enc.encode, text_list(b.column(1)))):
+            for d, raw in zip(b.column(0).to_pylist(), enc.encode_all(text_list(b.column(1)))):
                 n = len(raw) // 4 + 1
                 if held and size + n > BLOCK_IDS:
                     cut()
