@@ -273,7 +273,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = docs.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def cut_up(batches):
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
