@@ -128,11 +128,12 @@ def top_hits(df: DataFrame, groups: Sequence[str], tops: Sequence[int] = (5, 10,
     return size.join(hits, g, "left").select(*g, "n", *[F.when(F.col("n") >= n, F.coalesce(F.col(f"_h{n}"), F.lit(0)) / float(n) * 100).alias(f"top_{n}_hit_rate") for n in tops])
 
 
-def top_performers(df: DataFrame, n: int = 10, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS) -> DataFrame:
-    """Season totals of the n best of each position with the rank the predictions gave them."""
-    totals = df.groupBy(keys.group, keys.entity, "name").agg(F.sum(actual).alias("actual_total"), F.sum(pred).alias("predicted_total"))
-    r = with_ranks(totals, [([keys.group], "actual_total", "actual_rank", "average", False), ([keys.group], "predicted_total", "pred_rank", "average", False)])
-    return first_rows(r, [keys.group], [F.col("actual_rank"), F.col(keys.entity)], n).drop("_pos")
+def top_performers(df: DataFrame, n: int = 10, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Totals of the n best of each position (and ``by``, for instance the season) with the rank the predictions gave them."""
+    inside = [*by, keys.group]
+    totals = df.groupBy(*inside, keys.entity, "name").agg(F.sum(actual).alias("actual_total"), F.sum(pred).alias("predicted_total"))
+    r = with_ranks(totals, [(inside, "actual_total", "actual_rank", "average", False), (inside, "predicted_total", "pred_rank", "average", False)])
+    return first_rows(r, inside, [F.col("actual_rank"), F.col(keys.entity)], n).drop("_pos")
 
 
 def biggest_misses(df: DataFrame, n: int = 10, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS) -> DataFrame:
@@ -278,9 +279,10 @@ def outlier_report(df: DataFrame, columns: Sequence[str], sigma: float = 3.0) ->
 
 
 def season_error_totals(df: DataFrame, top: int = 200, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS) -> DataFrame:
-    """Predicted and actual season totals per player; the report keeps the largest actual totals."""
-    t = df.groupBy(keys.entity, "name", keys.group).agg(F.sum(pred).alias("predicted_total"), F.sum(actual).alias("actual_total"), F.count(F.lit(1)).alias("games"))
-    return t.withColumn("error", F.col("predicted_total") - F.col("actual_total")).orderBy(F.round("actual_total", 9).desc(), keys.entity).limit(top)
+    """Predicted and actual totals per player and season; the report keeps the largest actual totals of each season."""
+    t = df.groupBy(keys.season, keys.entity, "name", keys.group).agg(F.sum(pred).alias("predicted_total"), F.sum(actual).alias("actual_total"), F.count(F.lit(1)).alias("games"))
+    t = t.withColumn("error", F.col("predicted_total") - F.col("actual_total"))
+    return first_rows(t, [keys.season], [F.round("actual_total", 9).desc(), F.col(keys.entity)], top).drop("_pos")
 
 
 # --- leaks ---------------------------------------------------------------------------------------------------------
@@ -320,6 +322,33 @@ def moment_drift(current: DataFrame, reference: DataFrame, column: str, groups:
         "null_alert": flag(F.col("batch_null_rate") > null_limit), "mean_alert": flag(F.col("mean_drift") > mean_limit), "std_alert": flag(F.col("std_drift") > std_limit)})
 
 
+def error_drift(current: DataFrame, reference: DataFrame, groups: Sequence[str] = (), limit: float = 0.25, min_rows: int = 5, actual: str = ACTUAL, pred: str = PRED) -> DataFrame:
+    """RMSE and MAE of a batch against the reference's RMSE, flagged where it grew by more than ``limit``.
+
+    Rows count whose prediction and outcome are both known and finite; groups with fewer than ``min_rows`` of them are left out, a group
+    that the reference does not hold (or holds without error) has no degradation.
+    """
+    g = list(groups)
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < F.lit(float("inf")))
+    known = lambda df: df.where(finite(actual) & finite(pred)).withColumn("_e", F.col(actual) - F.col(pred)).groupBy(*g)
+    now = known(current).agg(F.count("_e").alias("n_rows"), F.sqrt(F.avg(F.pow("_e", F.lit(2)))).alias("rmse"), F.avg(F.abs("_e")).alias("mae")).where(F.col("n_rows") >= min_rows)
+    past = known(reference).agg(F.sqrt(F.avg(F.pow("_e", F.lit(2)))).alias("reference_rmse"))
+    j = now.join(past, g, "left") if g else now.join(F.broadcast(past))  # one row
+    worse = F.when(F.col("reference_rmse") > 0, (F.col("rmse") - F.col("reference_rmse")) / F.col("reference_rmse"))
+    return j.withColumn("degradation", worse).withColumn("rmse_alert", F.coalesce(F.col("degradation") > limit, F.lit(False)).cast("int"))
+
+
+def r2_pivot(df: DataFrame, cells: Mapping[str, tuple[str, str]], groups: Sequence[str] = ("position",)) -> DataFrame:
+    """One row per group and one R2 column per cell (a model and horizon), all from one aggregate. ``cells``: name -> (actual, prediction)."""
+    out = []
+    for name, (actual, pred) in cells.items():
+        y, p = F.col(actual).cast("double"), F.col(pred).cast("double")
+        both = y.isNotNull() & p.isNotNull()
+        spread = F.var_pop(F.when(both, y))
+        out.append(F.when(spread > 0, 1 - F.avg(F.when(both, F.pow(y - p, F.lit(2)))) / spread).alias(name))
+    return df.groupBy(*groups).agg(*out)
+
+
 def ks_p_value(d: Column, n: Column) -> Column:
     """Asymptotic two-sided p of a Kolmogorov-Smirnov distance with effective size n."""
     lam = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * d

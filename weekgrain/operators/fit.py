@@ -123,11 +123,12 @@ def recency_weights(df: DataFrame, n_weeks: int = 1, keys: Keys = KEYS) -> DataF
 
 
 # --- priors -------------------------------------------------------------------------------------
-def shrink_to_position(df: DataFrame, column: str, games: str, weight: float = 0.3, keys: Keys = KEYS) -> DataFrame:
-    """Pulls a value toward its position's mean, less so with more games."""
-    means = df.groupBy(keys.group).agg(F.avg(column).alias("_mean"))
+def shrink_to_position(df: DataFrame, column: str, games: str, weight: float = 0.3, keys: Keys = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Pulls a value toward the mean of its position (and ``by``, for instance the season), less so with more games."""
+    inside = [*by, keys.group]
+    means = df.groupBy(*inside).agg(F.avg(column).alias("_mean"))
     k = F.lit(weight) / (1 + F.col(games) / 4.0)
-    return df.join(means, keys.group).withColumn(f"{column}_shrunk", (1 - k) * F.col(column) + k * F.col("_mean")).drop("_mean")
+    return df.join(means, inside).withColumn(f"{column}_shrunk", (1 - k) * F.col(column) + k * F.col("_mean")).drop("_mean")
 
 
 # fixed values: prior standard deviation of weekly points
@@ -359,25 +360,40 @@ CORE = {"RB": ["snap_share", "rush_share", "target_share", "redzone_share"], "WR
 FLOOR = 0.03
 
 
-def with_floor(weights: Mapping[str, float], core: Sequence[str], floor: float = FLOOR) -> dict[str, float]:
-    """Normalised weights in which every core component has at least the floor; the excess is scaled down to fit."""
+def normalised(weights: Mapping[str, float]) -> dict[str, float]:
     total = sum(max(v, 0.0) for v in weights.values())
-    w = {k: max(v, 0.0) / total if total > 0 else 0.0 for k, v in weights.items()}
+    return {k: max(v, 0.0) / total if total > 0 else 0.0 for k, v in weights.items()}
+
+
+def with_floor(weights: Mapping[str, float], core: Sequence[str], floor: float = FLOOR, default: Mapping[str, float] | None = None) -> dict[str, float]:
+    """Normalised weights in which every core component has at least the floor; the excess is scaled down to fit.
+
+    Weights that are all zero take the shape of ``default`` (equal shares without one), and so do floors that leave no room.
+    """
+    w = normalised(weights)
+    shape = normalised(default or dict.fromkeys(w, 1.0))
     held = {k: floor if k in core else 0.0 for k in w}
     room, extra = 1.0 - sum(held.values()), {k: max(w[k] - held[k], 0.0) for k in w}
+    if room <= 0:
+        return shape
     spare = sum(extra.values())
     if spare <= 0:
-        return {k: held[k] + room / len(w) for k in w}
+        return normalised({k: max(shape.get(k, 0.0), held[k]) for k in w})
     return {k: held[k] + extra[k] * room / spare for k in w}
 
 
-def fit_utilization_weights(train: DataFrame, target: str, alpha: float | None = None, min_rows: int = 100,
+def fit_utilization_weights(train: DataFrame, target: str | None = None, alpha: float = 1.0, tune: bool = False, min_rows: int = 200, min_known: int = 100,
                             alphas: Sequence[float] = (0.1, 0.5, 1.0, 2.0, 5.0), folds: int = 3, keys: Keys = KEYS) -> dict[str, dict[str, float]]:
-    """Non-negative component weights per position, penalty chosen on the last seasons unless given.
+    """Non-negative component weights per position; with ``tune`` the penalty is chosen on the last seasons.
 
-    One scan collects the moments of all components by position and season; positions, folds and
-    penalties read blocks and sums of them.
+    The target is next week's usage where the table has it, else next week's points. A position needs ``min_rows`` rows, and ``min_known`` whose target
+    is known and not negative; others keep the default weights, as all do without a target. One scan collects the moments of all components by position
+    and season; positions, folds and penalties read blocks and sums of them.
     """
+    target = target if target in train.columns else next((c for c in ("target_util_1w", "target_1w") if c in train.columns), None)
+    if target is None:
+        return {p: dict(C.UTILIZATION_WEIGHTS[p]) for p in C.COMPONENT_COLUMNS}
+    sizes = {r[0]: r[1] for r in train.groupBy(keys.group).agg(F.count("*")).collect()}  # positions
     cols = sorted({c for comp in C.COMPONENT_COLUMNS.values() for c in comp.values()})
     held = train.withColumns({c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.col(c), F.lit(0.0)))) for c in cols}
                              | {target: F.when(F.col(target) >= 0, F.col(target))})
@@ -386,10 +402,10 @@ def fit_utilization_weights(train: DataFrame, target: str, alpha: float | None =
     for pos, comp in C.COMPONENT_COLUMNS.items():
         block = np.ix_(*[[0, *[1 + cols.index(c) for c in comp.values()], len(cols) + 1]] * 2)
         grams = Grams(list(comp.values()), {k[1:]: g[block] for k, g in every.table.items() if k[0] == pos})
-        chosen = alpha if alpha is not None else _best_alpha(grams, alphas, folds, _normal_weights)
+        chosen = _best_alpha(grams, alphas, folds, _normal_weights) if tune else alpha
         full = grams.total(lambda k: True)
-        w = _normal_weights(full, chosen) if full[0, 0] >= min_rows else None
-        out[pos] = dict(C.UTILIZATION_WEIGHTS[pos]) if w is None else with_floor(dict(zip(comp, w)), CORE[pos])
+        w = _normal_weights(full, chosen) if sizes.get(pos, 0) >= min_rows and full[0, 0] >= min_known else None
+        out[pos] = dict(C.UTILIZATION_WEIGHTS[pos]) if w is None else with_floor(dict(zip(comp, w)), CORE[pos], default=C.UTILIZATION_WEIGHTS[pos])
     return out
 
 
@@ -433,6 +449,12 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.
     return corr, np.diag(cov)
 
 
+def varying(df: DataFrame, columns: Sequence[str], threshold: float = 0.01) -> list[str]:
+    """Columns whose variance is above the threshold (nulls count as zero), from one scan."""
+    row = df.agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"v_{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if (row[f"v_{i}"] or 0.0) > threshold]
+
+
 def drop_correlated(columns: Sequence[str], corr: np.ndarray, var: np.ndarray, threshold: float = 0.92) -> list[str]:
     """Of every too similar pair or bundle only the column with the largest variance stays."""
     gone = set()
@@ -473,6 +495,26 @@ def adaptive_count(n_rows: int, default: int = 50) -> int:
     return min(default, max(20, int(n_rows ** 0.5)))
 
 
+def select_features(df: DataFrame, columns: Sequence[str], target: str, variance: float = 0.01, correlation: float = 0.92, inflation: float = 10.0, default: int = 50) -> DataFrame:
+    """One row per column: whether it survives each step (variance, correlation, inflation), its F score, and whether it is selected.
+
+    Of the columns that survive, as many as the number of rows allows (:func:`adaptive_count`) are selected, by F score, then name.
+    """
+    varied = varying(df, columns, variance)
+    corr, var = correlations(df, varied)
+    kept = drop_correlated(varied, corr, var, correlation)
+    at = [varied.index(c) for c in kept]
+    inner, spread = corr[np.ix_(at, at)], var[at]
+    vif = variance_inflation(kept, inner, spread)
+    left = prune_by_inflation(kept, inner, spread, inflation)
+    scores = {r["feature"]: (r["f_score"], r["n"]) for r in target_scores(df, list(columns), target).collect()}  # one row per column
+    score = lambda c: scores[c][0] if scores[c][0] is not None else float("-inf")
+    n_rows = max((n for _, n in scores.values()), default=0)
+    chosen = set(sorted(left, key=lambda c: (-score(c), c))[:adaptive_count(n_rows, default)])
+    rows = [(c, c in varied, c in kept, float(vif[c]) if c in kept else None, c in left, None if scores[c][0] is None else float(scores[c][0]), c in chosen) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, varied boolean, kept boolean, vif double, not_inflated boolean, f_score double, selected boolean")
+
+
 def target_scores(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, correlation, f_score) of every column against the target, in one scan."""
     row = df.where(F.col(target).isNotNull())

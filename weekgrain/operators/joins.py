@@ -167,12 +167,17 @@ def roster_changes(rosters: DataFrame, previous: int, current: int, every_kind:
     return out.where(F.col("change_type").isNotNull() if every_kind else F.col("change_type") == "Team Change")
 
 
-def with_current_team(rows: DataFrame, rosters: DataFrame, season: int, keys: Keys = KEYS) -> DataFrame:
-    """Roster team of the season replaces the stored one; next season's team is attached."""
-    now = rosters.where(F.col(keys.season) == season).select(keys.entity, F.col(keys.team).alias("_now"))
-    after = rosters.where(F.col(keys.season) == season + 1).select(keys.entity, F.col(keys.team).alias("team_next_season"))
-    return (rows.join(now, keys.entity, "left").join(after, keys.entity, "left")
-            .withColumn(keys.team, F.coalesce("_now", keys.team)).drop("_now"))
+def with_current_team(rows: DataFrame, rosters: DataFrame, season: int | None = None, keys: Keys = KEYS) -> DataFrame:
+    """Roster team of the season replaces the stored one; the team of the season after it is attached.
+
+    Without a season every row meets the roster of the season that follows its own. ``rosters``: one row per (player, season).
+    """
+    at = F.col(keys.season) + 1 if season is None else F.lit(season)
+    now = rosters.select(keys.entity, F.col(keys.season).alias("_at"), F.col(keys.team).alias("_now"))
+    after = rosters.select(keys.entity, (F.col(keys.season) - 1).alias("_at"), F.col(keys.team).alias("team_next_season"))
+    both = now.join(after, [keys.entity, "_at"], "full")
+    return (rows.withColumn("_at", at).join(both, [keys.entity, "_at"], "left")
+            .withColumn(keys.team, F.coalesce("_now", keys.team)).drop("_at", "_now"))
 
 
 # --- injuries -------------------------------------------------------------------------------------

@@ -58,9 +58,10 @@ def value_over_nth(panel: DataFrame, season: int, min_games: int = 8, ranks: Map
     return totals.join(line, keys.group).withColumn("vor", F.col("ppg") - F.col("replacement_ppg"))
 
 
-def season_totals(rows: DataFrame, keys: Keys = KEYS, extra: Mapping[str, Column] | None = None) -> DataFrame:
+def season_totals(rows: DataFrame, keys: Keys = KEYS, extra: Mapping[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Totals per player (and per value of ``by``, for instance the season)."""
     fp = F.col("fantasy_points")
-    return rows.groupBy(keys.entity, "name", keys.team, keys.group).agg(
+    return rows.groupBy(*by, keys.entity, "name", keys.team, keys.group).agg(
         F.sum(fp).alias("total_fp"), F.count(fp).alias("games_played"), F.avg(fp).alias("ppg"),
         F.coalesce(F.stddev_samp(fp), F.lit(0.0)).alias("fp_std"), *[c.alias(n) for n, c in (extra or {}).items()])
 
@@ -447,11 +448,11 @@ def head_to_head(panel: DataFrame, first, second, season: int, score: str, weeks
 
 
 # --- draft board -----------------------------------------------------------------------------------------------------------
-def risk_scores(agg: DataFrame, keys: Keys = KEYS) -> DataFrame:
-    """0..100 risk: volatility 30, variation 25, inconsistency 25, missed games 20, scaled inside the position."""
+def risk_scores(agg: DataFrame, keys: Keys = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """0..100 risk: volatility 30, variation 25, inconsistency 25, missed games 20, scaled inside the position (and ``by``)."""
     cols = ["vol_mean", "cv_mean", "consistency_mean", "games_played"]
-    lim = agg.groupBy(keys.group).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    df = agg.join(lim, keys.group)
+    lim = agg.groupBy(*by, keys.group).agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
+    df = agg.join(lim, [*by, keys.group])
     lo, hi = (lambda c: F.col(f"_lo_{c}")), (lambda c: F.col(f"_hi_{c}"))
     scaled = lambda c: (F.col(c) - lo(c)) / F.when(hi(c) > lo(c), hi(c) - lo(c)).otherwise(1.0)
     missing = lambda c: F.when(hi(c) > 0, 1 - F.col(c) / hi(c)).otherwise(0.0)
@@ -459,10 +460,10 @@ def risk_scores(agg: DataFrame, keys: Keys = KEYS) -> DataFrame:
     return df.withColumn("risk_score", clip(score, 0.0, 100.0)).drop(*[f"_{n}_{c}" for n in ("lo", "hi") for c in cols])
 
 
-def draft_board(agg: DataFrame, projection: str | None = None, keys: Keys = KEYS) -> DataFrame:
-    """Draft order per position with totals, per-game values and +-1.5 sd over 17 games."""
+def draft_board(agg: DataFrame, projection: str | None = None, keys: Keys = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Draft order per position (and ``by``) with totals, per-game values and +-1.5 sd over 17 games."""
     order = F.coalesce(-F.round(F.col(projection or "ppg"), 9), F.lit(float("inf")))
-    df = place(agg, [keys.group], [order, F.col(keys.entity)], "adp")
+    df = place(agg, [*by, keys.group], [order, F.col(keys.entity)], "adp")
     if projection:
         p, band = F.col(projection), 1.5 * F.col("fp_std") * 17.0 ** 0.5
         df = df.withColumns({"projection_points_per_game": p / 17, "projection_floor": F.when(F.col("fp_std") > 0, F.greatest(p - band, F.lit(0.0))),
@@ -499,9 +500,9 @@ def roster_needs(rosters: DataFrame, roster: list[str], points: str = "projected
                             "priority": F.when(short, F.when(F.col("current") == 0, "High").otherwise("Medium"))})
 
 
-def depth_chart(rosters: DataFrame, order: list[Column], keys: Keys = KEYS) -> DataFrame:
-    """Depth rank inside (team, position) and the usage expected at that depth."""
-    df = place(rosters, [keys.team, keys.group], order, "depth_rank")
+def depth_chart(rosters: DataFrame, order: list[Column], keys: Keys = KEYS, by: Sequence[str] = ()) -> DataFrame:
+    """Depth rank inside (team, position), or those of each ``by``, and the usage expected at that depth."""
+    df = place(rosters, [*by, keys.team, keys.group], order, "depth_rank")
     r = F.col("depth_rank")
     use = lambda t: F.coalesce(F.get(F.array(*[F.lit(x) for x in t[0]]), (r - 1).cast("int")), F.lit(t[1]))
     return df.withColumn("expected_utilization", lookup(F.col(keys.group), {p: use(t) for p, t in DEPTH_USAGE.items()}, 0.0))

@@ -97,11 +97,11 @@ def _(t):
     return E.top_hits(t.predictions, ["position", "season", "week"])
 
 
-@query("E08_top_performers", f"""WITH s AS (SELECT {P4},player_id,name,sum(fantasy_points) AS actual_total,sum(predicted_points) AS predicted_total FROM preds WHERE season=1999 GROUP BY ALL),
- r AS (SELECT *, {AR('-actual_total', P4)} AS actual_rank,{AR('-predicted_total', P4)} AS pred_rank FROM s) SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {P4} ORDER BY actual_rank,player_id) AS rn FROM r) WHERE rn<=10""",
+@query("E08_top_performers", f"""WITH s AS (SELECT season,{P4},player_id,name,sum(fantasy_points) AS actual_total,sum(predicted_points) AS predicted_total FROM preds GROUP BY ALL),
+ r AS (SELECT *, {AR('-actual_total', 'season,' + P4)} AS actual_rank,{AR('-predicted_total', 'season,' + P4)} AS pred_rank FROM s) SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY season,{P4} ORDER BY actual_rank,player_id) AS rn FROM r) WHERE rn<=10""",
        "actual_total predicted_total actual_rank pred_rank", "preds")
 def _(t):
-    return E.top_performers(t.predictions.where(F.col("season") == 1999))
+    return E.top_performers(t.predictions, by=["season"])
 
 
 @query("E08_biggest_misses", f"SELECT player_id,season,\"week\",fantasy_points,predicted_points,round({E_},9) AS error FROM preds ORDER BY abs(round({E_},9)) DESC,player_id,season,\"week\" LIMIT 10", "fantasy_points predicted_points error", "preds")
@@ -241,9 +241,9 @@ def _(t):
     return E.outlier_report(t.panel, ["fantasy_points", "targets", "air_yards"])
 
 
-@query("E26_season_error_totals", f"""WITH s AS (SELECT player_id,name,{P4},sum(predicted_points) AS predicted_total,sum(fantasy_points) AS actual_total,count(*) AS games FROM preds WHERE season=1998 GROUP BY ALL) SELECT *, predicted_total-actual_total AS error FROM s ORDER BY round(actual_total,9) DESC,player_id LIMIT 200""", "predicted_total actual_total error", "preds")
+@query("E26_season_error_totals", f"""WITH s AS (SELECT season,player_id,name,{P4},sum(predicted_points) AS predicted_total,sum(fantasy_points) AS actual_total,count(*) AS games FROM preds GROUP BY ALL) SELECT *, predicted_total-actual_total AS error FROM s QUALIFY row_number() OVER (PARTITION BY season ORDER BY round(actual_total,9) DESC,player_id)<=200""", "predicted_total actual_total error", "preds")
 def _(t):
-    return E.season_error_totals(t.predictions.where(F.col("season") == 1998))
+    return E.season_error_totals(t.predictions)
 
 
 # --- folds ---------------------------------------------------------------------------------
@@ -296,6 +296,13 @@ def _(t):
     return E.suspicious_correlations(t.panel.withColumn("copy", F.col("fantasy_points") * 2 + 1), ["targets", "copy", "air_yards"])
 
 
+@query("E18_error_drift", f"""WITH e AS (SELECT season,{P4},fantasy_points-predicted_points AS e FROM preds), c AS (SELECT {P4},count(*) AS n_rows,sqrt(avg(e*e)) AS rmse,avg(abs(e)) AS mae FROM e WHERE season>=2000 GROUP BY ALL HAVING count(*)>=5), r AS (SELECT {P4},sqrt(avg(e*e)) AS reference_rmse FROM e WHERE season<2000 GROUP BY ALL)
+ SELECT *, (rmse-reference_rmse)/reference_rmse AS degradation,CAST(coalesce((rmse-reference_rmse)/reference_rmse>0.02,false) AS INT) AS rmse_alert FROM c LEFT JOIN r USING ({P4})""", "rmse mae reference_rmse degradation", "preds")
+def _(t):
+    p = t.predictions
+    return E.error_drift(p.where(F.col("season") >= 2000), p.where(F.col("season") < 2000), ["position"], limit=0.02)
+
+
 @query("E18_moment_drift", f"""WITH c AS (SELECT {P4},avg(CAST(predicted_points IS NULL AS INT)) AS batch_null_rate,avg(predicted_points) AS batch_mean,stddev_pop(predicted_points) AS batch_std FROM preds WHERE season=2001 GROUP BY ALL), r AS (SELECT {P4},avg(predicted_points) AS reference_mean,stddev_pop(predicted_points) AS reference_std FROM preds WHERE season<2000 GROUP BY ALL)
  SELECT *, abs(batch_mean-reference_mean)/reference_mean AS mean_drift,abs(batch_std-reference_std)/reference_std AS std_drift,CAST(batch_null_rate>0.05 AS INT) AS null_alert,CAST(abs(batch_mean-reference_mean)/reference_mean>0.25 AS INT) AS mean_alert,CAST(abs(batch_std-reference_std)/reference_std>0.5 AS INT) AS std_alert FROM c JOIN r USING ({P4})""",
        "batch_null_rate batch_mean batch_std reference_mean reference_std mean_drift std_drift", "preds")

@@ -81,8 +81,9 @@ def _(t):
 
 @query("U06_fitted_weights")
 def _(t):
-    p = TG.horizon_targets(_parts(t), (1,)).where(F.col("season") < 2000)
-    weights = U.fit_utilization_weights(p, "target_1w")
+    p = UT.utilization(t.panel, _bounds(t, _parts(t)))
+    p = TG.horizon_targets(p, (1,), usage="utilization_score").where(F.col("season") < 2000)
+    weights = U.fit_utilization_weights(p, tune=True)
     return t.spark.createDataFrame([(a, k, float(v)) for a, w in weights.items() for k, v in w.items()], "position string, component string, weight double")
 
 
@@ -135,10 +136,10 @@ def _(t):
     return U.player_effects(t.predictions.withColumn("residual", F.col("fantasy_points") - F.col("predicted_points")))
 
 
-@query("U12_shrunk_mean", f"""WITH s AS (SELECT player_id,{P4},avg(fantasy_points) AS ppg,count(*) AS games FROM panel WHERE season=2001 GROUP BY ALL) SELECT player_id,(1-0.3/(1+games/4.0))*ppg+0.3/(1+games/4.0)*avg(ppg) OVER (PARTITION BY {P4}) AS ppg_shrunk FROM s""", "ppg_shrunk")
+@query("U12_shrunk_mean", f"""WITH s AS (SELECT player_id,season,{P4},avg(fantasy_points) AS ppg,count(*) AS games FROM panel GROUP BY ALL) SELECT player_id,season,(1-0.3/(1+games/4.0))*ppg+0.3/(1+games/4.0)*avg(ppg) OVER (PARTITION BY season,{P4}) AS ppg_shrunk FROM s""", "ppg_shrunk")
 def _(t):
-    s = t.panel.where(F.col("season") == 2001).groupBy("player_id", "position").agg(F.avg("fantasy_points").alias("ppg"), F.count(F.lit(1)).alias("games"))
-    return U.shrink_to_position(s, "ppg", "games").select("player_id", "ppg_shrunk")
+    s = t.panel.groupBy("player_id", "season", "position").agg(F.avg("fantasy_points").alias("ppg"), F.count(F.lit(1)).alias("games"))
+    return U.shrink_to_position(s, "ppg", "games", by=["season"]).select("player_id", "season", "ppg_shrunk")
 
 
 @query("U13_player_embeddings")
@@ -167,13 +168,7 @@ def _(t):
 
 @query("U15_feature_selection")
 def _(t):
-    p = t.panel.where(F.col("season") < 2000)
-    corr, var = U.correlations(p, SEL)
-    kept = U.drop_correlated(SEL, corr, var, 0.92)
-    at = [SEL.index(c) for c in kept]
-    vif = U.variance_inflation(kept, corr[at][:, at], var[at])
-    left = set(U.prune_by_inflation(kept, corr[at][:, at], var[at]))
-    return t.spark.createDataFrame([(c, c in kept, float(vif.get(c, float("nan"))) if c in kept else None, c in left) for c in SEL], "feature string, kept boolean, vif double, selected boolean")
+    return U.select_features(t.panel.where(F.col("season") < 2000), SEL, "fantasy_points")
 
 
 MI = ["targets", "rushing_yards", "snap_count"]

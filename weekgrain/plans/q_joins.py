@@ -30,9 +30,9 @@ def _(t):
     return J.training_panel(stats, players, usage, ts, PL.points_allowed_by_position(p), 12)
 
 
-@query("F04_min_games", """WITH g AS (SELECT player_id FROM panel WHERE season>=2001 GROUP BY 1 HAVING count(*)>=10) SELECT player_id,season,"week" FROM panel WHERE season>=2001 AND player_id IN (SELECT player_id FROM g)""")
+@query("F04_min_games", """WITH g AS (SELECT player_id FROM panel GROUP BY 1 HAVING count(*)>=83) SELECT player_id,season,"week" FROM panel WHERE player_id IN (SELECT player_id FROM g)""")
 def _(t):
-    return J.with_min_games(t.panel.where(F.col("season") >= 2001), 10).select(*ID)
+    return J.with_min_games(t.panel, 83).select(*ID)  # those who missed no week
 
 
 STINT = """st AS (SELECT player_id,season,team,min("week") AS start_week,max("week") AS end_week FROM mv GROUP BY ALL)"""
@@ -137,11 +137,10 @@ def _(t):
     return J.roster_changes(_rosters(t), 1999, 2000, every_kind=True)
 
 
-@query("J10_current_team", f"""WITH {ROST}, l AS (SELECT player_id,team FROM panel WHERE season=1999 AND "week"=12)
- SELECT l.player_id,coalesce(a.team,l.team) AS team,b.team AS team_next_season FROM l LEFT JOIN ro a ON a.player_id=l.player_id AND a.season=2000 LEFT JOIN ro b ON b.player_id=l.player_id AND b.season=2001""")
+@query("J10_current_team", f"""WITH {ROST} SELECT l.player_id,l.season,l."week",coalesce(a.team,l.team) AS team,b.team AS team_next_season
+ FROM panel l LEFT JOIN ro a ON a.player_id=l.player_id AND a.season=l.season+1 LEFT JOIN ro b ON b.player_id=l.player_id AND b.season=l.season+2""")
 def _(t):
-    last = t.panel.where((F.col("season") == 1999) & (F.col("week") == 12)).select("player_id", "team")
-    return J.with_current_team(last, _rosters(t), 2000)
+    return J.with_current_team(t.panel.select(*ID, "team"), _rosters(t))
 
 
 AV = "CASE upper(trim(status)) WHEN 'OUT' THEN 0.0 WHEN 'DOUBTFUL' THEN 0.15 WHEN 'QUESTIONABLE' THEN 0.5 WHEN 'PROBABLE' THEN 0.85 WHEN 'IR' THEN 0.0 ELSE 1.0 END"

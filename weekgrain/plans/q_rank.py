@@ -322,16 +322,15 @@ def _(t):
 
 
 # --- lineups and trades ----------------------------------------------------------------------------
-LU = """lu AS (SELECT player_id%7 AS roster_id,"week",player_id,"position",predicted_points AS value FROM preds WHERE season=2000 AND "week">=10),
- r1 AS (SELECT *, row_number() OVER (PARTITION BY roster_id,"week","position" ORDER BY round(value,9) DESC,player_id) AS rn,CASE "position" WHEN 'QB' THEN 1 WHEN 'RB' THEN 2 WHEN 'WR' THEN 2 ELSE 1 END AS need FROM lu),
- fx AS (SELECT *, row_number() OVER (PARTITION BY roster_id,"week" ORDER BY round(value,9) DESC,player_id) AS fr FROM r1 WHERE rn>need AND "position" IN ('RB','WR','TE')),
- ln AS (SELECT roster_id,"week",player_id,"position",value,"position" AS slot FROM r1 WHERE rn<=need UNION ALL SELECT roster_id,"week",player_id,"position",value,'FLEX' FROM fx WHERE fr<=1)"""
+LU = """lu AS (SELECT player_id%7 AS roster_id,season,"week",player_id,"position",predicted_points AS value FROM preds),
+ r1 AS (SELECT *, row_number() OVER (PARTITION BY roster_id,season,"week","position" ORDER BY round(value,9) DESC,player_id) AS rn,CASE "position" WHEN 'QB' THEN 1 WHEN 'RB' THEN 2 WHEN 'WR' THEN 2 ELSE 1 END AS need FROM lu),
+ fx AS (SELECT *, row_number() OVER (PARTITION BY roster_id,season,"week" ORDER BY round(value,9) DESC,player_id) AS fr FROM r1 WHERE rn>need AND "position" IN ('RB','WR','TE')),
+ ln AS (SELECT roster_id,season,"week",player_id,"position",value,"position" AS slot FROM r1 WHERE rn<=need UNION ALL SELECT roster_id,season,"week",player_id,"position",value,'FLEX' FROM fx WHERE fr<=1)"""
 
 
 def _lineups(t):
-    p = t.predictions.where((F.col("season") == 2000) & (F.col("week") >= 10))
-    p = p.select((F.col("player_id") % 7).alias("roster_id"), "week", "player_id", "position", F.col("predicted_points").alias("value"))
-    return K.best_lineups(p, ["roster_id", "week"], "value")
+    p = t.predictions.select((F.col("player_id") % 7).alias("roster_id"), "season", "week", "player_id", "position", F.col("predicted_points").alias("value"))
+    return K.best_lineups(p, ["roster_id", "season", "week"], "value")
 
 
 @query("K11_lineups", f"WITH {LU} SELECT * FROM ln", "value", "preds")
@@ -346,9 +345,9 @@ def _(t):
     return v.select(*ID, K.profile_projection(F.col("fantasy_points"), none, none, F.col("consistency_score") * 100, F.col("boom_bust_range"), 0.6, True, 0.5).alias("adjusted_projection"))
 
 
-@query("K12_playoff_appearances", f"WITH {LU}, a AS (SELECT roster_id,player_id,count(DISTINCT \"week\") AS starts FROM ln GROUP BY ALL) SELECT *, CASE WHEN starts=3 THEN 'stud' ELSE 'situational' END AS role FROM a", "", "preds")
+@query("K12_playoff_appearances", f"WITH {LU}, a AS (SELECT roster_id,season,player_id,count(DISTINCT \"week\") AS starts FROM ln WHERE \"week\">=10 GROUP BY ALL) SELECT *, CASE WHEN starts=3 THEN 'stud' ELSE 'situational' END AS role FROM a", "", "preds")
 def _(t):
-    return K.lineup_appearances(_lineups(t), ["roster_id"], 3)
+    return K.lineup_appearances(_lineups(t).where(F.col("week") >= 10), ["roster_id", "season"], 3)
 
 
 @query("K12_strategy_scores", """SELECT player_id,season,"week",(u*0.6+(u+s)*0.4)*(0.7+0.3*12/17.0) AS ceiling_score,(u*0.6+greatest(u-s,0)*0.4)*(0.7+0.3*12/17.0) AS floor_score,u*(0.7+0.3*12/17.0) AS balanced_score FROM (SELECT *, predicted_points AS u,predicted_std AS s FROM preds)""",
@@ -359,12 +358,12 @@ def _(t):
     return t.predictions.select(*ID, sc("ceiling"), sc("floor"), sc("balanced"))
 
 
-TRADE = """pj AS (SELECT player_id,"position",avg(fantasy_points) AS avg_points FROM panel WHERE season=2000 GROUP BY ALL), sd AS (SELECT DISTINCT o_custkey AS trade_id,CASE WHEN o_orderkey%2=0 THEN 'give' ELSE 'get' END AS side,o_orderkey%100 AS player_id FROM orders),
+TRADE = """pj AS (SELECT player_id,"position",avg(fantasy_points) AS avg_points FROM panel GROUP BY ALL), sd AS (SELECT DISTINCT o_custkey AS trade_id,CASE WHEN o_orderkey%2=0 THEN 'give' ELSE 'get' END AS side,o_orderkey%100 AS player_id FROM orders),
  tr AS (SELECT sd.*,"position",avg_points FROM sd JOIN pj USING (player_id))"""
 
 
 def _trades(t):
-    proj = t.panel.where(F.col("season") == 2000).groupBy("player_id", "position").agg(F.avg("fantasy_points").alias("avg_points"))
+    proj = t.panel.groupBy("player_id", "position").agg(F.avg("fantasy_points").alias("avg_points"))
     o = t.raw("orders")
     sides = o.select(F.col("o_custkey").alias("trade_id"), F.when(F.col("o_orderkey") % 2 == 0, "give").otherwise("get").alias("side"), (F.col("o_orderkey") % 100).alias("player_id")).distinct()
     return sides, proj
@@ -405,12 +404,11 @@ def _(t):
     return K.head_to_head(p, 4, 8, 1999, "score")
 
 
-BOARD = f"""{VOL}, sa AS (SELECT player_id,name,team,"position",sum(fantasy_points) AS total_fp,count(*) AS games_played,avg(fantasy_points) AS ppg,coalesce(stddev_samp(fantasy_points),0) AS fp_std,avg(weekly_volatility) AS vol_mean,avg(coefficient_of_variation) AS cv_mean,avg(consistency_score) AS consistency_mean FROM vo WHERE season=1997 GROUP BY ALL)"""
+BOARD = f"""{VOL}, sa AS (SELECT season,player_id,name,team,"position",sum(fantasy_points) AS total_fp,count(*) AS games_played,avg(fantasy_points) AS ppg,coalesce(stddev_samp(fantasy_points),0) AS fp_std,avg(weekly_volatility) AS vol_mean,avg(coefficient_of_variation) AS cv_mean,avg(consistency_score) AS consistency_mean FROM vo GROUP BY ALL)"""
 
 
 def _season_agg(t):
-    v = W.volatility(t.panel).where(F.col("season") == 1997)
-    return K.season_totals(v, extra={"vol_mean": F.avg("weekly_volatility"), "cv_mean": F.avg("coefficient_of_variation"), "consistency_mean": F.avg("consistency_score")})
+    return K.season_totals(W.volatility(t.panel), by=["season"], extra={"vol_mean": F.avg("weekly_volatility"), "cv_mean": F.avg("coefficient_of_variation"), "consistency_mean": F.avg("consistency_score")})
 
 
 @query("A15_season_totals", f"WITH {BOARD} SELECT * FROM sa", "total_fp ppg fp_std vol_mean cv_mean consistency_mean")
@@ -418,25 +416,25 @@ def _(t):
     return _season_agg(t)
 
 
-@query("K15_risk_score", f"""WITH {BOARD}, w AS (SELECT *, (vol_mean-min(vol_mean) OVER p)/(max(vol_mean) OVER p-min(vol_mean) OVER p)*30+(cv_mean-min(cv_mean) OVER p)/(max(cv_mean) OVER p-min(cv_mean) OVER p)*25+(1-consistency_mean/max(consistency_mean) OVER p)*25+(1-games_played/max(games_played) OVER p)*20 AS r FROM sa WINDOW p AS (PARTITION BY "position"))
- SELECT player_id,greatest(0,least(100,r)) AS risk_score FROM w""", "risk_score")
+@query("K15_risk_score", f"""WITH {BOARD}, w AS (SELECT *, (vol_mean-min(vol_mean) OVER p)/(max(vol_mean) OVER p-min(vol_mean) OVER p)*30+(cv_mean-min(cv_mean) OVER p)/(max(cv_mean) OVER p-min(cv_mean) OVER p)*25+(1-consistency_mean/max(consistency_mean) OVER p)*25+(1-games_played/max(games_played) OVER p)*20 AS r FROM sa WINDOW p AS (PARTITION BY season,"position"))
+ SELECT player_id,season,CASE WHEN r IS NOT NULL THEN greatest(0,least(100,r)) END AS risk_score FROM w""", "risk_score")
 def _(t):
-    return K.risk_scores(_season_agg(t)).select("player_id", "risk_score")
+    return K.risk_scores(_season_agg(t), by=["season"]).select("player_id", "season", "risk_score")
 
 
-@query("K16_draft_board", f"""WITH {BOARD} SELECT player_id,"position",total_fp,row_number() OVER (PARTITION BY "position" ORDER BY -round(total_fp,9),player_id) AS adp,total_fp/17 AS projection_points_per_game,CASE WHEN fp_std>0 THEN greatest(0,total_fp-1.5*fp_std*sqrt(17.0)) END AS projection_floor,CASE WHEN fp_std>0 THEN total_fp+1.5*fp_std*sqrt(17.0) END AS projection_ceiling FROM sa""",
+@query("K16_draft_board", f"""WITH {BOARD} SELECT player_id,season,"position",total_fp,row_number() OVER (PARTITION BY season,"position" ORDER BY -round(total_fp,9),player_id) AS adp,total_fp/17 AS projection_points_per_game,CASE WHEN fp_std>0 THEN greatest(0,total_fp-1.5*fp_std*sqrt(17.0)) END AS projection_floor,CASE WHEN fp_std>0 THEN total_fp+1.5*fp_std*sqrt(17.0) END AS projection_ceiling FROM sa""",
        "total_fp projection_points_per_game projection_floor projection_ceiling")
 def _(t):
-    return K.draft_board(_season_agg(t), "total_fp").select("player_id", "position", "total_fp", "adp", "projection_points_per_game", "projection_floor", "projection_ceiling")
+    return K.draft_board(_season_agg(t), "total_fp", by=["season"]).select("player_id", "season", "position", "total_fp", "adp", "projection_points_per_game", "projection_floor", "projection_ceiling")
 
 
-@query("K17_app_snapshot", """WITH f AS (SELECT player_id,season,"week",fantasy_points FROM panel WHERE season=2001), mx AS (SELECT max("week") AS w FROM f), pr AS (SELECT player_id,avg(fantasy_points) AS projection_1w FROM panel WHERE season=2000 GROUP BY ALL), up AS (SELECT player_id,2001 AS season,10 AS "week",projection_1w FROM pr WHERE player_id%2=0)
- SELECT f.player_id,f.season,f."week",fantasy_points,CASE WHEN f."week"=w THEN projection_1w END AS projection_1w FROM f CROSS JOIN mx LEFT JOIN pr USING (player_id) WHERE (f.player_id,f."week") NOT IN (SELECT player_id,"week" FROM up) UNION ALL SELECT player_id,season,"week",NULL,projection_1w FROM up""", "fantasy_points projection_1w")
+@query("K17_app_snapshot", """WITH mx AS (SELECT max(season*100+"week") AS w FROM panel), pr AS (SELECT player_id,avg(fantasy_points) AS projection_1w FROM panel GROUP BY ALL), up AS (SELECT player_id,season,"week",projection_1w FROM panel JOIN mx ON season*100+"week"=w JOIN pr USING (player_id) WHERE home_away='home')
+ SELECT f.player_id,f.season,f."week",fantasy_points,CASE WHEN f.season*100+f."week"=w THEN projection_1w END AS projection_1w FROM panel f CROSS JOIN mx LEFT JOIN pr USING (player_id) WHERE (f.player_id,f.season,f."week") NOT IN (SELECT player_id,season,"week" FROM up) UNION ALL SELECT player_id,season,"week",NULL,projection_1w FROM up""", "fantasy_points projection_1w")
 def _(t):
-    f = t.panel.where(F.col("season") == 2001).select(*ID, "fantasy_points")
-    proj = t.panel.where(F.col("season") == 2000).groupBy("player_id").agg(F.avg("fantasy_points").alias("projection_1w"))
-    up = proj.where(F.col("player_id") % 2 == 0).select("player_id", F.lit(2001).alias("season"), F.lit(10).alias("week"), "projection_1w")
-    return K.app_snapshot(f, proj, up)
+    p = t.panel
+    proj = p.groupBy("player_id").agg(F.avg("fantasy_points").alias("projection_1w"))
+    now = p.join(F.broadcast(p.agg(F.max(_period()).alias("_now"))), _period() == F.col("_now")).where(F.col("home_away") == "home")  # one row
+    return K.app_snapshot(p.select(*ID, "fantasy_points"), proj, now.select(*ID).join(proj, "player_id"))
 
 
 # --- remaining aggregates ------------------------------------------------------------------------------
@@ -460,19 +458,19 @@ def _(t):
     return c.join(F.broadcast(q)).withColumn("high_risk", (F.col("n") >= 3).cast("int"))
 
 
-@query("A21_roster_needs", """WITH r AS (SELECT player_id%8 AS roster_id,"position",avg(fantasy_points) AS pp FROM panel WHERE season=2000 AND player_id%3<>0 GROUP BY player_id,"position"), x AS (SELECT r0.roster_id,i.p AS "position",i.ideal,count(r.pp) AS current,avg(r.pp) AS avg_projected FROM (SELECT DISTINCT roster_id FROM r) r0 CROSS JOIN (SELECT unnest(['QB','RB','WR','TE']) AS p, unnest([2,4,4,2]) AS ideal) i LEFT JOIN r ON r.roster_id=r0.roster_id AND r."position"=i.p GROUP BY ALL)
+@query("A21_roster_needs", """WITH r AS (SELECT season,player_id%16 AS roster_id,"position",avg(fantasy_points) AS pp FROM panel GROUP BY season,player_id,"position"), x AS (SELECT r0.season,r0.roster_id,i.p AS "position",i.ideal,count(r.pp) AS current,avg(r.pp) AS avg_projected FROM (SELECT DISTINCT season,roster_id FROM r) r0 CROSS JOIN (SELECT unnest(['QB','RB','WR','TE']) AS p, unnest([2,4,4,2]) AS ideal) i LEFT JOIN r ON r.season=r0.season AND r.roster_id=r0.roster_id AND r."position"=i.p GROUP BY ALL)
  SELECT *, greatest(ideal-current,0) AS need,greatest(current-ideal,0) AS surplus,CASE WHEN current<ideal THEN CASE WHEN current=0 THEN 'High' ELSE 'Medium' END END AS priority FROM x""", "avg_projected")
 def _(t):
-    r = t.panel.where((F.col("season") == 2000) & (F.col("player_id") % 3 != 0)).groupBy("player_id", "position").agg(F.avg("fantasy_points").alias("projected_points"))
-    return K.roster_needs(r.withColumn("roster_id", F.col("player_id") % 8), ["roster_id"])
+    r = t.panel.groupBy("season", "player_id", "position").agg(F.avg("fantasy_points").alias("projected_points"))
+    return K.roster_needs(r.withColumn("roster_id", F.col("player_id") % 16), ["season", "roster_id"])
 
 
-@query("A22_depth_chart", """WITH r AS (SELECT player_id,team,"position",sum(snap_count) AS s FROM panel WHERE season=2000 GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY team%5,"position" ORDER BY -s,player_id) AS depth_rank FROM r)
- SELECT player_id,CAST(team%5 AS INT) AS team,"position",depth_rank,CAST(CASE "position" WHEN 'QB' THEN CASE depth_rank WHEN 1 THEN 1.0 ELSE 0.05 END WHEN 'RB' THEN CASE depth_rank WHEN 1 THEN 0.55 WHEN 2 THEN 0.3 WHEN 3 THEN 0.1 ELSE 0.05 END
+@query("A22_depth_chart", """WITH r AS (SELECT season,player_id,team,"position",sum(snap_count) AS s FROM panel GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY season,team%5,"position" ORDER BY -s,player_id) AS depth_rank FROM r)
+ SELECT season,player_id,CAST(team%5 AS INT) AS team,"position",depth_rank,CAST(CASE "position" WHEN 'QB' THEN CASE depth_rank WHEN 1 THEN 1.0 ELSE 0.05 END WHEN 'RB' THEN CASE depth_rank WHEN 1 THEN 0.55 WHEN 2 THEN 0.3 WHEN 3 THEN 0.1 ELSE 0.05 END
  WHEN 'WR' THEN CASE depth_rank WHEN 1 THEN 0.3 WHEN 2 THEN 0.25 WHEN 3 THEN 0.2 WHEN 4 THEN 0.15 ELSE 0.05 END ELSE CASE depth_rank WHEN 1 THEN 0.7 WHEN 2 THEN 0.2 ELSE 0.1 END END AS DOUBLE) AS expected_utilization FROM d""", "expected_utilization")
 def _(t):
-    r = t.panel.where(F.col("season") == 2000).groupBy("player_id", (F.col("team") % 5).alias("team"), "position").agg(F.sum("snap_count").alias("s"))
-    return K.depth_chart(r, [-F.col("s"), F.col("player_id")]).drop("s")
+    r = t.panel.groupBy("season", "player_id", (F.col("team") % 5).alias("team"), "position").agg(F.sum("snap_count").alias("s"))
+    return K.depth_chart(r, [-F.col("s"), F.col("player_id")], by=["season"]).drop("s")
 
 
 @query("A23_matchup_summary", f"""WITH {DVP} SELECT panel.team,panel.opponent,panel.season,panel."week",min(coalesce(matchup_score,0.5)) AS opp_matchup_score,min(coalesce(defense_rank,16)) AS opp_defense_rank,count(*) AS players
