@@ -22,9 +22,24 @@ FP = "fantasy_points"
 
 
 # --- ratios of the current row ------------------------------------------------------
+# fixed values: ratios that exist where the feed has both columns: numerator, denominator, factor
+OPTIONAL_RATIOS = {
+    "deep_ball_pct": ("deep_pass_attempts", "passing_attempts", 100), "yac_per_carry": ("yards_after_contact", "rushing_attempts", 1),
+    "broken_tackle_rate": ("broken_tackles", "rushing_attempts", 1), "yac_per_reception": ("yards_after_catch", "receptions", 1),
+    "contested_catch_rate": ("contested_catches", "contested_targets", 1), "slot_pct": ("slot_snaps", "snap_count", 100),
+    "route_participation_rate": ("routes_run", "snap_count", 1),
+}
+
+
+def optional_ratios(columns: Sequence[str], table) -> dict[str, Column]:
+    return {out: safe_divide(F.col(n), F.col(d)) * k for out, (n, d, k) in table.items() if n in columns and d in columns}
+
+
 def base_features(panel: DataFrame) -> DataFrame:
-    """Efficiency and volume of the row itself."""
+    """Efficiency and volume of the row itself; ratios of optional columns (:data:`OPTIONAL_RATIOS`) where the table has them."""
     c = F.col
+    depth = {} if "average_depth_of_target" in panel.columns else {"average_depth_of_target": safe_divide(c("air_yards"), c("targets"))}
+    optional = optional_ratios(panel.columns, OPTIONAL_RATIOS)
     out = panel.withColumns({
         "yards_per_carry": safe_divide(c("rushing_yards"), c("rushing_attempts")),
         "yards_per_target": safe_divide(c("receiving_yards"), c("targets")),
@@ -41,7 +56,7 @@ def base_features(panel: DataFrame) -> DataFrame:
         "weighted_opportunities": c("rushing_attempts") * 2 + c("targets"),
         "air_yards_per_attempt": safe_divide(c("air_yards"), c("passing_attempts")),
         "td_int_ratio": safe_divide(c("passing_tds"), F.when(c("interceptions") == 0, 0.5).otherwise(c("interceptions"))),
-        "average_depth_of_target": safe_divide(c("air_yards"), c("targets")),
+        **depth, **optional,
         "is_home": (c("home_away") == "home").cast("int"),
         "season_week_pct": c("week") / 18.0,
     })
@@ -65,43 +80,122 @@ def play_efficiency(weeks: DataFrame) -> DataFrame:
     })
 
 
+# fixed values: ratios of one position that exist where the feed has both columns: position, numerator, denominator, factor
+POSITION_RATIOS = {
+    "rz_completion_pct": ("QB", "redzone_completions", "redzone_attempts", 100), "deep_pass_rate": ("QB", "deep_pass_attempts", "passing_attempts", 100),
+    "deep_pass_accuracy": ("QB", "deep_pass_completions", "deep_pass_attempts", 100), "rz_carry_rate": ("RB", "redzone_carries", "rushing_attempts", 1),
+    "outside_pct": ("WR", "outside_snaps", "snap_count", 100), "te_slot_pct": ("TE", "slot_snaps", "snap_count", 100),
+}
+
+
+def _position_optionals(columns: Sequence[str]) -> dict[str, Column]:
+    """Columns of one position that need more than the core feed."""
+    c, has = F.col, set(columns)
+    only = lambda p, x: F.when(c("position") == p, x)
+    out = {name: only(p, safe_divide(c(n), c(d)) * k) for name, (p, n, d, k) in POSITION_RATIOS.items() if {n, d} <= has}
+    if "sacks" in has:
+        dropbacks = c("passing_attempts") + c("sacks")
+        out |= {"adj_pass_attempts": only("QB", dropbacks), "sack_rate": only("QB", safe_divide(c("sacks"), dropbacks) * 100)}
+    if "time_in_pocket" in has:
+        out["avg_time_in_pocket"] = only("QB", c("time_in_pocket"))
+    if "total_touches_roll5_mean" in has:
+        out["workload_trend"] = only("RB", c("total_touches") - c("total_touches_roll5_mean"))
+    if "route_diversity_score" in has:
+        out |= {"route_tree_diversity": only("WR", c("route_diversity_score")), "te_route_diversity": only("TE", c("route_diversity_score"))}
+    if {"routes_run", "snap_count"} <= has:
+        share = safe_divide(c("routes_run"), c("snap_count"))
+        out |= {"te_route_participation": only("TE", share * 100), "te_inline_block_rate": only("TE", clip(1.0 - share, 0.0, 1.0) * 100)}
+    elif "route_participation" in has:
+        out["te_route_participation"] = only("TE", c("route_participation"))
+    return out
+
+
 def position_features(panel: DataFrame) -> DataFrame:
-    """Ratios that exist for one position only (null elsewhere). Needs :func:`base_features`."""
+    """Ratios that exist for one position only (null elsewhere). Needs :func:`base_features`.
+
+    Optional columns (sacks, pocket time, red-zone and deep passes, routes, alignment, ``total_touches_roll5_mean``) add their ratios or take the
+    place of a proxy: goal-line carries of carries inside the ten, routes of snaps, measured yards after catch of receiving less air yards.
+    """
     c, pos = F.col, F.col("position")
+    has = panel.columns
     only = lambda p, x: F.when(pos == p, x)
+    first = lambda *names: next(n for n in names if n in has)
+    routes, goal_line = first("routes_run", "snap_count"), first("goal_line_carries", "rush_inside_10")
+    after_catch = c("yards_after_catch").cast("double") if "yards_after_catch" in has else F.greatest(c("receiving_yards") - c("air_yards"), F.lit(0.0))
+    proxy = safe_divide(c("receiving_yards"), c("targets")) * (1 - F.coalesce(c("catch_rate"), F.lit(0.0)) / 100)
     return panel.withColumns({
+        **_position_optionals(has),
         "rush_pct_of_plays": only("QB", safe_divide(c("rushing_attempts"), c("passing_attempts") + c("rushing_attempts")) * 100),
         "yards_per_completion": only("QB", safe_divide(c("passing_yards"), c("completions"))),
         "receiving_pct": only("RB", safe_divide(c("receptions"), c("total_touches")) * 100),
         "td_per_touch": only("RB", safe_divide(c("total_tds"), c("total_touches"))),
-        "goal_line_carry_rate": only("RB", safe_divide(c("rush_inside_10"), c("rushing_attempts"))),
+        "goal_line_carry_rate": only("RB", safe_divide(c(goal_line), c("rushing_attempts"))),
         "rz_target_rate": F.when(pos.isin("RB", "WR"), safe_divide(c("redzone_targets"), c("targets"))),
-        "yards_per_route": only("WR", safe_divide(c("receiving_yards"), c("snap_count"))),
-        "contested_proxy": only("WR", safe_divide(c("receiving_yards"), c("targets")) * (1 - c("catch_rate") / 100)),
+        "yards_per_route": only("WR", safe_divide(c("receiving_yards"), c(routes))),
+        "contested_proxy": only("WR", proxy),
+        "yards_per_catch": only("WR", safe_divide(c("receiving_yards"), c("receptions"))),
+        "seam_threat": only("TE", c("yards_per_target")),
+        "te_contested_proxy": only("TE", proxy),
         "rz_specialist_score": only("TE", safe_divide(c("receiving_tds"), c("targets")) * 100),
         "te_rz_target_rate": only("TE", safe_divide(c("redzone_targets"), c("targets"))),
         "te_adot": only("TE", safe_divide(c("air_yards"), c("targets"))),
-        "te_yac": only("TE", F.greatest(c("receiving_yards") - c("air_yards"), F.lit(0.0))),
-        "te_yards_per_route": only("TE", safe_divide(c("receiving_yards"), c("snap_count"))),
+        "te_yac": only("TE", after_catch),
+        "te_yards_per_route": only("TE", safe_divide(c("receiving_yards"), c(routes))),
     })
 
 
 # fixed values: quarterback metrics that get a rolling-3 mean and a lag
-QB_METRICS = ["completion_pct", "passer_rating", "td_rate_qb", "int_rate_qb", "yards_per_attempt", "air_yards_per_attempt"]
+QB_METRICS = ["completion_pct", "passer_rating", "td_rate_qb", "int_rate_qb", "yards_per_attempt", "air_yards_per_attempt", "rush_attempt_rate", "turnover_rate",
+              "total_plays", "deep_ball_pct", "sack_rate", "rz_efficiency", "avg_time_in_pocket"]
+
+
+def _qb_measured(columns: Sequence[str]) -> dict[str, Column]:
+    """Deep ball, red zone, sacks and pocket time from the feed's columns, or league values and proxies where it lacks them."""
+    c, has = F.col, set(columns)
+    out = {}
+    if "deep_pass_attempts" in has:
+        out["deep_ball_pct"] = safe_divide(zero("deep_pass_attempts"), c("passing_attempts"))
+    elif "passing_air_yards" in has:
+        out["deep_ball_pct"] = F.when(c("air_yards_per_attempt") > 10, 0.15).otherwise(0.08)
+    else:
+        out["deep_ball_pct"] = F.lit(0.10)
+    if "redzone_attempts" in has:
+        out |= {"rz_attempts": zero("redzone_attempts").cast("double"), "rz_efficiency": safe_divide(c("passing_tds"), zero("redzone_attempts"))}
+    else:
+        out |= {"rz_attempts": F.bround(c("passing_attempts") * 0.12), "rz_efficiency": c("td_rate_qb") * 3.0}
+    taken = next((n for n in ("sacks", "sacks_taken") if n in has), None)
+    out["sack_rate"] = safe_divide(zero(taken), c("passing_attempts") + zero(taken)) if taken else F.lit(0.065)
+    out["avg_time_in_pocket"] = F.coalesce(c("time_in_pocket").cast("double"), F.lit(2.6)) if "time_in_pocket" in has else F.when(c("is_mobile_qb") == 1, 2.4).otherwise(2.7)
+    return out
 
 
 def qb_features(panel: DataFrame, keys: Keys = KEYS) -> DataFrame:
-    """Quarterback rates with their prior rolling-3 mean and last value; quarterbacks only."""
+    """Quarterback rates, rushing, volume and turnovers, and of :data:`QB_METRICS` the prior rolling-3 mean and last value; quarterbacks only.
+
+    ``total_yards`` and ``total_tds`` are passing plus rushing here. Without ``air_yards`` a depth of 0.6 yards per passing yard is assumed.
+    """
     c = F.col
+    plays = zero("passing_attempts") + zero("rushing_attempts")
+    lost = zero("interceptions") + (zero("fumbles_lost") if "fumbles_lost" in panel.columns else F.lit(0))
+    air = safe_divide(zero("air_yards"), c("passing_attempts")) if "air_yards" in panel.columns else safe_divide(c("passing_yards"), c("passing_attempts")) * 0.6
     qb = panel.where(F.col("position") == "QB").withColumns({
+        "rush_yards_per_carry": safe_divide(c("rushing_yards"), c("rushing_attempts")),
+        "rush_attempt_rate": safe_divide(c("rushing_attempts"), plays),
+        "rush_td_rate": safe_divide(c("rushing_tds"), c("rushing_attempts")),
+        "is_mobile_qb": F.coalesce(c("rushing_attempts") >= 4, F.lit(False)).cast("int"),
+        "total_plays": (c("passing_attempts") + c("rushing_attempts")).cast("double"),
+        "total_yards": c("passing_yards") + c("rushing_yards"),
+        "total_tds": c("passing_tds") + c("rushing_tds"),
+        "turnover_rate": safe_divide(lost, plays),
         "completion_pct": safe_divide(c("completions"), c("passing_attempts")),
         "yards_per_attempt": safe_divide(c("passing_yards"), c("passing_attempts")),
         "td_rate_qb": safe_divide(c("passing_tds"), c("passing_attempts")),
         "int_rate_qb": safe_divide(c("interceptions"), c("passing_attempts")),
-        "air_yards_per_attempt": safe_divide(c("air_yards"), c("passing_attempts")),
+        "air_yards_per_attempt": air,
         "passer_rating": passer_rating(c("completions"), c("passing_attempts"), c("passing_yards"), c("passing_tds"),
                                        c("interceptions")),
     })
+    qb = qb.withColumns(_qb_measured(qb.columns))
     w = keys.entity_window()
     return qb.withColumns({f"{m}_roll3": prior_mean(m, w, 3) for m in QB_METRICS}
                           | {f"{m}_lag1": F.lag(m).over(w) for m in QB_METRICS})
@@ -364,13 +458,23 @@ def usage_classes(panel: DataFrame, keys: Keys = KEYS) -> DataFrame:
 
 
 def workload_features(panel: DataFrame, age: str | None = None, keys: Keys = KEYS) -> DataFrame:
+    """Touches of the last 3 and 4 rows and the risk that they carry, by position and age.
+
+    Without an age the age curve of the row stands in, if it has one. Rows with ``sacks`` also get the risk of the sacks of the last 4 rows.
+    """
     w = keys.entity_window()
     three, four = (F.coalesce(prior_sum("total_touches", w, n), F.lit(0)) for n in (3, 4))
     out = panel.withColumns({"cumulative_workload_3w": three, "cumulative_workload_4w": four})
     four = F.col("cumulative_workload_4w")
     limit = lookup(F.col(keys.group), C.WORKLOAD_THRESHOLD)
     risk = F.when(limit.isNotNull(), clip(four / limit, 0.0, 1.0)).otherwise(four)
-    years = clip(1.0 + 0.03 * clip(F.coalesce(F.col(age), F.lit(26)) - 27, -3), 0.9, 1.5) if age else F.lit(1.0)
+    years = F.lit(1.0)
+    if age:
+        years = clip(1.0 + 0.03 * clip(F.coalesce(F.col(age), F.lit(26)) - 27, -3), 0.9, 1.5)
+    elif "age_curve" in panel.columns:
+        years = F.coalesce(clip(2.0 - F.col("age_curve"), 0.9, 1.5), F.lit(1.0))
+    if "sacks" in panel.columns:
+        out = out.withColumn("qb_sack_injury_risk", clip(F.coalesce(prior_mean("sacks", w, 4), F.lit(0.0)) / 5.0, 0.0, 1.0))
     return out.withColumns({"workload_injury_risk": clip(risk * years, 0.0, 1.0),
                             "workload_injury_risk_raw": clip(four / 100.0, 0.0, 1.0)})
 
@@ -483,3 +587,16 @@ def interactions(panel: DataFrame, util_lag: str = "utilization_score_lag1") ->
         "util_x_ypc": c(util_lag) * c("yards_per_carry"), "util_x_ypt": c(util_lag) * c("yards_per_target"),
         "touches_x_ypc": c("total_touches") * c("yards_per_carry"),
         "opp_x_td_rate": c("opportunities") * safe_divide(c("total_tds"), c("opportunities"))})
+
+
+def adjusted_interactions(panel: DataFrame, util_lag: str | None = None, form: str = "fp_rolling_3") -> DataFrame:
+    """Points for the opponent's strength, form for the matchup, and matchup, age and consistency times usage. Terms whose columns are missing are left out."""
+    c, has = F.col, set(panel.columns)
+    terms = {
+        "fp_opp_adjusted": ({FP, "opp_defense_strength"}, lambda: c(FP) / clip(c("opp_defense_strength"), 0.5, 1.5)),
+        "fp_matchup_adjusted": ({form, "opp_matchup_score"}, lambda: c(form) * (1 + (c("opp_matchup_score") - 0.5) * 0.2)),
+        "usage_matchup_interaction": ({util_lag, "opp_matchup_score"}, lambda: c(util_lag) * c("opp_matchup_score")),
+        "age_usage_interaction": ({"age", util_lag}, lambda: c("age") * c(util_lag)),
+        "consistency_matchup_interaction": ({"consistency_score", "opp_matchup_score"}, lambda: c("consistency_score") * c("opp_matchup_score")),
+    }
+    return panel.withColumns({name: make() for name, (need, make) in terms.items() if need <= has})

@@ -58,6 +58,22 @@ def _(t):
     return CX.with_opponent_matchup(t.panel, CX.defense_vs_position(t.panel)).select(*ID, "defense_data_available", "opp_defense_rank", "opp_matchup_score", "opp_pts_allowed")
 
 
+ADJ = "fp_opp_adjusted fp_matchup_adjusted usage_matchup_interaction age_usage_interaction consistency_matchup_interaction"
+
+
+@query("W42_adjusted_interactions", f"""WITH {DVP}, {STR}, {VOL}, h AS (SELECT *, 21+player_id%20 AS age,avg(fantasy_points) OVER ({PW} {pre(3)}) AS f3,lag(snap_count) OVER ({PW}) AS u FROM vo)
+ SELECT player_id,h.season,h."week",fantasy_points/greatest(0.5,least(1.5,coalesce(defense_strength,1.0))) AS fp_opp_adjusted,f3*(1+(coalesce(matchup_score,0.5)-0.5)*0.2) AS fp_matchup_adjusted,u*coalesce(matchup_score,0.5) AS usage_matchup_interaction,
+ CAST(age*u AS DOUBLE) AS age_usage_interaction,consistency_score*coalesce(matchup_score,0.5) AS consistency_matchup_interaction FROM h LEFT JOIN dvp ON dvp.team=h.opponent AND dvp.season=h.season AND dvp."week"+1=h."week" AND dvp."position"=h."position"
+ LEFT JOIN ds ON ds.team=h.opponent AND ds.season=h.season AND ds."position"=h."position\"""", ADJ)
+def _(t):
+    p = W.lags(W.rolling_means(W.volatility(t.panel), ["fantasy_points"], [3]), ["snap_count"], [1]).withColumn("age", F.lit(21) + F.col("player_id") % 20)
+    p = CX.with_opponent_matchup(p, CX.defense_vs_position(t.panel))
+    s = CX.defense_strength(t.panel).select(F.col("team").alias("opponent"), "season", "position", F.col("defense_strength").alias("_s"))
+    p = p.join(s, ["opponent", "season", "position"], "left").withColumn("opp_defense_strength", F.coalesce("_s", F.lit(1.0)))
+    out = W.adjusted_interactions(p, "snap_count_lag1", "fantasy_points_roll3_mean")
+    return out.select(*ID, *[F.col(c).cast("double").alias(c) for c in ADJ.split()])
+
+
 EG = f"""sg AS (SELECT player_id,season,count(*)/17.0 AS r FROM panel GROUP BY ALL), gr AS (SELECT player_id,season,avg(r) OVER (PARTITION BY player_id ORDER BY season {ALLP}) AS gr FROM sg),
  eg AS (SELECT panel.*, coalesce(gr,CASE "position" WHEN 'QB' THEN 0.92 WHEN 'RB' THEN 0.82 WHEN 'WR' THEN 0.88 ELSE 0.9 END) AS games_rate FROM panel LEFT JOIN gr USING (player_id,season))"""
 

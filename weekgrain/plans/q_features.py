@@ -42,6 +42,29 @@ def _(t):
     return W.base_features(t.panel).select(*ID, *BASE_NEW.split(), *BASE_INT.split())
 
 
+# stand-ins for the columns of richer feeds
+RICH = {"sacks": "interceptions+rushing_tds", "deep_pass_attempts": "passing_tds", "deep_pass_completions": "interceptions", "redzone_attempts": "redzone_targets",
+        "redzone_completions": "passing_tds", "redzone_carries": "rushing_tds", "goal_line_carries": "rush_inside_10*2", "time_in_pocket": "CASE WHEN targets>3 THEN 2+completions/10.0 END",
+        "fumbles_lost": "CASE WHEN interceptions>0 THEN receiving_tds END", "yards_after_contact": "air_yards", "broken_tackles": "receiving_tds", "yards_after_catch": "rushing_yards",
+        "contested_catches": "targets_15_plus", "contested_targets": "receptions", "slot_snaps": "targets", "outside_snaps": "receptions", "routes_run": "targets+rushing_attempts",
+        "route_diversity_score": "targets/7.0"}
+RICH_SQL = "rich AS (SELECT *, " + ",".join(f"{v} AS {k}" for k, v in RICH.items()) + " FROM {0})"
+
+
+def rich(p):
+    return p.withColumns({k: F.expr(v) for k, v in RICH.items()})
+
+
+BASE_OPT = {"deep_ball_pct": ("deep_pass_attempts", "passing_attempts", 100), "yac_per_carry": ("yards_after_contact", "rushing_attempts", 1), "broken_tackle_rate": ("broken_tackles", "rushing_attempts", 1),
+            "yac_per_reception": ("yards_after_catch", "receptions", 1), "contested_catch_rate": ("contested_catches", "contested_targets", 1), "slot_pct": ("slot_snaps", "snap_count", 100),
+            "route_participation_rate": ("routes_run", "snap_count", 1)}
+
+
+@query("W41_optional_ratios", f"WITH {RICH_SQL.format('panel')} SELECT player_id,season,\"week\"," + ",".join(f"CASE WHEN {d}=0 THEN 0.0 ELSE {n}/{d} END*{k} AS {c}" for c, (n, d, k) in BASE_OPT.items()) + " FROM rich", " ".join(BASE_OPT))
+def _(t):
+    return W.base_features(rich(t.panel)).select(*ID, *BASE_OPT)
+
+
 @query("X01_safe_divide", 'SELECT player_id,season,"week",CASE WHEN rushing_attempts=0 THEN -1.0 ELSE rushing_yards/rushing_attempts END AS ratio FROM panel', "ratio")
 def _(t):
     from weekgrain.functions.exprs import safe_divide
@@ -286,10 +309,10 @@ def _(t):
 @query("W19_workload", f"""WITH a AS (SELECT panel.*, 21+player_id%20 AS age, coalesce(sum(rushing_attempts+receptions) OVER ({PW} {pre(3)}),0) AS w3, coalesce(sum(rushing_attempts+receptions) OVER ({PW} {pre(4)}),0) AS w4 FROM panel)
  SELECT player_id,season,"week",CAST(w3 AS BIGINT) AS cumulative_workload_3w,CAST(w4 AS BIGINT) AS cumulative_workload_4w,
  least(1.0,least(1.0,w4/CASE "position" WHEN 'RB' THEN 80 WHEN 'WR' THEN 40 WHEN 'TE' THEN 35 ELSE 120 END)*greatest(0.9,least(1.5,1+0.03*greatest(age-27,-3)))) AS workload_injury_risk,
- least(1.0,w4/100) AS workload_injury_risk_raw FROM a""", "workload_injury_risk workload_injury_risk_raw")
+ least(1.0,w4/100) AS workload_injury_risk_raw,least(1.0,coalesce(avg(interceptions+rushing_tds) OVER ({PW} {pre(4)}),0)/5.0) AS qb_sack_injury_risk FROM a""", "workload_injury_risk workload_injury_risk_raw qb_sack_injury_risk")
 def _(t):
-    p = W.base_features(t.panel).withColumn("age", F.lit(21) + F.col("player_id") % 20)
-    return W.workload_features(p, "age").select(*ID, "cumulative_workload_3w", "cumulative_workload_4w", "workload_injury_risk", "workload_injury_risk_raw")
+    p = W.base_features(t.panel).withColumns({"age": F.lit(21) + F.col("player_id") % 20, "sacks": F.col("interceptions") + F.col("rushing_tds")})
+    return W.workload_features(p, "age").select(*ID, "cumulative_workload_3w", "cumulative_workload_4w", "workload_injury_risk", "workload_injury_risk_raw", "qb_sack_injury_risk")
 
 
 @query("W20_return_from_absence", f"""WITH g AS (SELECT *, row_number() OVER ({PW}) AS rn, "week"-lag("week") OVER ({PW}) AS gap FROM panel),
@@ -395,17 +418,53 @@ def _(t):
     return W.position_features(W.base_features(t.panel)).select(*ID, *POSF)
 
 
-QM = ["completion_pct", "passer_rating", "td_rate_qb", "int_rate_qb", "yards_per_attempt", "air_yards_per_attempt"]
+POSR = ("adj_pass_attempts sack_rate avg_time_in_pocket rz_completion_pct deep_pass_rate deep_pass_accuracy workload_trend goal_line_carry_rate rz_carry_rate yards_per_route yards_per_catch outside_pct "
+        "route_tree_diversity seam_threat te_contested_proxy te_yac te_yards_per_route te_route_participation te_inline_block_rate te_slot_pct te_route_diversity").split()
+ONE = lambda p, x, c: f"CASE WHEN \"position\"='{p}' THEN {x} END AS {c}"
+
+
+@query("W40_rich_position_features", f"""WITH {BASE}, {RICH_SQL.format('base')}, w5 AS (SELECT *, avg(total_touches) OVER ({PW} {pre(5)}) AS t5 FROM rich) SELECT player_id,season,"week",{ONE('QB', 'passing_attempts+sacks', 'adj_pass_attempts')},
+ {ONE('QB', sd('sacks', 'passing_attempts+sacks') + '*100', 'sack_rate')},{ONE('QB', 'time_in_pocket', 'avg_time_in_pocket')},{ONE('QB', sd('redzone_completions', 'redzone_attempts') + '*100', 'rz_completion_pct')},
+ {ONE('QB', sd('deep_pass_attempts', 'passing_attempts') + '*100', 'deep_pass_rate')},{ONE('QB', sd('deep_pass_completions', 'deep_pass_attempts') + '*100', 'deep_pass_accuracy')},{ONE('RB', 'total_touches-t5', 'workload_trend')},
+ {ONE('RB', sd('goal_line_carries', 'rushing_attempts'), 'goal_line_carry_rate')},{ONE('RB', sd('redzone_carries', 'rushing_attempts'), 'rz_carry_rate')},{ONE('WR', sd('receiving_yards', 'routes_run'), 'yards_per_route')},
+ {ONE('WR', sd('receiving_yards', 'receptions'), 'yards_per_catch')},{ONE('WR', sd('outside_snaps', 'snap_count') + '*100', 'outside_pct')},{ONE('WR', 'route_diversity_score', 'route_tree_diversity')},
+ {ONE('TE', 'yards_per_target', 'seam_threat')},{ONE('TE', sd('receiving_yards', 'targets') + '*(1-catch_rate/100)', 'te_contested_proxy')},{ONE('TE', 'yards_after_catch', 'te_yac')},{ONE('TE', sd('receiving_yards', 'routes_run'), 'te_yards_per_route')},
+ {ONE('TE', sd('routes_run', 'snap_count') + '*100', 'te_route_participation')},{ONE('TE', 'greatest(0,least(1,1-' + sd('routes_run', 'snap_count') + '))*100', 'te_inline_block_rate')},{ONE('TE', sd('slot_snaps', 'snap_count') + '*100', 'te_slot_pct')},
+ {ONE('TE', 'route_diversity_score', 'te_route_diversity')} FROM w5""", " ".join(POSR))
+def _(t):
+    p = W.rolling_means(W.base_features(rich(t.panel)), ["total_touches"], [5])
+    out = W.position_features(p)
+    return out.select(*ID, *[F.col(c).cast("double").alias(c) for c in POSR])
+
+
+QM = ["completion_pct", "passer_rating", "td_rate_qb", "int_rate_qb", "yards_per_attempt", "air_yards_per_attempt", "rush_attempt_rate", "turnover_rate", "total_plays", "deep_ball_pct", "sack_rate", "rz_efficiency", "avg_time_in_pocket"]
+QS = ["rush_yards_per_carry", "rush_td_rate", "total_yards", "rz_attempts"]
 RATE = """CASE WHEN passing_attempts>0 THEN (greatest(0,least(2.375,(completions/passing_attempts-0.3)*5))+greatest(0,least(2.375,(passing_yards/passing_attempts-3)*0.25))
  +greatest(0,least(2.375,passing_tds/passing_attempts*20))+greatest(0,least(2.375,2.375-interceptions/passing_attempts*25)))/6*100 ELSE 0.0 END"""
-QB = f"""qb AS (SELECT player_id,season,"week",{sd('completions', 'passing_attempts')} AS completion_pct,{RATE} AS passer_rating,{sd('passing_tds', 'passing_attempts')} AS td_rate_qb,
- {sd('interceptions', 'passing_attempts')} AS int_rate_qb,{sd('passing_yards', 'passing_attempts')} AS yards_per_attempt,{sd('air_yards', 'passing_attempts')} AS air_yards_per_attempt FROM panel WHERE "position"='QB')"""
+QB_CORE = f"""player_id,season,"week",{sd('completions', 'passing_attempts')} AS completion_pct,{RATE} AS passer_rating,{sd('passing_tds', 'passing_attempts')} AS td_rate_qb,
+ {sd('interceptions', 'passing_attempts')} AS int_rate_qb,{sd('passing_yards', 'passing_attempts')} AS yards_per_attempt,{sd('rushing_attempts', 'passing_attempts+rushing_attempts')} AS rush_attempt_rate,CAST(passing_attempts+rushing_attempts AS DOUBLE) AS total_plays,
+ {sd('rushing_yards', 'rushing_attempts')} AS rush_yards_per_carry,{sd('rushing_tds', 'rushing_attempts')} AS rush_td_rate,passing_yards+rushing_yards AS total_yards,CAST(passing_tds+rushing_tds AS BIGINT) AS total_tds,CAST(rushing_attempts>=4 AS INT) AS is_mobile_qb"""
+QB_RICH = f"""{RICH_SQL.format('panel')}, qb AS (SELECT {QB_CORE},{sd('air_yards', 'passing_attempts')} AS air_yards_per_attempt,{sd('interceptions+coalesce(fumbles_lost,0)', 'passing_attempts+rushing_attempts')} AS turnover_rate,
+ {sd('deep_pass_attempts', 'passing_attempts')} AS deep_ball_pct,CAST(redzone_attempts AS DOUBLE) AS rz_attempts,{sd('passing_tds', 'redzone_attempts')} AS rz_efficiency,{sd('sacks', 'passing_attempts+sacks')} AS sack_rate,
+ CAST(coalesce(time_in_pocket,2.6) AS DOUBLE) AS avg_time_in_pocket FROM rich WHERE "position"='QB')"""
+QB_PROXY = f"""qb0 AS (SELECT {QB_CORE},{sd('passing_yards', 'passing_attempts')}*0.6 AS air_yards_per_attempt,{sd('interceptions', 'passing_attempts+rushing_attempts')} AS turnover_rate,CAST(0.1 AS DOUBLE) AS deep_ball_pct,
+ CAST(round_even(passing_attempts*CAST(0.12 AS DOUBLE),0) AS DOUBLE) AS rz_attempts,CAST(0.065 AS DOUBLE) AS sack_rate FROM panel WHERE "position"='QB'), qb AS (SELECT *, td_rate_qb*3 AS rz_efficiency,CASE WHEN is_mobile_qb=1 THEN 2.4 ELSE 2.7 END AS avg_time_in_pocket FROM qb0)"""
+QB_OUT = "SELECT *," + ",".join(f"avg({m}) OVER ({PW} {pre(3)}) AS {m}_roll3, lag({m}) OVER ({PW}) AS {m}_lag1" for m in QM) + " FROM qb"
+QB_FLOATS = " ".join(QS + QM + [f"{m}_roll3" for m in QM] + [f"{m}_lag1" for m in QM])
+
+
+def _qb(panel):
+    return W.qb_features(panel).select(*ID, *QS, "total_tds", "is_mobile_qb", *QM, *[f"{m}_roll3" for m in QM], *[f"{m}_lag1" for m in QM])
+
+
+@query("W39_qb_features", f"WITH {QB_RICH} {QB_OUT}", QB_FLOATS)
+def _(t):
+    return _qb(rich(t.panel))
 
 
-@query("W39_qb_features", f"WITH {QB} SELECT *," + ",".join(f"avg({m}) OVER ({PW} {pre(3)}) AS {m}_roll3, lag({m}) OVER ({PW}) AS {m}_lag1" for m in QM) + " FROM qb",
-       " ".join(QM + [f"{m}_roll3" for m in QM] + [f"{m}_lag1" for m in QM]))
+@query("W39_qb_proxies", f"WITH {QB_PROXY} {QB_OUT}", QB_FLOATS)
 def _(t):
-    return W.qb_features(t.panel).select(*ID, *QM, *[f"{m}_roll3" for m in QM], *[f"{m}_lag1" for m in QM])
+    return _qb(t.panel.drop("air_yards"))
 
 
 @query("X08_passer_rating", f'SELECT player_id,season,"week",{RATE} AS rating FROM panel', "rating")
