@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekgrain.functions.order_stats import quantiles
@@ -66,8 +66,9 @@ def quantile_edges(rows: DataFrame, columns: Sequence[str], bins: int = 16, keys
     return out
 
 
-def binned(rows: DataFrame, columns: Sequence[str], target: str, edges: dict[str, dict[str, list[float]]], keys: Keys = KEYS) -> DataFrame:
-    """Keys, period, target and the bin of each column: 0 where it is null, else 1 + the number of edges below the value."""
+def binned(rows: DataFrame, columns: Sequence[str], target: str, edges: dict[str, dict[str, list[float]]], keys: Keys = KEYS, period: Column | None = None) -> DataFrame:
+    """Keys, period (the week unless given), target and the bin of each column: 0 where it is null, else 1 + the number of edges below the value."""
+    period = period_of(keys) if period is None else period.cast("int")
 
     def bin_of(c):
         value = F.col(c).cast("double")
@@ -77,7 +78,7 @@ def binned(rows: DataFrame, columns: Sequence[str], target: str, edges: dict[str
             out = F.when(F.col(keys.group) == group, below + 1).otherwise(out)
         return F.when(value.isNull() | out.isNull(), 0).otherwise(out)
 
-    return settled(rows.select(*keys.grain, keys.group, period_of(keys).alias("_period"), F.col(target).cast("double").alias("_y"), F.array(*map(bin_of, columns)).alias("_bins")))
+    return settled(rows.select(*keys.grain, keys.group, period.alias("_period"), F.col(target).cast("double").alias("_y"), F.array(*map(bin_of, columns)).alias("_bins")))
 
 
 def _bases(rows: DataFrame, folds: Sequence[int], min_rows: int, keys: Keys) -> dict[tuple[str, int], Boosted]:
@@ -192,13 +193,23 @@ def predicted(rows: DataFrame, models: dict[tuple[str, int], Boosted], out: str
     return rows.select(*names, "_period", "_bins").mapInPandas(score, ", ".join(f"{c} {kinds[c]}" for c in names) + f", {out} double")
 
 
+def bin_count(edges: dict[str, dict[str, list[float]]]) -> int:
+    return 2 + max((len(e) for own in edges.values() for e in own.values()), default=0)
+
+
+def season_boosted(panel: DataFrame, seasons: Sequence[int], columns: Sequence[str], target: str, out: str = "predicted_points", bins: int = 16, keys: Keys = KEYS, **params) -> DataFrame:
+    """Every season predicted by trees of its position that were fitted on all strictly earlier seasons."""
+    cuts = quantile_edges(panel.where(F.col(keys.season) < min(seasons)), columns, bins, keys)
+    rows = binned(panel, columns, target, cuts, keys, F.col(keys.season))
+    return predicted(rows, fit_boosted(rows, sorted(seasons), len(columns), bin_count(cuts), keys=keys, **params), out, keys)
+
+
 def weekly_boosted(panel: DataFrame, columns: Sequence[str], target: str, season: int, bins: int = 16, edges: dict[str, dict[str, list[float]]] | None = None, keys: Keys = KEYS, **params) -> DataFrame:
     """Every week of a season predicted by trees of its position that were fitted on all strictly earlier weeks. The columns must be history features."""
     folds = sorted(r[0] for r in panel.where(F.col(keys.season) == season).select(period_of(keys)).distinct().collect())
     cuts = edges or quantile_edges(panel.where(F.col(keys.season) < season), columns, bins, keys)
     rows = binned(panel, columns, target, cuts, keys)
-    n_bins = 2 + max((len(e) for own in cuts.values() for e in own.values()), default=0)
-    return predicted(rows, fit_boosted(rows, folds, len(columns), n_bins, keys=keys, **params), keys=keys)
+    return predicted(rows, fit_boosted(rows, folds, len(columns), bin_count(cuts), keys=keys, **params), keys=keys)
 
 
 def weekly_backtest(panel: DataFrame, season: int, factory: Callable[[DataFrame, str], Callable[[DataFrame], DataFrame]], positions: Sequence[str],

@@ -13,7 +13,7 @@ from weekgrain.functions import exprs as X
 from weekgrain.functions.exprs import at_least, clip, lookup, zero
 from weekgrain.functions.order_stats import first_rows, with_rank
 from weekgrain.functions.windows import UNB, causal_group_stats, prior, prior_mean
-from weekgrain.keys import KEYS, Keys
+from weekgrain.keys import KEYS, Keys, settled
 
 FP = "fantasy_points"
 
@@ -369,13 +369,32 @@ def combine_scores(rows: DataFrame, keys: Keys = KEYS) -> DataFrame:
             .drop("_exact", *[f"_{k}_{m}" for k in "lp" for m in COMBINE_METRICS]))
 
 
+# bands of draft slots around a profile's own, from near to far: picks apart in the same round, picks apart in the rounds next to it (none: -1),
+# and the similarity that a slot outside of the band can reach at most
+SLOT_BANDS = [(10, -1, 0.7 * 0.78 + 0.3), (24, 14, 0.7 * 0.50 + 0.3)]
+SLOT_PARTS = 32
+
+
+def _similar(profiles: list[str], met: DataFrame, k: int) -> DataFrame:
+    """Scores the rows of each met slot that can be among the k best: those of the k nearest combine scores on either side."""
+    below = F.size(F.filter("ladder", lambda e: e["combine_score"] <= F.col("combine_score")))
+    start = F.greatest(below - k + 1, F.lit(1))
+    near = met.withColumn("_c", F.explode(F.slice("ladder", start, F.lit(2 * k)))).withColumn("_h", F.explode("_c.rows"))
+    gap, rgap = F.abs(F.col("draft_pick") - F.col("h_pick")), F.abs(F.col("draft_round") - F.col("h_round"))
+    draft = (F.when(rgap == 0, 1.0 - F.least(gap / 50.0, F.lit(0.5))).when(rgap == 1, 0.7 - F.least(gap / 75.0, F.lit(0.4)))
+             .otherwise(F.greatest(F.lit(0.1), 0.5 - rgap * 0.15 - gap / 100.0)))
+    body = F.greatest(F.lit(0.0), 1 - F.abs(F.col("combine_score") - F.col("_c.combine_score")) / 30.0)
+    scored = near.select(*profiles, F.round(draft * 0.7 + body * 0.3, 9).alias("similarity"), "_h.*")
+    return first_rows(scored, profiles, [F.col("similarity").desc(), F.col("name"), F.col("season")], k)
+
+
 def comparable_rookies(rookies: DataFrame, history: DataFrame, k: int = 5, keys: Keys = KEYS) -> DataFrame:
     """The k most similar historical rookies of each profile, and their points per game.
 
-    Similarity is 0.7 draft slot + 0.3 combine score. The draft has a fixed number of slots, and
-    inside a slot only the k nearest combine scores on either side can win, so each profile meets
-    at most slots x 2k candidates instead of every historical rookie of its position.
-    Combine scores have one decimal (as :func:`combine_scores` gives them), so a slot holds at most 1,001.
+    Similarity is 0.7 draft slot + 0.3 combine score. A profile first meets the slots of a band around its own (:data:`SLOT_BANDS`), joined on position,
+    round and pick. Once k rows of the band are worth more than any slot outside of it can be, they are the answer; the other profiles go on to the next
+    band, and those that no band settles meet all slots of their position, dealt to ``SLOT_PARTS`` parts. Inside a slot only the k nearest combine scores
+    on either side can win. Combine scores have one decimal (as :func:`combine_scores` gives them), so a slot holds at most 1,001.
     ``history``: position, draft_round, draft_pick, combine_score, name, season, ppg, games.
     """
     pos = keys.group
@@ -383,18 +402,24 @@ def comparable_rookies(rookies: DataFrame, history: DataFrame, k: int = 5, keys:
     few = first_rows(history, [*slot, "combine_score"], [F.col("name"), F.col("season")], k)
     ladder = (few.groupBy(*slot, "combine_score").agg(F.sort_array(F.collect_list(F.struct("name", "season", "ppg", "games"))).alias("rows"))
               .groupBy(*slot).agg(F.sort_array(F.collect_list(F.struct("combine_score", "rows"))).alias("ladder")))
-    ladder = ladder.select(pos, F.col("draft_round").alias("h_round"), F.col("draft_pick").alias("h_pick"), "ladder")
-    want = rookies.select(*slot, "combine_score").distinct()
-    met = want.join(ladder, pos)
-    below = F.size(F.filter("ladder", lambda e: e["combine_score"] <= F.col("combine_score")))
-    start = F.greatest(below - k + 1, F.lit(1))
-    near = met.withColumn("_c", F.explode(F.slice("ladder", start, F.lit(2 * k)))).withColumn("_h", F.explode("_c.rows"))
-    gap, rgap = F.abs(F.col("draft_pick") - F.col("h_pick")), F.abs(F.col("draft_round") - F.col("h_round"))
-    draft = (F.when(rgap == 0, 1.0 - F.least(gap / 50.0, F.lit(0.5))).when(rgap == 1, 0.7 - F.least(gap / 75.0, F.lit(0.4)))
-             .otherwise(F.greatest(F.lit(0.1), 0.5 - rgap * 0.15 - gap / 100.0)))
-    body = F.greatest(F.lit(0.0), 1 - F.abs(F.col("combine_score") - F.col("_c.combine_score")) / 30.0)
-    scored = near.select(*slot, "combine_score", F.round(draft * 0.7 + body * 0.3, 9).alias("similarity"), "_h.*")
-    return first_rows(scored, [*slot, "combine_score"], [F.col("similarity").desc(), F.col("name"), F.col("season")], k)
+    ladder = settled(ladder.select(pos, F.col("draft_round").cast("int").alias("h_round"), F.col("draft_pick").cast("int").alias("h_pick"), "ladder"))
+    profiles = [*slot, "combine_score"]
+    left = settled(rookies.select(profiles).distinct())
+    found = None
+    for same, beside, bound in SLOT_BANDS:
+        picks = lambda round_, n: F.transform(F.sequence(F.col("draft_pick").cast("int") - n, F.col("draft_pick").cast("int") + n), lambda p: F.struct(round_.cast("int").alias("h_round"), p.alias("h_pick")))
+        own = F.col("draft_round")
+        band = F.concat(picks(own, same), *[picks(own + d, beside) for d in (-1, 1) if beside >= 0])
+        met = left.withColumn("_slot", F.explode(band)).select(*profiles, "_slot.*").join(ladder, [pos, "h_round", "h_pick"])
+        best = settled(_similar(profiles, met, k))
+        # the k-th row comes last, so it tells whether all k are beyond the reach of other slots
+        done = best.where((F.col("_pos") == k) & (F.col("similarity") > bound + 1e-9)).select(profiles)
+        mine = best.join(done, profiles, "left_semi")
+        found = mine if found is None else found.unionByName(mine)
+        left = settled(left.join(done, profiles, "left_anti"))
+    dealt = ladder.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SLOT_PARTS - 1))))
+    met = left.withColumn("_part", F.pmod(F.xxhash64(*profiles), F.lit(SLOT_PARTS)).cast("int")).join(dealt, [pos, "_part"]).drop("_part")
+    return found.unionByName(_similar(profiles, met, k))
 
 
 def comparable_projection(comps: DataFrame, keys: Keys = KEYS) -> DataFrame:

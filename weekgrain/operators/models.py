@@ -8,6 +8,7 @@ they are p x p. Trees, calibration and classification are Spark ML.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -24,7 +25,8 @@ from weekgrain.functions.exprs import clip, lookup
 from weekgrain.functions.order_stats import quantiles, with_ranks
 from weekgrain.keys import KEYS, Keys, settled
 from weekgrain.operators.evaluate import ranking_auc
-from weekgrain.operators.fit import bootstrap_grams, gram_by, rmse
+from weekgrain.operators.boosting import season_boosted
+from weekgrain.operators.fit import bootstrap_grams, gram_by, ridge, rmse, sse
 
 # --- linear models from moments -------------------------------------------------------------
 
@@ -226,24 +228,68 @@ def apply_pipelines(models: Mapping[str, PipelineModel], df: DataFrame, out: str
     return res
 
 
-def out_of_fold(panel: DataFrame, seasons: Sequence[int], columns: Sequence[str], target: str, kinds: Sequence[str], positions: Sequence[str] = tuple(C.POSITIONS),
-                keys: Keys = KEYS) -> DataFrame:
-    """Predictions of each season by models of all earlier seasons, one column per kind."""
-    out = None
-    for s in seasons:
-        past, now = panel.where(F.col(keys.season) < s), panel.where((F.col(keys.season) == s) & F.col(target).isNotNull())
-        for k in kinds:
-            now = apply_pipelines(fit_pipelines(past, columns, target, k, positions, keys=keys), now, f"oof_{k}", keys)
-        out = now if out is None else out.unionByName(now)
-    return out
+def fold_coefficients(panel: DataFrame, seasons: Sequence[int], columns: Sequence[str], target: str, alpha: float = 1.0, min_rows: int = 20, keys: Keys = KEYS) -> DataFrame:
+    """Ridge of every (position, season) on all earlier seasons. One scan: a fold's moments are those of all rows less those of its own and later seasons."""
+    grams = gram_by(panel, [keys.group, keys.season], columns, target, centre=True)
+    rows = []
+    for g in sorted({k[0] for k in grams.table if k[0] is not None}):
+        every = grams.total(lambda k: k[0] == g)
+        for s in seasons:
+            past = every - grams.total(lambda k: k[0] == g and k[1] >= s)
+            if past[0, 0] >= max(min_rows, len(columns) + 2):
+                rows.append((g, int(s), [float(b) for b in grams.unshifted(ridge_scaled(past, alpha))]))
+    return panel.sparkSession.createDataFrame(rows, f"{keys.group} string, {keys.season} int, _coef array<double>")  # positions x seasons rows
+
 
+def out_of_fold(panel: DataFrame, seasons: Sequence[int], columns: Sequence[str], target: str, kinds: Sequence[str], positions: Sequence[str] = tuple(C.POSITIONS),
+                alpha: float = 1.0, keys: Keys = KEYS, **params) -> DataFrame:
+    """Predictions of each season by models of all earlier seasons, one column ``oof_<kind>`` per kind; rows that a kind cannot predict are left out.
 
-def stack(oof: DataFrame, kinds: Sequence[str], target: str, alpha: float = 1.0, keys: Keys = KEYS) -> dict[str, np.ndarray]:
-    """Ridge over out-of-fold predictions per position; equal weights where there are too few rows."""
+    ``ridge`` comes from moments and ``boosted`` from additive histograms (``params`` go there): all folds and positions at once, without a row copied
+    per fold. Any other kind of :func:`regressor` is a Spark ML pipeline fitted per season and position.
+    """
+    panel = settled(panel.where(F.col(keys.group).isin(list(positions))))  # every kind scans it
+    now = panel.where(F.col(keys.season).isin(list(seasons)) & F.col(target).isNotNull())
+    for kind in kinds:
+        name = f"oof_{kind}"
+        if kind == "ridge":
+            coefs = fold_coefficients(panel, seasons, columns, target, alpha, keys=keys)
+            now = now.join(coefs, [keys.group, keys.season]).withColumn(name, linear_from(columns, "_coef")).drop("_coef")
+        elif kind == "boosted":
+            now = now.join(season_boosted(panel, seasons, columns, target, name, keys=keys, **params), [*keys.grain, keys.group])
+        else:
+            parts = [apply_pipelines(fit_pipelines(panel.where(F.col(keys.season) < s), columns, target, kind, positions, keys=keys), now.where(F.col(keys.season) == s), name, keys)
+                     for s in seasons]
+            now = reduce(DataFrame.unionByName, parts)
+    return now
+
+
+# fixed values: shares of the kinds where there is too little to learn them from
+ENSEMBLE_SHARES = {"forest": 0.30, "boosted": 0.40, "ridge": 0.30}
+
+
+def stack(oof: DataFrame, kinds: Sequence[str], target: str, alphas: Sequence[float] = tuple(np.logspace(-2, 2, 20)), min_rows: int = 20, shares: Mapping[str, float] = ENSEMBLE_SHARES,
+          keys: Keys = KEYS) -> dict[str, np.ndarray]:
+    """Ridge over out-of-fold predictions per position; fixed shares of the kinds where there are too few rows.
+
+    The penalty is the one with the least error over seasons left out in turn: their moments are subtracted from the total, so nothing is rescanned.
+    With one season it is 1.
+    """
     cols = [f"oof_{k}" for k in kinds]
-    grams = gram_by(oof, [keys.group], cols, target, centre=True)
-    even = np.concatenate([[0.0], np.full(len(kinds), 1.0 / len(kinds))])
-    return {k[0]: grams.unshifted(ridge_scaled(g, alpha)) if g[0, 0] >= 20 else even for k, g in grams.table.items()}
+    grams = gram_by(oof, [keys.group, keys.season], cols, target, centre=True)
+    given = np.array([shares.get(k, 1.0 / len(kinds)) for k in kinds])
+    fixed = np.concatenate([[0.0], given / given.sum()])
+    out = {}
+    for g in sorted({k[0] for k in grams.table if k[0] is not None}):
+        folds = [m for k, m in grams.table.items() if k[0] == g]
+        every = sum(folds)
+        if every[0, 0] < min_rows:
+            out[g] = fixed
+            continue
+        usable = [f for f in folds if every[0, 0] - f[0, 0] > len(kinds) + 1]
+        error = lambda a: sum(max(sse(f, ridge_scaled(every - f, a)), 0.0) for f in usable)
+        out[g] = grams.unshifted(ridge_scaled(every, min(alphas, key=error) if usable else 1.0))
+    return out
 
 
 def isotonic_if_better(oof: DataFrame, pred: str, target: str, out: str = "calibrated") -> DataFrame:
@@ -277,14 +323,34 @@ def quantile_intervals(train: DataFrame, test: DataFrame, pred: str, target: str
     return out.withColumns({name(x): F.greatest(F.col(pred) + F.col(f"_{name(x)}"), F.lit(0.0)) for x in levels}).drop(*[f"_{name(x)}" for x in levels])
 
 
-def usage_to_points(train: DataFrame, test: DataFrame, usage: str, efficiency: Sequence[str], points: str = "fantasy_points",
-                    positions: Sequence[str] = tuple(C.POSITIONS), keys: Keys = KEYS, **params) -> DataFrame:
-    """Points from a usage score and efficiency: boosted trees, then a line through the training predictions."""
-    cols = [usage, *efficiency]
-    models = fit_pipelines(train, cols, points, "boosted", positions, keys=keys, **params)
-    fitted = apply_pipelines(models, train.where(F.col(points).isNotNull()), "_raw_fp", keys)
-    lines = fit_positions(fitted, ["_raw_fp"], points, 0.0, keys)
-    return predict_positions(apply_pipelines(models, test, "_raw_fp", keys), ["_raw_fp"], lines, "predicted_points", keys).drop("_raw_fp")
+def usage_to_points(train: DataFrame, test: DataFrame, usage: str, history: Sequence[str], efficiency: Sequence[str], points: str = "fantasy_points", levels: Sequence[float] = (0.80, 0.95),
+                    positions: Sequence[str] = tuple(C.POSITIONS), min_validation: int = 20, keys: Keys = KEYS, **params) -> DataFrame:
+    """Points of the test rows from predicted usage and efficiency, with the conversion error at each level per position.
+
+    The trees see usage as it is at serving time, a prediction from ``history``: of each training season by models of the earlier ones (the first season
+    keeps the usage itself), of the test rows by a model of all training rows. They are fitted without the last training season, on which a line then
+    calibrates them and whose absolute residuals give ``conversion_error_<level>``; a position with fewer than ``min_validation`` rows there has neither.
+    """
+    seasons = sorted(r[0] for r in train.select(keys.season).distinct().collect())
+    if not seasons:
+        raise ValueError("no training rows")
+    last = seasons[-1]
+    seen = train.join(fold_coefficients(train, seasons[1:], history, usage, keys=keys), [keys.group, keys.season], "left")
+    seen = settled(seen.withColumn("_usage", F.coalesce(F.when(F.col("_coef").isNotNull(), linear_from(history, "_coef")), F.col(usage).cast("double"))).drop("_coef"))
+    served = predict_positions(test, history, fit_positions(train, history, usage, keys=keys), "_usage", keys)
+    cols = ["_usage", *efficiency]
+    fitting = seen if len(seasons) == 1 else seen.where(F.col(keys.season) < last)
+    models = fit_pipelines(fitting, cols, points, "boosted", positions, keys=keys, **params)
+    held = apply_pipelines(models, seen.where((F.col(keys.season) == last) & F.col(points).isNotNull()), "_raw_fp", keys)
+    grams = gram_by(held, [keys.group], ["_raw_fp"], points, centre=True)
+    lines = {p: np.array([0.0, 1.0]) for p in positions}
+    lines |= {k[0]: grams.unshifted(ridge(g, 1.0)) for k, g in grams.table.items() if g[0, 0] >= min_validation}
+    off = predict_positions(held, ["_raw_fp"], lines, "_cal", keys).withColumn("_off", F.abs(F.col(points) - F.col("_cal")))
+    name = lambda x: f"conversion_error_{int(round(x * 100))}"
+    errors = quantiles(off, [keys.group], "_off", {name(x): x for x in levels})
+    errors = errors.where(F.col("n") >= min_validation).drop("n")
+    out = predict_positions(apply_pipelines(models, served, "_raw_fp", keys), ["_raw_fp"], lines, "predicted_points", keys)
+    return out.join(errors, keys.group, "left").drop("_raw_fp", "_usage")
 
 
 def injury_classifier(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str) -> DataFrame:

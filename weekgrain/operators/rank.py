@@ -404,6 +404,22 @@ def trade_positions(sides: DataFrame, projections: DataFrame, per_week: str = "a
     return out.withColumn("verdict", F.when(F.col("quality_change") > 0, "UPGRADE").otherwise("DOWNGRADE"))
 
 
+# --- usage over seasons ---------------------------------------------------------------------------------------------------
+def usage_rollup(panel: DataFrame, score: str, elite: float = 85.0, keys: Keys = KEYS) -> DataFrame:
+    """Players, rows, mean and spread of a usage score, and its elite rows per hundred players, from one aggregate.
+
+    Groups: (season, position, tier), (season, position), (position, tier), position, and all rows; a null key stands for all of its values.
+    """
+    s = F.col("_score")
+    df = panel.select(keys.season, keys.group, keys.entity, F.col(score).cast("double").alias("_score")).where(s.isNotNull()).withColumn("tier", utilization_tier(s))
+    every = [keys.season, keys.group, "tier"]
+    sets = [every, every[:2], every[1:], every[1:2], []]
+    players = F.count_distinct(keys.entity)
+    out = df.groupingSets([[F.col(c) for c in g] for g in sets], *every).agg(
+        players.alias("total_players"), F.count(s).alias("n_rows"), F.avg(s).alias("avg_util"), F.stddev_samp(s).alias("std_util"), F.count(F.when(s >= elite, 1)).alias("elite_count"))
+    return out.withColumns({"elite_pct": F.round(F.col("elite_count") / F.col("total_players") * 100, 1), "samples_per_player": F.col("n_rows") / F.col("total_players")})
+
+
 # --- looking back ------------------------------------------------------------------------------------------------------
 # fixed values: score expected of a pick, by last round of the band
 ROUND_EXPECTATION = [(2, {"QB": 85, "RB": 82, "WR": 80, "TE": 75}), (5, {"QB": 75, "RB": 72, "WR": 70, "TE": 65}),

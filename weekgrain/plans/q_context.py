@@ -282,7 +282,7 @@ def _rookie_history(t):
 
 
 SIM = f"""WITH {COMB}, pg AS (SELECT player_id,round(avg(fantasy_points),6) AS ppg,count(*) AS games FROM panel GROUP BY ALL), h AS (SELECT cbs.*,ppg,games FROM cbs JOIN pg USING (player_id)),
- w AS (SELECT DISTINCT "position",draft_round,draft_pick,combine_score FROM cbs WHERE player_id%2=1),
+ w AS (SELECT DISTINCT "position",draft_round,draft_pick,combine_score FROM cbs),
  s AS (SELECT w.*, h.player_name AS name,h.draft_season AS season,ppg,games,round(0.7*CASE abs(w.draft_round-h.draft_round) WHEN 0 THEN 1-least(0.5,abs(w.draft_pick-h.draft_pick)/50) WHEN 1 THEN 0.7-least(0.4,abs(w.draft_pick-h.draft_pick)/75)
   ELSE greatest(0.1,0.5-abs(w.draft_round-h.draft_round)*0.15-abs(w.draft_pick-h.draft_pick)/100) END+0.3*greatest(0,1-abs(w.combine_score-h.combine_score)/30),9) AS similarity FROM w JOIN h ON h."position"=w."position"),
  cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "position",draft_round,draft_pick,combine_score ORDER BY similarity DESC,name,season) AS _pos FROM s) WHERE _pos<=5)"""
@@ -291,7 +291,7 @@ SIM = f"""WITH {COMB}, pg AS (SELECT player_id,round(avg(fantasy_points),6) AS p
 @query("J19_comparable_rookies", SIM + " SELECT * EXCLUDE (_pos), _pos AS place FROM cp", "combine_score ppg similarity", "panel drafted")
 def _(t):
     h = _rookie_history(t)
-    want = CX.combine_scores(t.drafted).where(F.col("player_id") % 2 == 1)
+    want = CX.combine_scores(t.drafted)
     return CX.comparable_rookies(want, h).withColumnRenamed("_pos", "place")
 
 
@@ -299,7 +299,7 @@ def _(t):
        "combine_score ppg_from_comps games_from_comps ceiling_from_comps floor_from_comps", "panel drafted")
 def _(t):
     h = _rookie_history(t)
-    want = CX.combine_scores(t.drafted).where(F.col("player_id") % 2 == 1)
+    want = CX.combine_scores(t.drafted)
     return CX.comparable_projection(CX.comparable_rookies(want, h))
 
 

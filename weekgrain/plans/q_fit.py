@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weekgrain import config as C
 from weekgrain.functions.order_stats import quantiles
+from weekgrain.keys import settled
 from weekgrain.operators import boosting as B
 from weekgrain.operators import evaluate as E
 from weekgrain.operators import features as W
@@ -224,24 +225,38 @@ def _(t):
     return M.predict_positions(h.where(F.col("season") >= 2000), ["fantasy_points_roll8_mean"], betas).select(*ID, "predicted_points")
 
 
+KINDS = ["ridge", "boosted"]
+
+
+def _seasons(t):
+    return sorted(r[0] for r in t.panel.select("season").distinct().collect())
+
+
 def _oof(t):
-    return M.out_of_fold(_history(t), [2000, 2001], HIST, "fantasy_points", ["ridge"])
+    """All seasons but the first, which has nothing before it."""
+    return settled(M.out_of_fold(_history(t), _seasons(t)[1:], HIST, "fantasy_points", KINDS, trees=5, depth=2))
 
 
 @query("M02_stacking")
 def _(t):
-    h = _history(t)
-    past, now = h.where(F.col("season") < 2000), h.where(F.col("season") >= 2000)
-    for k, cols in (("short", HIST[:1]), ("long", HIST[1:2])):
-        now = M.predict_positions(now, cols, M.fit_positions(past, cols, "fantasy_points"), f"oof_{k}")
-    meta = M.stack(now.where(F.col("season") == 2000), ["short", "long"], "fantasy_points")
-    out = M.predict_positions(now.where(F.col("season") == 2001), ["oof_short", "oof_long"], meta, "predicted_points")
+    o, last = _oof(t), _seasons(t)[-1]
+    meta = M.stack(o.where(F.col("season") < last), KINDS, "fantasy_points")
+    out = M.predict_positions(o.where(F.col("season") == last), [f"oof_{k}" for k in KINDS], meta, "predicted_points")
     return E.regression_metrics(out, ["position"])
 
 
 @query("M02_out_of_fold")
 def _(t):
-    return E.regression_metrics(_oof(t).withColumnRenamed("oof_ridge", "predicted_points"), ["position", "season"])
+    o = _oof(t)
+    parts = [E.regression_metrics(o.withColumnRenamed(f"oof_{k}", "predicted_points"), ["position", "season"]).withColumn("kind", F.lit(k)) for k in KINDS]
+    return parts[0].unionByName(parts[1])
+
+
+@query("M02_one_variable_folds", f"""WITH {HSQL}, mo AS (SELECT {P4},season,count(*) AS n,sum(x2) AS sx,sum(fantasy_points) AS sy,sum(x2*x2) AS sxx,sum(x2*fantasy_points) AS sxy FROM hx WHERE x2 IS NOT NULL GROUP BY ALL),
+ pa AS (SELECT te.{P4},te.season,sum(tn.n) AS n,sum(tn.sx) AS sx,sum(tn.sy) AS sy,sum(tn.sxx) AS sxx,sum(tn.sxy) AS sxy FROM mo te JOIN mo tn ON tn.{P4}=te.{P4} AND tn.season<te.season GROUP BY ALL HAVING sum(tn.n)>=20),
+ be AS (SELECT *, (sxy/n-sx/n*sy/n)/((sxx/n-sx/n*sx/n)*(1+1.0/n)) AS b FROM pa) SELECT player_id,season,"week",sy/n+b*(x2-sx/n) AS oof_ridge FROM hx JOIN be USING ({P4},season) WHERE x2 IS NOT NULL""", "oof_ridge")
+def _(t):
+    return M.out_of_fold(_history(t), _seasons(t)[1:], ["fantasy_points_roll8_mean"], "fantasy_points", ["ridge"]).select(*ID, "oof_ridge")
 
 
 @query("M03_isotonic_calibration")
@@ -262,9 +277,12 @@ def _(t):
 
 @query("M05_usage_to_points")
 def _(t):
-    p = W.base_features(t.panel).withColumn("snap_count", F.col("snap_count").cast("double"))
-    out = M.usage_to_points(p.where(F.col("season") < 2000), p.where(F.col("season") >= 2000), "snap_count", ["catch_rate"])
-    return E.regression_metrics(out, ["position"])
+    p = W.rolling_means(W.base_features(t.panel), ["snap_count", "catch_rate"], [3, 8]).withColumn("snap_count", F.col("snap_count").cast("double"))
+    p = p.where(F.col("snap_count_roll3_mean").isNotNull())
+    out = M.usage_to_points(p.where(F.col("season") < 2000), p.where(F.col("season") >= 2000), "snap_count", ["snap_count_roll3_mean", "snap_count_roll8_mean"], ["catch_rate_roll3_mean"])
+    errors = out.groupBy("position").agg(F.max("conversion_error_80").alias("conversion_error_80"), F.max("conversion_error_95").alias("conversion_error_95"),
+                                         F.avg((F.abs(F.col("fantasy_points") - F.col("predicted_points")) <= F.col("conversion_error_95")).cast("double")).alias("within_95"))
+    return E.regression_metrics(out, ["position"]).join(errors, "position")
 
 
 @query("M06_quantile_intervals", f"""WITH q AS (SELECT {P4},""" + ",".join(f"quantile_cont(fantasy_points-predicted_points,{x / 100}) AS e{x}" for x in (10, 25, 50, 75, 90)) + f""" FROM preds WHERE season<2000 GROUP BY {P4}) SELECT player_id,season,"week",""" + ",".join(f"greatest(0,predicted_points+e{x}) AS q{x}" for x in (10, 25, 50, 75, 90)) + f" FROM preds JOIN q USING ({P4}) WHERE season>=2000", "q10 q25 q50 q75 q90", "preds")

@@ -6,11 +6,13 @@ from weekgrain import config as C
 from weekgrain.functions import exprs as X
 from weekgrain.functions.order_stats import quantiles
 from weekgrain.operators import context as CX
+from weekgrain.operators import evaluate as E
 from weekgrain.operators import features as W
 from weekgrain.operators import filters as FL
 from weekgrain.operators import rank as K
+from weekgrain.operators import targets as TG
 from weekgrain.plans.q_context import DVP, _rookie_history
-from weekgrain.plans.q_features import ALLP, ID, PW, VOL, pre
+from weekgrain.plans.q_features import ALLP, ID, PW, VOL, nxt, pre
 from weekgrain.plans.registry import query
 
 NOW = '(SELECT max(season*100+"week") FROM preds)'
@@ -451,6 +453,24 @@ def _(t):
     return s.groupBy("season", X.utilization_tier(F.col("u")).alias("tier")).pivot("position", C.POSITIONS).agg(F.avg("u"))
 
 
+@query("A18_usage_rollup", """WITH s AS (SELECT season,player_id,"position",fantasy_points*2 AS u FROM panel), g AS (SELECT *, CASE WHEN u>=80 THEN 'Elite' WHEN u>=70 THEN 'Strong' WHEN u>=60 THEN 'Average' WHEN u>=50 THEN 'Below Average' ELSE 'Low' END AS tier FROM s),
+ a AS (SELECT season,"position",tier,count(DISTINCT player_id) AS total_players,count(u) AS n_rows,avg(u) AS avg_util,stddev_samp(u) AS std_util,count(*) FILTER (u>=85) AS elite_count FROM g GROUP BY GROUPING SETS ((season,"position",tier),(season,"position"),("position",tier),("position"),()))
+ SELECT *, round(elite_count/total_players*100,1) AS elite_pct,n_rows/total_players AS samples_per_player FROM a""", "avg_util std_util elite_pct samples_per_player")
+def _(t):
+    return K.usage_rollup(t.panel.withColumn("u", F.col("fantasy_points") * 2), "u")
+
+
+R2 = [(m, c, n) for m, c in (("form", "r3"), ("season", "r8")) for n in (1, 4, 10)]
+
+
+@query("A18_r2_pivot", f"""WITH h AS (SELECT "position",avg(fantasy_points) OVER ({PW} {pre(3)}) AS r3,avg(fantasy_points) OVER ({PW} {pre(8)}) AS r8,{nxt('fantasy_points', 1, 'sum', 1)} AS t1,{nxt('fantasy_points', 4, 'sum', 3)} AS t4,{nxt('fantasy_points', 10, 'sum', 8)} AS t10 FROM panel)
+ SELECT "position",""" + ",".join(f"1-avg(pow(t{n}-{c}*{n},2))/(var_pop(t{n}) FILTER ({c} IS NOT NULL)) AS {m}_{n}w" for m, c, n in R2) + """ FROM h GROUP BY "position\"""", " ".join(f"{m}_{n}w" for m, _, n in R2))
+def _(t):
+    p = TG.horizon_targets(W.rolling_means(t.panel, ["fantasy_points"], [3, 8]), (1, 4, 10))
+    p = p.withColumns({f"{m}_p{n}": F.col(f"fantasy_points_roll{c[1:]}_mean") * n for m, c, n in R2})
+    return E.r2_pivot(p, {f"{m}_{n}w": (f"target_{n}w", f"{m}_p{n}") for m, _, n in R2})
+
+
 @query("A20_injury_frequency", """WITH c AS (SELECT player_name,count(*) AS n FROM injuries GROUP BY ALL), q AS (SELECT quantile_cont(n,0.75) AS q FROM c) SELECT player_name,n,q AS prone_threshold,CAST(n>=3 AS INT) AS high_risk FROM c,q""", "prone_threshold", "injuries")
 def _(t):
     c = t.injuries.groupBy("player_name").agg(F.count(F.lit(1)).alias("n"))
