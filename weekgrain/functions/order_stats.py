@@ -11,12 +11,16 @@ survives a group that holds a third of a large table. The *value ladder* does:
 3. count per (group, interval), prefix-sum those few counts;
 4. finish the running count inside each interval, one task per interval.
 
-Ranks, percent ranks, quantiles, cumulative gaps and the area under a curve all
-read off the ladder.
+Ranks, percent ranks, cumulative gaps and the area under a curve all read off the
+ladder. Quantiles stop after step 3 for all intervals but those that hold a wanted
+order statistic: only these are put in order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,15 +45,8 @@ def _interval(cuts: Column, value: Column, splits: int) -> Column:
     return F.when(value.isNull(), F.lit(splits + 1)).otherwise(found)
 
 
-def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | None = None,
-                 parts: dict[str, Column] | None = None) -> DataFrame:
-    """Rows (groups, v, n, below, total): ``below`` counts group rows with a smaller value; nulls come last.
-
-    ``parts`` maps names to row conditions and adds n_, below_ and total_ columns that count only those rows.
-    """
-    splits = splits or _splits(df)
-    parts = parts or {}
-    counts = {"n": F.count(F.lit(1))} | {f"n_{k}": F.sum(F.when(c, 1).otherwise(0)) for k, c in parts.items()}
+def _placed(df: DataFrame, groups: list[str], value: str, splits: int, counts: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+    """Distinct values of each group (``v``) with their counts and interval ``_b``, and the names that the group columns have there."""
     gcols = [f"_g{i}" for i in range(len(groups))] or ["_g0"]
     gsrc = [F.col(g).alias(a) for g, a in zip(groups, gcols)] or [F.lit(0).alias("_g0")]
     v = F.col(value)
@@ -64,6 +61,19 @@ def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | Non
     placed = d.join(cuts, _all(on), "left").select(
         *gcols, "v", *counts,
         F.when(F.col("_cuts").isNull(), F.lit(splits + 1)).otherwise(_interval(F.col("_cuts"), F.col("v"), splits)).alias("_b"))
+    return placed, gcols
+
+
+def value_ladder(df: DataFrame, groups: list[str], value: str, splits: int | None = None,
+                 parts: dict[str, Column] | None = None) -> DataFrame:
+    """Rows (groups, v, n, below, total): ``below`` counts group rows with a smaller value; nulls come last.
+
+    ``parts`` maps names to row conditions and adds n_, below_ and total_ columns that count only those rows.
+    """
+    splits = splits or _splits(df)
+    parts = parts or {}
+    counts = {"n": F.count(F.lit(1))} | {f"n_{k}": F.sum(F.when(c, 1).otherwise(0)) for k, c in parts.items()}
+    placed, gcols = _placed(df, groups, value, splits, counts)
     # One exchange by interval serves both branches below. It is spelled out because a shuffled join on the
     # group alone would count as clustered by (group, interval) and leave a hot group in one task.
     placed = placed.repartition(*gcols, "_b")
@@ -122,15 +132,29 @@ def with_rank(df: DataFrame, groups: list[str], value: str, out: str, method: st
 
 def quantiles(df: DataFrame, groups: list[str], value: str, qs: dict[str, float],
               splits: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group: one column per entry of ``qs``, plus ``n``."""
-    ladder = value_ladder(df.where(F.col(value).isNotNull()), groups, value, splits)
-    at = []
+    """Exact linearly interpolated quantiles per group: one column per entry of ``qs``, plus ``n``.
+
+    All wanted order statistics of all groups are selected together: values are counted per interval, and only the values of intervals that hold one
+    of the statistics are put in order.
+    """
+    splits = splits or _splits(df)
+    placed, gcols = _placed(df.where(F.col(value).isNotNull()), groups, value, splits, {"n": F.count(F.lit(1))})
+    placed = placed.repartition(*gcols, "_b")  # one exchange for both branches below
+    by_group = Window.partitionBy(*gcols)
+    counts = placed.groupBy(*gcols, "_b").agg(F.sum("n").alias("_m"))
+    counts = counts.select(*gcols, "_b", "_m", (F.sum("_m").over(by_group.orderBy("_b")) - F.col("_m")).alias("_base"), F.sum("_m").over(by_group).alias("total"))
+    wanted = {}  # rank (counted from 0) of each end of each quantile
     for name, q in qs.items():
         pos = F.lit(float(q)) * (F.col("total") - 1)
-        for tag, idx in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("below") <= idx) & (idx < F.col("below") + F.col("n"))
-            at.append(F.max(F.when(hit, F.col("v").cast("double"))).alias(f"{name}_{tag}"))
-    agg = ladder.groupBy(*groups).agg(F.max("total").alias("n"), *at)
+        wanted |= {f"{name}_lo": F.floor(pos), f"{name}_hi": F.ceil(pos)}
+    holds = [(F.col("_base") <= idx) & (idx < F.col("_base") + F.col("_m")) for idx in wanted.values()]
+    held = counts.where(reduce(or_, holds)).select(*[F.col(g).alias(f"{g}r") for g in gcols], F.col("_b").alias("_br"), "_base", "total")
+    near = placed.join(held, _all([F.col(g).eqNullSafe(F.col(f"{g}r")) for g in gcols] + [F.col("_b") == F.col("_br")]))
+    inside = Window.partitionBy(*gcols, "_b").orderBy("v")
+    near = near.withColumn("below", F.col("_base") + F.sum("n").over(inside) - F.col("n"))
+    hit = lambda idx: (F.col("below") <= idx) & (idx < F.col("below") + F.col("n"))
+    agg = near.groupBy(*gcols).agg(F.max("total").alias("_n"), *[F.max(F.when(hit(idx), F.col("v").cast("double"))).alias(k) for k, idx in wanted.items()])
+    agg = agg.select(*[F.col(a).alias(g) for g, a in zip(groups, gcols)], F.col("_n").alias("n"), *wanted)
     outs = []
     for name, q in qs.items():
         pos = F.lit(float(q)) * (F.col("n") - 1)

@@ -183,14 +183,25 @@ def widen_factor(n: Column) -> Column:
     return at_least(n, [(200, 1.0), (50, 1.05), (20, 1.10)], 1.20)
 
 
+def earlier_half(df: DataFrame, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS) -> DataFrame:
+    """Errors (group, _e) of each position's earlier half of known rows, at least ten, in the order of period and entity.
+
+    Counts per (position, period) tell how many rows each period still gives; rows are ranked only where a period gives some and keeps others.
+    """
+    known = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).select(keys.group, *keys.grain, (F.col(actual) - F.col(pred)).alias("_e"))
+    by_group = Window.partitionBy(keys.group)
+    counts = known.groupBy(keys.group, *keys.period).agg(F.count(F.lit(1)).alias("_n"))
+    total, upto = F.sum("_n").over(by_group), F.sum("_n").over(by_group.orderBy(*keys.period))
+    take = F.greatest(F.floor(total / 2), F.least(total, F.lit(10)))
+    room = counts.withColumn("_room", take - (upto - F.col("_n"))).where(F.col("_room") > 0)
+    rows = settled(known.join(room, [keys.group, *keys.period]))
+    border = with_ranks(rows.where(F.col("_room") < F.col("_n")), [([keys.group], keys.entity, "_rn", "min", True)])
+    return rows.where(F.col("_room") >= F.col("_n")).select(keys.group, "_e").unionByName(border.where(F.col("_rn") <= F.col("_room")).select(keys.group, "_e"))
+
+
 def conformal_intervals(df: DataFrame, confidence: float = 0.8, actual: str = ACTUAL, pred: str = PRED, keys: Keys = KEYS) -> DataFrame:
     """Bands from the residuals of each position's earlier half, widened for few rows, never below zero."""
-    order = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).withColumn("_ord", F.struct(keys.season, keys.week, keys.entity))
-    placed = with_ranks(order, [([keys.group], "_ord", "_rn", "min", True)])
-    size = df.where(F.col(actual).isNotNull() & F.col(pred).isNotNull()).groupBy(keys.group).agg(F.count(F.lit(1)).alias("_n"))
-    take = F.greatest(F.floor(F.col("_n") / 2), F.least(F.col("_n"), F.lit(10)))
-    cal = placed.join(size, keys.group).where(F.col("_rn") <= take).select(keys.group, (F.col(actual) - F.col(pred)).alias("_e"))
-    q = quantiles(settled(cal), [keys.group], "_e", {"_lo": (1 - confidence) / 2, "_hi": 1 - (1 - confidence) / 2})
+    q = quantiles(earlier_half(df, actual, pred, keys), [keys.group], "_e", {"_lo": (1 - confidence) / 2, "_hi": 1 - (1 - confidence) / 2})
     q = q.select(keys.group, (F.col("_lo") * widen_factor(F.col("n"))).alias("_lo"), (F.col("_hi") * widen_factor(F.col("n"))).alias("_hi"))
     out = df.join(q, keys.group, "left")
     return out.withColumns({"ci_lower": F.greatest(F.col(pred) + F.col("_lo"), F.lit(0.0)), "ci_upper": F.col(pred) + F.col("_hi")}).drop("_lo", "_hi")
