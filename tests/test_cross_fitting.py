@@ -90,6 +90,12 @@ def test_error_drift_counts_known_finite_rows(spark):
     assert E.error_drift(now.limit(0), past, ["position"]).count() == 0
 
 
+def test_metrics_of_a_constant_prediction(spark):
+    df = spark.createDataFrame([("QB", 1.0, 3.0), ("QB", 5.0, 3.0), ("RB", 1.0, 2.0), ("RB", 2.0, 4.0)], "position string, fantasy_points double, predicted_points double")
+    got = {r.position: r for r in E.regression_metrics(df, ["position"]).collect()}
+    assert got["QB"].correlation is None and got["QB"].rmse == 2.0 and abs(got["RB"].correlation - 1.0) < 1e-12
+
+
 def test_selection_steps(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=400), rng.normal(size=400)

@@ -29,10 +29,11 @@ def metric_columns(a: Column, p: Column) -> dict[str, Column]:
     a, p = F.when(both, a), F.when(both, p)
     e = a - p
     n, sst = F.count(e), F.var_pop(a) * F.count(e)
+    spread = F.stddev_pop(a) * F.stddev_pop(p)  # corr() itself fails on a constant column
     within = {f"within_{k}_pct": F.avg((F.abs(e) <= k).cast("int")) * 100 for k in (3, 5, 7, 10)}
     return {
         "n": n, "rmse": F.sqrt(F.sum(e * e) / n), "mae": F.avg(F.abs(e)), "r2": F.when(sst > 0, 1 - F.sum(e * e) / sst),
-        "correlation": F.corr(a, p), "mape_floor3": F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(3.0))) * 100,
+        "correlation": F.when(spread > 0, F.covar_pop(a, p) / spread), "mape_floor3": F.avg(F.abs(e) / F.greatest(F.abs(a), F.lit(3.0))) * 100,
         "mape_nonzero": F.avg(F.when(a != 0, F.abs(e / a))) * 100, "mean_error": F.avg(-e), "std_error": F.stddev_samp(-e),
         "avg_actual": F.avg(a), "avg_predicted": F.avg(p), "std_actual": F.stddev_samp(a), "std_predicted": F.stddev_samp(p)} | within
 
