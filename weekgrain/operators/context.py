@@ -373,19 +373,31 @@ def combine_scores(rows: DataFrame, keys: Keys = KEYS) -> DataFrame:
 # and the similarity that a slot outside of the band can reach at most
 SLOT_BANDS = [(10, -1, 0.7 * 0.78 + 0.3), (24, 14, 0.7 * 0.50 + 0.3)]
 SLOT_PARTS = 32
+MET_ROWS = 50_000  # pairs of a profile and a slot whose rows one task ranks, about
 
 
-def _similar(profiles: list[str], met: DataFrame, k: int) -> DataFrame:
-    """Scores the rows of each met slot that can be among the k best: those of the k nearest combine scores on either side."""
+def _similar(profiles: list[str], met: DataFrame, k: int, parts: int | None = None) -> DataFrame:
+    """Scores the rows of each met slot that can be among the k best: those of the k nearest combine scores on either side.
+
+    They are dealt to ``parts`` tasks before they become rows of their own, which are far more.
+    """
     below = F.size(F.filter("ladder", lambda e: e["combine_score"] <= F.col("combine_score")))
     start = F.greatest(below - k + 1, F.lit(1))
-    near = met.withColumn("_c", F.explode(F.slice("ladder", start, F.lit(2 * k)))).withColumn("_h", F.explode("_c.rows"))
+    near = met.withColumn("_c", F.slice("ladder", start, F.lit(2 * k))).drop("ladder")
     gap, rgap = F.abs(F.col("draft_pick") - F.col("h_pick")), F.abs(F.col("draft_round") - F.col("h_round"))
     draft = (F.when(rgap == 0, 1.0 - F.least(gap / 50.0, F.lit(0.5))).when(rgap == 1, 0.7 - F.least(gap / 75.0, F.lit(0.4)))
              .otherwise(F.greatest(F.lit(0.1), 0.5 - rgap * 0.15 - gap / 100.0)))
-    body = F.greatest(F.lit(0.0), 1 - F.abs(F.col("combine_score") - F.col("_c.combine_score")) / 30.0)
-    scored = near.select(*profiles, F.round(draft * 0.7 + body * 0.3, 9).alias("similarity"), "_h.*")
-    return first_rows(scored, profiles, [F.col("similarity").desc(), F.col("name"), F.col("season")], k)
+    near = near.withColumn("_d", draft * 0.7)
+    body = lambda c: F.greatest(F.lit(0.0), 1 - F.abs(F.col("combine_score") - c) / 30.0)
+    scored = near.withColumn("_c", F.transform("_c", lambda e: F.struct(F.round(F.col("_d") + body(e["combine_score"]) * 0.3, 9).alias("similarity"), e["rows"].alias("rows"))))
+    # what k rows of its own slot are ahead of is left out before rows are made of it; ties stay
+    worth = F.sort_array(F.flatten(F.transform("_c", lambda e: F.transform(e["rows"], lambda r: e["similarity"]))), asc=False)
+    scored = scored.withColumn("_k", F.get(worth, F.lit(k - 1)))
+    scored = scored.select(*profiles, F.filter("_c", lambda e: F.coalesce(e["similarity"] >= F.col("_k"), F.lit(True))).alias("_c"))
+    if parts:
+        scored = scored.repartition(parts, *profiles)
+    scored = scored.withColumn("_c", F.explode("_c")).select(*profiles, "_c.similarity", F.explode("_c.rows").alias("_h"))
+    return first_rows(scored.select(*profiles, "similarity", "_h.*"), profiles, [F.col("similarity").desc(), F.col("name"), F.col("season")], k)
 
 
 def comparable_rookies(rookies: DataFrame, history: DataFrame, k: int = 5, keys: Keys = KEYS) -> DataFrame:
@@ -410,8 +422,9 @@ def comparable_rookies(rookies: DataFrame, history: DataFrame, k: int = 5, keys:
         picks = lambda round_, n: F.transform(F.sequence(F.col("draft_pick").cast("int") - n, F.col("draft_pick").cast("int") + n), lambda p: F.struct(round_.cast("int").alias("h_round"), p.alias("h_pick")))
         own = F.col("draft_round")
         band = F.concat(picks(own, same), *[picks(own + d, beside) for d in (-1, 1) if beside >= 0])
+        pairs = left.count() * (2 * same + 1 + 2 * max(2 * beside + 1, 0))
         met = left.withColumn("_slot", F.explode(band)).select(*profiles, "_slot.*").join(ladder, [pos, "h_round", "h_pick"])
-        best = settled(_similar(profiles, met, k))
+        best = settled(_similar(profiles, met, k, 1 + pairs // MET_ROWS))
         # the k-th row comes last, so it tells whether all k are beyond the reach of other slots
         done = best.where((F.col("_pos") == k) & (F.col("similarity") > bound + 1e-9)).select(profiles)
         mine = best.join(done, profiles, "left_semi")
