@@ -112,3 +112,21 @@ def test_versions_stay_and_a_crash_before_the_switch_shows_nothing(spark, monkey
     assert table.insert_missing(spark.createDataFrame([(1, 2000, 1, 0.0), (7, 2000, 2, 7.0)], base.schema), keys) == 4 and (7, 7.0) in rows() and (1, 5.0) in rows()
     assert table.replace_up_to(spark.createDataFrame([(8, 2000, 1, 8.0), (8, 2000, 2, 0.0)], base.schema), 2000, "week", 1) == 5
     assert rows() == [(3, 3.0), (4, 4.0), (7, 7.0), (8, 8.0), (9, 9.0)]
+
+
+def test_stream_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """T02 holds its seen plays in as many buckets as the table has times BUCKET_ROWS rows."""
+    import datetime
+
+    from weekgrain.plans import q_ingest, registry  # noqa: F401
+
+    rows = [(i % 50, i % 7, i % 5, i % 4 + 1, float(i % 50), 1.0, 0.01, 0.0, "RNA"[i % 3], "FO"[i % 2], datetime.datetime(1995, 1, 1) + datetime.timedelta(days=3 * i)) for i in range(240)]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                               "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    used, real = [], ST.first_rows
+    monkeypatch.setattr(ST, "BUCKET_ROWS", 20, raising=False)
+    monkeypatch.setattr(ST, "first_rows", lambda *a: used.append(a[5] if len(a) > 5 else 8) or real(*a))
+    got = sorted(map(tuple, registry.run("T02_unique_plays", spark, str(tmp_path)).collect()))
+    assert used == [12]
+    assert got == sorted({(i % 5 * 100 + i % 7, i % 50) for i in range(240)})

@@ -211,7 +211,7 @@ def _(t):
     plays = t.as_plays(zoned(t.raw("lineitem"))).where(F.col("rusher_player_id").isNotNull())
     plays = plays.select("ts", "season", "week", F.col("rusher_player_id").alias("player_id"), F.col("rushing_yards").alias("yards"), F.col("touchdown").alias("touchdowns"))
     root, sums, width = shared_dir(t.spark, "running"), ["yards", "touchdowns"], 28 * DAY
-    totals = ST.windowed_totals(t.arrivals(plays, "running-in", "ts"), "ts", width, "100 days", ID, sums)
+    totals = ST.windowed_totals(t.arrivals(plays, "running-in", "ts"), "ts", width, "100 days", ID, sums, ST.buckets_for(t.raw("lineitem").count()))
     table = VersionedTable(t.spark, f"{root}/table", "part")
     _run(ST.totals_sink(totals, table, f"{root}/late", f"{root}/checkpoint", ["window", "bucket", *ID], width))
     late = t.spark.read.schema(totals.drop("late").schema).parquet(f"{root}/late")
@@ -223,7 +223,7 @@ def _(t):
 def _(t):
     plays = t.as_plays(zoned(t.raw("lineitem"))).select(F.date_trunc("day", F.min("ts").over(Window.partitionBy("game_id", "play_id"))).alias("ts"), "game_id", "play_id")
     root, by, width = shared_dir(t.spark, "unique"), ["game_id", "play_id"], 28 * DAY
-    rows = ST.first_rows(t.arrivals(plays, "unique-in", "ts"), "ts", width, "100 days", by)
+    rows = ST.first_rows(t.arrivals(plays, "unique-in", "ts"), "ts", width, "100 days", by, ST.buckets_for(t.raw("lineitem").count()))
     _run(ST.rows_sink(rows, f"{root}/rows", f"{root}/late", f"{root}/checkpoint"))
     read = lambda name: t.spark.read.schema(rows.drop("late").schema).parquet(f"{root}/{name}")
     return ST.merged_rows(read("rows"), read("late"), by)

@@ -24,6 +24,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from weekgrain.sources.versions import VersionedTable
 
 PARTS = 64  # windows in one partition of a table
+BUCKET_ROWS = 100_000  # rows of a stream's expected input in one bucket, about
+
+
+def buckets_for(rows: int) -> int:
+    """How many buckets to hold state in. A bucket's state and the rows that it gets in a batch are in memory at once, so buckets grow in number and not in size.
+
+    The number belongs to a stream's checkpoint: one that goes on from a checkpoint keeps its number.
+    """
+    return max(8, -(-rows // BUCKET_ROWS))
 
 
 def _bytes(frame) -> bytes:
