@@ -275,6 +275,16 @@ def test_op8_samples_follow_the_lattice(spark):
     assert all(r.decoded for r in rows) and len({(r.doc_id, r.ids_crc32) for r in rows}) == len(rows)
 
 
+def test_op8_draws_four_segmentations(spark, tmp_path):
+    """Texts of many words give four distinct samples in falling order of their chance to be among them; short ones all that they have."""
+    spark.createDataFrame([(1, "several words of a longer text"), (2, "another one with words enough"), (3, ""), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.op8_pieces(spark, str(tmp_path)).collect()
+    per = {d: sorted((r.sample, r.ids_crc32) for r in rows if r.doc_id == d) for d in (1, 2, 3, 4)}
+    assert [len(per[d]) for d in (1, 2, 3, 4)] == [4, 4, 1, 1]
+    assert all(len({c for _, c in x}) == len(x) and [s for s, _ in x] == list(range(len(x))) for x in per.values())
+    assert all(r.decoded for r in rows)
+
+
 def test_op8_lattice_of_a_long_run():
     vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
     text = "internationalization" * 15 + "\U0001f600" * 200 + "\tthe\nother" * 30

@@ -41,7 +41,7 @@ LONGEST = 16
 MANY = 1e300  # of paths; more are not told apart
 SCALE = 4.0
 BYTE_LOG = -14.0  # log-probability of a character spelled in bytes
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 17
 SLOTS = 1 << 19
 FIELDS = "n_pieces int, log_prob double, inclusion double, ids_crc32 long, decoded boolean"
 
@@ -242,7 +242,7 @@ class Lattices:
         while len(active):
             r = _unit(mixed(noise[active] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))).astype(np.float32)
             row = self.share[pos]
-            length = (row < r[:, None]).sum(1) + 1
+            length = np.bitwise_count((row < r[:, None]).view(np.uint64)).sum(1, dtype=np.int64) + 1  # LONGEST flags in two numbers
             length = np.minimum(length, LONGEST)
             bad = self.edge[length - 1, pos] == 0  # rounding at the end of a row: the longest edge there is
             if bad.any():
