@@ -197,6 +197,26 @@ def test_op7_equals_all_windows(spark, docs, hot, monkeypatch):
     assert got == {i: (n, m, s, hashlib.sha256(k).hexdigest()) for i, (n, m, s, k) in repeated(docs, 200).items()}
 
 
+def test_op7_copies_of_one_block_go_on_as_one_row(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    passage = " ".join(word(7) for _ in range(60))
+    texts = {i: f"{word(260)} {passage} {word(30)}" for i in range(400)} | {400: "ab " * 3000, 401: "", 402: passage[40:]}
+    rows = {}
+
+    def stored(df, name, write=repeats.stored):
+        out = write(df, name)
+        if name == "anchors":
+            rows[name] = out.groupBy("h", "u").count().agg(F.max("count")).first()[0]
+        return out
+
+    monkeypatch.setattr(repeats, "stored", stored)
+    table = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table).collect()}
+    assert got == {i: (n, m, s, hashlib.sha256(k).hexdigest()) for i, (n, m, s, k) in repeated(texts, 200).items()}
+    assert rows["anchors"] <= 3
+
+
 def test_op7_groups_hold_all_occurrences(spark, docs):
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     raw = {i: t.encode() for i, t in docs.items()}

@@ -4,7 +4,8 @@ Two equal strings of ``length`` bytes hold the same least ``CORE``-byte span at
 owned by one anchor, chosen from its content alone (a window minimizer), and equal windows meet in the bucket of their anchor's
 core. An anchor owns a run of consecutive windows; its context is the stretch of text that they cover.
 
-1. Anchors whose core stands nowhere else are dropped after a count per core.
+1. Anchors whose core stands nowhere else are dropped after a count per core. Where only coverage is asked for, equal contexts of one block
+   of texts go on as one row with their number: they are known to be repeated, and the stretches that they cover are noted where they are found.
 2. Anchors with equal contexts form a class. A class of two or more is a repeated stretch as it is, with all members as its occurrences.
 3. Of each class one context goes to its core's bucket. The contexts of a bucket are joined and their windows sorted as suffixes by
    prefix doubling; ranks of all rounds give common prefixes. A stack scan over them yields the common-prefix intervals of at least ``length``
@@ -34,7 +35,7 @@ HOT = 2_000
 STRETCH = 1 << 23
 PLACE_BITS = 24
 JOINED = 1 << 19  # bytes of contexts that one suffix array holds
-ANCHORS = "h long, u long, doc_id long, loc long"
+ANCHORS = "h long, u long, doc_id long, loc long, c long, spans array<struct<start:long,n_bytes:long>>"
 
 
 def unpacked(loc):
@@ -81,17 +82,45 @@ def anchors_of(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.n
     return np.searchsorted(borders, s1, side="right") - 1, s1, p, s2, h, u
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(core hash, context hash, doc_id, packed place) of every anchor of ``docs`` (doc_id, text)."""
+def anchors(docs: DataFrame, length: int, every_copy: bool = True) -> DataFrame:
+    """(core hash, context hash, doc_id, packed place, 1, no spans) of every anchor of ``docs`` (doc_id, text).
+
+    With ``every_copy`` false, anchors of one class that stand in one block go out as one: the least (doc_id, place) and their number. Each of
+    their contexts stands elsewhere too, so the stretches that they cover go out as (start, size) in one more row per text, without hashes.
+    """
+
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("n_bytes", pa.int64())]))
+
+    def batch(h, u, ids, loc, c, cover=()):
+        none = [None] * len(cover)
+        numbers = [pa.concat_arrays([pa.array(x), pa.array(none, pa.int64())]) for x in (h.view(np.int64), u.view(np.int64), loc, c)]
+        owners = pa.concat_arrays([pa.array(ids), pa.array([d for d, _ in cover], pa.int64())])
+        spans = pa.concat_arrays([pa.nulls(len(h), spans_type), pa.array([[{"start": a, "n_bytes": n} for a, n in x] for _, x in cover], spans_type)])
+        return pa.RecordBatch.from_arrays([*numbers[:2], owners, *numbers[2:], spans], ["h", "u", "doc_id", "loc", "c", "spans"])
 
     def run(batches):
         for b in batches:
             ids = np.array(b.column(0).cast(pa.int64()))
             for row, _, data, borders in text_blocks(b.column(1)):
                 rows, s1, p, s2, h, u = anchors_of(data, borders, length)
-                if len(rows):
-                    loc = (s1 - borders[rows]) << 16 | (p - s1) << 8 | (s2 - s1)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(ids[row + rows]), pa.array(loc)], ["h", "u", "doc_id", "loc"])
+                if len(rows) == 0:
+                    continue
+                loc = (s1 - borders[rows]) << 16 | (p - s1) << 8 | (s2 - s1)
+                if every_copy:
+                    yield batch(h, u, ids[row + rows], loc, np.ones(len(rows), np.int64))
+                    continue
+                order = np.lexsort((loc, ids[row + rows], u, h))
+                hs, us = h[order], u[order]
+                first = np.flatnonzero(np.append(True, (hs[1:] != hs[:-1]) | (us[1:] != us[:-1])))
+                c = np.diff(np.append(first, len(order)))
+                copies = np.sort(order[np.repeat(c > 1, c)])
+                begin, size = s1 - borders[rows], s2 - s1 + length
+                cover = []
+                for some in np.split(copies, np.flatnonzero(np.diff(rows[copies])) + 1) if len(copies) else ():
+                    spans = joined_spans(zip(begin[some].tolist(), size[some].tolist()))
+                    cover.append((int(ids[row + rows[some[0]]]), [(a, e - a) for a, e in spans]))
+                at = order[first]
+                yield batch(h[at], u[at], ids[row + rows[at]], loc[at], c, cover)
 
     return docs.select("doc_id", "text").mapInArrow(run, ANCHORS)
 
@@ -184,14 +213,20 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
     Buckets of more than ``HOT`` classes give windows of ``length`` bytes in place of maximal repeats.
     With ``every_copy`` false the suffix arrays give only what their repeats cover: joined spans of one context of each class, without groups (0).
     """
-    found = anchors(docs, length)
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = stored(found.join(repeated, "h", "left_semi"), "anchors")
-    classes = kept.groupBy("h", "u").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "loc")).alias("r"))
+    found = anchors(docs, length, every_copy)
+    if not every_copy:
+        found = stored(found, "found")
+    repeated = found.where("h is not null").groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
+    kept = stored(found.drop("spans").join(repeated, "h", "left_semi"), "anchors")
+    classes = kept.groupBy("h", "u").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "loc")).alias("r"))
     classes = stored(classes.select("h", "u", "c", "r.doc_id", "r.loc"), "classes")
     first, reach, more = unpacked_columns()
-    whole = kept.join(classes.where("c > 1").select("h", "u"), ["h", "u"], "left_semi")
+    # what stands twice in one block is known to; the others are looked up
+    whole = kept.where("c = 1").join(classes.where("c > 1").select("h", "u"), ["h", "u"], "left_semi")
     whole = whole.select(F.col("u").alias("group"), (more + length).cast("long").alias("n_bytes"), "doc_id", first.alias("start"))
+    if not every_copy:
+        known = found.where("h is null").select("doc_id", F.inline("spans"))
+        whole = whole.union(known.select(F.lit(0).cast("long").alias("group"), "n_bytes", "doc_id", "start"))
     # buckets of several classes; where only coverage is asked for, those in which a class stands alone: copies cover the others
     several = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1")
     mixed_up = (several if every_copy else several.where("least = 1")).select("h", "k")
