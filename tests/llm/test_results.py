@@ -197,6 +197,15 @@ def test_op7_equals_all_windows(spark, docs, hot, monkeypatch):
     assert got == {i: (n, m, s, hashlib.sha256(k).hexdigest()) for i, (n, m, s, k) in repeated(docs, 200).items()}
 
 
+def test_op1_words_are_learnt_once_whatever_follows_them():
+    enc = rans_store.Encoder(catalog.tokenizer())
+    texts = ["wholly wholly, wholly. wholly; wholly\nWholly", "l'été d'où, öst.) x's, a.'s\nñandú\n\nb ", "", " ", "<|endoftext|> x<|endoftext|>", "中文,x 12,3 a" + "b" * 400, "a \n b\u00a0c, d"]
+    assert [*enc.encode_all(texts)] == [enc.whole(t).tobytes() for t in texts]
+    enc.forget()
+    [*enc.encode_all(texts[:1])]
+    assert len(enc.known) == 7  # the word with a space, without one, and with a capital; three marks; a line break
+
+
 def test_op7_copies_of_one_block_go_on_as_one_row(spark, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))

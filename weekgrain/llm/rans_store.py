@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekgrain.keys import shared_dir
-from weekgrain.llm.common import text_list
+from weekgrain.llm.common import prefix_hash, span_hash, text_list
 
 SCALE = 20  # frequencies sum to 2^20
 LOW = 1 << 31  # states stay in [2^31, 2^63)
@@ -53,14 +52,27 @@ BLOCKS = ("part int, first long, n int, lanes int, words binary, states binary,
 ODD_SPACE = (b"  ", b" \n", b"\n ", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80\x80")
 CONTROLS = bytes(range(10)) + bytes(range(11, 32))
 CACHE = 800_000
-GATHERED = 1 << 20  # characters
+GATHERED = 1 << 20  # bytes
+LONGEST = 256
+# no apostrophe: the pattern splits before and behind some of them
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_IS_MARK, _IS_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_IS_MARK[[*MARKS]] = True
+_IS_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+LATIN = "\u0250"  # letters below it have been letters in every version of Unicode since the pattern was published
+# the published characters that stand for bytes in the vocabulary's strings; byte 0 parts words here
+_SHOWN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_OTHERS = [b for b in range(256) if b not in _SHOWN]
+_SIGN = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+SIGNS = np.array([0, *(ord(_SIGN[b]) for b in range(1, 256))], "<u2")
 
 
 class Encoder:
     """The tokenizers library behind a cache of words.
 
-    A text may be cut before every single space and its parts encoded apart (see ``ODD_SPACE``), so equal parts are encoded once.
-    Texts with other white space beside a space, and parts with an added token of the vocabulary, go to the library whole.
+    A text may be cut before every single space, before a mark of ``MARKS`` behind an ASCII letter, and around a single line break (see
+    ``ODD_SPACE``), so equal parts are encoded once. Parts are told apart by 64-bit hashes. Texts with other white space beside a space, with
+    a part of over ``LONGEST`` bytes, or with an added token of the vocabulary go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -69,57 +81,144 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
+        # the same merges without the pattern, and without the library's step from bytes to characters
+        self.merges = Tokenizer(self.lib.model)
+        self.line = self.merges.token_to_id(_SIGN[10])
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose string begins with a space
         for token, i in vocab.items():
             self.opens[i] = token.startswith("\u0120")
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, missing: set[str]) -> None:
-        """Parts that begin with a space are encoded joined, and told apart by the ids that begin with one."""
-        spaced = [p for p in missing if p[0] == " " and len(p) > 1]
-        self.parts.update((p, self.whole(p)) for p in missing if not (p[0] == " " and len(p) > 1))
-        for i in range(0, len(spaced), 512):
-            batch = spaced[i:i + 512]
-            joined = "".join(batch)
-            if not any(a in joined for a in self.added):
-                ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-                at = np.flatnonzero(self.opens[ids])
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self.forget()
+
+    def forget(self) -> None:
+        """Hashes of the known parts in order, and where the ids of each stand."""
+        self.known, self.start, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, names: np.ndarray, data: np.ndarray, a: np.ndarray, e: np.ndarray) -> None:
+        """Parts of plain letters, one word of the library's pattern each, are encoded together without it. Other parts that begin with a space are
+        encoded joined. Both are told apart by the ids that begin with a space."""
+        size = e - a
+        begin = np.cumsum(size + 1) - (size + 1)
+        raw = np.zeros(int((size + 1).sum()), np.uint8)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        raw[np.repeat(begin, size) + step] = data[np.repeat(a, size) + step]
+        words = raw[:-1].tobytes().decode().split("\0")
+        signs = SIGNS[raw[:-1]].tobytes().decode("utf-16-le").split("\0")
+        letters, lines, spaced, rest = [], [], [], []
+        for i, w in enumerate(words):
+            spacy = w[0] == " "
+            body = w[1:] if spacy else w
+            if body.isalpha() and (body.isascii() or max(body) < LATIN):
+                (letters if spacy else lines).append(i)
+            elif body and spacy:
+                spaced.append(i)
+            else:
+                rest.append(i)
+        done = []
+        for some, shown, encode in ((letters, signs, self._spaced_letters), (lines, signs, self._letters), (spaced, words, self._joined)):
+            for k in range(0, len(some), 512):
+                batch = some[k:k + 512]
+                ids, at = encode([shown[i] for i in batch])
                 if len(at) == len(batch):
-                    raw, cuts = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-                    self.parts.update((p, raw[a:e]) for p, a, e in zip(batch, cuts, cuts[1:]))
-                    continue
-            self.parts.update((p, self.whole(p)) for p in batch)
+                    done.append((batch, ids, np.diff(np.append(at, len(ids)))))
+                else:
+                    rest += batch
+        each = [self.whole(words[i]) for i in rest]
+        done.append((rest, np.concatenate([*each, np.zeros(0, "<u4")]).astype("<u4"), np.array([len(x) for x in each], np.int64)))
+        order = np.concatenate([np.array(b, np.int64) for b, _, _ in done])
+        count = np.concatenate([n for _, _, n in done])
+        start = np.cumsum(count) - count + len(self.ids)
+        self.ids = np.concatenate([self.ids, *(x for _, x, _ in done)])
+        names = names[order]
+        order = np.argsort(names)
+        at = np.searchsorted(self.known, names[order])
+        self.known = np.insert(self.known, at, names[order])
+        self.start, self.count = np.insert(self.start, at, start[order]), np.insert(self.count, at, count[order])
+
+    def _joined(self, batch: list[str]):
+        ids = np.array(self.lib.encode_batch_fast(["".join(batch)], add_special_tokens=False)[0].ids, "<u4")
+        return ids, np.flatnonzero(self.opens[ids])
+
+    def _merged(self, words: list[str]) -> np.ndarray:
+        return np.array(self.merges.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+
+    def _spaced_letters(self, batch: list[str]):
+        ids = self._merged(batch)
+        return ids, np.flatnonzero(self.opens[ids])
+
+    def _letters(self, batch: list[str]):
+        """Nothing shows where these begin, so a line break goes behind each."""
+        ids = self._merged([x for w in batch for x in (w, _SIGN[10])])
+        behind = np.flatnonzero(ids == self.line) if self.line is not None else np.zeros(0, np.int64)
+        return np.delete(ids, behind), np.append(0, behind - np.arange(len(behind)))[:len(behind)]
+
+    def parts_of(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """Starts of the parts of texts that stand behind one another."""
+        cut = data == 0x20
+        cut[1:] |= _IS_LETTER[data[:-1]] & _IS_MARK[data[1:]]
+        line = np.append(data == 0x0A, False)
+        alone = line[1:-1] & ~line[:-2] & ~line[2:]
+        cut[1:] |= alone
+        cut[2:] |= alone[:-1]
+        inner = borders[:-1]
+        cut[inner[inner < len(data)]] = True
+        return np.flatnonzero(cut)
 
     def encode_all(self, texts):
-        """Yields the ids of each text as little-endian unsigned 32-bit integers; the words of about GATHERED characters are looked up together."""
+        """Yields the ids of each text as little-endian unsigned 32-bit integers; the words of about GATHERED bytes are looked up together."""
         held, size = [], 0
 
         def done():
-            wanted = set(chain.from_iterable(x for x in held if isinstance(x, list)))
-            missing = wanted.difference(self.parts)
-            if len(self.parts) + len(missing) > CACHE:
-                self.parts = {"": b""}
-                missing = wanted.difference(self.parts)
-            if missing:
-                self.learn(missing)
-            known = self.parts.__getitem__
-            for x in held:
-                yield b"".join(map(known, x)) if isinstance(x, list) else self.whole(x)
+            data = np.frombuffer(b"".join([r for r, odd in held if not odd]), np.uint8)
+            borders = np.cumsum([0] + [len(r) for r, odd in held if not odd])
+            start = self.parts_of(data, borders) if len(data) else np.zeros(0, np.int64)
+            end = np.append(start[1:], len(data))[:len(start)]
+            first = np.searchsorted(start, borders)  # part of each text
+            long_ = np.flatnonzero(end - start > LONGEST)
+            alone = {*(np.searchsorted(borders, start[long_], side="right") - 1).tolist()}
+            code, name = pd.factorize(span_hash(prefix_hash(data), start, end))
+            one = np.empty(len(name), np.int64)
+            one[code[::-1]] = np.arange(len(code))[::-1]
+            new = np.flatnonzero((end - start)[one] <= LONGEST)
+            new = new[~self.find(name[new])[1]]
+            if len(self.known) + len(new) > CACHE:
+                self.forget()
+                new = np.flatnonzero((end - start)[one] <= LONGEST)
+            if len(new):
+                self.learn(name[new], data, start[one[new]], end[one[new]])
+            at, hit = self.find(name)
+            at = np.where(hit, at, 0)[code] if len(self.known) else code
+            count = np.where(hit[code], self.count[at], 0) if len(self.known) else np.zeros(len(code), np.int64)
+            stop = np.append(0, np.cumsum(count))
+            ids = self.ids[np.repeat(self.start[at] - stop[:-1], count) + np.arange(stop[-1])] if stop[-1] else self.ids[:0]
+            stop = stop[first].tolist()
+            k = 0
+            for raw, odd in held:
+                if odd:
+                    yield self.whole(raw.decode()).tobytes()
+                    continue
+                yield self.whole(raw.decode()).tobytes() if k in alone else ids[stop[k]:stop[k + 1]].tobytes()
+                k += 1
 
         for text in texts:
             raw = text.encode()
-            odd = len(raw.translate(None, CONTROLS)) != len(raw) or any(o in raw for o in ODD_SPACE)
-            held.append(text if odd else text.replace(" ", "\0 ").split("\0"))
-            size += len(text)
+            odd = len(raw.translate(None, CONTROLS)) != len(raw) or any(o in raw for o in ODD_SPACE) or any(a in raw for a in self.added)
+            held.append((raw, odd))
+            size += len(raw)
             if size >= GATHERED:
                 yield from done()
                 held, size = [], 0
-        yield from done()
+        if held:
+            yield from done()
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, names)
+        return at, self.known[np.minimum(at, len(self.known) - 1)] == names if len(self.known) else np.zeros(len(names), bool)
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
@@ -193,12 +292,15 @@ class Coder:
             if t and t % every == 0:
                 marks[t] = state
         flat = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
-        owner = np.repeat(np.tile(np.arange(len(blocks)), steps), sent.reshape(-1))
+        # words of one block behind one another, in the order of the steps
+        owner = np.repeat(np.tile(np.arange(len(blocks), dtype=np.uint16), steps), sent.reshape(-1))
+        flat = flat[np.argsort(owner, kind="stable")]
+        border = np.append(0, np.cumsum(sent.sum(0)))
         before = np.vstack([np.zeros((1, len(blocks)), np.int64), np.cumsum(sent, 0)]) if steps else np.zeros((1, len(blocks)), np.int64)
         done = []
         for j, b in enumerate(blocks):
             mine = [before[t, j].astype("<u8").tobytes() + marks[t][j].astype("<u8").tobytes() for t in sorted(marks) if t < -(-len(b) // lanes)]
-            done.append((flat[owner == j].tobytes(), state[j].astype("<u8").tobytes(), b"".join(mine)))
+            done.append((flat[border[j]:border[j + 1]].tobytes(), state[j].astype("<u8").tobytes(), b"".join(mine)))
         return done
 
     def decode(self, blocks: list[tuple[int, int, bytes, bytes]], at: int = 0) -> list[np.ndarray]:
