@@ -314,6 +314,17 @@ def test_op8_draws_four_segmentations(spark, tmp_path):
     assert all(r.decoded for r in rows)
 
 
+def test_op8_looks_up_longer_pieces_only_where_one_may_end():
+    vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
+
+    def may_go_on(t):
+        points = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        return bool(vocab.may_go_on(piece_sampling.point_hash(piece_sampling.point_prefix(points), np.array([0]), np.array([len(points)])))[0])
+
+    assert all(may_go_on(t[-n:]) for t in list(vocab.ids)[::40] for n in range(1, len(t)))
+    assert sum(may_go_on(f"qz{i}x") for i in range(200)) < 40
+
+
 def test_op8_lattice_of_a_long_run():
     vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
     text = "internationalization" * 15 + "\U0001f600" * 200 + "\tthe\nother" * 30

@@ -43,6 +43,7 @@ SCALE = 4.0
 BYTE_LOG = -14.0  # log-probability of a character spelled in bytes
 BLOCK_CHARS = 1 << 17
 SLOTS = 1 << 19
+INNER = 1 << 21
 FIELDS = "n_pieces int, log_prob double, inclusion double, ids_crc32 long, decoded boolean"
 
 
@@ -83,6 +84,13 @@ class Vocabulary:
                 prefix = point_prefix(points)
                 at = np.arange(len(some)) * n
                 self.hash[some] = point_hash(prefix, at, at + n)
+        # marks of the hashes of all ends of pieces
+        self.inner = np.zeros(INNER, bool)
+        for n in range(1, LONGEST):
+            ends = sorted({self.strings[i][-n:] for i in plain if len(self.strings[i]) > n})
+            if ends:
+                at = np.arange(len(ends)) * n
+                self.inner[point_hash(point_prefix(np.frombuffer("".join(ends).encode("utf-32-le"), np.uint32)), at, at + n) & np.uint64(INNER - 1)] = True
         # a few tables, each with one piece per slot; later ones hold what found its slot taken
         self.tables, left = [], np.array(plain)
         while len(left):
@@ -106,6 +114,10 @@ class Vocabulary:
             out[rest[hit]] = got[hit]
         return out
 
+    def may_go_on(self, h: np.ndarray) -> np.ndarray:
+        """Whether the characters with each hash may be the end of a longer piece; false means that they surely are not."""
+        return self.inner[(h & np.uint64(INNER - 1)).astype(np.int64)]
+
     def spelled_out(self, ids: np.ndarray) -> np.ndarray:
         """Replaces each -point - 1 by the byte pieces of that character."""
         at = np.flatnonzero(ids < 0)
@@ -184,9 +196,13 @@ class Lattices:
                 step, left, here = step[far], left[far], here[far]
             if len(here) == 0:
                 break
-            got = vocab.find(point_hash(prefix, left - n, left))
+            h = point_hash(prefix, left - n, left)
+            got = vocab.find(h)
             self.edge[n - 1, here] = got
             weight[n - 1, here] = vocab.weight[got]
+            # longer pieces end here only if one has these characters as its end
+            far = vocab.may_go_on(h)
+            step, left, here = step[far], left[far], here[far]
         alone = self.edge[0, place] == 0
         self.edge[0, place[alone]] = -1
         weight[0, place[alone]] = math.exp(BYTE_LOG + SCALE)
@@ -239,24 +255,32 @@ class Lattices:
         steps = []
         active, pos, step = items, at.copy(), 0
         noise = mixed(mixed(key.astype(np.uint64) << np.uint64(8) | turn.astype(np.uint64)) ^ word.astype(np.uint64))
+        low, total = self.base[units], self.edge.shape[1]
+        edge, weight = self.edge.reshape(-1), self.weight.reshape(-1)
         while len(active):
-            r = _unit(mixed(noise[active] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))).astype(np.float32)
-            row = self.share[pos]
+            r = _unit(mixed(noise + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))).astype(np.float32)
+            row = self.share.take(pos, axis=0)
             length = np.bitwise_count((row < r[:, None]).view(np.uint64)).sum(1, dtype=np.int64) + 1  # LONGEST flags in two numbers
             length = np.minimum(length, LONGEST)
-            bad = self.edge[length - 1, pos] == 0  # rounding at the end of a row: the longest edge there is
-            if bad.any():
-                for i in np.flatnonzero(bad):
+            cell = (length - 1) * total + pos
+            piece = edge.take(cell)
+            if not piece.all():  # rounding at the end of a row: the longest edge there is
+                for i in np.flatnonzero(piece == 0):
                     length[i] = int(np.flatnonzero(self.edge[:, pos[i]])[-1]) + 1
-            product[active] *= self.part(pos, length)
+                cell = (length - 1) * total + pos
+                piece = edge.take(cell)
+            before = pos - length
+            product[active] *= weight.take(cell) * self.sums.take(before) / self.sums.take(pos)  # see part()
             if step % 16 == 15:  # long before products of probabilities could vanish
                 log += np.log(product)
                 product[:] = 1.0
-            steps.append((active, np.where(self.edge[length - 1, pos] > 0, self.edge[length - 1, pos], -self.point[pos].astype(np.int64) - 1)))
+            spelled = np.flatnonzero(piece < 0)
+            piece = piece.astype(np.int64)
+            piece[spelled] = -self.point[pos[spelled]].astype(np.int64) - 1
+            steps.append((active, piece))
             n[active] += 1
-            pos = pos - length
-            open_ = pos > self.base[units[active]]
-            active, pos, step = active[open_], pos[open_], step + 1
+            open_ = np.flatnonzero(before > low)
+            active, pos, low, noise, step = active[open_], before[open_], low[open_], noise[open_], step + 1
         log += np.log(product)
         begin = np.cumsum(n) - n
         pieces = np.zeros(int(n.sum()), np.int64)
