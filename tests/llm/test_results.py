@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weekgrain.llm import catalog, decontamination, fingerprint, ngram_join, piece_sampling, rans_store, repeats
+from weekgrain.llm import catalog, common, decontamination, fingerprint, ngram_join, piece_sampling, rans_store, repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -226,6 +226,27 @@ def test_op7_copies_of_one_block_go_on_as_one_row(spark, monkeypatch):
     assert rows["anchors"] <= 3
 
 
+def test_op7_writes_few_files_whatever_the_number_of_parts(spark, tmp_path, monkeypatch):
+    limit = max(16, 3 * spark.sparkContext.defaultParallelism)
+    folders = itertools.count()
+    monkeypatch.setattr(common, "shared_dir", lambda session, name: f"{tmp_path}/{next(folders)}-{name}")
+    one = "".join(f"passage {i} that is not the one before it; " for i in range(12))
+    rows = [(i, f"{i} " * 90 + one[:250 + i % 40] + f" {i}" * 60) for i in range(300)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+        repeats.removed(docs, 200).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    written = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    assert len(written) > 6 and max(written.values()) <= limit, written
+    assert all(r.n_removed >= 250 for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
 def test_op7_groups_hold_all_occurrences(spark, docs):
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     raw = {i: t.encode() for i, t in docs.items()}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekgrain.llm.common import INVERSE, may_be_member, member_bits, mixed, powers, prefix_hash, span_hash, stored, strings, text_blocks
+from weekgrain.llm.common import INVERSE, few_parts, may_be_member, member_bits, mixed, powers, prefix_hash, span_hash, stored, strings, text_blocks
 
 CORE = 64
 HOT = 2_000
@@ -215,11 +215,11 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
     """
     found = anchors(docs, length, every_copy)
     if not every_copy:
-        found = stored(found, "found")
+        found = stored(few_parts(found), "found")
     repeated = found.where("h is not null").groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
-    kept = stored(found.drop("spans").join(repeated, "h", "left_semi"), "anchors")
+    kept = stored(few_parts(found.drop("spans").join(repeated, "h", "left_semi")), "anchors")
     classes = kept.groupBy("h", "u").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "loc")).alias("r"))
-    classes = stored(classes.select("h", "u", "c", "r.doc_id", "r.loc"), "classes")
+    classes = stored(few_parts(classes.select("h", "u", "c", "r.doc_id", "r.loc")), "classes")
     first, reach, more = unpacked_columns()
     # what stands twice in one block is known to; the others are looked up
     whole = kept.where("c = 1").join(classes.where("c > 1").select("h", "u"), ["h", "u"], "left_semi")
@@ -230,7 +230,7 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
     # buckets of several classes; where only coverage is asked for, those in which a class stands alone: copies cover the others
     several = classes.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1")
     mixed_up = (several if every_copy else several.where("least = 1")).select("h", "k")
-    wanted = stored(classes.join(mixed_up, "h"), "wanted")
+    wanted = stored(few_parts(classes.join(mixed_up, "h")), "wanted")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "u", "c", "k", "loc")).alias("need"))
     near = may_be_member(docs.select("doc_id", "text"), member_bits(wanted.select("doc_id")))
 
@@ -247,7 +247,7 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "u", "c", "k", "doc_id", "first", "windows", "context"])
 
     kind = "h long, u long, c long, k long, doc_id long, first long, windows int, context binary"
-    contexts = stored(near.join(by_doc, "doc_id").mapInArrow(cut, kind), "contexts")
+    contexts = stored(few_parts(near.join(by_doc, "doc_id").mapInArrow(cut, kind)), "contexts")
 
     def scan(batches):
         held, size, last = [], 0, None
@@ -304,7 +304,7 @@ def occurrences(docs: DataFrame, length: int = 200, every_copy: bool = True) ->
     groups = cold.union(hot)
     if not every_copy:
         return whole.union(groups.where("c = 1").select("group", "n_bytes", "doc_id", "start"))
-    groups = stored(groups, "groups")
+    groups = stored(few_parts(groups), "groups")
     one = groups.where("c = 1").select("group", "n_bytes", "doc_id", "start")
     # a place in a class's context stands in every member's context
     ours = groups.where("c > 1").join(classes.where("c > 1").select("u", F.shiftright("loc", 16).alias("own")), "u")
@@ -341,7 +341,7 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", as_t
     # rows that share a doc_id but not a text are apart; equal rows have the same spans
     docs = docs.withColumn("_key", F.xxhash64("doc_id", text))
     spans = occurrences(docs.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), length, every_copy=False)
-    spans = stored(spans.select(F.col("doc_id").alias("_key"), "start", "n_bytes"), "spans")
+    spans = stored(few_parts(spans.select(F.col("doc_id").alias("_key"), "start", "n_bytes")), "spans")
     by_doc = spans.groupBy("_key").agg(F.collect_set(F.struct("start", "n_bytes")).alias("_spans"))
     bits = member_bits(spans.select("_key"), "_key")
     hit = may_be_member(docs, bits, "_key").join(by_doc, "_key", "left").select(*names, "_spans")
@@ -367,7 +367,7 @@ def without_repeats(docs: DataFrame, length: int = 200, text: str = "text", as_t
                                              [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = T.StructType([*docs.select(names).schema.fields, *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
-    return hit.unionByName(clean).mapInArrow(run, schema)
+    return few_parts(hit.unionByName(clean)).mapInArrow(run, schema)
 
 
 def removed(docs: DataFrame, length: int = 200) -> DataFrame:
