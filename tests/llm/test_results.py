@@ -335,6 +335,39 @@ def test_op8_draws_four_segmentations(spark, tmp_path):
     assert all(r.decoded for r in rows)
 
 
+def test_op8_hashes_what_depends_on_the_text_once_a_text(monkeypatch):
+    vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
+    hashed, real = [], piece_sampling.mixed
+
+    def counted(x):
+        hashed.append(np.size(x))
+        return real(x)
+
+    monkeypatch.setattr(piece_sampling, "mixed", counted)
+    text = "the " * 2_999 + "end"
+    found = piece_sampling.block_samples(vocab, [5], [text], 1, 1)[0]
+    # characters and words of the lattice, then of each word: its draw, one for each piece, and two for leaving it
+    steps = len(found[0][0])
+    assert sum(hashed) < 2 * len(text) + steps + 5 * 3_000, (sum(hashed), steps)
+    assert vocab.decode(found[0][0]) == text
+
+
+def test_op8_bytes_of_many_sequences_at_once():
+    vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
+    texts = ["plain words", "", "naïve \U0001f600 tail", "\u2581 x", "日本 語"]
+    drawn = piece_sampling.block_samples(vocab, [1, 2, 3, 4, 5], texts, 3, 1)
+    every = [ids for found in drawn for ids, _, _ in found]
+    raw = vocab.joined(every)
+    assert raw == [b"".join(vocab.raw[i] for i in ids) for ids in every]
+    # one character without a piece, spelled in bytes between two pieces; cuts move with what is put in
+    piece = vocab.ids["a"]
+    ids, cuts = vocab.spelled_out(np.array([piece, -0x1F600 - 1, piece], np.int32), np.array([0, 1, 2, 3]))
+    assert ids.tolist() == [piece, *(vocab.bytes_at[b] for b in "\U0001f600".encode()), piece] and cuts.tolist() == [0, 1, 5, 6]
+    shown = iter(raw)
+    for text, found in zip(texts, drawn):
+        assert all((piece_sampling.shown(next(shown)) == text) == ("\u2581" not in text) for _ in found)
+
+
 def test_op8_looks_up_longer_pieces_only_where_one_may_end():
     vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
 

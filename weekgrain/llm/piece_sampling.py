@@ -41,9 +41,11 @@ LONGEST = 16
 MANY = 1e300  # of paths; more are not told apart
 SCALE = 4.0
 BYTE_LOG = -14.0  # log-probability of a character spelled in bytes
-BLOCK_CHARS = 1 << 17
+BLOCK_CHARS = 1 << 18
 SLOTS = 1 << 19
 INNER = 1 << 21
+NO_PARTS = np.uint64(0x632BE59BD9B4E019)  # hash of no coordinates
+SPLIT = np.uint64(1 << 30)
 FIELDS = "n_pieces int, log_prob double, inclusion double, ids_crc32 long, decoded boolean"
 
 
@@ -68,6 +70,9 @@ class Vocabulary:
         self.raw = [x.replace(chr(SPACE), " ").encode() for x in self.strings]
         for b, i in self.bytes_at.items():
             self.raw[i] = bytes((b,))
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw])
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         rank = np.arange(len(plain)) + 2.7
         log = -np.log(rank)
         log -= np.log(np.exp(log).sum())
@@ -118,25 +123,41 @@ class Vocabulary:
         """Whether the characters with each hash may be the end of a longer piece; false means that they surely are not."""
         return self.inner[(h & np.uint64(INNER - 1)).astype(np.int64)]
 
-    def spelled_out(self, ids: np.ndarray) -> np.ndarray:
-        """Replaces each -point - 1 by the byte pieces of that character."""
+    def spelled_out(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Replaces each -point - 1 by the byte pieces of that character; ``cuts`` are places in ``ids`` and come back as places in the result."""
         at = np.flatnonzero(ids < 0)
+        if len(at) == 0:
+            return ids, cuts
         codes, which = np.unique(ids[at], return_inverse=True)
         own = [[self.bytes_at[b] for b in chr(-int(c) - 1).encode()] for c in codes]
         size = np.ones(len(ids), np.int64)
         size[at] = np.array([len(o) for o in own])[which]
         out = np.repeat(ids, size)
-        begin = (np.cumsum(size) - size)[at]
+        end = np.cumsum(size)
+        begin = (end - size)[at]
         for k in range(max(map(len, own))):
             some = size[at] > k
             out[begin[some] + k] = np.array([o[k] if k < len(o) else 0 for o in own])[which[some]]
-        return out
+        return out, np.append(0, end)[cuts]
+
+    def joined(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The pieces' bytes of each sequence of ids."""
+        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+        size = self.raw_size[flat]
+        end = np.append(0, np.cumsum(size))
+        data = self.raw_flat[np.repeat(self.raw_start[flat] - end[:-1], size) + np.arange(end[-1])].tobytes()
+        cuts = end[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, ids) -> str:
-        """Text of a sequence of ids: the pieces' bytes with spaces in place of space pieces, without the first one."""
-        ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        """Text of a sequence of ids."""
+        return shown(self.joined([np.asarray(ids, np.int32)])[0])
+
+
+def shown(raw: bytes) -> str:
+    """Text of the bytes of pieces, without the space that was put first."""
+    text = raw.decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
@@ -154,11 +175,16 @@ def point_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((prefix[end] - prefix[start]) * powers(len(prefix), INVERSE)[start] + (end - start).astype(np.uint64))
 
 
+def stirred(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The hash ``h`` of integer coordinates with one more of them."""
+    return mixed((h ^ np.asarray(part).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def uniform(*parts: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from hashes of their integer coordinates."""
-    h = np.uint64(0x632BE59BD9B4E019)
+    h = NO_PARTS
     for p in parts:
-        h = mixed((h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+        h = stirred(h, p)
     return _unit(h)
 
 
@@ -189,6 +215,7 @@ class Lattices:
         self.vocab = vocab
         self.edge = np.zeros((LONGEST, total), np.int32)
         weight = np.zeros((LONGEST, total))
+        ends: list[np.ndarray] = [np.zeros(0, np.int64)] * LONGEST  # places where a piece of each length ends
         left, here = text, place
         for n in range(1, LONGEST + 1):
             if n > 1:
@@ -198,14 +225,17 @@ class Lattices:
                 break
             h = point_hash(prefix, left - n, left)
             got = vocab.find(h)
-            self.edge[n - 1, here] = got
-            weight[n - 1, here] = vocab.weight[got]
+            some = np.flatnonzero(got)
+            ends[n - 1] = here[some]
+            self.edge[n - 1, ends[n - 1]] = got[some]
+            weight[n - 1, ends[n - 1]] = vocab.weight[got[some]]
             # longer pieces end here only if one has these characters as its end
             far = vocab.may_go_on(h)
             step, left, here = step[far], left[far], here[far]
         alone = self.edge[0, place] == 0
         self.edge[0, place[alone]] = -1
         weight[0, place[alone]] = math.exp(BYTE_LOG + SCALE)
+        ends[0] = place
         self.point = np.zeros(total, np.uint32)
         self.point[place] = points[text - 1]
         sums, count = np.zeros(total), np.zeros(total)
@@ -234,35 +264,38 @@ class Lattices:
                     longer, factor = longer[here], factor[here]
                     weight[j - 1:, longer + j] *= factor
         self.paths = count[self.base + size]
+        self.ways: dict[int, list] = {}  # of units that were split
         self.weight, self.sums = weight, sums
         whole = 1.0 / np.where(sums > 0, sums, 1.0)
-        self.share = np.empty((total, LONGEST), np.float32)
+        share = np.empty((LONGEST, total), np.float32)
         running = np.zeros(total)
         for n in range(1, LONGEST + 1):
-            if n < total:
-                running[n:] += weight[n - 1, n:] * sums[:-n]
-            self.share[:, n - 1] = running * whole
+            at = ends[n - 1]
+            running[at] += weight[n - 1, at] * sums[at - n]
+            share[n - 1] = share[n - 2] if n > 1 else 0.0
+            share[n - 1, at] = running[at] * whole[at]
+        self.share = np.ascontiguousarray(share.T)
 
     def part(self, pos, length):
         """Share of the paths to ``pos`` that end with a piece of ``length`` characters."""
         return self.weight[length - 1, pos] * self.sums[pos - length] / self.sums[pos]
 
-    def draw(self, units: np.ndarray, key: np.ndarray, turn: np.ndarray, word: np.ndarray):
-        """A random path for each item, sampled backwards: (number of pieces, log-probability, pieces of all items joined)."""
+    def draw(self, units: np.ndarray, noise: np.ndarray):
+        """A random path for each item, from its hash, sampled backwards: (number of pieces, log-probability, pieces of all items joined)."""
         at = self.base[units] + self.size[units]
         items = np.arange(len(units))
         log, product, n = np.zeros(len(units)), np.ones(len(units)), np.zeros(len(units), np.int64)
         steps = []
         active, pos, step = items, at.copy(), 0
-        noise = mixed(mixed(key.astype(np.uint64) << np.uint64(8) | turn.astype(np.uint64)) ^ word.astype(np.uint64))
         low, total = self.base[units], self.edge.shape[1]
         edge, weight = self.edge.reshape(-1), self.weight.reshape(-1)
         while len(active):
             r = _unit(mixed(noise + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))).astype(np.float32)
             row = self.share.take(pos, axis=0)
-            length = np.bitwise_count((row < r[:, None]).view(np.uint64)).sum(1, dtype=np.int64) + 1  # LONGEST flags in two numbers
-            length = np.minimum(length, LONGEST)
-            cell = (length - 1) * total + pos
+            below = np.bitwise_count((row < r[:, None]).view(np.uint64))  # LONGEST flags in two numbers
+            length = np.minimum(below[:, 0] + below[:, 1], LONGEST - 1).astype(np.int64)
+            cell = length * total + pos
+            length += 1
             piece = edge.take(cell)
             if not piece.all():  # rounding at the end of a row: the longest edge there is
                 for i in np.flatnonzero(piece == 0):
@@ -275,24 +308,36 @@ class Lattices:
                 log += np.log(product)
                 product[:] = 1.0
             spelled = np.flatnonzero(piece < 0)
-            piece = piece.astype(np.int64)
-            piece[spelled] = -self.point[pos[spelled]].astype(np.int64) - 1
+            piece[spelled] = -self.point[pos[spelled]].astype(np.int32) - 1
             steps.append((active, piece))
             n[active] += 1
             open_ = np.flatnonzero(before > low)
             active, pos, low, noise, step = active[open_], before[open_], low[open_], noise[open_], step + 1
         log += np.log(product)
         begin = np.cumsum(n) - n
-        pieces = np.zeros(int(n.sum()), np.int64)
+        pieces = np.zeros(int(n.sum()), np.int32)
         for k, (who, piece) in enumerate(steps):
             pieces[begin[who] + n[who] - 1 - k] = piece
         return n, log, pieces
 
+    def ways_of(self, base: int, end: int) -> list[list[tuple[int, float, int]]]:
+        """(length, log share, piece) of the edges that end at each place of a unit."""
+        out: list[list[tuple[int, float, int]]] = [[] for _ in range(end - base + 1)]
+        at, n = np.nonzero(self.edge[:, base:end + 1].T)
+        pos, n = at + base, n + 1
+        piece = self.edge[n - 1, pos]
+        piece = np.where(piece > 0, piece, -self.point[pos].astype(np.int32) - 1)
+        for a, m, x, p in zip(at.tolist(), n.tolist(), self.part(pos, n).tolist(), piece.tolist()):
+            out[a].append((m, math.log(x), p))
+        return out
+
     def unit_samples(self, unit: int, key: int, turn: int, word: int):
         """Segmentations of one unit in the order of their perturbed log-probabilities (log-probability, pieces), by A-star from the end."""
         base, end = int(self.base[unit]), int(self.base[unit] + self.size[unit])
-        count = 0
         heap = [(-1e300, 0, end, 0.0, None)]  # the root's own value does not matter for the order
+        if unit not in self.ways:
+            self.ways[unit] = self.ways_of(base, end)
+        ways = self.ways[unit]
         serial = 0
         noise = random.Random(f"{key}-{turn}-{word}")
         while heap:
@@ -303,16 +348,12 @@ class Lattices:
                     piece, tail = tail
                     own.append(piece)
                 yield log, own
-                count += 1
                 continue
             kids, best = [], -math.inf
-            for n in range(1, LONGEST + 1):
-                if pos - n < base or self.edge[n - 1, pos] == 0:
-                    continue
-                phi = log + math.log(self.part(pos, n))
+            for n, share, piece in ways[pos - base]:
+                phi = log + share
                 g = phi - math.log(-math.log(noise.random() or 0.5))
-                piece = int(self.edge[n - 1, pos])
-                kids.append((g, phi, n, piece if piece > 0 else -int(self.point[pos]) - 1))
+                kids.append((g, phi, n, piece))
                 best = max(best, g)
             top = -value
             for g, phi, n, piece in kids:
@@ -354,36 +395,48 @@ def block_samples(vocab: Vocabulary, keys: list[int], texts: list[str], k: int,
     _, one, unit = np.unique(h, return_index=True, return_inverse=True)
     lat = Lattices(vocab, points, start[one], size[one])
     unit = lat.renamed[unit]
-    key = np.array([zlib.crc32(repr((seed, x)).encode()) for x in keys], np.int64)
-    turn0 = np.zeros(len(start), np.int64)
-    n, log, pool = lat.draw(unit, key[doc], turn0, word)
-    pools = [pool]
-    place = np.cumsum(n) - n
-    # per text: emitted paths as (unit arrays: pool number, place, count, log), frontier of nodes
-    results: list[list] = [[] for _ in texts]
-    value = -np.log(-np.log(uniform(key, np.full(len(key), 1 << 40))))  # the best path's: a standard Gumbel, as the whole mass is 1
-    frontier: list[list] = [[] for _ in texts]
-
-    def complements(i: int, path: int, a: int, used: float, logs: np.ndarray, top: float, turn: int, noise: np.ndarray):
-        """Nodes of the paths that leave ``path`` at a word from ``a`` on; the best few are enough."""
-        lo = first[i]
-        m = len(logs)
-        if m == 0:
-            return
-        head = used + np.cumsum(logs) - logs
-        rest = np.where(lat.paths[unit[lo + a:lo + a + m]] > 1, np.maximum(-np.expm1(np.minimum(logs, 0.0)), 1e-12), 0.0)
+    key = np.array([zlib.crc32(repr((seed, x)).encode()) for x in keys], np.uint64)
+    several = lat.paths[unit] > 1
+
+    def drawn(flat: np.ndarray, turn: int):
+        """Random paths of these words, and the noise of leaving them; what depends on the text alone is hashed once a text."""
+        text, mine = doc[flat], word[flat].astype(np.uint64)
+        n, log, pool = lat.draw(unit[flat], mixed(mixed(key << np.uint64(8) | np.uint64(turn))[text] ^ mine))
+        leave = stirred(stirred(NO_PARTS, key), turn)[text]
+        return np.append(0, np.cumsum(n)), n, log, pool, _unit(stirred(stirred(leave, mine), SPLIT))
+
+    def complements(turn: int, flat: np.ndarray, bounds: np.ndarray, logs: np.ndarray, noise: np.ndarray, sources: list[tuple]):
+        """Nodes of the paths that leave those of ``sources`` (text, path, log-probability before, value) at a word of ``flat``; the best few are enough."""
+        head = np.empty(len(logs))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            np.cumsum(logs[a:b], out=head[a:b])
+        head = np.repeat(np.array([x[2] for x in sources]), np.diff(bounds)) + head - logs
+        open_ = several[flat]
         with np.errstate(divide="ignore"):
-            g = truncated(head + np.log(rest), np.full(m, top), noise)
-        for j in (np.argsort(-g, kind="stable")[:k] if m <= 4 * k else np.argpartition(-g, k)[:k]).tolist():
-            if rest[j] > 0:
-                heapq.heappush(frontier[i], (-float(g[j]), turn, a + int(j), path, float(head[j])))
-
-    noise = uniform(key[doc], turn0, word, np.full(len(doc), 1 << 30))
+            mass = head + np.log(np.where(open_, np.maximum(-np.expm1(np.minimum(logs, 0.0)), 1e-12), 0.0))
+        g = mass - np.log(-np.log(noise))  # not yet cut at the value of the path
+        best, of = [], []
+        for x, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if b - a > k:
+                best.append(a + np.argpartition(g[a:b], b - a - k)[b - a - k:])
+            else:
+                best.append(np.arange(a, b))
+            of += [x] * len(best[-1])
+        at = np.concatenate([*best, np.zeros(0, np.int64)])
+        top = np.array([sources[x][3] for x in of])
+        value = -np.logaddexp(-top, -g[at])
+        for x, v, w, ok, before in zip(of, value.tolist(), word[flat[at]].tolist(), open_[at].tolist(), head[at].tolist()):
+            if ok:
+                heapq.heappush(frontier[sources[x][0]], (-v, turn, w, sources[x][1], before))
+
+    # per text: emitted paths with their words' ends among the ids and log-probabilities, frontier of nodes
     paths: list[list[dict]] = [[] for _ in texts]
-    for i in range(len(texts)):
-        a, b = first[i], first[i + 1]
-        paths[i].append({"pool": np.zeros(b - a, np.int8), "place": place[a:b], "n": n[a:b], "log": log[a:b], "value": float(value[i]), "split": (-1, ())})
-        complements(i, 0, 0, 0.0, log[a:b], float(value[i]), 0, noise[a:b])
+    frontier: list[list] = [[] for _ in texts]
+    value = (-np.log(-np.log(uniform(key, np.full(len(key), 1 << 40))))).tolist()  # the best path's: a standard Gumbel, as the whole mass is 1
+    end, n, log, pool, noise = drawn(np.arange(len(start)), 0)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        paths[i].append({"ids": pool[end[a]:end[b]], "end": end[a:b + 1] - end[a], "log": log[a:b], "split": (-1, ())})
+    complements(0, np.arange(len(start)), first, log, noise, [(i, 0, 0.0, value[i]) for i in range(len(texts))])
     for turn in range(1, k):
         chosen = []
         for i in range(len(texts)):
@@ -394,80 +447,45 @@ def block_samples(vocab: Vocabulary, keys: list[int], texts: list[str], k: int,
             break
         # the words behind each split are drawn at once
         spans = [np.arange(first[i] + at + 1, first[i + 1]) for i, _, at, _, _ in chosen]
-        flat = np.concatenate([*spans, np.zeros(0, np.int64)])
-        n2, log2, pool2 = lat.draw(unit[flat], key[doc[flat]], np.full(len(flat), turn), word[flat])
-        place2 = np.cumsum(n2) - n2
-        noise = uniform(key[doc[flat]], np.full(len(flat), turn), word[flat], np.full(len(flat), 1 << 30))
-        pools.append(pool2)
-        extra: list[int] = []
-        done = 0
-        for (i, g, at, parent, head), span in zip(chosen, spans):
-            m = len(span)
+        bounds = np.cumsum([0] + [len(x) for x in spans])
+        flat = np.concatenate(spans)
+        end, n, log, pool, noise = drawn(flat, turn)
+        sources = []
+        for (i, g, at, parent, head), a, b in zip(chosen, bounds[:-1].tolist(), bounds[1:].tolist()):
             old = paths[i][parent]
             u = int(unit[first[i] + at])
-
-            def pieces_at(p):
-                x = int(p["place"][at])
-                return tuple(pools[p["pool"][at]][x:x + int(p["n"][at])].tolist()) if p["pool"][at] < 100 else tuple(p["own"][at])
-
             # what other paths with the same beginning hold at this word is excluded
-            seen = {pieces_at(old)} | {pieces_at(q) for q in paths[i] if q["split"] == (at, head)}
+            same = [old] + [q for q in paths[i] if q["split"] == (at, head)]
+            seen = {tuple(q["ids"][q["end"][at]:q["end"][at + 1]].tolist()): float(q["log"][at]) for q in same}
             for log_u, own in lat.unit_samples(u, int(key[i]), turn, at):
                 if tuple(own) not in seen:
                     break
-            new = {"pool": np.append(old["pool"][:at + 1], np.full(m, turn, np.int8)), "place": np.append(old["place"][:at + 1], place2[done:done + m]),
-                   "n": np.append(old["n"][:at + 1], n2[done:done + m]), "log": np.append(old["log"][:at + 1], log2[done:done + m]), "value": g, "split": (at, head),
-                   "own": {**{w: o for w, o in old.get("own", {}).items() if w < at}, at: own}}
-            new["pool"][at], new["n"][at], new["log"][at] = 100, len(own), log_u
-            paths[i].append(new)
-            complements(i, turn, at + 1, head + log_u, log2[done:done + m], g, turn, noise[done:done + m])
+            keep = int(old["end"][at])
+            paths[i].append({"ids": np.concatenate([old["ids"][:keep], np.array(own, pool.dtype), pool[end[a]:end[b]]]),
+                             "end": np.concatenate([old["end"][:at + 1], end[a:b + 1] + (keep + len(own) - end[a])]),
+                             "log": np.concatenate([old["log"][:at], [log_u], log[a:b]]), "split": (at, head)})
+            sources.append((i, turn, head + log_u, g))
             # the word of the split again, without what has been emitted there
-            mass = 1.0 - sum(math.exp(x) for x in {t: lg for t, lg in _logs(paths[i], at, head, old, pieces_at)}.values())
             if lat.paths[u] > len(seen) + 1:
-                v = truncated(np.array([head + math.log(max(mass, 1e-12))]), np.array([g]), uniform(np.array([key[i]]), np.array([turn]), np.array([at]), np.array([(1 << 30) + 1])))[0]
+                mass = 1.0 - sum(math.exp(x) for x in {**seen, tuple(own): log_u}.values())
+                v = truncated(np.array([head + math.log(max(mass, 1e-12))]), np.array([g]), uniform(key[i:i + 1], np.array([turn]), np.array([at]), np.array([(1 << 30) + 1])))[0]
                 heapq.heappush(frontier[i], (-float(v), turn, at, parent, head))
-            done += m
-    for i, mine in enumerate(paths):
-        left = -frontier[i][0][0] if frontier[i] else -math.inf
+        complements(turn, flat, bounds, log, noise, sources)
+    every = [p["ids"] for mine in paths for p in mine]
+    ids, cuts = vocab.spelled_out(np.concatenate([*every, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in every]))
+    results, done = [], 0
+    for mine, nodes in zip(paths, frontier):
+        left = -nodes[0][0] if nodes else -math.inf
+        found = []
         for p in mine:
-            ids = _ids(p, pools)
-            if len(ids) and ids.min() < 0:
-                ids = vocab.spelled_out(ids)
             total = float(p["log"].sum())
             inclusion = 1.0 if left == -math.inf else -math.expm1(-math.exp(min(total - left, 700.0)))
-            results[i].append((ids, total, inclusion))
+            found.append((ids[cuts[done]:cuts[done + 1]], total, inclusion))
+            done += 1
+        results.append(found)
     return results
 
 
-def _logs(paths, at, head, old, pieces_at):
-    yield pieces_at(old), float(old["log"][at])
-    for q in paths:
-        if q["split"] == (at, head):
-            yield pieces_at(q), float(q["log"][at])
-
-
-def _ids(p: dict, pools: list[np.ndarray]) -> np.ndarray:
-    """The ids of a path, joined from the stretches of the pools that it is made of."""
-    pool, place, n = p["pool"], p["place"], p["n"]
-    out = np.zeros(int(n.sum()), np.int64)
-    begin = np.cumsum(n) - n
-    for k in np.unique(pool).tolist():
-        w = np.flatnonzero(pool == k)
-        if k == 100:
-            for x in w.tolist():
-                out[begin[x]:begin[x] + n[x]] = p["own"][x]
-            continue
-        # words of one draw stand behind one another in its pool
-        first, last = w[0], w[-1]
-        if len(w) == last - first + 1:
-            a = int(place[first])
-            out[begin[first]:begin[first] + n[w].sum()] = pools[k][a:a + int(n[w].sum())]
-        else:
-            for x in w.tolist():
-                out[begin[x]:begin[x] + n[x]] = pools[k][place[x]:place[x] + n[x]]
-    return out
-
-
 def sampled(docs: DataFrame, model: str, k: int = 3, seed: int = 1, with_ids: bool = True, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_samples and samples: structs of n_pieces, log_prob, inclusion, ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
     decoded (whether the ids decode to the text) and, if asked for, the ids. Columns named in ``keep`` are handed on; none may be called like a result column."""
@@ -488,8 +506,10 @@ def sampled(docs: DataFrame, model: str, k: int = 3, seed: int = 1, with_ids: bo
                     size += len(texts[end])
                     end += 1
                 rows = []
-                for t, found in zip(texts[at:end], block_samples(vocab, keys[at:end], texts[at:end], k, seed)):
-                    rows.append([{"n_pieces": len(ids), "log_prob": log, "inclusion": inclusion, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "decoded": vocab.decode(ids) == t,
+                drawn = block_samples(vocab, keys[at:end], texts[at:end], k, seed)
+                raw = iter(vocab.joined([ids for found in drawn for ids, _, _ in found]))
+                for t, found in zip(texts[at:end], drawn):
+                    rows.append([{"n_pieces": len(ids), "log_prob": log, "inclusion": inclusion, "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes()), "decoded": shown(next(raw)) == t,
                                   **({"ids": ids.tolist()} if with_ids else {})} for ids, log, inclusion in found])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at:end], pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array(rows, kind), *(c.slice(at, end - at) for c in b.columns[2:])], ["doc_id", "n_samples", "samples", *keep])
                 at = end
