@@ -247,6 +247,31 @@ def test_op7_writes_few_files_whatever_the_number_of_parts(spark, tmp_path, monk
     assert all(r.n_removed >= 250 for r in spark.read.parquet(f"{tmp_path}/out").collect())
 
 
+def test_op5_writes_few_files_whatever_the_number_of_parts(spark, tmp_path, monkeypatch):
+    folders = itertools.count()
+    monkeypatch.setattr(common, "shared_dir", lambda session, name: f"{tmp_path}/{next(folders)}-{name}")
+    # 12 groups of 25 near copies, one word apart
+    rows = [(i, " ".join(f"w{i % 12}x{j}" for j in range(60)) + f" end{i}") for i in range(300)]
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = {k: spark.conf.get(k) for k in (*conf, batch)}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+        found = ngram_join.similar_documents(docs, 4, 85)
+        assert spark.conf.get(batch) == old[batch]
+        found = {r.doc_id: r.component_id for r in found.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    written = {d.name: len(list(d.glob("part-*"))) for d in tmp_path.iterdir()}
+    # the sets of texts stand in few parts; tables of at most a row per text or link in one, bit maps in four
+    limit = max(16, 3 * spark.sparkContext.defaultParallelism)
+    assert len(written) > 10 and all(n <= (limit if "sets" in d else 4 if "members" in d else 1) for d, n in written.items()), written
+    assert found == {i: i % 12 for i in range(300)}
+
+
 def test_op7_groups_hold_all_occurrences(spark, docs):
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     raw = {i: t.encode() for i, t in docs.items()}

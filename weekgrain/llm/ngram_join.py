@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import WHITE, lowered, may_be_member, member_bits, mixed, prefix_hash, span_hash, stored, text_blocks, word_spans
+from weekgrain.llm.common import WHITE, few_parts, lowered, may_be_member, member_bits, mixed, prefix_hash, small_batches, span_hash, stored, text_blocks, word_spans
 from weekgrain.llm.components import components
 
 BUCKETS = 1 << 19
@@ -154,11 +154,13 @@ def _filters(percent: int):
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids, those that link on their whole texts. ``docs`` has one row per doc_id that occurs."""
-    pairs = stored(pairs, "pairs")
+    """Of the written pairs (a, b) of doc_ids, those that link on their whole texts. ``docs`` has one row per doc_id that occurs."""
+    many = pairs.count()
+    if many == 0:
+        return pairs
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     # a bit map of fixed size keeps the texts of others from being shuffled; what passes by chance finds no pair
-    some = stored(may_be_member(docs.select("doc_id", "text"), member_bits(ids)), "texts")
+    some = may_be_member(docs.select("doc_id", "text"), member_bits(ids))
     rows = pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches):
@@ -170,7 +172,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 ok.append(len(x) > 0 and len(y) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return stored(rows.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long"), "links")
+    # a pair of whole texts is as much work as some fifty rows of numbers
+    return stored(few_parts(rows.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long"), 50 * many), "links")
 
 
 def with_component(df: DataFrame, node: str, labels: DataFrame, name: str) -> DataFrame:
@@ -181,24 +184,31 @@ def with_component(df: DataFrame, node: str, labels: DataFrame, name: str) -> Da
 
 def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), one row per row of ``docs``."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # all jobs that hand rows to Python end in here; what is returned reads written tables
+    with small_batches(docs.sparkSession):
+        return _similar(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), size, percent)
+
+
+def _similar(docs: DataFrame, size: int, percent: int) -> DataFrame:
     order = bucket_counts(docs, size)
     sets = signed(docs, size, percent, order)
-    sets = stored(sets, "sets")
+    sets = stored(few_parts(sets), "sets")
     linked = sets.where("n > 0 and doc_id is not null")
+    # tables of a row per text at most are small, and a file written costs memory
+    many = sets.count()
     # equal sets: one representative, the smallest id
-    classes = stored(linked.groupBy("s1", "s2", "n", "p").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(few_parts(linked.groupBy("s1", "s2", "n", "p").agg(F.min("doc_id").alias("rep")), many), "classes")
     # identical prefix and size: one group, named by its smallest member; only here prefixes are shuffled
-    groups = stored(linked.groupBy("p", "n").agg(F.min("doc_id").alias("g"), F.min("prefix").alias("prefix")), "groups")
+    groups = stored(few_parts(linked.groupBy("p", "n").agg(F.min("doc_id").alias("g"), F.min("prefix").alias("prefix")), 4 * many), "groups")
     crowd = classes.groupBy("p", "n").agg(F.count("*").alias("size")).where("size > 1").join(groups.select("p", "n", "g"), ["p", "n"])
-    members = stored(classes.join(crowd, ["p", "n"]).select("g", "rep", "n"), "members")
+    members = stored(few_parts(classes.join(crowd, ["p", "n"]).select("g", "rep", "n"), many), "members")
     all_postings = postings(groups)
     shared = all_postings.groupBy("token").agg(F.count("*").alias("c"), F.min("g").alias("hub")).where("c > 1")
-    kept = stored(all_postings.join(shared, "token"), "postings")
+    kept = stored(few_parts(all_postings.join(shared, "token"), 4 * many), "postings")
     # members of a group meet under the group itself
     inside = members.join(members.groupBy("g").agg(F.count("*").alias("c")), "g")
     inside = inside.select(F.col("g").alias("token"), F.col("rep").alias("g"), F.shiftleft("n", 32).alias("np"), "c", F.col("g").alias("hub"))
-    kept_in = stored(inside, "inside")
+    kept_in = stored(few_parts(inside, many), "inside")
 
     def meeting(rows: DataFrame, *more) -> DataFrame:
         """Pairs under common shingles that pass the filters."""
@@ -212,8 +222,9 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id:
     def toward_hub(rows: DataFrame) -> DataFrame:
         return rows.where((F.col("c") > HOT) & (F.col("g") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("g").alias("b"))
 
-    cold = stored(meeting(kept.where(F.col("c") <= HOT)).distinct(), "meetings")
+    cold = stored(few_parts(meeting(kept.where(F.col("c") <= HOT)).distinct(), many), "meetings")
     first = cold.union(toward_hub(kept)).union(meeting(kept_in.where(F.col("c") <= HOT))).union(toward_hub(kept_in)).distinct()
+    first = stored(few_parts(first, many), "pairs")
     links = verified(first, docs, size, percent)
     labels = components(links)
     # what may still join different components: groups under frequent shingles, and members of groups that met by their names only
@@ -223,15 +234,16 @@ def similar_documents(docs: DataFrame, size: int = 4, percent: int = 85, doc_id:
     hot_in = with_component(kept_in.where(F.col("c") > HOT), "g", labels, "comp").withColumns({"lo": F.col("comp"), "hi": F.col("comp")})
     # a pair of groups is done with only if all members of both are in one component: lo = hi on both sides
     apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))
-    late = meeting(stored(hot.unionByName(hot_in), "hot"), apart)
+    late = meeting(stored(few_parts(hot.unionByName(hot_in), 4 * many), "hot"), apart)
     several = members.select("g", F.col("rep").alias("m"))
     met = cold.union(late)
     spread = met.join(several.select(F.col("g").alias("a"), F.col("m").alias("ma")), "a", "left").join(several.select(F.col("g").alias("b"), F.col("m").alias("mb")), "b", "left")
     spread = spread.select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b"))
     rest = with_component(with_component(spread, "a", labels, "ca"), "b", labels, "cb").where("ca != cb").select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(rest, docs, size, percent))
-    labels = components(links)
+    rest = stored(few_parts(rest.join(first, ["a", "b"], "left_anti"), many), "pairs")
+    more = verified(rest, docs, size, percent)
+    if more.take(1):
+        labels = components(links.union(more))
     # ids that share a class link as well: a text of the class stands for all
     of_class = linked.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "n", "rep")
     found = with_component(of_class, "rep", labels, "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
