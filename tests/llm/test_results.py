@@ -272,6 +272,33 @@ def test_op5_writes_few_files_whatever_the_number_of_parts(spark, tmp_path, monk
     assert found == {i: i % 12 for i in range(300)}
 
 
+def test_op8_splits_of_a_turn_are_listed_at_once(monkeypatch):
+    vocab = piece_sampling.vocabulary(catalog.tokenizer("piece_bpe_32k.model"))
+    lattices, calls = [], []
+    listed = piece_sampling.Lattices.list_ways
+
+    def counted(lat, units):
+        lattices.append(lat)
+        calls.append(len(units))
+        listed(lat, units)
+
+    monkeypatch.setattr(piece_sampling.Lattices, "list_ways", counted)
+    texts = [" ".join(f"{w}ing{i}" for w in ("walk", "sort", "join", "count")) for i in range(40)] + ["", "x", "\u4e00\u4e8c", "a" * 70]
+    found = piece_sampling.block_samples(vocab, list(range(len(texts))), texts, 4, 1)
+    assert len(calls) <= 3 < 40 <= calls[0]  # one call a turn, not one a word
+    lat = lattices[0]
+    size = {}
+    for u, n in lat.paths.items():
+        base, count = int(lat.base[u]), [1]
+        for t in range(1, int(lat.size[u]) + 1):
+            count.append(sum(count[t - m] for m in range(1, min(t, piece_sampling.LONGEST) + 1) if lat.edge[m - 1, base + t]))
+        size[u] = count[-1]
+        assert bool(lat.several[u]) == (count[-1] > 1)
+    assert size and all(min(n, piece_sampling.MANY) == min(lat.paths[u], piece_sampling.MANY) for u, n in size.items())
+    for t, mine in zip(texts, found):
+        assert len({tuple(ids.tolist()) for ids, _, _ in mine}) == len(mine) and all(vocab.decode(ids) == t for ids, _, _ in mine)
+
+
 def test_op7_groups_hold_all_occurrences(spark, docs):
     table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     raw = {i: t.encode() for i, t in docs.items()}

@@ -38,7 +38,7 @@ from weekgrain.llm.common import BASE, INVERSE, mixed, powers, text_list
 SPACE = 0x2581
 RESCALE = 32
 LONGEST = 16
-MANY = 1e300  # of paths; more are not told apart
+MANY = 1 << 20  # of paths; more are not told apart
 SCALE = 4.0
 BYTE_LOG = -14.0  # log-probability of a character spelled in bytes
 BLOCK_CHARS = 1 << 18
@@ -211,50 +211,49 @@ class Lattices:
         step = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size) + 1  # 1 .. size
         place = self.base[unit] + step
         text = start[unit] + step  # end of the character in the block
-        prefix = point_prefix(points)
+        spread = mixed(points.astype(np.uint64) + np.uint64(1))
         self.vocab = vocab
         self.edge = np.zeros((LONGEST, total), np.int32)
         weight = np.zeros((LONGEST, total))
         ends: list[np.ndarray] = [np.zeros(0, np.int64)] * LONGEST  # places where a piece of each length ends
         left, here = text, place
+        sum_ = np.zeros(len(text), np.uint64)  # as in point_hash(), with one character more in front each time
         for n in range(1, LONGEST + 1):
-            if n > 1:
-                far = step >= n
-                step, left, here = step[far], left[far], here[far]
             if len(here) == 0:
                 break
-            h = point_hash(prefix, left - n, left)
+            sum_ *= np.uint64(BASE)
+            sum_ += spread.take(left - n)
+            h = mixed(sum_ + np.uint64(n))
             got = vocab.find(h)
             some = np.flatnonzero(got)
             ends[n - 1] = here[some]
             self.edge[n - 1, ends[n - 1]] = got[some]
             weight[n - 1, ends[n - 1]] = vocab.weight[got[some]]
             # longer pieces end here only if one has these characters as its end
-            far = vocab.may_go_on(h)
-            step, left, here = step[far], left[far], here[far]
+            far = np.flatnonzero(vocab.may_go_on(h) & (step > n))
+            step, left, here, sum_ = step.take(far), left.take(far), here.take(far), sum_.take(far)
         alone = self.edge[0, place] == 0
         self.edge[0, place[alone]] = -1
         weight[0, place[alone]] = math.exp(BYTE_LOG + SCALE)
         ends[0] = place
         self.point = np.zeros(total, np.uint32)
         self.point[place] = points[text - 1]
-        sums, count = np.zeros(total), np.zeros(total)
-        sums[self.base] = count[self.base] = 1.0
+        sums = np.zeros(total)
+        sums[self.base] = 1.0
         longest = int(size[0]) if len(size) else 0
         back = np.arange(1, LONGEST + 1)[:, None]
         for t in range(1, longest + 1):
             live = int(np.searchsorted(-size, -t, side="right"))  # units of t characters or more come first
             p = self.base[:live] + t
             if t > LONGEST:
-                w, before = weight[:, p], p - back
-                s, c = (w * sums[before]).sum(0), ((w > 0) * count[before]).sum(0)
+                s = (weight[:, p] * sums[p - back]).sum(0)
             else:
-                s, c = np.zeros(live), np.zeros(live)
+                s = np.zeros(live)
                 for n in range(1, t + 1):
-                    w = weight[n - 1, p]
-                    s += w * sums[p - n]
-                    c += (w > 0) * count[p - n]
-            sums[p], count[p] = s, np.minimum(c, MANY)
+                    w = weight[n - 1].take(p)
+                    w *= sums.take(p - n)
+                    s += w
+            sums[p] = s
             if t % RESCALE == 0 and longest > t:
                 # a power of two changes no share; what reaches over place t takes it from here on
                 longer = p[:int(np.searchsorted(-size, -t, side="left"))]
@@ -263,37 +262,47 @@ class Lattices:
                     here = size[:len(longer)] >= t + j
                     longer, factor = longer[here], factor[here]
                     weight[j - 1:, longer + j] *= factor
-        self.paths = count[self.base + size]
-        self.ways: dict[int, list] = {}  # of units that were split
-        self.weight, self.sums = weight, sums
-        whole = 1.0 / np.where(sums > 0, sums, 1.0)
+        # single characters reach every place, so any longer piece makes a second path
+        longer = np.zeros(total, bool)
+        for at in ends[1:]:
+            longer[at] = True
+        self.several = np.logical_or.reduceat(longer, self.base) if len(size) else longer
+        self.ways: dict[int, tuple] = {}  # of units that were split, with their numbers of paths
+        self.paths: dict[int, int] = {}
+        some_sum = np.where(sums > 0, sums, 1.0)
+        whole = 1.0 / some_sum
         share = np.empty((LONGEST, total), np.float32)
         running = np.zeros(total)
         for n in range(1, LONGEST + 1):
             at = ends[n - 1]
-            running[at] += weight[n - 1, at] * sums[at - n]
+            mass = weight[n - 1].take(at) * sums.take(at - n)
+            upto = running.take(at) + mass
+            running[at] = upto
             share[n - 1] = share[n - 2] if n > 1 else 0.0
-            share[n - 1, at] = running[at] * whole[at]
-        self.share = np.ascontiguousarray(share.T)
-
-    def part(self, pos, length):
-        """Share of the paths to ``pos`` that end with a piece of ``length`` characters."""
-        return self.weight[length - 1, pos] * self.sums[pos - length] / self.sums[pos]
+            share[n - 1, at] = upto * whole.take(at)
+            weight[n - 1, at] = mass / some_sum.take(at)
+        # few pieces are longer than half of LONGEST
+        self.share, self.share_of_long = (np.ascontiguousarray(share[a:a + LONGEST // 2].T) for a in (0, LONGEST // 2))
+        self.part = weight  # by length - 1 and place: share of the paths to a place that end with a piece of that length
 
     def draw(self, units: np.ndarray, noise: np.ndarray):
         """A random path for each item, from its hash, sampled backwards: (number of pieces, log-probability, pieces of all items joined)."""
         at = self.base[units] + self.size[units]
         items = np.arange(len(units))
-        log, product, n = np.zeros(len(units)), np.ones(len(units)), np.zeros(len(units), np.int64)
+        log, n = np.zeros(len(units)), np.zeros(len(units), np.int64)
+        product = np.ones(len(units))  # of the open items
         steps = []
         active, pos, step = items, at.copy(), 0
         low, total = self.base[units], self.edge.shape[1]
-        edge, weight = self.edge.reshape(-1), self.weight.reshape(-1)
+        edge, part = self.edge.reshape(-1), self.part.reshape(-1)
         while len(active):
             r = _unit(mixed(noise + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))).astype(np.float32)
             row = self.share.take(pos, axis=0)
-            below = np.bitwise_count((row < r[:, None]).view(np.uint64))  # LONGEST flags in two numbers
-            length = np.minimum(below[:, 0] + below[:, 1], LONGEST - 1).astype(np.int64)
+            length = np.bitwise_count((row < r[:, None]).view(np.uint64)[:, 0]).astype(np.int64)  # eight flags in a number
+            far = np.flatnonzero(length == LONGEST // 2)
+            if len(far):
+                row = self.share_of_long.take(pos.take(far), axis=0)
+                length[far] = np.minimum(length[far] + np.bitwise_count((row < r.take(far)[:, None]).view(np.uint64)[:, 0]), LONGEST - 1)
             cell = length * total + pos
             length += 1
             piece = edge.take(cell)
@@ -303,43 +312,61 @@ class Lattices:
                 cell = (length - 1) * total + pos
                 piece = edge.take(cell)
             before = pos - length
-            product[active] *= weight.take(cell) * self.sums.take(before) / self.sums.take(pos)  # see part()
+            product *= part.take(cell)
             if step % 16 == 15:  # long before products of probabilities could vanish
-                log += np.log(product)
+                log[active] += np.log(product)
                 product[:] = 1.0
             spelled = np.flatnonzero(piece < 0)
             piece[spelled] = -self.point[pos[spelled]].astype(np.int32) - 1
             steps.append((active, piece))
-            n[active] += 1
-            open_ = np.flatnonzero(before > low)
-            active, pos, low, noise, step = active[open_], before[open_], low[open_], noise[open_], step + 1
-        log += np.log(product)
+            step += 1
+            ended = before <= low
+            done = np.flatnonzero(ended)
+            if len(done):
+                who = active.take(done)
+                n[who] = step
+                log[who] += np.log(product.take(done))
+                open_ = np.flatnonzero(~ended)
+                active, before, low, noise, product = (x.take(open_) for x in (active, before, low, noise, product))
+            pos = before
         begin = np.cumsum(n) - n
         pieces = np.zeros(int(n.sum()), np.int32)
         for k, (who, piece) in enumerate(steps):
             pieces[begin[who] + n[who] - 1 - k] = piece
         return n, log, pieces
 
-    def ways_of(self, base: int, end: int) -> list[list[tuple[int, float, int]]]:
-        """(length, log share, piece) of the edges that end at each place of a unit."""
-        out: list[list[tuple[int, float, int]]] = [[] for _ in range(end - base + 1)]
-        at, n = np.nonzero(self.edge[:, base:end + 1].T)
-        pos, n = at + base, n + 1
-        piece = self.edge[n - 1, pos]
+    def list_ways(self, units: np.ndarray) -> None:
+        """Lists the edges of units that are about to be split, of all at once: ``ways[u]`` has the first edge that ends at each place, then all their (length, share, piece)."""
+        units = np.array([u for u in np.unique(units).tolist() if u not in self.ways], np.int64)
+        if len(units) == 0:
+            return
+        size = self.size[units] + 1
+        first = np.cumsum(size) - size
+        places = np.repeat(self.base[units] - first, size) + np.arange(int(size.sum()))
+        at, n = np.nonzero(self.edge[:, places].T)
+        pos = places[at]
+        piece = self.edge[n, pos]
         piece = np.where(piece > 0, piece, -self.point[pos].astype(np.int32) - 1)
-        for a, m, x, p in zip(at.tolist(), n.tolist(), self.part(pos, n).tolist(), piece.tolist()):
-            out[a].append((m, math.log(x), p))
-        return out
+        bounds = np.searchsorted(at, np.arange(len(places) + 1)).tolist()
+        edges = list(zip((n + 1).tolist(), self.part[n, pos].tolist(), piece.tolist()))
+        for u, a, m in zip(units.tolist(), first.tolist(), size.tolist()):
+            self.ways[u] = bounds[a:a + m + 1], edges
+            reach = [1]
+            for x, y in zip(bounds[a + 1:a + m], bounds[a + 2:a + m + 1]):
+                reach.append(sum([reach[-e[0]] for e in edges[x:y]]))
+                if reach[-1] > MANY:  # never fewer at a later place
+                    break
+            self.paths[u] = reach[-1]
 
     def unit_samples(self, unit: int, key: int, turn: int, word: int):
         """Segmentations of one unit in the order of their perturbed log-probabilities (log-probability, pieces), by A-star from the end."""
         base, end = int(self.base[unit]), int(self.base[unit] + self.size[unit])
         heap = [(-1e300, 0, end, 0.0, None)]  # the root's own value does not matter for the order
         if unit not in self.ways:
-            self.ways[unit] = self.ways_of(base, end)
-        ways = self.ways[unit]
+            self.list_ways(np.array([unit]))
+        bounds, edges = self.ways[unit]
         serial = 0
-        noise = random.Random(f"{key}-{turn}-{word}")
+        draw, ln = random.Random(f"{key}-{turn}-{word}").random, math.log
         while heap:
             value, _, pos, log, tail = heapq.heappop(heap)
             if pos == base:
@@ -350,11 +377,12 @@ class Lattices:
                 yield log, own
                 continue
             kids, best = [], -math.inf
-            for n, share, piece in ways[pos - base]:
-                phi = log + share
-                g = phi - math.log(-math.log(noise.random() or 0.5))
+            for n, share, piece in edges[bounds[pos - base]:bounds[pos - base + 1]]:
+                phi = log + ln(share)
+                g = phi - ln(-ln(draw() or 0.5))
                 kids.append((g, phi, n, piece))
-                best = max(best, g)
+                if g > best:
+                    best = g
             top = -value
             for g, phi, n, piece in kids:
                 # condition on the node's value being the maximum of its children
@@ -396,7 +424,7 @@ def block_samples(vocab: Vocabulary, keys: list[int], texts: list[str], k: int,
     lat = Lattices(vocab, points, start[one], size[one])
     unit = lat.renamed[unit]
     key = np.array([zlib.crc32(repr((seed, x)).encode()) for x in keys], np.uint64)
-    several = lat.paths[unit] > 1
+    several = lat.several[unit]
 
     def drawn(flat: np.ndarray, turn: int):
         """Random paths of these words, and the noise of leaving them; what depends on the text alone is hashed once a text."""
@@ -450,7 +478,8 @@ def block_samples(vocab: Vocabulary, keys: list[int], texts: list[str], k: int,
         bounds = np.cumsum([0] + [len(x) for x in spans])
         flat = np.concatenate(spans)
         end, n, log, pool, noise = drawn(flat, turn)
-        sources = []
+        lat.list_ways(unit[np.array([first[i] + at for i, _, at, _, _ in chosen])])
+        sources, again = [], []
         for (i, g, at, parent, head), a, b in zip(chosen, bounds[:-1].tolist(), bounds[1:].tolist()):
             old = paths[i][parent]
             u = int(unit[first[i] + at])
@@ -468,8 +497,12 @@ def block_samples(vocab: Vocabulary, keys: list[int], texts: list[str], k: int,
             # the word of the split again, without what has been emitted there
             if lat.paths[u] > len(seen) + 1:
                 mass = 1.0 - sum(math.exp(x) for x in {**seen, tuple(own): log_u}.values())
-                v = truncated(np.array([head + math.log(max(mass, 1e-12))]), np.array([g]), uniform(key[i:i + 1], np.array([turn]), np.array([at]), np.array([(1 << 30) + 1])))[0]
-                heapq.heappush(frontier[i], (-float(v), turn, at, parent, head))
+                again.append((i, at, parent, head, g, head + math.log(max(mass, 1e-12))))
+        if again:
+            text, at, _, _, top, mass = (np.array(x) for x in zip(*again))
+            u = uniform(key[text], np.full(len(text), turn), at, np.full(len(text), (1 << 30) + 1))
+            for v, (i, at, parent, head, _, _) in zip(truncated(mass, top, u).tolist(), again):
+                heapq.heappush(frontier[i], (-v, turn, at, parent, head))
         complements(turn, flat, bounds, log, noise, sources)
     every = [p["ids"] for mine in paths for p in mine]
     ids, cuts = vocab.spelled_out(np.concatenate([*every, np.zeros(0, np.int32)]), np.cumsum([0] + [len(x) for x in every]))
