@@ -119,3 +119,23 @@ def test_a_block_scores_its_texts_as_the_automaton_reads_them(order):
         model = backoff.Automaton(x, counts, n, int(trained.sum()) if n else 0, int((counts[0] > 0).sum()), 4.0)
         want = [model.score(x.tokens[i:j].tolist()) for i, j in zip(x.start[:-1], x.start[1:])]
         assert model.scores(x) == pytest.approx(want, abs=1e-7)
+
+
+@pytest.mark.parametrize("order,piece", [(1, 7), (2, 1), (2, 1 << 20), (3, 3), (4, 5)])
+def test_scores_are_read_off_the_arcs(order, piece, monkeypatch):
+    """Every token takes an arc, after the failure arcs on the way: with other weights on them the sums are those that a text by text reading finds."""
+    import numpy as np
+
+    monkeypatch.setattr(backoff, "PIECE", piece, raising=False)
+    seqs = [[w or "" for w in tokens(t)] for _, t in ROWS]
+    words = {w: k for k, w in enumerate(dict.fromkeys(w for s in seqs for w in s))}
+    row = {"ids": [i for i, _ in ROWS], "held": [held(i) for i, _ in ROWS], "sizes": [len(s) for s in seqs], "words": "\n".join(words).encode(),
+           "tokens": backoff._packed(np.array([words[w] for s in seqs for w in s], np.uint64))}
+    x = backoff._Block(row, order)
+    model = backoff.Automaton(x, x.count, int((~x.held).sum()), int(x.sizes[~x.held].sum()), int((x.count[0] > 0).sum()), 4.0)
+    draw, plain = np.random.default_rng(5), model.scores(x)
+    model.weight = np.asarray(model.weight) * draw.uniform(0.5, 2, len(model.weight))
+    model.back = np.asarray(model.back) * np.append(1, draw.uniform(0.5, 2, len(model.back) - 1))  # state 0 has no failure arc
+    want = [model.score(x.tokens[i:j].tolist()) for i, j in zip(x.start[:-1], x.start[1:])]
+    assert model.scores(x) == pytest.approx(want, abs=1e-7)
+    assert all(a != b for a, b in zip(plain, want))
